@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words everywhere: runs of characters other than ASCII white space.
@@ -35,6 +35,11 @@ def small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def count_of(spans: str, kind: str) -> Column:
+    """How many of an array of spans are of a kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 # --- hashing of words, vectorised over a block of texts -------------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -1,6 +1,12 @@
 """Queries of this subpackage and the SQL that checks them."""
 
-from retort.llm import ngram_join
+from retort.llm import mixing, ngram_join, pii, secrets, token_counts
 
-QUERIES = {"op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_secret_scans": secrets.op3_secret_scans,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op8_pii": pii.op8_pii,
+}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.OP2_SQL}
