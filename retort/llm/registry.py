@@ -1,12 +1,13 @@
 """Queries of this subpackage and the SQL that checks them."""
 
-from retort.llm import chat, mixing, nearest, ngram_join, pii, secrets, token_counts, topk, toxicity
+from retort.llm import chat, mixing, nearest, ngram_join, pieces, pii, secrets, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard,
     "op2_mixing": mixing.op2_mixing,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_exact_top_k": topk.op6_exact_top_k,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_pii": pii.op8_pii,
