@@ -1,4 +1,574 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries over the driver's tables, each next to the SQL that checks it.
 
-QUERIES: dict = {}
+Orders stand for molecules and their lines for atoms, parts and customers for atoms of larger groups, embeddings for
+global representations. Every query reads whole tables; results are rounded alike on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from retort.functions import formulas
+from retort.functions.expressions import Composition, select_column
+from retort.functions.kernels import KERNELS
+from retort.operators import dimension, graphs, molecules, pairs, regression, sampling, space, stats, taylor
+from retort.plans.lineage import cut
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    """Adds a query, and its SQL if SQL can express it."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _r(name: str, digits: int = 6):
+    return F.round(F.col(name), digits).alias(name)
+
+
+def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.select(*(_r(c, digits) if c in names else F.col(c) for c in df.columns))
+
+
+# --- kernels ------------------------------------------------------------------------------------------------------
+
+_PARAMETERS = {"RationalQuadratic": {"alpha": 2.0}, "Power": {"alpha": 1.5}, "GeneralizedCauchy": {"alpha": 1.0, "beta": 1.5}, "Sigmoid": {"a": 2.0, "b": 1.5}, "Polynomial": {"alpha": 1.0, "beta": 1.0}}
+_NAMES = {name: _PARAMETERS.get(name, {}) for name in KERNELS if name != "MaternGeneral"}
+
+
+def _vectors(spark, folder):
+    return _t(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+_KERNEL_SQL = """
+WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.id, list_distance(a.v, b.v) / 1.5 AS r FROM e a, e b),
+q AS (SELECT id, r, greatest(1 - r, 0) AS t, CASE WHEN r < 1 THEN r ELSE 0 END AS s FROM p),
+k AS (SELECT id, unnest([
+  {'kernel': 'Gaussian', 'k': exp(-r*r)}, {'kernel': 'Exponential', 'k': exp(-r)},
+  {'kernel': 'Matern32', 'k': (1+sqrt(3)*r)*exp(-sqrt(3)*r)}, {'kernel': 'Matern52', 'k': (1+sqrt(5)*r+5*r*r/3)*exp(-sqrt(5)*r)},
+  {'kernel': 'RationalQuadratic', 'k': pow(1+r*r/4, -2)}, {'kernel': 'InverseMultiquadric', 'k': 1/sqrt(1+r*r)},
+  {'kernel': 'InverseQuadratic', 'k': 1/(1+r*r)}, {'kernel': 'Power', 'k': pow(1+r*r, -1.5)},
+  {'kernel': 'GeneralizedCauchy', 'k': pow(1+pow(r, 1.5), -1/1.5)},
+  {'kernel': 'WendlandK0', 'k': pow(t,2)}, {'kernel': 'WendlandK1', 'k': pow(t,4)*(4*r+1)}, {'kernel': 'WendlandK2', 'k': pow(t,6)*(35*r*r+18*r+3)/3},
+  {'kernel': 'WendlandK3', 'k': pow(t,8)*(32*r*r*r+25*r*r+8*r+1)}, {'kernel': 'WendlandK4', 'k': pow(t,10)*(429*r*r*r*r+450*r*r*r+210*r*r+50*r+5)/5},
+  {'kernel': 'WuC2', 'k': pow(t,4)*(4*r+1)}, {'kernel': 'WuC4', 'k': pow(t,6)*(35*r*r+18*r+3)/3}, {'kernel': 'WuC6', 'k': pow(t,8)*(16*r*r*r+25*r*r+10*r+1)},
+  {'kernel': 'Bump', 'k': CASE WHEN r < 1 THEN exp(1-1/(1-s*s)) ELSE 0 END}, {'kernel': 'Sigmoid', 'k': (1+exp(-2))/(1+exp(1.5*r-2))},
+  {'kernel': 'Polynomial', 'k': (1+r*r)*exp(-r*r)}]) AS x FROM q)
+SELECT id, x.kernel AS kernel, round(sum(x.k), 6) AS total FROM k GROUP BY 1, 2
+"""
+
+
+@register("kernel_row_sums", _KERNEL_SQL)
+def _kernel_row_sums(spark, folder):
+    return _rounded(pairs.kernel_row_sums(_vectors(spark, folder), _NAMES, 1.5), 6, "total")
+
+
+@register("nn_length_scale", "WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT a.id, min(pow(list_distance(a.v, b.v), 2)) AS d FROM e a JOIN e b ON a.id <> b.id GROUP BY 1) SELECT round(sqrt(median(d)), 6) AS scale FROM n")
+def _nn_length_scale(spark, folder):
+    return _rounded(pairs.length_scale(_vectors(spark, folder)), 6, "scale")
+
+
+@register("global_kernel_centered", """
+WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+k AS (SELECT a.id AS i, b.id AS j, exp(-pow(list_distance(a.v, b.v) / 1.5, 2)) AS k FROM e a, e b),
+c AS (SELECT i, k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER () AS k FROM k)
+SELECT i, round(sum(k * k), 6) AS power, round(max(k), 6) AS most FROM c GROUP BY i""")
+def _centered(spark, folder):
+    k = pairs.centered(cut(pairs.global_kernel(_vectors(spark, folder), "Gaussian", 1.5)))
+    return _rounded(k.groupBy("i").agg(F.sum(F.col("k") * F.col("k")).alias("power"), F.max("k").alias("most")), 6, "power", "most")
+
+
+def _parts(spark, folder):
+    return _t(spark, folder, "part").select(F.col("p_brand").alias("mol"), F.col("p_type").alias("z"), (F.col("p_size") / 10).alias("x"))
+
+
+_LOCAL = """
+WITH a AS (SELECT p_brand AS mol, p_type AS z, p_size / 10 AS x FROM part){weights},
+k AS (SELECT a.mol AS i, b.mol AS j, sum({value}) AS k FROM a JOIN a b ON {on} a.mol <= b.mol{join} GROUP BY 1, 2),
+d AS (SELECT i AS m, sqrt(k) AS s FROM k WHERE i = j)
+SELECT k.i, k.j, round(k / (x.s * y.s), 6) AS k FROM k JOIN d x ON k.i = x.m JOIN d y ON k.j = y.m
+"""
+_GAUSS = "exp(-pow((a.x - b.x) / 2.0, 2))"
+
+
+@register("local_kernel", _LOCAL.format(weights="", value=_GAUSS, on="", join=""))
+def _local(spark, folder):
+    return _rounded(pairs.local_kernel(_parts(spark, folder), "Gaussian", 2.0), 6, "k")
+
+
+@register("elemental_kernel", _LOCAL.format(weights="", value=_GAUSS, on="a.z = b.z AND", join=""))
+def _elemental(spark, folder):
+    return _rounded(pairs.local_kernel(_parts(spark, folder), "Gaussian", 2.0, "elemental"), 6, "k")
+
+
+@register("alchemical_kernel", _LOCAL.format(
+    weights=", u AS (SELECT z, row_number() OVER (ORDER BY z) AS n FROM (SELECT DISTINCT z FROM a)), w AS (SELECT p.z AS z1, q.z AS z2, 1.0 / (1 + q.n - p.n) AS w FROM u p JOIN u q ON p.n <= q.n)",
+    value=_GAUSS + " * w.w", on="", join=" JOIN w ON w.z1 = least(a.z, b.z) AND w.z2 = greatest(a.z, b.z)"))
+def _alchemical(spark, folder):
+    atoms = _parts(spark, folder)
+    kinds = atoms.select("z").distinct().withColumn("n", F.row_number().over(Window.orderBy("z")))
+    weights = kinds.toDF("z1", "n1").join(kinds.toDF("z2", "n2"), F.col("n1") <= F.col("n2")).select("z1", "z2", (1.0 / (1 + F.col("n2") - F.col("n1"))).alias("w"))
+    return _rounded(pairs.local_kernel(atoms, "Gaussian", 2.0, "alchemical", F.broadcast(weights)), 6, "k")
+
+
+_GRID = [0.1, 0.25, 0.5, 0.75, 1.0]
+
+
+@register("power_moments", """
+WITH x AS (SELECT l_returnflag AS i, l_linestatus AS j, l_discount * 10 AS x FROM lineitem), g AS (SELECT unnest([0.1, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS g, unnest([0, 1, 2, 3, 4]) AS bin),
+b AS (SELECT i, j, x, (SELECT min(bin) FROM g WHERE g.g >= x.x) AS bin FROM x), s AS (SELECT i, j, bin, p, sum(pow(x, p)) AS m FROM b, range(5) t(p) WHERE bin IS NOT NULL GROUP BY ALL)
+SELECT i, j, bin::INTEGER AS bin, p::INTEGER AS p, round(sum(m) OVER (PARTITION BY i, j, p ORDER BY bin), 4) AS moment FROM s""")
+def _moments(spark, folder):
+    x = _t(spark, folder, "lineitem").select(F.col("l_returnflag").alias("i"), F.col("l_linestatus").alias("j"), (F.col("l_discount") * 10).alias("x"))
+    return _rounded(pairs.power_moments(x, _GRID, 4), 4, "moment")
+
+
+@register("nearest_anchor", "WITH v AS (SELECT l_linenumber AS anchor, avg(l_extendedprice) AS value FROM lineitem GROUP BY 1) SELECT n::INTEGER AS n, round(min_by(value, (abs(log2(anchor::DOUBLE) - log2(n::DOUBLE)), anchor)), 4) AS value FROM v, (SELECT unnest([1, 3, 5, 9, 40]) AS n) GROUP BY n")
+def _anchor(spark, folder):
+    v = _t(spark, folder, "lineitem").groupBy(F.col("l_linenumber").alias("anchor")).agg(F.avg("l_extendedprice").alias("value"))
+    return _rounded(pairs.nearest_anchor(v, [1, 3, 5, 9, 40]), 4, "value")
+
+
+@register("anchor_running_min", "WITH v AS (SELECT l_suppkey, l_linenumber, min(l_extendedprice) AS p FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, l_linenumber, min(p) OVER (PARTITION BY l_suppkey ORDER BY l_linenumber) AS least FROM v")
+def _running(spark, folder):
+    v = _t(spark, folder, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.min("l_extendedprice").alias("p"))
+    order = Window.partitionBy("l_suppkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, 0)
+    return v.select("l_suppkey", "l_linenumber", F.min("p").over(order).alias("least"))
+
+
+# --- molecules ----------------------------------------------------------------------------------------------------
+
+_ATOMS_SQL = """WITH a AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS idx,
+ l_linenumber::DOUBLE AS z, l_quantity / 10 AS x, l_discount AS y, l_tax AS zc, l_returnflag FROM lineitem)"""
+
+
+def _atoms(spark, folder):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return _t(spark, folder, "lineitem").select("l_orderkey", F.row_number().over(order).alias("idx"), F.col("l_linenumber").cast("double").alias("z"), (F.col("l_quantity") / 10).alias("x"), F.col("l_discount").alias("y"), F.col("l_tax").alias("zc"), "l_returnflag")
+
+
+@register("pair_feature", _ATOMS_SQL + """, p AS (SELECT a.l_orderkey, sum(pow(a.z * b.z, 2.5) * exp(-3 * sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.zc - b.zc, 2)))) AS f FROM a JOIN a b ON a.l_orderkey = b.l_orderkey AND a.idx < b.idx GROUP BY 1)
+SELECT DISTINCT a.l_orderkey, round(coalesce(f, 0), 4) AS feature FROM a LEFT JOIN p USING (l_orderkey)""")
+def _gcp(spark, folder):
+    return _rounded(molecules.pair_feature(_atoms(spark, folder), "l_orderkey", "idx"), 4, "feature")
+
+
+@register("element_matrix", "SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') AS \"A\", count(*) FILTER (l_returnflag = 'N') AS \"N\", count(*) FILTER (l_returnflag = 'R') AS \"R\" FROM lineitem GROUP BY 1")
+def _elements(spark, folder):
+    return molecules.element_matrix(_t(spark, folder, "lineitem"), "l_orderkey", "l_returnflag", ["A", "N", "R"])
+
+
+@register("one_hot", "SELECT o_orderkey, (o_orderstatus = 'F')::INTEGER AS \"o_orderstatus_F\", (o_orderstatus = 'O')::INTEGER AS \"o_orderstatus_O\", (o_orderstatus = 'P')::INTEGER AS \"o_orderstatus_P\" FROM orders")
+def _onehot(spark, folder):
+    return molecules.one_hot(_t(spark, folder, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["F", "O", "P"]).drop("o_orderstatus")
+
+
+_SYMBOL = {"A": "C", "N": "H", "R": "O"}
+
+
+def _xyz(spark, folder):
+    """Orders with a geometry text made of their lines."""
+    symbol = F.element_at(F.create_map(*(F.lit(x) for p in _SYMBOL.items() for x in p)), F.col("l_returnflag"))
+    line = F.concat_ws(" ", symbol, *(F.col(c).cast("string") for c in ("x", "y", "zc")))
+    lines = _atoms(spark, folder).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))).alias("l"))
+    text = F.concat(F.size("l").cast("string"), F.lit("\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    return lines.select(F.col("l_orderkey").alias("o_orderkey"), text.alias("xyz")).join(_t(spark, folder, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+
+
+@register("xyz_select_label", "WITH c AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'A') AS c, count(*) FILTER (l_returnflag = 'N') AS h FROM lineitem GROUP BY 1) SELECT o_orderkey, round(o_totalprice / n + c, 4) AS label FROM c JOIN orders ON l_orderkey = o_orderkey WHERE n > 3 AND c >= 1 AND NOT h = 2")
+def _xyz_select(spark, folder):
+    out = molecules.select_molecules(_xyz(spark, folder), "n_atoms > 3 and n_C >= 1 and not n_H == 2", "o_totalprice / n_atoms + n_C")
+    return _rounded(out.select("o_orderkey", "label"), 4, "label")
+
+
+@register("xyz_atoms", "SELECT CASE l_returnflag WHEN 'A' THEN 'C' WHEN 'N' THEN 'H' ELSE 'O' END AS el, CASE l_returnflag WHEN 'A' THEN 6 WHEN 'N' THEN 1 ELSE 8 END AS z, count(*) AS n, round(sum(l_quantity / 10), 4) AS x, round(sum(l_tax), 4) AS zc FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
+def _xyz_atoms(spark, folder):
+    atoms = _xyz(spark, folder).select(F.inline(molecules.atoms_of(F.col("xyz"))))
+    return _rounded(atoms.groupBy("el", "z").agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("zc").alias("zc")), 4, "x", "zc")
+
+
+@register("select_native", "SELECT o_orderkey, round(o_totalprice / 1000 - o_custkey * 2, 7) AS label FROM orders WHERE (o_totalprice > 150000 OR o_orderstatus IN ('F')) AND NOT o_custkey < 100")
+def _select(spark, folder):
+    out = molecules.select_molecules(_t(spark, folder, "orders"), "(o_totalprice > 150000 or o_orderstatus in ['F']) and not o_custkey < 100", "o_totalprice / 1000 - `o_custkey` * 2")
+    return _rounded(out.select("o_orderkey", "label"), 7, "label")
+
+
+@register("label_expression", "SELECT vec_id, round(pow(label, 2) / nullif(label - 3, 0) + vec_id % 7, 6) AS label FROM embeddings")
+def _label(spark, folder):
+    return _t(spark, folder, "embeddings").select("vec_id", F.round(select_column("label ** 2 / (label - 3) + vec_id % 7"), 6).alias("label"))
+
+
+@register("json_scan", "SELECT event_type, count(*) AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY 1")
+def _json(spark, folder):
+    k = F.from_json("props", "k bigint")["k"]
+    return _t(spark, folder, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k"))
+
+
+@register("charges", "SELECT c_custkey, round(c_acctbal)::INTEGER AS charge, 1 AS spin_multiplicity FROM customer")
+def _charges(spark, folder):
+    return molecules.charges(_t(spark, folder, "customer").select("c_custkey", F.round("c_acctbal").alias("charge")))
+
+
+@register("append_unlabelled", "SELECT c_nationkey AS k, c_acctbal AS label, false AS is_predict FROM customer UNION ALL SELECT s_nationkey, NULL, true FROM supplier")
+def _append(spark, folder):
+    main = _t(spark, folder, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("label"))
+    return molecules.append_unlabelled(main, _t(spark, folder, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("label")))
+
+
+@register("unseen_values", "SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+def _unseen(spark, folder):
+    line = _t(spark, folder, "lineitem")
+    side = lambda f: line.where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("k")).distinct()
+    return side("A").join(side("R"), "k", "left_anti")
+
+
+# --- detrending, splits, learning curves --------------------------------------------------------------------------
+
+
+@register("detrend_categorical", "SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderstatus), 3) AS residual FROM orders")
+def _detrend(spark, folder):
+    rows = molecules.one_hot(_t(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderstatus", ["F", "O", "P"]).withColumn("one", F.lit(1))
+    return _rounded(regression.detrend(rows, ["one", "o_orderstatus_F", "o_orderstatus_O", "o_orderstatus_P"], "o_totalprice").select("o_orderkey", "residual"), 3, "residual")
+
+
+@register("detrend_linear", "WITH c AS (SELECT regr_slope(c_acctbal, c_custkey) AS a, regr_intercept(c_acctbal, c_custkey) AS b FROM customer) SELECT c_custkey, round(c_acctbal - a * c_custkey - b, 4) AS residual FROM customer, c")
+def _linear(spark, folder):
+    rows = _t(spark, folder, "customer").select("c_custkey", "c_acctbal", F.lit(1).alias("one"))
+    return _rounded(regression.detrend(rows, ["one", "c_custkey"], "c_acctbal").select("c_custkey", "residual"), 4, "residual")
+
+
+@register("null_model", "WITH m AS (SELECT avg(o_totalprice) AS m FROM orders WHERE o_orderkey % 5 <> 0) SELECT o_orderkey % 5 <> 0 AS is_train, round(sqrt(avg(pow(o_totalprice - m, 2))), 4) AS rmse, round(avg(abs(o_totalprice - m)), 4) AS mae FROM orders, m GROUP BY 1")
+def _null(spark, folder):
+    return _rounded(regression.null_model(_t(spark, folder, "orders"), "o_totalprice", "o_orderkey % 5 <> 0"), 4, "rmse", "mae")
+
+
+@register("holdout_split", "SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || ':7'), o_orderkey) <= 1000 AS is_train FROM orders")
+def _holdout(spark, folder):
+    return sampling.holdout_split(_t(spark, folder, "orders").select("o_orderkey"), "o_orderkey", 1000, "7")
+
+
+@register("cross_validation", "WITH s AS (SELECT c_custkey, c_acctbal, k AS split, ('0x' || substr(md5(c_custkey::VARCHAR || ':' || k::VARCHAR), 1, 8))::BIGINT % 1000 < 200 AS v FROM customer, range(10) t(k)) SELECT split::INTEGER AS split, count(*) AS n, round(median(c_acctbal), 4) AS m FROM s WHERE v GROUP BY 1")
+def _cv(spark, folder):
+    out = sampling.cross_validation(_t(spark, folder, "customer").select("c_custkey", "c_acctbal"), "c_custkey", 10).where("is_validation")
+    return _rounded(out.groupBy("split").agg(F.count("*").alias("n"), F.median("c_acctbal").alias("m")), 4, "m")
+
+
+@register("sample_fixed_size", "SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey::VARCHAR || ':3'), o_orderkey LIMIT 500")
+def _sample(spark, folder):
+    return sampling.sample(_t(spark, folder, "orders").select("o_orderkey"), "o_orderkey", 500, "3")
+
+
+@register("stratified_sample", "WITH r AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5(c_custkey::VARCHAR || ':0'), c_custkey) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n, count(*) OVER () AS t FROM customer) SELECT c_custkey, c_nationkey FROM r WHERE r <= greatest(1, round(200 * n / t))")
+def _stratified(spark, folder):
+    return sampling.stratified(_t(spark, folder, "customer").select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey", 200)
+
+
+@register("weighted_choice")
+def _weighted(spark, folder):
+    return sampling.weighted_choice(_t(spark, folder, "part"), "p_partkey", "p_retailprice", 50)
+
+
+@register("curve_summary", "SELECT l_linenumber, round(median(l_extendedprice), 4) AS l_extendedprice_median, round(quantile_cont(l_extendedprice, 0.33), 4) AS l_extendedprice_p33, round(quantile_cont(l_extendedprice, 0.67), 4) AS l_extendedprice_p67, round(median(l_quantity), 4) AS l_quantity_median, round(quantile_cont(l_quantity, 0.33), 4) AS l_quantity_p33, round(quantile_cont(l_quantity, 0.67), 4) AS l_quantity_p67 FROM lineitem WHERE l_linenumber > 1 GROUP BY 1")
+def _curve(spark, folder):
+    out = stats.curve_summary(_t(spark, folder, "lineitem"), "l_linenumber", ["l_extendedprice", "l_quantity"])
+    return _rounded(out, 4, *out.columns[1:])
+
+
+@register("best_hyperparameters", "WITH m AS (SELECT l_linenumber AS ntrain, l_discount AS sigma, l_tax AS lam, median(l_extendedprice) AS rmse FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) >= 5), r AS (SELECT *, row_number() OVER (PARTITION BY ntrain ORDER BY rmse, sigma, lam) AS k FROM m) SELECT ntrain, sigma, lam, round(rmse, 4) AS rmse FROM r WHERE k = 1")
+def _best(spark, folder):
+    rows = _t(spark, folder, "lineitem").select(F.col("l_linenumber").alias("ntrain"), F.col("l_discount").alias("sigma"), F.col("l_tax").alias("lam"), F.col("l_extendedprice").alias("rmse"))
+    return _rounded(stats.best_hyperparameters(rows), 4, "rmse")
+
+
+@register("hyperparameter_grid", "SELECT l_discount AS sigma, " + ", ".join(f"round(median(l_extendedprice) FILTER (l_tax = {k / 100}), 4) AS lam_{k}" for k in range(9)) + " FROM lineitem GROUP BY 1")
+def _grid(spark, folder):
+    rows = _t(spark, folder, "lineitem").withColumn("lam", F.round(F.col("l_tax") * 100).cast("int"))
+    out = rows.groupBy(F.col("l_discount").alias("sigma")).pivot("lam", list(range(9))).agg(F.median("l_extendedprice"))
+    return _rounded(out.toDF("sigma", *(f"lam_{k}" for k in range(9))), 4, *(f"lam_{k}" for k in range(9)))
+
+
+@register("curve_slope", "WITH p AS (SELECT l_returnflag, l_linenumber, avg(l_extendedprice) AS e FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, l_linenumber, round((ln(e) - lag(ln(e)) OVER w) / (ln(l_linenumber) - lag(ln(l_linenumber)) OVER w), 6) AS slope FROM p WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_linenumber)")
+def _slope(spark, folder):
+    p = _t(spark, folder, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.avg("l_extendedprice").alias("e"))
+    return _rounded(stats.curve_slope(p, "l_linenumber", "e", ["l_returnflag"]).drop("e"), 6, "slope")
+
+
+@register("convergence", "SELECT l_suppkey, count(*) AS n, count(*) > 5 AND abs(median(CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice END) - median(CASE WHEN l_linenumber % 2 = 1 THEN l_extendedprice END)) / median(l_extendedprice) < 0.05 AS converged FROM lineitem GROUP BY 1")
+def _converged(spark, folder):
+    return stats.converged(_t(spark, folder, "lineitem"), ["l_suppkey"], "l_linenumber", "l_extendedprice").select("l_suppkey", "n", "converged")
+
+
+@register("metadata_agreement", "SELECT unnest(['c_mktsegment', 'c_nationkey']) AS field, unnest([count(DISTINCT c_mktsegment), count(DISTINCT c_nationkey)]) AS values, unnest([count(DISTINCT c_mktsegment) <= 1, count(DISTINCT c_nationkey) <= 1]) AS agree FROM customer")
+def _metadata(spark, folder):
+    return stats.comparable(_t(spark, folder, "customer"), ["c_mktsegment", "c_nationkey"])
+
+
+# --- distributions ------------------------------------------------------------------------------------------------
+
+_MERGED = """WITH a AS (SELECT l_partkey AS k, count(*) AS f FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey AS k, count(*) AS f FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+m AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.f, 0) AS f1, coalesce(b.f, 0) AS f2 FROM a FULL JOIN b ON a.k = b.k),
+w AS (SELECT *, f1 / sum(f1) OVER () AS w1, f2 / sum(f2) OVER () AS w2, (f1 + f2) / sum(f1 + f2) OVER () AS w FROM m)"""
+
+
+def _merged(spark, folder):
+    line = _t(spark, folder, "lineitem")
+    side = lambda f: line.where(F.col("l_returnflag") == f).groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias("freq"))
+    return stats.merge_frequencies(side("A"), side("R"), "k")
+
+
+@register("relative_weights", _MERGED + " SELECT k, f1, f2, round(w1, 9) AS w1, round(w2, 9) AS w2, round(w, 9) AS w FROM w")
+def _weights(spark, folder):
+    return _rounded(stats.relative_weights(_merged(spark, folder)), 9, "w1", "w2", "w")
+
+
+@register("distribution_distances", _MERGED + """, c AS (SELECT *, abs(sum(w1) OVER o - sum(w2) OVER o) AS g FROM w WINDOW o AS (ORDER BY k)), t AS (SELECT sum(w1 + 1e-10) AS p, sum(w2 + 1e-10) AS q FROM w)
+SELECT round(max(g), 8) AS ks, round(sum((w1 + 1e-10) / p * ln(((w1 + 1e-10) / p) / ((w2 + 1e-10) / q))), 6) AS kl, round(sum(g) - (min_by(g, k) + max_by(g, k)) / 2, 6) AS area FROM c, t""")
+def _distances(spark, folder):
+    return stats.distances(_merged(spark, folder), "k").select(_r("ks", 8), _r("kl"), _r("area"))
+
+
+@register("two_sample_ks", "WITH c AS (SELECT value AS x, count(*) FILTER (user_id % 2 = 0) AS a, count(*) FILTER (user_id % 2 = 1) AS b FROM events GROUP BY 1) SELECT round(max(g), 8) AS ks FROM (SELECT abs(sum(a) OVER (ORDER BY x) / (SELECT sum(a) FROM c) - sum(b) OVER (ORDER BY x) / (SELECT sum(b) FROM c)) AS g FROM c)")
+def _ks2(spark, folder):
+    x = _t(spark, folder, "events").select((F.col("user_id") % 2 + 1).alias("side"), F.col("value").alias("x"))
+    return stats.two_sample_ks(x).select(_r("ks", 8))
+
+
+@register("bootstrap_interval")
+def _bootstrap(spark, folder):
+    return stats.interval(stats.bootstrap(_merged(spark, folder), "k", 50), "tv")
+
+
+# --- chemical space -----------------------------------------------------------------------------------------------
+
+_TYPES = [("C", 4), ("H", 1), ("O", 2), ("F", 1)]
+
+
+def _sizes(spark, folder):
+    n = _t(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("natoms"))
+    return n.groupBy("natoms").agg(F.count("*").alias("orders"))
+
+
+_CASES = """WITH s AS (SELECT natoms, count(*) AS orders FROM (SELECT count(*) AS natoms FROM lineitem GROUP BY l_orderkey) GROUP BY 1),
+c AS (SELECT natoms, orders, c, h, o, natoms - c - h - o AS f FROM s, range(14) c(c), range(14) h(h), range(14) o(o) WHERE c + h + o <= natoms AND (4*c + 2*o + h + natoms - c - h - o) % 2 = 0
+ AND 2 * CASE WHEN c > 0 THEN 4 WHEN o > 0 THEN 2 ELSE 1 END <= 4*c + 2*o + natoms - c - o AND (4*c + 2*o + natoms - c - o) / 2 - (natoms - 1) >= 0)"""
+
+
+@register("enumerate_cases", _CASES + " SELECT natoms::INTEGER AS natoms, any_value(orders) AS orders, count(*) AS cases, sum(c)::BIGINT AS carbons FROM c GROUP BY natoms")
+def _cases(spark, folder):
+    c = space.enumerate_cases(_sizes(spark, folder), _TYPES)
+    carbons = F.coalesce(F.try_element_at(space.counts_of(F.col("stoichiometry")), F.lit("C")), F.lit(0))
+    return c.groupBy("natoms").agg(F.first("orders").alias("orders"), F.count("*").alias("cases"), F.sum(carbons).alias("carbons"))
+
+
+@register("select_cases", _CASES + " SELECT natoms::INTEGER AS natoms, count(*) AS cases FROM c WHERE (c + o < h + 2 AND NOT f = 0) OR natoms = 3 GROUP BY natoms")
+def _select_cases(spark, folder):
+    c = space.select_cases(space.enumerate_cases(_sizes(spark, folder), _TYPES), "(C + O < H + 2 & not F = 0) | # = 3")
+    return c.groupBy("natoms").agg(F.count("*").alias("cases"))
+
+
+@register("degree_sequences", _CASES + " SELECT natoms::INTEGER AS natoms, count(DISTINCT (c, o)) AS sequences FROM c GROUP BY natoms")
+def _sequences(spark, folder):
+    c = space.enumerate_cases(_sizes(spark, folder), _TYPES).select("natoms", formulas.label_text(formulas.pure_label(space.degree_sequence(F.col("stoichiometry")))).alias("s"))
+    return c.groupBy("natoms").agg(F.count_distinct("s").alias("sequences"))
+
+
+_COUNTS = "WITH c AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r, count(*) AS t FROM lineitem GROUP BY 1)"
+
+
+def _compositions(spark, folder):
+    """Per order its stoichiometry: C of valence 4, H of 1, O of 2."""
+    m = molecules.element_matrix(_t(spark, folder, "lineitem"), "l_orderkey", "l_returnflag", ["A", "N", "R"])
+    atom = lambda c, label, v: F.struct(F.lit(label).alias("label"), F.lit(v).alias("valence"), F.col(c).cast("int").alias("count"))
+    return m.select("l_orderkey", F.filter(F.array(atom("A", "C", 4), atom("N", "H", 1), atom("R", "O", 2)), lambda x: x["count"] > 0).alias("stoichiometry"))
+
+
+@register("composition_predicate", _COUNTS + " SELECT l_orderkey FROM c WHERE (a = 1 AND n = 1) OR NOT (r < a + 1 OR t > 6)")
+def _predicate(spark, folder):
+    return space.select_cases(_compositions(spark, folder), "C = 1 & H = 1 | not (O < C + 1 | # > 6)").select("l_orderkey")
+
+
+_PART = "CASE {n} WHEN 0 THEN '' WHEN 1 THEN '{s}' ELSE '{s}' || {n} END"
+_HILL = " || ".join(_PART.format(n=n, s=s) for n, s in (("a", "C"), ("n", "H"), ("r", "O")))
+
+
+@register("sum_formula", _COUNTS + f" SELECT l_orderkey, {_HILL} AS formula FROM c")
+def _formula(spark, folder):
+    return _compositions(spark, folder).select("l_orderkey", formulas.sum_formula(F.col("stoichiometry")).alias("formula"))
+
+
+@register("ordered_formula", _COUNTS + " SELECT l_orderkey, " + " || ".join(_PART.format(n=n, s=s) for n, s in (("(2 * a)", "C"), ("n", "H"), ("r", "O"))) + " AS formula, concat_ws(' & ', CASE WHEN a > 0 THEN 'C = ' || a END, CASE WHEN n > 0 THEN 'H = ' || n END, CASE WHEN r > 0 THEN 'O = ' || r END) AS criterion FROM c")
+def _ordered(spark, folder):
+    rows = _compositions(spark, folder).select("l_orderkey", formulas.sum_formula(F.col("stoichiometry")).alias("f"))
+    twice = F.concat("f", F.regexp_extract("f", "^(C[0-9]*)", 1))
+    return rows.select("l_orderkey", formulas.ordered_formula(twice).alias("formula"), formulas.criterion(F.col("f")).alias("criterion"))
+
+
+@register("canonical_label", _COUNTS + " SELECT l_orderkey, concat_ws('_', CASE WHEN n > 0 THEN '1.' || n END, CASE WHEN r > 0 THEN '2.' || r END, CASE WHEN a > 0 THEN '4.' || a END) AS label FROM c")
+def _canonical(spark, folder):
+    rows = _compositions(spark, folder).select("l_orderkey", space.label_of(F.col("stoichiometry")).alias("label"))
+    return rows.select("l_orderkey", formulas.label_text(formulas.pure_label(formulas.parse_label(F.col("label")))).alias("label"))
+
+
+@register("ln_asymptotic", _COUNTS + """, m AS (SELECT *, (4*a + 2*r + n)::DOUBLE AS m1, (12*a + 2*r)::DOUBLE AS m2, (24*a)::DOUBLE AS m3 FROM c)
+SELECT l_orderkey, round(lgamma(m1 + 1) - lgamma(m1 // 2 + 1) - (m1 // 2) * ln(2) - a * ln(24) - r * ln(2) - m2 / (2*m1) + m2*m2 / (4*m1*m1) + pow(m2, 4) / (4*pow(m1, 5)) - m2*m2*m3 / (2*pow(m1, 4)) + m3*m3 / (6*pow(m1, 3)), 6) AS ln_count FROM m WHERE m1 % 2 = 0""")
+def _asymptotic(spark, folder):
+    s = space.degree_sequence(F.col("stoichiometry"))
+    even = F.aggregate("s", F.lit(0), lambda a, p: a + p["deg"] * p["cnt"]) % 2 == 0
+    return _compositions(spark, folder).select("l_orderkey", s.alias("s")).where(even).select("l_orderkey", F.round(formulas.ln_asymptotic(F.col("s")), 6).alias("ln_count"))
+
+
+_KNOWN = ", l AS (SELECT *, concat_ws('_', CASE WHEN n > 0 THEN '1.' || n END, CASE WHEN r > 0 THEN '2.' || r END, CASE WHEN a > 0 THEN '4.' || a END) AS label FROM c), g AS (SELECT label, count(*) AS n, avg(t) AS q FROM l GROUP BY 1)"
+
+
+def _tables(spark, folder):
+    """Cases, and tables of counts made from them: exact for frequent labels, path lengths for odd sums of them."""
+    cases = cut(_compositions(spark, folder).withColumn("label", space.label_of(F.col("stoichiometry"))))
+    labels = cases.groupBy("label").agg(F.count("*").alias("n"))
+    return cases.drop("label"), labels.where("n >= 40"), labels.where("n < 40 AND n % 2 = 1").select("label", (F.col("n") / 5.0).alias("length"))
+
+
+@register("count_fallback", _COUNTS + _KNOWN + " SELECT source, count(*) AS cases, round(sum(v), 3) AS total FROM (SELECT l.label, CASE WHEN g.n >= 40 THEN 'exact' WHEN g.n % 2 = 1 THEN 'path' ELSE 'missing' END AS source, CASE WHEN g.n >= 40 THEN g.n::DOUBLE WHEN g.n % 2 = 1 THEN floor(exp(1.22066271 * g.n / 5.0 - 0.72953204)) END AS v FROM l JOIN g ON l.label = g.label) GROUP BY 1")
+def _fallback(spark, folder):
+    cases, known, paths = _tables(spark, folder)
+    return _rounded(space.count_cases(cases, known, paths).groupBy("source").agg(F.count("*").alias("cases"), F.sum("n").alias("total")), 3, "total")
+
+
+@register("missing_labels", _COUNTS + _KNOWN + " SELECT DISTINCT label FROM l WHERE t <= 20 AND label NOT IN (SELECT label FROM g WHERE n >= 40)")
+def _missing(spark, folder):
+    cases, known, _ = _tables(spark, folder)
+    return space.missing_labels(cases, known)
+
+
+@register("formula_table", _COUNTS + f" SELECT {_HILL} AS formula, count(*)::DOUBLE AS n, count(*) AS cases FROM c GROUP BY 1")
+def _formula_table(spark, folder):
+    counted = _compositions(spark, folder).withColumns({"n": F.lit(1.0), "label": space.label_of(F.col("stoichiometry"))})
+    # a group's list holds distinct stoichiometries only once they are counted
+    once = counted.groupBy("stoichiometry", "label").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
+    return space.formula_table(once).join(once.groupBy(formulas.sum_formula(F.col("stoichiometry")).alias("formula")).agg(F.sum("c").alias("_c")), "formula").select("formula", "n", F.col("_c").alias("cases"))
+
+
+# --- expansions, dimensions, graphs -------------------------------------------------------------------------------
+
+
+@register("central_differences", "WITH p AS (SELECT p_brand, p_size, avg(p_retailprice) AS y FROM part GROUP BY 1, 2) SELECT p_brand, p_size, round((lead(y) OVER w - lag(y) OVER w) / 2, 4) AS first, round(lead(y) OVER w - 2 * y + lag(y) OVER w, 4) AS second FROM p WINDOW w AS (PARTITION BY p_brand ORDER BY p_size)")
+def _differences(spark, folder):
+    p = _t(spark, folder, "part").groupBy("p_brand", "p_size").agg(F.avg("p_retailprice").alias("y"))
+    return _rounded(taylor.central_differences(p, ["p_brand"], "p_size", "y").drop("y"), 4, "first", "second")
+
+
+@register("taylor_query", "WITH s AS (SELECT p_size AS x, avg(p_retailprice) AS y FROM part GROUP BY 1), c AS (SELECT max(y) FILTER (x = 24) AS a, max(y) FILTER (x = 25) AS b, max(y) FILTER (x = 26) AS c FROM s) SELECT p_partkey, round(b + (c - a) / 2 * (p_size - 25) + (c - 2 * b + a) / 2 * pow(p_size - 25, 2), 3) AS predicted FROM part, c")
+def _taylor(spark, folder):
+    part = _t(spark, folder, "part")
+    table = part.groupBy(F.col("p_size").cast("double").alias("x")).agg(F.avg("p_retailprice").alias("y"))
+    near = cut(table.where(F.abs(F.col("x") - 25) <= 1))
+    model = taylor.Taylor.fit(near, ["x"], ["y"], {"x": 25.0}, 2)
+    return model.query(part.select("p_partkey", F.col("p_size").cast("double").alias("x")), ["y"]).select("p_partkey", F.round("pred_y", 3).alias("predicted"))
+
+
+def _modes(spark, folder):
+    return _t(spark, folder, "customer").select("c_nationkey", F.col("c_custkey").alias("mode"), (F.col("c_acctbal") / 1e7).alias("g"), ((F.col("c_custkey") % 97 + 1) / 1e3).alias("h"))
+
+
+_MODES = "WITH m AS (SELECT c_nationkey, c_custkey AS mode, c_acctbal / 1e7 AS g, (c_custkey % 97 + 1) / 1e3 AS h FROM customer), x AS (SELECT pow(10, k * (11.0::DOUBLE / 99) - 10) AS x FROM range(100) t(k)), b AS (SELECT m.*, -coalesce((SELECT min(x) FROM x WHERE abs(-x * g + x * x * h / 2) > 4.75e-4), 10) AS low, coalesce((SELECT min(x) FROM x WHERE abs(x * g + x * x * h / 2) > 4.75e-4), 10) AS high FROM m)"
+
+
+@register("mode_bounds", _MODES + " SELECT mode, round(low, 8) AS low, round(high, 8) AS high FROM b")
+def _bounds(spark, folder):
+    return _rounded(dimension.bounds(_modes(spark, folder)).select("mode", "low", "high"), 8, "low", "high")
+
+
+@register("mode_error", _MODES + """, p AS (SELECT *, (pow(high, 2) - pow(low, 2)) / (2 * (high - low)) AS p2, (pow(high, 3) - pow(low, 3)) / (3 * (high - low)) AS p3, (pow(high, 4) - pow(low, 4)) / (4 * (high - low)) AS p4, (pow(high, 5) - pow(low, 5)) / (5 * (high - low)) AS p5 FROM b),
+s AS (SELECT c_nationkey, sum(g*p2 + h*p3/2) AS m, sum(g*g*p3 + g*h*p4 + h*h*p5/4 - pow(g*p2 + h*p3/2, 2)) AS v FROM p GROUP BY 1) SELECT c_nationkey, round(sqrt(greatest(v + m*m, 0)), 8) AS error FROM s""")
+def _mode_error(spark, folder):
+    return _rounded(dimension.mode_error(dimension.bounds(_modes(spark, folder)), ["c_nationkey"]), 8, "error")
+
+
+@register("best_by_dimension", "WITH b AS (SELECT l_suppkey, (l_linenumber * 2)::INTEGER AS dim, min(l_extendedprice) AS e FROM lineitem GROUP BY 1, 2), k AS (SELECT l_suppkey, d::INTEGER AS dim FROM (SELECT DISTINCT l_suppkey FROM lineitem), range(17) t(d)) SELECT l_suppkey, dim, coalesce(last_value(e IGNORE NULLS) OVER (PARTITION BY l_suppkey ORDER BY dim), 0) AS error FROM k LEFT JOIN b USING (l_suppkey, dim)")
+def _filled(spark, folder):
+    tried = _t(spark, folder, "lineitem").select("l_suppkey", (F.col("l_linenumber") * 2).cast("int").alias("dim"), F.col("l_extendedprice").alias("error"))
+    return dimension.best_by_dimension(tried, ["l_suppkey"], 16)
+
+
+@register("greedy_dimensions")
+def _greedy(spark, folder):
+    e = _vectors(spark, folder)
+    row = lambda k: F.transform(F.slice("v", 5 + 4 * k, 4), lambda x, j: (x + F.get("v", j * 4 + 4 + k)) / 20)
+    return dimension.greedy_dimensions(e.select(F.col("id").alias("mol"), F.transform(F.slice("v", 1, 4), lambda x: x / 100).alias("g"), F.array(*(row(k) for k in range(4))).alias("h")))
+
+
+_EDGES = "WITH e AS (SELECT l_suppkey AS g, l_linenumber AS u, (l_quantity % 7)::INTEGER + 10 AS v FROM lineitem), b AS (SELECT g, u, v, count(*) AS bond FROM e GROUP BY ALL)"
+
+
+def _edges(spark, folder):
+    return _t(spark, folder, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_linenumber").alias("u"), ((F.col("l_quantity") % 7).cast("int") + 10).alias("v"))
+
+
+@register("bond_orders", _EDGES + " SELECT * FROM b")
+def _bonds(spark, folder):
+    return graphs.bond_orders(_edges(spark, folder))
+
+
+@register("count_bonds", _EDGES + " SELECT g, count(*) AS n FROM b WHERE bond = 2 AND u % 2 = 0 AND v % 2 = 1 GROUP BY 1")
+def _count_bonds(spark, folder):
+    e = cut(_edges(spark, folder))
+    nodes = e.select("g", F.explode(F.array("u", "v")).alias("node")).distinct()
+    element = F.when(F.col("node") < 10, F.when(F.col("node") % 2 == 0, "C").otherwise("N")).otherwise(F.when(F.col("node") % 2 == 1, "H").otherwise("O"))
+    return graphs.count_bonds(e, nodes.withColumn("element", element), "C", "H", 2)
+
+
+@register("node_degrees", _EDGES + " SELECT g, node, count(*) AS degree FROM (SELECT g, u AS node FROM e UNION ALL SELECT g, v FROM e) GROUP BY 1, 2")
+def _degrees(spark, folder):
+    return graphs.degrees(_edges(spark, folder))
+
+
+@register("random_graphs")
+def _random_graphs(spark, folder):
+    d = _compositions(spark, folder).select(F.col("l_orderkey").alias("g"), space.degree_sequence(F.col("stoichiometry")).alias("s")).where(formulas.feasible(F.col("s")))
+    return graphs.random_graphs(d.select("g", formulas.degrees_of(F.col("s")).alias("degrees")), steps=5)
+
+
+@register("edit_distances")
+def _edit(spark, folder):
+    rows = _t(spark, folder, "customer").select(F.col("c_nationkey").cast("long").alias("g"), (F.col("c_custkey") % 6).cast("int").alias("u"), (F.round("c_acctbal").cast("long") % 6).cast("int").alias("v"))
+    bonds = cut(graphs.bond_orders(rows.where("u <> v AND v >= 0")).select("g", "u", "v", F.col("bond").cast("int").alias("bond")))
+    nodes = bonds.select("g").distinct().withColumn("classes", F.array(*(F.lit(k % 2) for k in range(6))))
+    ids = bonds.select("g").distinct()
+    return graphs.path_lengths(bonds, nodes, ids.toDF("a").join(ids.toDF("b"), F.col("a") < F.col("b")))
+
+
+def _labelled(spark, folder):
+    return _t(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("double").alias("y"))
+
+
+@register("krr_predict")
+def _krr(spark, folder):
+    rows = _labelled(spark, folder)
+    return _rounded(regression.predict(sampling.sample(rows, "id", 256), rows, "Gaussian", 1.5, 1e-4), 6, "prediction")
+
+
+@register("krr_hyperparameters")
+def _hyper(spark, folder):
+    rows = sampling.sample(_labelled(spark, folder), "id", 192)
+    return regression.hyperparameters(rows, "Gaussian", [(s, 10.0**p) for s in (0.5, 1.0, 2.0, 4.0) for p in (-6, -3)], splits=6)
+
+
+@register("krr_learning_curve")
+def _learning(spark, folder):
+    rows = cut(sampling.numbered(_labelled(spark, folder), "id", "0"))
+    return regression.learning_curve(rows.where("position <= 256"), rows.where("position > 256"), "Gaussian", sampling.training_sizes(64, 256), splits=5)
