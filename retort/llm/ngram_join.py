@@ -7,11 +7,13 @@ Plan, every step over all documents:
 2. Signature: by that order, the first ``n - ceil(t n) + slack(n)`` shingles of a set of n. Two sets of
    similarity t share at least ``slack`` of them (of the smaller set), so searching these lists loses no link.
 3. Sets that are equal meet in one representative.
-4. Collapse: a document is compared with the smallest document of its inverted lists, which joins most large
-   groups of near copies without their pairs.
+4. Collapse: a document is compared with the most typical document of each of its inverted lists, which joins
+   most large groups of near copies without their pairs.
 5. Search: lists that still hold several components are searched. Of each document's lists the longest ones,
    up to the needed overlap less one, are set aside; the others are heap-merged with skipping, and the
-   documents found are binary-probed for the rest and kept if they reach the overlap (DivideSkip).
+   documents found are binary-probed for the rest and kept if they reach the overlap (DivideSkip). A pair must
+   also meet in the shortest prefixes that its two sizes allow, which spares most pairs of a group of near
+   copies that are not similar enough.
 6. Pairs that reach it are verified exactly on whole texts; components follow from the links.
 """
 
@@ -40,7 +42,7 @@ BROADCAST_IDS = 1_000_000
 
 
 def _slack(n):
-    return 1 + n // 20
+    return 1 + n // 32
 
 
 def _least(n, percent: int):
@@ -97,7 +99,7 @@ def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     two.append(int(mix(s ^ salt).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                     late = hot[(s & np.uint64(_SLOTS - 1)).astype(np.int64)]
                     order = np.concatenate((s[~late], s[late])) if late.any() else s
-                    tokens.append(np.sort(order[: len(s) - _least(len(s), percent) + _slack(len(s))]).view(np.int64))
+                    tokens.append(order[: len(s) - _least(len(s), percent) + _slack(len(s))].view(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int32)
             values = pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -167,37 +169,41 @@ def merge_skip(lists: list[list[int]], need: int) -> list[int]:
 def _searched(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share enough of their first shingles.
 
-    rows: token, doc, n, df (length of the token's list) and component, for tokens of several components.
+    rows: token, pos (from 0, in the common order), doc, n, df (length of the token's list) and component, for tokens of
+    several components. The pair's larger document, by size and then id, finds the smaller.
     """
-    need = F.lit(1) + F.floor(-F.floor(F.col("n") * -percent / 100) / 20)
+    need = F.lit(1) + F.floor(-F.floor(F.col("n") * -percent / 100) / 32)
     rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("df"), "token"))
-    asked = (
-        rows.withColumn("rank", rank).withColumn("need", need)
-        .withColumn("long", (F.col("df") > LONG) & (F.col("rank") < F.col("need")))
-    )
+    asked = rows.withColumn("rank", rank).withColumn("need", need).withColumn("long", (F.col("df") > LONG) & (F.col("rank") < F.col("need")))
     skipped = asked.groupBy("doc").agg(F.first("need").alias("need"), F.sum(F.col("long").cast("int")).alias("set_aside"))
     longest = rows.agg(F.max("df")).first()[0] or 1
     chunks = 1 << max(0, (longest // CHUNK - 1).bit_length())
     lists = (
         rows.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.lit(chunks)))
-        .groupBy("token", "chunk").agg(F.array_sort(F.collect_list(F.struct("doc", "n", "component"))).alias("list"))
+        .groupBy("token", "chunk").agg(F.array_sort(F.collect_list(F.struct("doc", "n", F.col("pos").alias("at"), "component"))).alias("list"))
     )
-    fits = lambda x: (  # noqa: E731  the smaller of the pair, by size and then id, is found by the larger
+    overlap = lambda x: -F.floor(-(F.col("n") + x["n"]) * percent / (100 + percent))
+    fits = lambda x: (
         (x["component"] != F.col("component")) & (x["n"] * 100 >= F.col("n") * percent)
         & ((x["n"] < F.col("n")) | ((x["n"] == F.col("n")) & (x["doc"] < F.col("doc"))))
     )
+    first = lambda x: (x["at"] <= x["n"] - overlap(x)) & (F.col("pos") <= F.col("n") - overlap(x))
+    ids = lambda kept: F.transform(kept, lambda x: x["doc"])
     merged = (
-        asked.where("not long").select("token", "doc", "n", "component").join(lists, "token")
-        .select("doc", "chunk", F.transform(F.filter("list", fits), lambda x: x["doc"]).alias("list")).where("size(list) > 0")
-        .groupBy("doc", "chunk").agg(F.collect_list("list").alias("lists")).join(skipped, "doc")
-        .select("doc", "lists", F.greatest(F.lit(1), F.col("need") - F.col("set_aside")).cast("int").alias("need"))
+        asked.select("token", "pos", "doc", "n", "component", "long").join(lists, "token")
+        .select("doc", "chunk", "pos", "n", "long", F.filter("list", lambda x: fits(x) & (~F.col("long") | first(x))).alias("list")).where("size(list) > 0")
+        .select("doc", "chunk", ids(F.col("list")).alias("list"), ids(F.filter("list", first)).alias("sure"))
+        .groupBy("doc", "chunk").agg(F.collect_list("list").alias("lists"), F.array_distinct(F.flatten(F.collect_list("sure"))).alias("sure"))
+        .where("size(sure) > 0").join(skipped, "doc")
+        .select("doc", "lists", "sure", F.greatest(F.lit(1), F.col("need") - F.col("set_aside")).cast("int").alias("need"))
     )
 
     def merge(batches):
         for batch in batches:
             a, b = [], []
-            for doc, lists, need in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = merge_skip(lists, need)
+            for doc, lists, sure, need in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sure = set(sure)
+                found = [x for x in merge_skip(lists, need) if x in sure]
                 a += [doc] * len(found)
                 b += found
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -208,21 +214,26 @@ def _searched(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
 
     def probe(batches):
         for batch in batches:
-            x, y = (batch.column(k) for k in (2, 4))
-            xs, ys = (np.asarray(c.flatten()) for c in (x, y))
-            xo, yo = ((lambda o: o - o[0])(np.asarray(c.offsets)) for c in (x, y))
-            nb = np.asarray(batch.column(5))
+            (xs, xo), (ys, yo) = (_flat(batch.column(k)) for k in (2, 4))
+            n, m = np.asarray(batch.column(3)), np.asarray(batch.column(5))
             keep = []
             for k in range(len(batch)):
-                s, t = xs[xo[k] : xo[k + 1]], ys[yo[k] : yo[k + 1]]
+                s, t = xs[xo[k] : xo[k + 1]], np.sort(ys[yo[k] : yo[k + 1]])
+                both = -(-percent * (n[k] + m[k]) // (100 + percent))
                 at = np.searchsorted(t, s)
-                keep.append(int((t[np.minimum(at, len(t) - 1)] == s).sum()) >= _slack(nb[k]))
+                same = int((t[np.minimum(at, len(t) - 1)] == s).sum())
+                keep.append(same >= max(1, min(len(s) - n[k], len(t) - m[k]) + both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # slack grows with the size, and b is the smaller one
     return probed.select("a", "b", "tokens_a", "n_a", "tokens_b", "n_b").mapInArrow(probe, "a long, b long")
 
 
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of an Arrow column of lists."""
+    offsets = np.asarray(lists.offsets)
+    return np.asarray(lists.flatten()), offsets - offsets[0]
+
+
 def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """Links documents whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -239,19 +250,21 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     signed = _signatures(docs, width, percent)
     sets = signed.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("doc"), F.min_by("tokens", "doc_id").alias("tokens"))
     sets = cut(sets.where("doc is not null"))
-    rows = sets.select("doc", F.col("n"), F.explode("tokens").alias("token"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("doc", "n")).alias("center")).where("df > 1")
-    rows = cut(rows.join(shared, "token").select("token", "doc", "n", "df", "center"))
+    rows = sets.select("doc", "n", F.posexplode("tokens").alias("pos", "token"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    rows = cut(rows.join(shared, "token").select("token", "pos", "doc", "n", "df"))
+    typical = rows.groupBy("doc").agg(F.sum("df").alias("typical"))
+    centers = rows.join(typical, "doc").groupBy("token").agg(F.max(F.struct("typical", "doc", "n")).alias("center"))
 
-    near = rows.where("doc <> center.doc").groupBy(F.col("doc").alias("a"), F.col("center.doc").alias("b")).agg(
+    near = rows.join(centers, "token").where("doc <> center.doc").groupBy(F.col("doc").alias("a"), F.col("center.doc").alias("b")).agg(
         F.count("*").alias("same"), F.first("n").alias("n"), F.first("center.n").alias("m")
     )
     smaller, larger = F.least("n", "m"), F.greatest("n", "m")
-    near = cut(near.where((F.col("same") >= 1 + F.floor(smaller / 20)) & (smaller * 100 >= larger * percent)).select("a", "b"))
+    near = cut(near.where((F.col("same") >= 1 + F.floor(smaller / 32)) & (smaller * 100 >= larger * percent)).select("a", "b"))
     links = cut(_verified(near, docs, width, percent))
     first = components(links)
 
-    placed = rows.drop("center").join(first.select(F.col("node").alias("doc"), "component"), "doc", "left")
+    placed = rows.join(first.select(F.col("node").alias("doc"), "component"), "doc", "left")
     placed = placed.withColumn("component", F.coalesce("component", "doc"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     placed = cut(placed.join(mixed, "token"))
@@ -275,9 +288,13 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     Keeps the columns of ``docs``; rows with a null doc_id or without words are kept as they are.
     """
-    ids = ngram_jaccard_join(docs, width, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    ids = cut(ngram_jaccard_join(docs, width, percent).where("component_id <> doc_id").select("doc_id").distinct())
+    kept = docs.join(small(ids, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    again = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    single = kept.join(again, "doc_id", "left_anti")
+    return single.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
 
 
 def op1_ngram_jaccard(spark, sf_dir):
