@@ -191,10 +191,10 @@ def _xyz(spark, folder):
     return lines.select(F.col("l_orderkey").alias("o_orderkey"), text.alias("xyz")).join(_t(spark, folder, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
 
 
-@register("xyz_select_label", "WITH c AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'A') AS c, count(*) FILTER (l_returnflag = 'N') AS h FROM lineitem GROUP BY 1) SELECT o_orderkey, round(o_totalprice / n + c, 4) AS label FROM c JOIN orders ON l_orderkey = o_orderkey WHERE n > 3 AND c >= 1 AND NOT h = 2")
+@register("xyz_select_label", "WITH c AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'A') AS c, count(*) FILTER (l_returnflag = 'N') AS h FROM lineitem GROUP BY 1) SELECT o_orderkey, round(o_totalprice / n + c, 7) AS label FROM c JOIN orders ON l_orderkey = o_orderkey WHERE n > 3 AND c >= 1 AND NOT h = 2")
 def _xyz_select(spark, folder):
     out = molecules.select_molecules(_xyz(spark, folder), "n_atoms > 3 and n_C >= 1 and not n_H == 2", "o_totalprice / n_atoms + n_C")
-    return _rounded(out.select("o_orderkey", "label"), 4, "label")
+    return _rounded(out.select("o_orderkey", "label"), 7, "label")
 
 
 @register("xyz_atoms", "SELECT CASE l_returnflag WHEN 'A' THEN 'C' WHEN 'N' THEN 'H' ELSE 'O' END AS el, CASE l_returnflag WHEN 'A' THEN 6 WHEN 'N' THEN 1 ELSE 8 END AS z, count(*) AS n, round(sum(l_quantity / 10), 4) AS x, round(sum(l_tax), 4) AS zc FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
@@ -231,11 +231,11 @@ def _append(spark, folder):
     return molecules.append_unlabelled(main, _t(spark, folder, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("label")))
 
 
-@register("unseen_values", "SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@register("unseen_values", "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def _unseen(spark, folder):
-    line = _t(spark, folder, "lineitem")
-    side = lambda f: line.where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("k")).distinct()
-    return side("A").join(side("R"), "k", "left_anti")
+    orders = _t(spark, folder, "orders")
+    side = lambda f: orders.where(F.col("o_orderstatus") == f).select(F.col("o_custkey").alias("k")).distinct()
+    return side("P").join(side("F"), "k", "left_anti")
 
 
 # --- detrending, splits, learning curves --------------------------------------------------------------------------
@@ -472,13 +472,13 @@ def _differences(spark, folder):
     return _rounded(taylor.central_differences(p, ["p_brand"], "p_size", "y").drop("y"), 4, "first", "second")
 
 
-@register("taylor_query", "WITH s AS (SELECT p_size AS x, avg(p_retailprice) AS y FROM part GROUP BY 1), c AS (SELECT max(y) FILTER (x = 24) AS a, max(y) FILTER (x = 25) AS b, max(y) FILTER (x = 26) AS c FROM s) SELECT p_partkey, round(b + (c - a) / 2 * (p_size - 25) + (c - 2 * b + a) / 2 * pow(p_size - 25, 2), 3) AS predicted FROM part, c")
+@register("taylor_query", "WITH s AS (SELECT p_size AS x, avg(p_retailprice) AS y FROM part GROUP BY 1), c AS (SELECT max(y) FILTER (x = 24) AS a, max(y) FILTER (x = 25) AS b, max(y) FILTER (x = 26) AS c FROM s) SELECT p_partkey, round(b + (c - a) / 2 * (p_size - 25) + (c - 2 * b + a) / 2 * pow(p_size - 25, 2), 6) AS predicted FROM part, c")
 def _taylor(spark, folder):
     part = _t(spark, folder, "part")
     table = part.groupBy(F.col("p_size").cast("double").alias("x")).agg(F.avg("p_retailprice").alias("y"))
     near = cut(table.where(F.abs(F.col("x") - 25) <= 1))
     model = taylor.Taylor.fit(near, ["x"], ["y"], {"x": 25.0}, 2)
-    return model.query(part.select("p_partkey", F.col("p_size").cast("double").alias("x")), ["y"]).select("p_partkey", F.round("pred_y", 3).alias("predicted"))
+    return model.query(part.select("p_partkey", F.col("p_size").cast("double").alias("x")), ["y"]).select("p_partkey", F.round("pred_y", 6).alias("predicted"))
 
 
 def _modes(spark, folder):
@@ -524,12 +524,12 @@ def _bonds(spark, folder):
     return graphs.bond_orders(_edges(spark, folder))
 
 
-@register("count_bonds", _EDGES + " SELECT g, count(*) AS n FROM b WHERE bond = 2 AND u % 2 = 0 AND v % 2 = 1 GROUP BY 1")
+@register("count_bonds", _EDGES + " SELECT g, count(*) AS n FROM b WHERE bond = 12 AND u % 2 = 0 AND v % 2 = 1 GROUP BY 1")
 def _count_bonds(spark, folder):
     e = cut(_edges(spark, folder))
     nodes = e.select("g", F.explode(F.array("u", "v")).alias("node")).distinct()
     element = F.when(F.col("node") < 10, F.when(F.col("node") % 2 == 0, "C").otherwise("N")).otherwise(F.when(F.col("node") % 2 == 1, "H").otherwise("O"))
-    return graphs.count_bonds(e, nodes.withColumn("element", element), "C", "H", 2)
+    return graphs.count_bonds(e, nodes.withColumn("element", element), "C", "H", 12)
 
 
 @register("node_degrees", _EDGES + " SELECT g, node, count(*) AS degree FROM (SELECT g, u AS node FROM e UNION ALL SELECT g, v FROM e) GROUP BY 1, 2")

@@ -36,7 +36,7 @@ def read_molecules(spark: SparkSession, path: str, schema: str | None = None) ->
 
         lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "value string")
         if schema is None:
-            schema = lines.select(F.schema_of_variant_agg(F.parse_json("value"))).first()[0].replace("OBJECT<", "STRUCT<")[len("STRUCT<") : -1]
+            schema = lines.select(F.schema_of_variant_agg(F.parse_json("value"))).first()[0].replace("OBJECT<", "STRUCT<")
         out = lines.select(F.from_json("value", schema).alias("r")).select("r.*")
     else:
         reader = spark.read.schema(schema) if schema else spark.read
