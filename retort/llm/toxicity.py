@@ -24,8 +24,10 @@ from retort.llm.common import documents
 
 DECAY, SPAN = 0.6, 6
 #: Fitting uses at most this many labelled documents of each class, chosen by a hash of doc_id; everything is scored.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 3000
-LANDMARKS, NEGATIVES, ALPHABET, ROUNDS = 96, 6_000, 63, 4
+TOXIC_SAMPLE, CLEAN_SAMPLE = 1200, 2000
+LANDMARKS, NEGATIVES, ALPHABET, ROUNDS = 160, 5_000, 63, 4
+#: The machine's cost of a violated margin, and the weight of all toxic words against that of all clean ones.
+COST, BALANCE = 10.0, 0.2
 #: Words longer than this are scored by overlapping windows.
 WINDOW = 24
 REMEMBERED = 1 << 18
@@ -168,25 +170,30 @@ def _telling(bags: list[set[str]], clean: Counter, n_clean: int) -> set[str]:
     bad: Counter = Counter()
     for bag in bags:
         bad.update({g for w in bag for g in grams(w)})
+    tried = len(bad)
+    bad = Counter({g: n for g, n in bad.items() if n > 2})
     good: Counter = Counter()
     for w, n in clean.items():
-        for g in grams(w):
+        for g in grams(w) & bad.keys():
             good[g] += n
     n_bad = len(bags)
-    least = 2 * math.log(max(len(bad), 2)) + 2
+    least = 2 * math.log(max(tried, 2)) + 2
     telling = set()
     for g, n in bad.items():
         m = good[g]
         p, q, r = n / n_bad, m / n_clean, (n + m) / (n_bad + n_clean)
-        if n > 2 and p > 20 * q:
+        if p > 20 * q:
             ratio = n * math.log(p / r) + (m * math.log(q / r) if m else 0) + ((n_bad - n) * math.log((1 - p) / (1 - r)) if p < 1 else 0) + ((n_clean - m) * math.log((1 - q) / (1 - r)) if q < 1 else 0)
             if 2 * ratio > least:
                 telling.add(g)
     return {w for bag in bags for w in bag if grams(w) & telling}
 
 
-def fit(sample: list[tuple[int, list[str]]], seed: int = 7) -> Model:
-    """Trains on (toxic, distinct words) of labelled documents."""
+def fit(sample: list[tuple[int, list[str]]], totals: tuple[int, int] | None = None, seed: int = 7) -> Model:
+    """Trains on (toxic, distinct words) of labelled documents.
+
+    totals: how many clean and toxic documents the sample stands for; it may hold the classes in other shares.
+    """
     bags = [{c for w in words if 2 < len(c := _core(w)) <= WINDOW} for toxic, words in sample if toxic]
     clear = [{c for w in words if 2 < len(c := _core(w)) <= WINDOW} for toxic, words in sample if not toxic]
     clean = Counter(w for bag in clear for w in bag)
@@ -197,19 +204,22 @@ def fit(sample: list[tuple[int, list[str]]], seed: int = 7) -> Model:
     if not positive:
         return Model(alphabet, np.zeros(size, np.float32), -1.0, (0.0, 0.0, math.log((len(bags) + 0.5) / (len(clear) + 0.5))))
     rng = np.random.default_rng(seed)
+    often = Counter(w for bag in bags for w in bag)
+    seen = np.array([often[w] for w in positive], float)
     words = sorted(clean)
     weight = np.array([clean[w] for w in words], float) ** 0.5
     chosen = {words[i] for i in rng.choice(len(words), min(NEGATIVES, len(words)), False, weight / weight.sum())}
     model = None
     for _ in range(ROUNDS):
         negative = sorted(chosen)
-        own = _spread(positive, LANDMARKS // 2, alphabet)
+        own = _spread(sorted(positive, key=lambda w: (-often[w], w)), LANDMARKS // 2, alphabet)
         landmarks = own + [negative[i] for i in rng.choice(len(negative), min(LANDMARKS - len(own), len(negative)), False)]
         value, vector = np.linalg.eigh(_kernel(landmarks, landmarks, alphabet))
         half = vector / np.sqrt(np.maximum(value, 1e-4))
         x = _kernel(positive + negative, landmarks, alphabet) @ half
         y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
-        cost = np.where(y > 0, 10.0 * max(1.0, len(negative) / len(positive) / 10), 10.0)
+        # frequent toxic words count more; all of them together as much as a share of the clean ones
+        cost = np.concatenate((COST * BALANCE * len(negative) * seen**0.5 / (seen**0.5).sum(), np.full(len(negative), COST)))
         w = _squared_hinge(x, y, cost)
         norms = _norms(WINDOW + 2)
         table = sum(b * _features(mark, alphabet, size) / norms[len(mark) + 2] for b, mark in zip(half @ w[:-1], landmarks, strict=True))
@@ -222,7 +232,9 @@ def fit(sample: list[tuple[int, list[str]]], seed: int = 7) -> Model:
     every = sorted({w for _, own in sample for w in own})
     known = dict(zip(every, model.margins(every).tolist(), strict=True))
     rows = [_document_features(heapq.nlargest(2, map(known.__getitem__, own))) for _, own in sample]
-    model.document = tuple(_logistic(np.array(rows), np.array([float(toxic) for toxic, _ in sample])))
+    truth = np.array([float(toxic) for toxic, _ in sample])
+    stands = np.where(truth > 0, (totals or (0, 1))[1] / max(truth.sum(), 1), (totals or (1, 0))[0] / max((1 - truth).sum(), 1)) if totals else np.ones(len(truth))
+    model.document = tuple(_logistic(np.array(rows), truth, stands / stands.mean()))
     return model
 
 
@@ -236,13 +248,13 @@ def _spread(words: list[str], n: int, alphabet: dict[str, int]) -> list[str]:
     return taken
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     w = np.zeros(x.shape[1])
     penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        h = x.T @ (x * (p * (1 - p))[:, None]) + penalty
-        w = w - np.linalg.solve(h, x.T @ (p - y) + penalty @ w)
+        h = x.T @ (x * (cost * p * (1 - p))[:, None]) + penalty
+        w = w - np.linalg.solve(h, x.T @ (cost * (p - y)) + penalty @ w)
     return w
 
 
@@ -264,7 +276,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(bags, pa.list_(pa.string()))], names=["toxic", "words"])
 
     sample = texts.mapInArrow(words, "toxic int, words array<string>").collect()
-    return fit(sorted((r["toxic"], r["words"]) for r in sample))
+    totals = known.agg(F.sum((F.col("toxic") == 0).cast("long")), F.sum((F.col("toxic") == 1).cast("long"))).first()
+    return fit(sorted((r["toxic"], r["words"]) for r in sample), (totals[0] or 0, totals[1] or 0))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
