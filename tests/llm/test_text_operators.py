@@ -224,8 +224,8 @@ def test_pieces_equal_the_library_and_decode(spark):
     texts = [t for t in ODD if not t or len(t) < 4000] + ["".join(rng.choice(parts) for _ in range(50)) for _ in range(80)] + [" " * 20 + "a"]
     out = {r["doc_id"]: r["ids"] for r in pieces.encode_documents(table(spark, texts), model).collect()}
     assert out == {k: library.encode(t or "") for k, t in enumerate(texts)}
-    back = pieces.decode_ids(spark.createDataFrame([(k, ids) for k, ids in out.items()], "doc_id long, ids array<int>"), ["doc_id"], model)
-    assert {r["doc_id"]: r["text"] for r in back.collect()} == {k: " " + t.replace("▁", " ") for k, t in enumerate(texts) if t}
+    back = pieces.decode_ids(spark.createDataFrame([*out.items(), (-1, None)], "doc_id long, ids array<int>"), model)
+    assert {r["doc_id"]: r["decoded"] for r in back.collect()} == {k: " " + t.replace("▁", " ") if t else "" for k, t in enumerate(texts)} | {-1: None}
     digests = {r["doc_id"]: r for r in pieces.encoding_digests(table(spark, texts), model).collect()}
     assert all(digests[k]["n_tokens"] == len(ids) and digests[k]["round_trip"] for k, ids in out.items())
     again = table(spark, texts[:5])
