@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.common import cut
+from retort.llm.common import cut, small
 
 #: Rows of a block of candidates and of a block of queries, about.
 ROWS, QUERIES = 8192, 1024
 #: Components of a block at most, so that blocks of long vectors hold fewer rows.
 COMPONENTS = 1 << 20
+#: Different lengths of vectors whose counts may be broadcast; more are joined by a shuffle.
+LENGTHS = 10_000
 
 
 def usable(vectors: DataFrame, nonzero: bool) -> DataFrame:
@@ -40,11 +42,12 @@ def tiles(vectors: DataFrame, is_query: Column) -> DataFrame:
     """
     rows = cut(vectors.withColumn("dim", F.size("v")))
     counts = rows.groupBy("dim").agg(F.count("*").alias("n"), F.sum(is_query.cast("long")).alias("nq")).where("nq > 0")
-    rows = rows.join(F.broadcast(counts), "dim")
+    counts = small(cut(counts), LENGTHS)
+    rows = rows.join(counts, "dim")
     limit = lambda most: F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(COMPONENTS) / F.col("dim"))))
     size = limit(ROWS)
     made = _blocks(rows.where(is_query), limit(QUERIES), F.col("nq"), "qb")
-    made = made.join(F.broadcast(counts), "dim").withColumn("cb", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / size) - 1).cast("int"))))
+    made = made.join(counts, "dim").withColumn("cb", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / size) - 1).cast("int"))))
     made = made.select("dim", F.col("cb").cast("long").alias("cb"), F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
     others = _blocks(rows, size, F.col("n"), "cb").select("dim", F.col("cb").cast("long").alias("cb"), F.col("ids").alias("c_ids"), F.col("vs").alias("c_vs"))
     return made.join(others, ["dim", "cb"]).select("q_ids", "q_vs", "c_ids", "c_vs")
