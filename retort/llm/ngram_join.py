@@ -37,8 +37,8 @@ _SLICE = 1 << 14
 LONG = 64
 #: A list is dealt out in chunks of about this many documents.
 CHUNK = 1024
-#: Ids that may be broadcast to prune a scan: 16 MB at most.
-BROADCAST_IDS = 1_000_000
+#: Ids that may be broadcast to prune a scan: 64 MB at most; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 
 
 def _slack(n):
@@ -81,7 +81,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, number of shingles, 128-bit fingerprint of the set, and its first shingles in the common order."""
+    """doc_id, number of shingles, 128-bit fingerprint of the set, its first shingles in the common order, and a row number."""
     counts = _sketch(docs, width)
     mean = float(counts.mean())
     hot = np.packbits(counts > mean + max(4 * LONG, 8 * mean**0.5))
@@ -107,7 +107,8 @@ def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 names=["doc_id", "n", "one", "two", "tokens"],
             )
 
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, one long, two long, tokens array<long>"))
+    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, one long, two long, tokens array<long>")
+    return cut(signed.withColumn("row", F.monotonically_increasing_id()))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -248,8 +249,11 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     a 64-bit hash, a set by a 128-bit one.
     """
     signed = _signatures(docs, width, percent)
-    sets = signed.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("doc"), F.min_by("tokens", "doc_id").alias("tokens"))
-    sets = cut(sets.where("doc is not null"))
+    full = signed.where("n > 0 AND doc_id IS NOT NULL")
+    first = F.min(F.struct("doc_id", "row")).alias("first")
+    reps = cut(full.groupBy("one", "two", "n").agg(first).select("one", "two", "n", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row")))
+    copies = cut(full.select("row").join(reps.select("row"), "row", "left_anti"))
+    sets = full.join(small(copies, BROADCAST_IDS), "row", "left_anti").select(F.col("doc_id").alias("doc"), "n", "tokens")
     rows = sets.select("doc", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     rows = cut(rows.join(shared, "token").select("token", "pos", "doc", "n", "df"))
@@ -272,7 +276,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     more = _verified(found, docs, width, percent)
     final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    joined = sets.join(final.select(F.col("node").alias("doc"), "component"), "doc", "left")
+    joined = reps.join(final.select(F.col("node").alias("doc"), "component"), "doc", "left")
     joined = joined.select("one", "two", "n", F.col("doc").alias("representative"), F.coalesce("component", "doc").alias("component_id"))
     out = signed.select("doc_id", "n", "one", "two").join(joined, ["one", "two", "n"], "left")
     empty = F.col("n") == 0
