@@ -35,6 +35,13 @@ def small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Arrow batches of this session hold at most ``rows`` rows: of whole texts, ten thousand can be too many for a task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def count_of(spans: str, kind: str) -> Column:
     """How many of an array of spans are of a kind."""
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
