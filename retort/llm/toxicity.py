@@ -24,7 +24,7 @@ from retort.llm.common import documents
 
 DECAY, SPAN = 0.6, 6
 #: Fitting uses at most this many labelled documents of each class, chosen by a hash of doc_id; everything is scored.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 1200, 2000
+TOXIC_SAMPLE, CLEAN_SAMPLE = 700, 1500
 LANDMARKS, NEGATIVES, ALPHABET, ROUNDS = 160, 5_000, 63, 4
 #: The machine's cost of a violated margin, and the weight of all toxic words against that of all clean ones.
 COST, BALANCE = 10.0, 0.2
@@ -162,14 +162,14 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
 
 
 def _telling(bags: list[set[str]], clean: Counter, n_clean: int) -> set[str]:
-    """Words of toxic documents with a character 4- or 5-gram that is significantly more frequent there.
+    """Words that only toxic documents hold, with a character 4- or 5-gram that is significantly more frequent there.
 
     Significance is a log-likelihood ratio over documents, at a level that allows for the number of grams tried.
     """
     grams = lambda w: {f"\x01{w}\x02"[i : i + n] for n in (4, 5) for i in range(len(w) + 3 - n)}
     bad: Counter = Counter()
     for bag in bags:
-        bad.update({g for w in bag for g in grams(w)})
+        bad.update({g for w in bag - clean.keys() for g in grams(w)})
     tried = len(bad)
     bad = Counter({g: n for g, n in bad.items() if n > 2})
     good: Counter = Counter()
@@ -186,7 +186,7 @@ def _telling(bags: list[set[str]], clean: Counter, n_clean: int) -> set[str]:
             ratio = n * math.log(p / r) + (m * math.log(q / r) if m else 0) + ((n_bad - n) * math.log((1 - p) / (1 - r)) if p < 1 else 0) + ((n_clean - m) * math.log((1 - q) / (1 - r)) if q < 1 else 0)
             if 2 * ratio > least:
                 telling.add(g)
-    return {w for bag in bags for w in bag if grams(w) & telling}
+    return {w for bag in bags for w in bag - clean.keys() if grams(w) & telling}
 
 
 def fit(sample: list[tuple[int, list[str]]], totals: tuple[int, int] | None = None, seed: int = 7) -> Model:
@@ -194,8 +194,10 @@ def fit(sample: list[tuple[int, list[str]]], totals: tuple[int, int] | None = No
 
     totals: how many clean and toxic documents the sample stands for; it may hold the classes in other shares.
     """
-    bags = [{c for w in words if 2 < len(c := _core(w)) <= WINDOW} for toxic, words in sample if toxic]
-    clear = [{c for w in words if 2 < len(c := _core(w)) <= WINDOW} for toxic, words in sample if not toxic]
+    one: dict[str, str] = {}  # equal words share one string
+    core = lambda w: one.setdefault(c := _core(w), c)
+    bags = [{c for w in words if 2 < len(c := core(w)) <= WINDOW} for toxic, words in sample if toxic]
+    clear = [{c for w in words if 2 < len(c := core(w)) <= WINDOW} for toxic, words in sample if not toxic]
     clean = Counter(w for bag in clear for w in bag)
     letters = Counter(c for bag in bags for w in bag for c in w) + Counter(c for w in clean for c in w)
     alphabet = {"\x01": 1, "\x02": 2} | {c: k + 3 for k, (c, _) in enumerate(letters.most_common(ALPHABET - 2)) if ord(c) < 0x10000}
