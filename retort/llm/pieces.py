@@ -29,7 +29,7 @@ FREQUENT = 1 << 18
 HELD = 100_000
 #: Documents whose ids a task makes at once.
 AT_ONCE = 256
-_MOD, _BASE, _STEP, _SHIFT = 2_147_483_647, 1_000_003, 69_621, 12_345
+_MOD, _BASE = 2_147_483_647, 1_000_003
 
 
 @dataclass(frozen=True)
@@ -220,34 +220,22 @@ def _frequent(words: DataFrame) -> int:
 
 @dataclass
 class Dictionary:
-    """All distinct words with their ids, and a broadcast of the frequent ones: their ids as bytes, or size, digest and check as a number."""
+    """All distinct words with their ids, and a broadcast of the ids of the frequent ones, as bytes."""
 
     words: DataFrame
     frequent: object
     model: PieceModel
 
 
-def dictionary(docs: DataFrame, model: PieceModel, check: bool = False) -> Dictionary:
-    """Encodes every distinct word of the texts once. With ``check``, adds ``same``: decoding gives the word back."""
+def dictionary(docs: DataFrame, model: PieceModel) -> Dictionary:
+    """Encodes every distinct word of the texts once."""
     small_batches(docs.sparkSession)
-    words = encode_words(cut(word_counts(docs, model)), model)
-    if check:
-        words = decode_ids(words, model).select("unit", "n", "ids", F.col("unit").eqNullSafe(F.col("decoded")).alias("same"))
-    words = cut(words)
+    words = cut(encode_words(cut(word_counts(docs, model)), model))
     top = words.where(F.col("n") >= _frequent(words))
-    if check:
-        # size, digest and check in one number, which takes a third of a tuple's memory in every worker
-        number = F.when(F.col("same"), 1).otherwise(-1) * (F.shiftleft(_digest_of("ids"), 20) + F.size("ids"))
-        held = {r[0]: r[1] for r in top.select("unit", number).toLocalIterator()}
-    else:
-        held = {r[0]: np.array(r[1], np.int32).tobytes() for r in top.select("unit", "ids").toLocalIterator()}
+    held = {r[0]: np.array(r[1], np.int32).tobytes() for r in top.select("unit", "ids").toLocalIterator()}
     return Dictionary(words, docs.sparkSession.sparkContext.broadcast(held), model)
 
 
-def _digest_of(ids: str):
-    return F.expr(f"aggregate({ids}, 0L, (a, x) -> (a * {_BASE}L + x + 1) % {_MOD}L)")
-
-
 def encode_documents(docs: DataFrame, model: PieceModel) -> DataFrame:
     """Adds ``ids`` (array of int) to the columns of ``docs``: the pieces of every whole text, as the library gives them.
 
@@ -255,9 +243,20 @@ def encode_documents(docs: DataFrame, model: PieceModel) -> DataFrame:
     rows and any doc_id are fine, and an own column ``ids`` is replaced. Frequent words are looked up; the other words
     of a text are joined to the dictionary and meet their document in one shuffle.
     """
+    own = [c for c in docs.columns if c != "ids"]
+    kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
+
+    def whole(batch, ids, words):
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(own)], ids], names=[*own, "ids"])
+
+    return _encoded(docs.select(*own), model, whole, f"{kind}, ids array<int>")
+
+
+def _encoded(docs: DataFrame, model: PieceModel, finish, kind: str) -> DataFrame:
+    """What ``finish`` makes, in the task that puts them together, of some rows of ``docs``, the ids of each whole text and its number of words."""
     book = dictionary(docs, model)
     held, pattern = book.frequent, model.word
-    own = [c for c in docs.columns if c != "ids"]
+    own = docs.columns
 
     def rare(batches):
         find = re.compile(pattern).findall
@@ -281,68 +280,64 @@ def encode_documents(docs: DataFrame, model: PieceModel) -> DataFrame:
         known = held.value
         for whole in batches:
             for batch in _parts(whole):
-                made, ends = [], [0]
+                made, ends, counts = [], [0], []
                 for text, pairs in zip(batch.column(at).to_pylist(), batch.column(len(own)).to_pylist(), strict=True):
                     extra = {p["unit"]: np.array(p["ids"], np.int32).tobytes() for p in pairs or ()}
-                    made.append(b"".join([known[w] if w in known else extra[w] for w in words_of(text or "", find)]))
+                    words = words_of(text or "", find)
+                    made.append(b"".join([known[w] if w in known else extra[w] for w in words]))
+                    counts.append(len(words))
                     ends.append(ends[-1] + len(made[-1]) // 4)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(made), np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], ids], names=[*own, "ids"])
+                yield finish(batch, ids, counts)
 
-    kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    return keyed.join(found, "_key", "left").select(*own, "_w").mapInArrow(assemble, f"{kind}, ids array<int>")
+    return keyed.join(found, "_key", "left").select(*own, "_w").mapInArrow(assemble, kind)
+
+
+def _powers(n: int) -> np.ndarray:
+    """The first powers of the digest's base, at least n."""
+    out = np.ones(1, np.int64)
+    while len(out) < n:
+        out = np.concatenate((out, out * (int(out[-1]) * _BASE % _MOD) % _MOD))
+    return out
 
 
 def encoding_digests(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """``doc_id, n_words, n_tokens, ids_digest, round_trip`` of every whole text, without moving the texts.
+    """``doc_id, n_words, n_tokens, ids_digest, round_trip`` of every whole text, a row per row, from the ids of encode_documents().
 
-    ``ids_digest`` is a checksum of the ids and of the word that each belongs to; ``round_trip`` says that decoding the ids
-    gives every word back. Null and empty texts: 0, 0, 0, true. Rows of one doc_id and text are counted and given back
-    as often; other columns are ignored.
+    ``ids_digest`` folds all ids of the text in their order: d -> (d * 1,000,003 + id + 1) mod (2**31 - 1), from 0.
+    ``round_trip`` says that decoding the ids of the text gives its bytes back, a blank put before and markers as blanks.
+    Null and empty texts: 0, 0, 0, true. Other columns are ignored.
     """
-    book = dictionary(docs, model, check=True)
-    held, pattern = book.frequent, model.word
-
-    def scan(batches):
-        find = re.compile(pattern).findall
-        known = held.value
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-        for whole in batches:
-            for batch in _parts(whole):
-                cols: tuple[list, ...] = ([], [], [], [], [], [], [], [])
-                for key, text, doc in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
-                    words = words_of(text or "", find)
-                    hits = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
-                    found = np.abs(hits)
-                    factor = (np.arange(len(words), dtype=np.int64) * _STEP + _SHIFT) % _MOD
-                    n, total = int((found & 0xFFFFF).sum()), int(((found >> 20) * factor % _MOD).sum())
-                    for col, x in zip(cols, (key, doc, None, None, len(words), n, total, bool((hits >= 0).all())), strict=True):
-                        col.append(x)
-                    for k in np.flatnonzero(hits == 0):
-                        for col, x in zip(cols, (key, doc, words[k], int(factor[k]), 0, 0, 0, True), strict=True):
-                            col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["_key", "doc", "unit", "factor", "words", "n", "total", "same"])
-
-    rows = docs.select(F.xxhash64("text").alias("_key"), "text", F.col("doc_id").cast("string").alias("doc")).mapInArrow(
-        scan, "_key long, doc string, unit string, factor long, words long, n long, total long, same boolean"
-    )
-    # rows without a rare word go by their own key, not to one partition of nulls
-    rows = rows.withColumn("_at", F.coalesce("unit", F.concat(F.lit("\u0000"), F.col("_key").cast("string"))))
-    words = book.words.select(F.col("unit").alias("_at"), F.size("ids").cast("long").alias("size"), _digest_of("ids").alias("digest"), F.col("same").alias("back"))
-    met = rows.join(words, "_at", "left")
-    rare = F.col("unit").isNotNull()
-    sums = met.groupBy("_key", "doc").agg(
-        F.sum((~rare).cast("long")).alias("times"), F.sum("words").alias("n_words"), F.sum(F.when(rare, F.col("size")).otherwise(F.col("n"))).alias("n_tokens"),
-        F.sum(F.when(rare, F.col("digest") * F.col("factor") % _MOD).otherwise(F.col("total"))).alias("ids_digest"),
-        F.bool_and(F.when(rare, F.coalesce("back", F.lit(False))).otherwise(F.col("same"))).alias("round_trip"),
-    )
-    each = [F.expr(f"{c} div times").alias(c) for c in ("n_words", "n_tokens", "ids_digest")]
-    kind = docs.schema["doc_id"].dataType
-    return sums.select(F.col("doc").cast(kind).alias("doc_id"), *each, "round_trip", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("_c")).drop("_c")
+    parts = {k: p.encode() for p, (k, _) in model.pieces.items()} | {model.byte + b: bytes([b]) for b in range(256)}
+    shared = docs.sparkSession.sparkContext.broadcast([parts.get(k, b"") for k in range(max(parts) + 1)])
+    held: dict[str, object] = {}
+
+    def digest(batch, ids, words):
+        if not held:
+            held.update(parts=pa.array(shared.value, pa.large_binary()), powers=_powers(1))
+        flat, ends = np.asarray(ids.values), np.asarray(ids.offsets).astype(np.int64)
+        n = np.diff(ends)
+        if len(held["powers"]) < n.max(initial=0):
+            held["powers"] = _powers(int(n.max()))
+        left = np.repeat(ends[1:], n) - 1 - np.arange(len(flat))
+        sums = np.concatenate(([0], np.cumsum((flat.astype(np.int64) + 1) * held["powers"][left] % _MOD)))
+        total = (sums[ends[1:]] - sums[ends[:-1]]) % _MOD
+        decoded = held["parts"].take(ids.values)
+        at = np.frombuffer(decoded.buffers()[1], np.int64)[ends] if len(flat) else np.zeros(len(ends), np.int64)
+        spelled = memoryview(decoded.buffers()[2] or b"").cast("B")
+        back = []
+        for k, text in enumerate(batch.column(1).to_pylist()):
+            wanted = (" " + text.replace("▁", " ")).encode("utf-8", "surrogatepass") if text else b""
+            back.append(spelled[at[k] : at[k + 1]] == wanted)
+        made = [pa.array(words, pa.int64()), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(back, pa.bool_())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_words", "n_tokens", "ids_digest", "round_trip"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _encoded(docs.select("doc_id", "text"), model, digest, f"doc_id {kind}, n_words long, n_tokens long, ids_digest long, round_trip boolean")
 
 
 def op5_sentencepiece(spark, sf_dir):
-    """Encodes and decodes all documents with the public 32k model; a digest per document."""
+    """Encodes all documents with the public 32k model and decodes the ids of each; a digest of the ids per document."""
     import public_tokenizers
 
     return encoding_digests(documents(spark, sf_dir).select("doc_id", "text"), load_pieces(str(public_tokenizers.path("piece_bpe_32k.model"))))

@@ -233,6 +233,24 @@ def test_pieces_equal_the_library_and_decode(spark):
     assert pieces.encode_documents(again.limit(0), model).count() == 0
 
 
+def test_digests_are_of_whole_ids(spark):
+    public = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    path = str(public.path("piece_bpe_32k.model"))
+    library, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.load_pieces(path)
+    texts = ["a b", "b a", "", None, "the cat▁sat\n\non 漢😀", "😀" * (2**18 + 1), " ".join(["the", "cat", "😀"] * 900)]
+    for row in pieces.encoding_digests(table(spark, texts), model).collect():
+        text, digest = texts[row["doc_id"]] or "", 0
+        ids = library.encode(text)
+        for x in ids:
+            digest = (digest * 1_000_003 + x + 1) % (2**31 - 1)
+        assert (row["n_tokens"], row["ids_digest"], row["round_trip"]) == (len(ids), digest, True)
+    wrong = pieces.PieceModel(model.pieces | {" cat": (model.pieces[" the"][0], model.pieces[" cat"][1])}, model.byte, model.word, model.odd)
+    back = {r["doc_id"]: r["round_trip"] for r in pieces.encoding_digests(table(spark, texts), wrong).collect()}
+    assert not back[4] and not back[6] and back[0]
+
+
 def test_chat_layouts_and_escapes(spark):
     said = '{"messages":[{"role":"user","content":"a\\\\<|im_end|>"},{"role":"assistant","content":"b\\n<\\\\|x"}]}'
     records = [
