@@ -7,9 +7,9 @@ Plan, every step over all documents:
 2. Signature: by that order, the first ``n - ceil(t n) + slack(n)`` shingles of a set of n. Two sets of
    similarity t share at least ``slack`` of them (of the smaller set), so searching these lists loses no link.
 3. Sets that are equal meet in one representative.
-4. Collapse: a document is compared with the most typical document of each of its inverted lists, which joins
+4. Collapse, where only components are asked for: a document is compared with the most typical document of each of its inverted lists, which joins
    most large groups of near copies without their pairs.
-5. Search: lists that still hold several components are searched. Of each document's lists the longest ones,
+5. Search: lists that still hold several components, or all if links are counted, are searched. Of each document's lists the longest ones,
    up to the needed overlap less one, are set aside; the others are heap-merged with skipping, and the
    documents found are binary-probed for the rest and kept if they reach the overlap (DivideSkip). A pair must
    also meet in the shortest prefixes that its two sizes allow, which spares most pairs of a group of near
@@ -235,12 +235,42 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(lists.flatten()), offsets - offsets[0]
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+def _sets(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first row of every distinct set; ``doc, n, tokens`` of these; their tokens that several of them hold."""
+    full = signed.where("n > 0 AND doc_id IS NOT NULL")
+    first = F.min(F.struct("doc_id", "row")).alias("first")
+    reps = cut(full.groupBy("one", "two", "n").agg(first, F.count("*").alias("size")).select("one", "two", "n", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row"), "size"))
+    copies = cut(full.select("row").join(reps.select("row"), "row", "left_anti"))
+    sets = full.join(small(copies, BROADCAST_IDS), "row", "left_anti").select(F.col("doc_id").alias("doc"), "n", "tokens")
+    rows = sets.select("doc", "n", F.posexplode("tokens").alias("pos", "token"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    return reps, sets, cut(rows.join(shared, "token").select("token", "pos", "doc", "n", "df"))
+
+
+def _all_links(rows: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Every link (a, b) between distinct sets, inside components too: each set is searched as a component of its own."""
+    found = cut(_searched(rows.withColumn("component", F.col("doc")), sets, percent))
+    return cut(_verified(found, docs, width, percent))
+
+
+def representative_links(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """All links of ngram_jaccard_join() between representatives: ``a, b`` with a < b, each once.
+
+    Its ``representative`` is the membership: documents are linked if they share it, or if theirs are a pair here.
+    """
+    _, sets, rows = _sets(_signatures(docs, width, percent))
+    links = _all_links(rows, sets, docs, width, percent)
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, links: bool = False) -> DataFrame:
     """Links documents whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
 
     Words are runs other than ASCII white space, A-Z lower-cased; a document of fewer words has its whole sequence as
     its one shingle. Returns a row per input row: ``doc_id, n_shingles, component_id`` (smallest doc_id reachable by
-    links, its own included) and ``representative`` (smallest doc_id with the same set).
+    links, its own included) and ``representative`` (smallest doc_id with the same set). With ``links``, every pair
+    of different sets is searched instead of collapsed, and a column ``n_links`` follows: the other rows that are linked
+    to the row, exact copies included.
 
     Null, empty and blank texts have an empty set, link with nothing and keep their own id. Repeated rows and exact
     copies share a representative. doc_id should be unique: rows of one doc_id with different texts are returned
@@ -249,14 +279,35 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     a 64-bit hash, a set by a 128-bit one.
     """
     signed = _signatures(docs, width, percent)
-    full = signed.where("n > 0 AND doc_id IS NOT NULL")
-    first = F.min(F.struct("doc_id", "row")).alias("first")
-    reps = cut(full.groupBy("one", "two", "n").agg(first).select("one", "two", "n", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row")))
-    copies = cut(full.select("row").join(reps.select("row"), "row", "left_anti"))
-    sets = full.join(small(copies, BROADCAST_IDS), "row", "left_anti").select(F.col("doc_id").alias("doc"), "n", "tokens")
-    rows = sets.select("doc", "n", F.posexplode("tokens").alias("pos", "token"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    rows = cut(rows.join(shared, "token").select("token", "pos", "doc", "n", "df"))
+    reps, sets, rows = _sets(signed)
+    counts = None
+    if links:
+        pairs = _all_links(rows, sets, docs, width, percent)
+        final = components(pairs)
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        sizes = reps.groupBy(F.col("doc").alias("b")).agg(F.sum("size").alias("size"))
+        counts = both.join(sizes, "b").groupBy(F.col("a").alias("doc")).agg(F.sum("size").alias("near"))
+    else:
+        final = _collapsed(rows, sets, docs, width, percent)
+
+    joined = reps.join(final.select(F.col("node").alias("doc"), "component"), "doc", "left")
+    if links:
+        joined = joined.join(counts, "doc", "left").withColumn("linked", F.col("size") + F.coalesce("near", F.lit(0)))
+    own = ["linked"] if links else []
+    joined = joined.select("one", "two", "n", F.col("doc").alias("representative"), F.coalesce("component", "doc").alias("component_id"), *own)
+    out = signed.select("doc_id", "n", "one", "two").join(joined, ["one", "two", "n"], "left")
+    empty = F.col("n") == 0
+    n_links = F.coalesce(F.col("linked") - F.col("doc_id").isNotNull().cast("long"), F.lit(0)).alias("n_links") if links else None
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("representative")).alias("representative"),
+        *([n_links] if links else []),
+    )
+
+
+def _collapsed(rows: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The components of the links between distinct sets, without searching inside those that the collapse has found."""
     typical = rows.groupBy("doc").agg(F.sum("df").alias("typical"))
     centers = rows.join(typical, "doc").groupBy("token").agg(F.max(F.struct("typical", "doc", "n")).alias("center"))
 
@@ -274,17 +325,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     placed = cut(placed.join(mixed, "token"))
     found = cut(_searched(placed, sets, percent))
     more = _verified(found, docs, width, percent)
-    final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-
-    joined = reps.join(final.select(F.col("node").alias("doc"), "component"), "doc", "left")
-    joined = joined.select("one", "two", "n", F.col("doc").alias("representative"), F.coalesce("component", "doc").alias("component_id"))
-    out = signed.select("doc_id", "n", "one", "two").join(joined, ["one", "two", "n"], "left")
-    empty = F.col("n") == 0
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(empty, F.col("doc_id")).otherwise(F.col("representative")).alias("representative"),
-    )
+    return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -305,4 +346,4 @@ def op1_ngram_jaccard(spark, sf_dir):
     """The contract's digest of the join over all documents."""
     from retort.llm.common import documents
 
-    return ngram_jaccard_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return ngram_jaccard_join(documents(spark, sf_dir), links=True).select("doc_id", "n_shingles", "component_id", "n_links")

@@ -74,6 +74,21 @@ def test_ngram_join_equals_brute_force(spark, width, percent):
     assert sorted(r["doc_id"] for r in kept.collect()) == [k for k, _, c in linked(texts, width, percent) if k == c]
 
 
+def test_ngram_join_counts_the_links_inside_components(spark):
+    texts = near_copies()
+    sets = []
+    for t in texts:
+        w = WORD.findall(lower(t or ""))
+        sets.append(frozenset([tuple(w)] if 0 < len(w) < 4 else [tuple(w[k : k + 4]) for k in range(len(w) - 3)]))
+    pairs = [(j, i) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and 100 * len(a & b) >= 85 * len(a | b)]
+    out = ngram_join.ngram_jaccard_join(table(spark, texts), links=True).collect()
+    assert {r["doc_id"]: r["n_links"] for r in out} == {k: sum(k in p for p in pairs) for k in range(len(texts))}
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == linked(texts, 4, 85)
+    first = {s: k for k, s in reversed(list(enumerate(sets)))}
+    own = sorted({(first[sets[a]], first[sets[b]]) for a, b in pairs if sets[a] != sets[b]})
+    assert sorted(tuple(r) for r in ngram_join.representative_links(table(spark, texts)).collect()) == sorted({tuple(sorted(p)) for p in own})
+
+
 def test_ngram_join_of_repeated_rows_null_ids_and_nothing(spark):
     rows = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (None, "other words here now ok"), (2, None)], "doc_id long, text string")
     out = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(rows).collect()), key=str)
