@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
+from functools import lru_cache
+from itertools import accumulate, combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -127,11 +130,60 @@ def automorphisms(elements: list[str], edges: list[tuple[int, int]], interchange
     return out
 
 
+@lru_cache(maxsize=1 << 12)
+def two_switches(n: int, edges: tuple) -> tuple[list, list[int], int]:
+    """The switches of two edges between four nodes that keep a graph connected, running sums of how often each can be made, and the automorphisms of its edges.
+
+    edges: all edges in order, parallel ones repeated. Rows of the same degrees meet the same graphs again.
+    """
+    bonds = Counter(edges)
+    moves, times = [], []
+    for (e, m), (f, k) in combinations(bonds.items(), 2):
+        (a, b), (c, d) = e, f
+        if len({a, b, c, d}) == 4:
+            for one, two in (((a, c), (b, d)), ((a, d), (b, c))):
+                near = [0] * n
+                for u, v in (*(x for x, order in bonds.items() if order > (x == e or x == f)), one, two):
+                    near[u] |= 1 << v
+                    near[v] |= 1 << u
+                seen = todo = 1
+                while todo:
+                    node = todo.bit_length() - 1
+                    new = near[node] & ~seen
+                    seen, todo = seen | new, (todo ^ (1 << node)) | new
+                if seen == (1 << n) - 1:
+                    moves.append((e, f, tuple(sorted(one)), tuple(sorted(two))))
+                    times.append(m * k)
+    return moves, list(accumulate(times)), math.prod(math.factorial(m) for m in bonds.values())
+
+
+def _switched(edges: tuple, move: tuple) -> tuple:
+    new = list(edges)
+    new.remove(move[0])
+    new.remove(move[1])
+    return tuple(sorted([*new, *move[2:]]))
+
+
+def mixed_graph(n: int, edges, steps: int, rng: random.Random) -> list[tuple[int, int]]:
+    """The graph after ``steps`` proposed switches, each accepted by the ratios of edge automorphisms and numbers of moves (Metropolis-Hastings).
+
+    This makes all connected loopless multigraphs of the degrees equally likely in the limit.
+    """
+    now = tuple(sorted(edges))
+    moves, sums, same = two_switches(n, now)
+    for _ in range(steps if moves else 0):
+        new = _switched(now, rng.choices(moves, cum_weights=sums)[0])
+        new_moves, new_sums, new_same = two_switches(n, new)
+        if rng.random() * same * new_sums[-1] < new_same * sums[-1]:
+            now, moves, sums, same = new, new_moves, new_sums, new_same
+    return list(now)
+
+
 def random_graphs(sequences: DataFrame, seed: int = 0, steps: int = 100) -> DataFrame:
     """A random connected multigraph for each row of ``(g, degrees array<int>)``: ``g, u, v, bond``.
 
-    Each starts from connected_multigraph() and is mixed by ``steps`` switches of two edges that keep it loopless and
-    connected. Rows are independent, so this is a map; degrees that no graph has give no rows.
+    Each starts from connected_multigraph() and is mixed by mixed_graph(). Rows are independent, so this is a map;
+    degrees that no graph has give no rows.
     """
 
     def one(batches):
@@ -143,16 +195,7 @@ def random_graphs(sequences: DataFrame, seed: int = 0, steps: int = 100) -> Data
                     edges = connected_multigraph([int(d) for d in degree], rng)
                 except ValueError:
                     continue
-                for _ in range(steps):
-                    i, j = rng.randrange(len(edges)), rng.randrange(len(edges))
-                    (a, b), (c, d) = edges[i], edges[j]
-                    if rng.random() < 0.5:
-                        c, d = d, c
-                    if i != j and a != c and b != d:
-                        new = [*edges]
-                        new[i], new[j] = tuple(sorted((a, c))), tuple(sorted((b, d)))
-                        if is_connected(len(degree), new):
-                            edges = new
+                edges = mixed_graph(len(degree), edges, steps, rng)
                 bonds: dict[tuple[int, int], int] = {}
                 for e in edges:
                     bonds[e] = bonds.get(e, 0) + 1

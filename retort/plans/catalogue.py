@@ -540,7 +540,7 @@ def _degrees(spark, folder):
 @register("random_graphs")
 def _random_graphs(spark, folder):
     d = _compositions(spark, folder).select(F.col("l_orderkey").alias("g"), space.degree_sequence(F.col("stoichiometry")).alias("s")).where(formulas.feasible(F.col("s")))
-    return graphs.random_graphs(d.select("g", formulas.degrees_of(F.col("s")).alias("degrees")), steps=5)
+    return graphs.random_graphs(d.select("g", formulas.degrees_of(F.col("s")).alias("degrees")))
 
 
 @register("edit_distances")

@@ -173,3 +173,20 @@ def test_graphs(spark):
     edges = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (1, 1, 2)], "g int, u int, v int")
     nodes = spark.createDataFrame([(1, 0, "C"), (1, 1, "C"), (1, 2, "H")], "g int, node int, element string")
     assert graphs.count_bonds(edges, nodes, "C", "C", 2).first()["n"] == 1
+
+
+def test_random_graphs_are_uniform(spark):
+    rows = spark.range(2000).select(F.col("id").alias("g"), F.expr("array(3, 3, 3, 3)").alias("degrees"))
+    sizes = graphs.random_graphs(rows).groupBy("g").count()
+    # seven graphs have these degrees: one of six single bonds, six of two double and two single bonds
+    share = sizes.agg(F.avg((F.col("count") == 6).cast("int"))).first()[0]
+    assert abs(share - 1 / 7) < 0.04
+
+
+def test_random_graphs_query_takes_all_steps():
+    import inspect
+
+    from retort.plans import catalogue
+
+    assert "steps" not in inspect.getsource(catalogue.QUERIES["random_graphs"])
+    assert inspect.signature(graphs.random_graphs).parameters["steps"].default == 100
