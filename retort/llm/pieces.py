@@ -1,17 +1,21 @@
-"""SentencePiece encoding and decoding as a relational lattice over the distinct words of a corpus.
-
-The bounded-length substrings of every distinct word are joined to the piece table; a word's matching edges are grouped and
-folded by a higher-order aggregate; documents are put together from the words' pieces. The models here are of the BPE
-kind, whose library result is not the path of highest total score: the fold therefore goes through a word's
-edges by descending score and applies each that joins two present symbols. That equals merging the best adjacent pair
-again and again whenever no piece of the model is itself merged out of order, which is tested on loading; words for
-which it is not known, very long ones and runs of blanks are merged pair by pair, by an exact heap.
+"""SentencePiece encoding and decoding as a relational lattice.
+
+The bounded-length substrings of a word are joined to the piece table; a word's matching edges are grouped and folded by
+a higher-order aggregate; documents are put together from the words' pieces. The models here are of the BPE kind, whose
+library result is not the path of highest total score: the fold therefore goes through a word's edges by descending
+score and applies each that joins two present symbols. That equals merging the best adjacent pair again and again whenever
+no piece of the model is itself merged out of order, which is tested on loading; words for which it is not known, very
+long ones and runs of blanks, are merged pair by pair, by an exact heap.
+
+A text is cut into words wherever no piece holds its two neighbouring characters, as no merge can go across. Frequent
+words are encoded once and held by every worker, in arrays of bounded size. All other words pass through the lattice in
+the task that reads their text: they come right before the documents that hold them, their edges lie next to each other,
+and so neither texts nor words are shuffled. Which words are held decides the speed, never the result.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,30 +23,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm.common import cut, documents, small_batches
+from retort.llm.common import cut, documents, mix
 
 #: Words up to this length have a lattice; an edge's ends are bits of one 64-bit number.
-LONGEST = 32
-#: Distinct words whose pieces every worker keeps: the most frequent ones, at most this many. The rest are joined.
-FREQUENT = 1 << 18
-#: Distinct words, or rows of rare words, that a task gathers before it sends them on.
-HELD = 100_000
-#: Documents whose ids a task makes at once.
-AT_ONCE = 256
+LONGEST = 60
+#: Words that every worker holds, and their bytes, at most: the most frequent ones.
+HELD, HELD_BYTES = 1 << 20, 1 << 25
+#: Distinct words that a task counts before it sends them on.
+COUNTED = 400_000
+#: Characters that are cut into words at once, about.
+SEGMENT = 1 << 17
+#: Stands for a word that the lattice encodes; no piece has this id.
+_OPEN = 0xFFFF
 _MOD, _BASE = 2_147_483_647, 1_000_003
 
 
 @dataclass(frozen=True)
 class PieceModel:
-    """Pieces with blanks for their markers, by id and score; the first of 256 byte ids; the pattern of words."""
+    """Pieces with blanks for their markers, by id and score; the first of 256 byte ids; which characters join.
+
+    ``classes`` numbers the characters of longer pieces by code point, 0 for all others; ``joins`` says, for a class times
+    ``width`` plus a class, whether some piece holds the two characters side by side.
+    """
 
     pieces: dict[str, tuple[int, float]]
     byte: int
-    word: str
     odd: tuple[str, ...]
+    classes: np.ndarray
+    joins: np.ndarray
+    width: int
 
     @property
-    def width(self) -> int:
+    def longest(self) -> int:
         return max(map(len, self.pieces))
 
 
@@ -86,21 +98,24 @@ def load_pieces(path: str) -> PieceModel:
             byte = k if byte is None else byte
         elif not (model.is_control(k) or model.is_unknown(k)):
             pieces[model.id_to_piece(k).replace("▁", " ")] = (k, model.get_score(k))
-    if byte is None or any(" " in p.lstrip(" ") for p in pieces) or model.get_piece_size() > 65_535:
+    if byte is None or any(" " in p.lstrip(" ") for p in pieces) or model.get_piece_size() >= _OPEN:
         raise ValueError("needs byte fallback, pieces that hold blanks only at their start, and ids of 16 bits")
-    pairs = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
-    letters = re.compile(r"[A-Za-z0-9À-ɏ]")
-    stops = [c for c in ",.;:!?|*#$%&" if not any(b == c and letters.match(a) for a, b in pairs)]
-    line = r"|\n" if not any("\n" in p for p in pairs) else ""
-    rest = r"[^ \n]" if line else "[^ ]"
-    cutting = rf" *[A-Za-z0-9À-ɏ]+(?=[{re.escape(''.join(stops))}])|" if stops else ""
+    letters = sorted({c for p in pieces if len(p) > 1 for c in p})
+    number = {c: k + 1 for k, c in enumerate(letters)}
+    classes, width = np.zeros(ord(letters[-1]) + 2, np.int32), len(letters) + 1
+    for c, k in number.items():
+        classes[ord(c)] = k
+    joins = np.zeros(width * width, bool)
+    for p in pieces:
+        for a, b in zip(p, p[1:], strict=False):
+            joins[number[a] * width + number[b]] = True
     odd = []
     for p in pieces:
-        if len(p) > 2:
+        if len(p) > 2 and "  " not in p:
             trace: list = []
-            if "  " not in p and (merged(p, pieces, trace) != [p] or trace != sorted(trace)):
+            if merged(p, pieces, trace) != [p] or trace != sorted(trace):
                 odd.append(p)
-    return PieceModel(pieces, byte, rf"{cutting} *{rest}+{line}| +", tuple(odd))
+    return PieceModel(pieces, byte, tuple(odd), classes, joins, width)
 
 
 def _table(spark: SparkSession, model: PieceModel) -> DataFrame:
@@ -110,187 +125,443 @@ def _table(spark: SparkSession, model: PieceModel) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, rank int").coalesce(1)
 
 
-def _parts(batch: pa.RecordBatch):
-    """A batch in small pieces, so that what a task makes of it stays small."""
-    for k in range(0, len(batch), AT_ONCE):
-        yield batch.slice(k, AT_ONCE)
+# --- cutting texts into words, vectorised ----------------------------------------------------------------------
+
+
+def _segments(text: str | None) -> list[str]:
+    """A text as it is encoded, a blank before it and markers as blanks, in parts; none ends within a word."""
+    if not text:
+        return []
+    text, out, at = " " + text.replace("▁", " "), [], 0
+    while len(text) - at > SEGMENT:
+        end = at + SEGMENT
+        while 0 < (end := text.find(" ", end)) and text[end - 1] == " ":
+            end += 1
+        if end < 0:
+            break
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+def _groups(texts: list[str | None]):
+    """Documents next to each other, as lists of (position, parts), about SEGMENT characters at a time."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        parts = _segments(text)
+        held.append((k, parts))
+        size += sum(map(len, parts))
+        if size > SEGMENT:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+_random: list[np.ndarray] = [np.empty(0, np.uint64)]
+
+
+def _factors(n: int) -> np.ndarray:
+    """A fixed random odd number for each of the first n positions within a word."""
+    if len(_random[0]) < n:
+        with np.errstate(over="ignore"):
+            _random[0] = mix(np.arange(1, 2 * n + 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return _random[0]
+
+
+def _hashed(points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: a sum of its code points, each times the factor of its position, mixed."""
+    at = np.arange(len(points), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+    with np.errstate(over="ignore"):
+        return mix(np.add.reduceat((points + np.uint32(1)).astype(np.uint64) * _factors(int(sizes.max()))[at], starts))
+
+
+def _hashes_of(units: list[str]) -> np.ndarray:
+    """The hashes of whole words."""
+    sizes = np.array([len(u) for u in units])
+    return _hashed(np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(sizes) - sizes, sizes)
+
+
+@dataclass
+class Words:
+    """Code points of some parts put together; start, length and 64-bit hash of every word, and how many each part has."""
 
+    points: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    hashes: np.ndarray
+    counts: np.ndarray
 
-def words_of(text: str, find) -> list[str]:
-    """The words of a text, blanks before them included; markers count as blanks, and one is put before the text."""
-    return find(" " + text.replace("▁", " ")) if text else []
+    def text(self, k: int) -> str:
+        return self.points[self.starts[k] : self.starts[k] + self.sizes[k]].tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def cut_words(parts: list[str], model: PieceModel) -> Words:
+    """The words of parts that are not empty; no word goes across two of them."""
+    points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(p) for p in parts])
+    code = model.classes[np.minimum(points, len(model.classes) - 1)]
+    fresh = np.ones(len(points), bool)
+    fresh[1:] = ~model.joins[code[:-1] * model.width + code[1:]]
+    fresh[ends[:-1]] = True
+    starts = np.flatnonzero(fresh)
+    sizes = np.diff(starts, append=len(points))
+    return Words(points, starts, sizes, _hashed(points, starts, sizes), np.diff(np.searchsorted(starts, ends), prepend=0))
 
 
 def word_counts(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """``unit, n``: the distinct words of all texts and their counts, added up in batches before the shuffle."""
-    pattern = model.word
+    """``unit, n``: words that occur more than once, and their counts; what a task sees once in COUNTED words is left out.
+
+    Only words that have a lattice are counted. The counts choose the words to hold, which changes no result.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def count(batches):
-        find = re.compile(pattern).findall
-        counts: dict[str, int] = {}
+        model = shared.value
+        known, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        texts: dict[int, str] = {}
+        new: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+
+        def settled():
+            every, where = np.unique(np.concatenate([known, *(h for h, _ in new)]), return_inverse=True)
+            return every, np.bincount(where, np.concatenate([counts, *(n for _, n in new)]), len(every)).astype(np.int64)
 
         def flushed():
-            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["unit", "n"])
-            counts.clear()
-            return out
+            every, n = settled()
+            often = n > 1
+            return pa.RecordBatch.from_arrays([pa.array([texts[h] for h in every[often].tolist()], pa.string()), pa.array(n[often])], names=["unit", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                for w in words_of(text.as_py() or "", find):
-                    counts[w] = counts.get(w, 0) + 1
-                if len(counts) > HELD:
-                    yield flushed()
+            for group in _groups(batch.column(0).to_pylist()):
+                for parts in _blocks(group):
+                    words = cut_words(parts, model)
+                    one, first, n = np.unique(words.hashes, return_index=True, return_counts=True)
+                    fine = words.sizes[first] <= LONGEST
+                    one, first, n = one[fine], first[fine], n[fine]
+                    at = np.minimum(np.searchsorted(known, one), max(len(known) - 1, 0))
+                    hit = known[at] == one if len(known) else np.zeros(len(one), bool)
+                    counts[at[hit]] += n[hit]
+                    new.append((one[~hit], n[~hit]))
+                    waiting += len(one) - int(hit.sum())
+                    for h, k in zip(one[~hit].tolist(), first[~hit].tolist(), strict=True):
+                        if h not in texts:
+                            texts[h] = words.text(k)
+                    if waiting > 20_000 + len(known) // 4:
+                        known, counts = settled()
+                        new, waiting = [], 0
+                    if len(texts) > COUNTED:
+                        yield flushed()
+                        known, counts, new, waiting = known[:0], counts[:0], [], 0
+                        texts.clear()
         yield flushed()
 
     return docs.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def encode_words(units: DataFrame, model: PieceModel) -> DataFrame:
-    """``unit, n, ids``: the piece ids of distinct words, by the lattice and its fold."""
-    spark = units.sparkSession
-    far = (F.length("unit") > LONGEST) | F.col("unit").startswith("  ")
-    for p in model.odd:
-        far = far | F.col("unit").contains(p)
-    table = F.broadcast(_table(spark, model))
-    starts = units.where(~far).select("unit", "n", F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("s"))
-    spans = starts.select("unit", "n", "s", F.explode(F.expr(f"sequence(1, least({model.width}, length(unit) - s))")).alias("l"))
-    edges = spans.join(table, F.expr("substring(unit, s + 1, l) = piece"), "left").where("id IS NOT NULL OR l = 1")
+def _blocks(group):
+    """The parts of a group, one after the other, a few at a time; a part that is long comes alone."""
+    held, size = [], 0
+    for _, parts in group:
+        for p in parts:
+            if held and size + len(p) > 2 * SEGMENT:
+                yield held
+                held, size = [], 0
+            held.append(p)
+            size += len(p)
+    if held:
+        yield held
+
+
+# --- the lattice ----------------------------------------------------------------------------------------------
+
+
+def _edges(words: DataFrame, model: PieceModel, keep: list[str]) -> DataFrame:
+    """``keep``, ``unit, edge``: every substring of a word that is a piece, and every single character, as a number.
+
+    Rows whose ``unit`` is null stay as they are, with a null edge. The order of rows stays: the joined side is broadcast.
+    """
+    table = F.broadcast(_table(words.sparkSession, model))
+    starts = words.selectExpr(*keep, "unit", "explode_outer(CASE WHEN unit IS NOT NULL THEN sequence(0, length(unit) - 1) END) AS s")
+    spans = starts.selectExpr(*keep, "unit", "s", f"explode_outer(CASE WHEN s IS NOT NULL THEN sequence(1, least({model.longest}, length(unit) - s)) END) AS l")
+    met = spans.join(table, F.expr("substring(unit, s + 1, l) = piece"), "left").where("id IS NOT NULL OR l = 1 OR unit IS NULL")
     # an edge is one number, in the order of the fold: rank, start, length, id; an unknown character has id 0
-    packed = "shiftleft(cast(coalesce(rank, 0) AS bigint), 27) | shiftleft(s, 21) | shiftleft(l, 16) | coalesce(id, 0)"
-    lattice = edges.selectExpr("unit", "n", f"{packed} AS edge").groupBy("unit").agg(F.first("n").alias("n"), F.collect_list("edge").alias("edges"))
+    return met.selectExpr(*keep, "unit", "CASE WHEN unit IS NOT NULL THEN shiftleft(cast(coalesce(rank, 0) AS bigint), 27) | shiftleft(s, 21) | shiftleft(l, 16) | coalesce(id, 0) END AS edge")
+
+
+def _folded(lattice: DataFrame, model: PieceModel, keep: list[str]) -> DataFrame:
+    """``keep, ids``: the piece ids of ``unit`` by the fold over its ``edges``; null where there is no unit."""
     at, size = "(shiftright({0}, 21) & 63)", "(shiftright({0}, 16) & 31)"
     ends = f"(shiftleft(1L, cast({at} AS int)) | shiftleft(1L, cast({at} + {size} AS int)))".format("x")
     inner = f"shiftleft(shiftleft(1L, cast({size} AS int) - 1) - 1, cast({at} AS int) + 1)".format("x")
-    folded = lattice.selectExpr("unit", "n", "edges", f"""aggregate(sort_array(edges), shiftleft(1L, length(unit) + 1) - 1,
+    folded = lattice.selectExpr(*keep, "unit", "edges", f"""aggregate(sort_array(edges), shiftleft(1L, length(unit) + 1) - 1,
         (cuts, x) -> CASE WHEN (cuts & {ends}) = {ends} AND bit_count(cuts & {inner}) = 1 THEN cuts & ~{inner} ELSE cuts END) AS cuts""")
-    chosen = folded.selectExpr("unit", "n", f"""sort_array(transform(filter(edges, x -> (cuts & {ends}) = {ends} AND (cuts & {inner}) = 0),
+    chosen = folded.selectExpr(*keep, "unit", f"""sort_array(transform(filter(edges, x -> (cuts & {ends}) = {ends} AND (cuts & {inner}) = 0),
         x -> shiftleft({at.format("x")}, 16) | (x & 65535))) AS path""")
     letter = "substring(unit, cast(shiftright(x, 16) AS int) + 1, 1)"
     spelled = f"transform(sequence(0, octet_length({letter}) - 1), i -> cast(conv(substring(hex(encode({letter}, 'utf-8')), 2 * i + 1, 2), 16, 10) AS int) + {model.byte})"
     plain = "transform(path, x -> cast(x & 65535 AS int))"
-    near = chosen.selectExpr("unit", "n", f"CASE WHEN exists(path, x -> (x & 65535) = 0) THEN flatten(transform(path, x -> CASE WHEN (x & 65535) = 0 THEN {spelled} ELSE array(cast(x & 65535 AS int)) END)) ELSE {plain} END AS ids")
-    pieces, byte = model.pieces, model.byte
-    shared = spark.sparkContext.broadcast(pieces)
+    return chosen.selectExpr(*keep, f"CASE WHEN exists(path, x -> (x & 65535) = 0) THEN flatten(transform(path, x -> CASE WHEN (x & 65535) = 0 THEN {spelled} ELSE array(cast(x & 65535 AS int)) END)) ELSE {plain} END AS ids")
 
-    def exact(batches):
-        for batch in batches:
-            out = []
-            for unit in batch.column(0).to_pylist():
-                ids: list[int] = []
-                for p in merged(unit, shared.value):
-                    ids += [shared.value[p][0]] if p in shared.value else [byte + b for b in p.encode("utf-8", "surrogatepass")]
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
 
-    return near.unionByName(units.where(far).select("unit", "n").mapInArrow(exact, "unit string, n long, ids array<int>"))
+def _far(unit: str, model: PieceModel) -> bool:
+    """Whether a word is merged by the heap: too long for the lattice, a run of blanks, or with a piece out of order."""
+    return len(unit) > LONGEST or unit.startswith("  ") or any(p in unit for p in model.odd)
 
 
-def decode_ids(rows: DataFrame, model: PieceModel, column: str = "ids", name: str = "decoded") -> DataFrame:
-    """Adds the text that ids stand for: pieces and bytes put together; ids of neither vanish, broken bytes are replaced.
+def _exact(unit: str, model: PieceModel) -> list[int]:
+    ids: list[int] = []
+    for p in merged(unit, model.pieces):
+        ids += [model.pieces[p][0]] if p in model.pieces else [model.byte + b for b in p.encode("utf-8", "surrogatepass")]
+    return ids
 
-    The blank put before a text is part of the result. Null ids give null; all columns stay. A map, without a shuffle.
-    """
-    own = [c for c in rows.columns if c != name]
-    at = own.index(column)
-    parts = {k: p.encode() for p, (k, _) in model.pieces.items()} | {model.byte + b: bytes([b]) for b in range(256)}
-    shared = rows.sparkSession.sparkContext.broadcast(parts)
 
-    def decode(batches):
-        known = shared.value
-        for whole in batches:
-            for batch in _parts(whole):
-                out = [None if ids is None else b"".join([known.get(k, b"") for k in ids]).decode("utf-8", "replace") for ids in batch.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*own, name])
-
-    kind = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in own)
-    return rows.select(*own).mapInArrow(decode, f"{kind}, `{name}` string")
-
-
-def _frequent(words: DataFrame) -> int:
-    """The least power of two such that at most FREQUENT words are that frequent."""
-    sizes = sorted(words.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).count().collect(), reverse=True)
-    total, least = 0, 62
-    for p, n in sizes:
-        total += n
-        if total > FREQUENT:
-            break
-        least = p
-    return 1 << least
+def encode_words(units: DataFrame, model: PieceModel) -> DataFrame:
+    """``unit, ids``: the piece ids of distinct words of up to LONGEST characters, by the lattice and its fold."""
+    edges = _edges(units.select("unit"), model, [])
+    return _folded(edges.groupBy("unit").agg(F.collect_list("edge").alias("edges")), model, ["unit"])
 
 
 @dataclass
-class Dictionary:
-    """All distinct words with their ids, and a broadcast of the ids of the frequent ones, as bytes."""
-
-    words: DataFrame
-    frequent: object
-    model: PieceModel
-
-
-def dictionary(docs: DataFrame, model: PieceModel) -> Dictionary:
-    """Encodes every distinct word of the texts once."""
-    small_batches(docs.sparkSession)
-    words = cut(encode_words(cut(word_counts(docs, model)), model))
-    top = words.where(F.col("n") >= _frequent(words))
-    held = {r[0]: np.array(r[1], np.int32).tobytes() for r in top.select("unit", "ids").toLocalIterator()}
-    return Dictionary(words, docs.sparkSession.sparkContext.broadcast(held), model)
+class Held:
+    """Words by hash, ascending, and their ids: those of word k are ``ids[ends[k] : ends[k + 1]]``."""
+
+    hashes: np.ndarray
+    ends: np.ndarray
+    ids: np.ndarray
+
+
+def frequent(docs: DataFrame, model: PieceModel) -> Held:
+    """The most frequent words with their ids, at most HELD and HELD_BYTES of them."""
+    counts = cut(word_counts(docs, model).where("n > 1 AND NOT startswith(unit, '  ')"))
+    level = F.when(F.col("n") < 64, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long")).alias("level")
+    sizes = counts.groupBy(level).agg(F.count("*").alias("words"), F.sum(F.octet_length("unit") + 12).alias("bytes")).collect()
+    least, words, size = None, 0, 0
+    for r in sorted(sizes, reverse=True):
+        words, size = words + r["words"], size + r["bytes"]
+        if words > HELD or size > HELD_BYTES:
+            break
+        least = r["level"]
+    if least is None:
+        return Held(np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.uint16))
+    out = encode_words(counts.where(F.col("n") >= least), model).toArrow()
+    units, ids = out.column(0).to_pylist(), out.column(1).combine_chunks()
+    keep = [k for k, u in enumerate(units) if not _far(u, model)]
+    hashes = np.concatenate([np.empty(0, np.uint64), *(_hashes_of([units[k] for k in keep[i : i + SEGMENT]]) for i in range(0, len(keep), SEGMENT))])
+    order = np.argsort(hashes)
+    ids = ids.take(pa.array(np.array(keep, np.int64)[order]))
+    return Held(hashes[order], np.asarray(ids.offsets).astype(np.int64) - ids.offsets[0].as_py(), np.asarray(ids.flatten()).astype(np.uint16))
+
+
+# --- documents ------------------------------------------------------------------------------------------------
+
+
+def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slices of a pool put together, and where each ends."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+
+class _Group:
+    """The words of some documents: ids where they are held or merged by the heap, _OPEN where the lattice is needed."""
+
+    def __init__(self, held: Held, model: PieceModel):
+        self.held, self.model = held, model
+        self.numbers: dict[int, int] = {}
+        self.open: list[str] = []
+        self.far: dict[int, np.ndarray] = {}
+
+    def encode(self, parts: list[str]):
+        """For each part: its ids, the numbers of its open words in their order, and how many words it has."""
+        words, held = cut_words(parts, self.model), self.held
+        at = np.minimum(np.searchsorted(held.hashes, words.hashes), max(len(held.hashes) - 1, 0))
+        hit = held.hashes[at] == words.hashes if len(held.hashes) else np.zeros(len(words.hashes), bool)
+        starts, sizes = np.zeros(len(hit), np.int64), np.ones(len(hit), np.int64)
+        starts[hit], sizes[hit] = held.ends[at[hit]], np.diff(held.ends)[at[hit]]
+        number = np.full(len(hit), -1, np.int64)
+        pool = held.ids
+        if not hit.all():
+            miss = np.flatnonzero(~hit)
+            one, first, back = np.unique(words.hashes[miss], return_index=True, return_inverse=True)
+            own, own_starts, own_sizes, own_numbers = [], [], [], []
+            end = len(pool)
+            for h, k in zip(one.tolist(), miss[first].tolist(), strict=True):
+                if h not in self.numbers and h not in self.far:
+                    text = words.text(k)
+                    if _far(text, self.model):
+                        self.far[h] = np.array(_exact(text, self.model), np.uint16)
+                    else:
+                        self.numbers[h] = len(self.open)
+                        self.open.append(text)
+                ids = self.far.get(h, _PLACE)
+                own.append(ids)
+                own_starts.append(end)
+                own_sizes.append(len(ids))
+                own_numbers.append(self.numbers.get(h, -1))
+                end += len(ids)
+            pool = np.concatenate((pool, *own))
+            starts[miss], sizes[miss], number[miss] = np.array(own_starts)[back], np.array(own_sizes)[back], np.array(own_numbers)[back]
+        flat, ends = _gathered(pool, starts, sizes)
+        last = np.cumsum(words.counts)
+        opened = np.split(number, last[:-1])
+        ids = np.split(flat, np.concatenate(([0], ends))[last[:-1]])
+        return [(i, o[o >= 0].astype(np.int32), int(n)) for i, o, n in zip(ids, opened, words.counts, strict=True)]
+
+
+_PLACE = np.array([_OPEN], np.uint16)
+_KIND = "_p binary, _r binary, _n long, _w int, unit string"
+
+
+def _as_rows(group, batch: pa.RecordBatch, state: _Group, names: list[str]):
+    """A batch that has the open words of a group first, then its documents with their ids and the numbers of their open words."""
+    made: dict[int, tuple[list, list, int]] = {}
+    flat = [(k, p) for k, parts in group for p in parts]
+    for k, _ in group:
+        made[k] = ([], [], 0)
+    held: list[tuple[int, str]] = []
+
+    def flush():
+        if held:
+            for (k, _), (ids, numbers, n) in zip(held, state.encode([p for _, p in held]), strict=True):
+                a, b, c = made[k]
+                a.append(ids.tobytes())
+                b.append(numbers.tobytes())
+                made[k] = (a, b, c + n)
+            held.clear()
+
+    size = 0
+    for k, p in flat:
+        if held and size + len(p) > 2 * SEGMENT:
+            flush()
+            size = 0
+        held.append((k, p))
+        size += len(p)
+    flush()
+    n, rows = len(state.open), batch.take(pa.array([k for k, _ in group], pa.int32()))
+    own = [pa.concat_arrays([pa.nulls(n, c.type), c]) for c in rows.columns]
+    docs = [made[k] for k, _ in group]
+    extra = [
+        pa.array([None] * n + [b"".join(d[0]) for d in docs], pa.binary()), pa.array([None] * n + [b"".join(d[1]) for d in docs], pa.binary()),
+        pa.array([None] * n + [d[2] for d in docs], pa.int64()), pa.array([*range(n)] + [-1] * len(docs), pa.int32()), pa.array(state.open + [None] * len(docs), pa.string()),
+    ]
+    return pa.RecordBatch.from_arrays([*own, *extra], names=names)
+
+
+def _packed(batches):
+    """Rows with an edge each, a word's next to each other, as a row a word with all its ``edges``; documents as they are."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        if not len(batch):
+            continue
+        number, at = np.asarray(batch.column(batch.schema.get_field_index("_w"))), batch.schema.get_field_index("edge")
+        fresh = np.ones(len(number), bool)
+        fresh[1:] = (number[1:] != number[:-1]) | (number[1:] < 0)
+        starts = np.flatnonzero(fresh)
+        if number[-1] >= 0:  # the last word may go on
+            batch, rest, starts = batch.slice(0, starts[-1]), batch.slice(starts[-1]), starts[:-1]
+        else:
+            rest = None
+        if len(starts):
+            yield _rows_of(batch, starts, at)
+    if rest is not None:
+        yield _rows_of(rest, np.zeros(1, np.int64), rest.schema.get_field_index("edge"))
+
+
+def _rows_of(batch: pa.RecordBatch, starts: np.ndarray, at: int) -> pa.RecordBatch:
+    edges = pa.ListArray.from_arrays(pa.array(np.append(starts, len(batch)), pa.int32()), batch.column(at))
+    first = batch.take(pa.array(starts))
+    columns = [edges if k == at else c for k, c in enumerate(first.columns)]
+    return pa.RecordBatch.from_arrays(columns, names=["edges" if k == at else f for k, f in enumerate(batch.schema.names)])
 
 
 def encode_documents(docs: DataFrame, model: PieceModel) -> DataFrame:
     """Adds ``ids`` (array of int) to the columns of ``docs``: the pieces of every whole text, as the library gives them.
 
-    Null and empty texts have no ids. The same text always gets the same ids; rows are known by their text, so repeated
-    rows and any doc_id are fine, and an own column ``ids`` is replaced. Frequent words are looked up; the other words
-    of a text are joined to the dictionary and meet their document in one shuffle.
+    Null and empty texts have no ids; the same text always gets the same ids. Rows are never told apart, so any doc_id,
+    repeated rows and an empty table are fine. An own column ``ids`` is replaced; other columns stay. Only counts of words
+    are shuffled.
     """
     own = [c for c in docs.columns if c != "ids"]
-    kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
 
     def whole(batch, ids, words):
         return pa.RecordBatch.from_arrays([*batch.columns[: len(own)], ids], names=[*own, "ids"])
 
-    return _encoded(docs.select(*own), model, whole, f"{kind}, ids array<int>")
+    return _encoded(docs.select(*own), model, whole, f"{_kind(docs, own)}, ids array<int>")
+
+
+def _kind(docs: DataFrame, own: list[str]) -> str:
+    return ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
 
 
 def _encoded(docs: DataFrame, model: PieceModel, finish, kind: str) -> DataFrame:
-    """What ``finish`` makes, in the task that puts them together, of some rows of ``docs``, the ids of each whole text and its number of words."""
-    book = dictionary(docs, model)
-    held, pattern = book.frequent, model.word
+    """What ``finish`` makes of some rows of ``docs``, the ids of each whole text and its number of words."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent(docs, model), model))
     own = docs.columns
-
-    def rare(batches):
-        find = re.compile(pattern).findall
-        known = held.value
-        for whole in batches:
-            for batch in _parts(whole):
-                key, unit = [], []
-                for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    new = [w for w in set(words_of(text or "", find)) if w not in known]
-                    key += [k] * len(new)
-                    unit += new
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(unit, pa.string())], names=["_key", "unit"])
-
-    keyed = docs.select(*own).withColumn("_key", F.xxhash64("text"))
-    pairs = keyed.select("_key", "text").mapInArrow(rare, "_key long, unit string")
-    found = pairs.join(book.words.select("unit", "ids"), "unit").groupBy("_key").agg(F.collect_set(F.struct("unit", "ids")).alias("_w"))
+    inner = [f"_{k}" for k in range(len(own))]
     at = own.index("text")
+    names = [*inner, "_p", "_r", "_n", "_w", "unit"]
+
+    def split(batches):
+        held, model = shared.value
+        for batch in batches:
+            for group in _groups(batch.column(at).to_pylist()):
+                yield _as_rows(group, batch, _Group(held, model), names)
 
     def assemble(batches):
-        find = re.compile(pattern).findall
-        known = held.value
-        for whole in batches:
-            for batch in _parts(whole):
-                made, ends, counts = [], [0], []
-                for text, pairs in zip(batch.column(at).to_pylist(), batch.column(len(own)).to_pylist(), strict=True):
-                    extra = {p["unit"]: np.array(p["ids"], np.int32).tobytes() for p in pairs or ()}
-                    words = words_of(text or "", find)
-                    made.append(b"".join([known[w] if w in known else extra[w] for w in words]))
-                    counts.append(len(words))
-                    ends.append(ends[-1] + len(made[-1]) // 4)
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(made), np.int32)))
-                yield finish(batch, ids, counts)
-
-    return keyed.join(found, "_key", "left").select(*own, "_w").mapInArrow(assemble, kind)
+        ids: list[list[int]] = []
+        closed = True
+        for batch in batches:
+            number, words = batch.column(len(own) + 3).to_pylist(), batch.column(len(own) + 4)
+            payload, opened = batch.column(len(own)), batch.column(len(own) + 1)
+            flat, ends, rows = [], [0], []
+            for k, w in enumerate(number):
+                if w >= 0:
+                    if closed:
+                        ids, closed = [], False
+                    ids.append(np.array(words[k].as_py(), np.int32))
+                    continue
+                closed = True
+                plain, need = np.frombuffer(payload[k].as_py(), np.uint16).astype(np.int32), np.frombuffer(opened[k].as_py(), np.int32)
+                if len(need):
+                    parts, before = [], 0
+                    for j, p in zip(need.tolist(), np.flatnonzero(plain == _OPEN).tolist(), strict=True):
+                        parts += [plain[before:p], ids[j]]
+                        before = p + 1
+                    plain = np.concatenate((*parts, plain[before:]))
+                flat.append(plain)
+                ends.append(ends[-1] + len(plain))
+                rows.append(k)
+            if rows:
+                docs = batch.take(pa.array(rows, pa.int32()))
+                made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
+                yield finish(docs, made, docs.column(len(own) + 2))
+
+    stay = ", ".join(f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(inner, own, strict=True))
+    rows = docs.mapInArrow(split, f"{stay}, {_KIND}")
+    keep = [*inner, "_p", "_r", "_n", "_w"]
+    lattice = _edges(rows, model, keep).mapInArrow(_packed, f"{stay}, _p binary, _r binary, _n long, _w int, unit string, edges array<long>")
+    return _folded(lattice, model, keep).mapInArrow(assemble, kind)
+
+
+def decode_ids(rows: DataFrame, model: PieceModel, column: str = "ids", name: str = "decoded") -> DataFrame:
+    """Adds the text that ids stand for: pieces and bytes put together; ids of neither vanish, broken bytes are replaced.
+
+    The blank put before a text is part of the result. Null ids give null; all columns stay. A map, without a shuffle.
+    """
+    own = [c for c in rows.columns if c != name]
+    at = own.index(column)
+    parts = {k: p.encode() for p, (k, _) in model.pieces.items()} | {model.byte + b: bytes([b]) for b in range(256)}
+    shared = rows.sparkSession.sparkContext.broadcast(parts)
+
+    def decode(batches):
+        known = shared.value
+        for batch in batches:
+            out = [None if ids is None else b"".join([known.get(k, b"") for k in ids]).decode("utf-8", "replace") for ids in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*own, name])
+
+    return rows.select(*own).mapInArrow(decode, f"{_kind(rows, own)}, `{name}` string")
 
 
 def _powers(n: int) -> np.ndarray:
@@ -302,11 +573,11 @@ def _powers(n: int) -> np.ndarray:
 
 
 def encoding_digests(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """``doc_id, n_words, n_tokens, ids_digest, round_trip`` of every whole text, a row per row, from the ids of encode_documents().
+    """``doc_id, n_words, n_tokens, ids, ids_digest, round_trip`` of every whole text, a row per row, as encode_documents() has it.
 
     ``ids_digest`` folds all ids of the text in their order: d -> (d * 1,000,003 + id + 1) mod (2**31 - 1), from 0.
     ``round_trip`` says that decoding the ids of the text gives its bytes back, a blank put before and markers as blanks.
-    Null and empty texts: 0, 0, 0, true. Other columns are ignored.
+    Null and empty texts: 0, 0, no ids, 0, true. Other columns are ignored.
     """
     parts = {k: p.encode() for p, (k, _) in model.pieces.items()} | {model.byte + b: bytes([b]) for b in range(256)}
     shared = docs.sparkSession.sparkContext.broadcast([parts.get(k, b"") for k in range(max(parts) + 1)])
@@ -329,15 +600,15 @@ def encoding_digests(docs: DataFrame, model: PieceModel) -> DataFrame:
         for k, text in enumerate(batch.column(1).to_pylist()):
             wanted = (" " + text.replace("▁", " ")).encode("utf-8", "surrogatepass") if text else b""
             back.append(spelled[at[k] : at[k + 1]] == wanted)
-        made = [pa.array(words, pa.int64()), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(back, pa.bool_())]
-        return pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_words", "n_tokens", "ids_digest", "round_trip"])
+        made = [words.cast(pa.int64()), pa.array(n, pa.int64()), ids, pa.array(total, pa.int64()), pa.array(back, pa.bool_())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_words", "n_tokens", "ids", "ids_digest", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _encoded(docs.select("doc_id", "text"), model, digest, f"doc_id {kind}, n_words long, n_tokens long, ids_digest long, round_trip boolean")
+    return _encoded(docs.select("doc_id", "text"), model, digest, f"doc_id {kind}, n_words long, n_tokens long, ids array<int>, ids_digest long, round_trip boolean")
 
 
 def op5_sentencepiece(spark, sf_dir):
-    """Encodes all documents with the public 32k model and decodes the ids of each; a digest of the ids per document."""
+    """Encodes all documents with the public 32k model and decodes the ids of each: the ids, and whether they decode to the text."""
     import public_tokenizers
 
     return encoding_digests(documents(spark, sf_dir).select("doc_id", "text"), load_pieces(str(public_tokenizers.path("piece_bpe_32k.model"))))
