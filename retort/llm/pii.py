@@ -20,9 +20,11 @@ BASE = ("email", "ip", "card", "phone")
 WEAK = ("local_phone", "national_id", "iban")
 KINDS = BASE + WEAK
 
-# Each pattern is the leftmost greedy one, written so that no text makes it backtrack more than linearly.
+# Each pattern is the leftmost greedy one, written so that no text makes it backtrack more than linearly or nest: what
+# repeats is a class of characters, never a group. For emails the text is masked: a dot that no label follows is DOT.
+DOT = "\x01"
 PATTERNS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+\x01-]))[A-Za-z0-9._%+\x01-]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "run": r"[0-9][0-9\x20-]{11,}[0-9]",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -30,8 +32,7 @@ PATTERNS = {
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
 }
-#: What a text must hold for a pattern to be tried at all.
-HINTS = {"email": "@", "phone": "+"}
+#: What a text must hold for patterns of digits to be tried at all.
 DIGITS = r"[0-9][0-9.\x20()-]{5,}[0-9]"
 
 # Gazetteers: top-level domains, country calling codes, card issuers' first digits, IBAN countries.
@@ -45,67 +46,103 @@ FOR = r"(?i)\b(?:e-?mail|mail|contact|call|phone|tel|mobile|fax|card|visa|credit
 AGAINST = r"(?i)\b(?:version|isbn|issn|serial|order|invoice|part|build|release|section|figure|table)\b"
 
 
-def _prefix_sums(lengths: Column) -> Column:
-    """Sums of what stands before each item, in blocks, so that n items take about n ** 1.5 steps."""
+#: Code points of a piece of a text; any place in a text is reached by its piece.
+PIECE = 256
+
+
+def _let(value: Column, body) -> Column:
+    """What ``body`` makes of a value that is worked out once, however often a lambda in it uses the value."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _before(values: Column, fold) -> Column:
+    """For each item the fold over the items before it; by blocks, so that n items take about n ** (4 / 3) steps."""
     zero = F.lit(0)
-    add = lambda a, x: a + x
-    total = lambda a: F.aggregate(a, zero, add)
-    n = F.size(lengths)
-    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
-    blocks = F.transform(F.sequence(zero, F.greatest(n - 1, zero), width), lambda at: total(F.slice(lengths, at + 1, width)))
-    before = F.transform(blocks, lambda _, k: total(F.slice(blocks, F.lit(1), k)))
-    return F.transform(lengths, lambda _, k: F.get(before, F.floor(k / width).cast("int")) + total(F.slice(lengths, (k - k % width) + 1, k % width)))
-
-
-def _located(df: DataFrame, name: str, pattern: str, tried: Column) -> DataFrame:
-    """Adds a column of the pattern's matches in ``text`` as (start, end, hit), in code points."""
-    none = F.expr("array()").cast("array<string>")
-    df = df.withColumn("_hits", F.when(tried, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
-    df = df.withColumn("_gaps", F.when(F.size("_hits") > 0, F.transform(F.split("text", pattern, -1), F.length)))
-    df = df.withColumn("_steps", F.transform("_hits", lambda h, k: F.length(h) + F.get("_gaps", k)))
-    df = df.withColumn("_ends", F.when(F.size("_hits") > 0, F.zip_with(_prefix_sums(F.col("_steps")), "_steps", lambda a, b: a + b)))
-    spans = F.transform("_hits", lambda h, k: F.struct((F.get("_ends", k) - F.length(h)).alias("start"), F.get("_ends", k).alias("end"), h.alias("hit")))
-    return df.withColumn(name, spans).drop("_hits", "_gaps", "_steps", "_ends")
+    n = F.size(values)
+
+    def made(width):
+        blocks = F.transform(F.sequence(zero, F.greatest(n - 1, zero), width), lambda at: fold(F.slice(values, at + 1, width)))
+        past = _let(blocks, lambda b: F.transform(b, lambda _, k: fold(F.slice(b, F.lit(1), k))))
+        return _let(past, lambda p: F.transform(values, lambda _, k: fold(F.array(F.get(p, F.floor(k / width).cast("int")), fold(F.slice(values, (k - k % width) + 1, k % width))))))
+
+    return _let(F.greatest(F.lit(1), F.ceil(F.cbrt(n)).cast("int")), made)
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+def _most(values: Column) -> Column:
+    return F.coalesce(F.array_max(values), F.lit(0))
+
+
+def _masked(text: Column) -> Column:
+    """The text with DOT for each dot that no label follows; a DOT that it holds becomes another control character."""
+    return F.regexp_replace(F.translate(text, DOT, "\x02"), r"\.(?![A-Za-z0-9-])", DOT)
+
+
+def _located(text: Column, pattern: str, tried: Column) -> Column:
+    """The pattern's matches in a text as array of (start, end, hit), in code points."""
+    kind = "array<struct<start:int,end:int,hit:string>>"
+    placed = lambda hits, ends: F.zip_with(hits, ends, lambda h, e: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit")))
+    steps = lambda hits: F.zip_with(hits, F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(hits)), lambda h, g: F.length(h) + g)
+    ends = lambda hits: _let(steps(hits), lambda s: F.zip_with(_before(s, _total), s, lambda a, b: a + b))
+    found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, placed(hits, ends(hits))))
+    return F.coalesce(F.when(tried, found), F.array().cast(kind))
 
 
 def _digits(hit: Column) -> Column:
     return F.regexp_replace(hit, "[^0-9]", "")
 
 
-def _cards(df: DataFrame) -> DataFrame:
+def _cards(runs: Column) -> Column:
     """Runs of digits with single separators, from runs with any: these are cut where separators repeat."""
-    cutter = F.lit(r"[\x20-]{2,}")
-    df = df.withColumn("_parts", F.transform("run", lambda r: F.struct(
-        r["start"].alias("start"), F.split(r["hit"], r"[\x20-]{2,}", -1).alias("parts"),
-        F.transform(F.regexp_extract_all(r["hit"], cutter, F.lit(0)), F.length).alias("gaps"))))
-    df = df.withColumn("_parts", F.transform("_parts", lambda r: F.struct(
-        r["start"].alias("start"), r["parts"].alias("parts"),
-        _prefix_sums(F.transform(r["parts"], lambda p, k: F.length(p) + F.coalesce(F.get(r["gaps"], k), F.lit(0)))).alias("before"))))
-    flat = F.flatten(F.transform("_parts", lambda r: F.transform(r["parts"], lambda p, k: F.struct(
-        (r["start"] + F.get(r["before"], k)).alias("start"), (r["start"] + F.get(r["before"], k) + F.length(p)).alias("end"), p.alias("hit")))))
+    cutter = r"[\x20-]{2,}"
+
+    def parts(run):
+        gaps = F.transform(F.regexp_extract_all(run["hit"], F.lit(cutter), F.lit(0)), F.length)
+        steps = lambda p: F.zip_with(p, gaps, lambda x, g: F.length(x) + F.coalesce(g, F.lit(0)))
+        starts = lambda p: _let(steps(p), lambda s: _before(s, _total))
+        return _let(F.split(run["hit"], cutter, -1), lambda p: F.zip_with(p, starts(p), lambda x, at: F.struct(
+            (run["start"] + at).alias("start"), (run["start"] + at + F.length(x)).alias("end"), x.alias("hit"))))
+
     fit = lambda s: F.length(_digits(s["hit"])).between(13, 19) & F.call_function("luhn_check", _digits(s["hit"]))
-    return df.withColumn("card", F.filter(flat, fit)).drop("run", "_parts")
+    return F.filter(F.flatten(F.transform(runs, parts)), fit)
+
+
+def _pieces_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _short(pieces: Column, at: Column, n: Column) -> Column:
+    """Up to PIECE code points of a text from a place on; found by the piece, as counting from the start takes too long."""
+    k = F.floor(at / PIECE).cast("int")
+    return F.substring(F.concat(F.coalesce(F.get(pieces, k), F.lit("")), F.coalesce(F.get(pieces, k + 1), F.lit(""))), at % PIECE + 1, n)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Adds ``cands``: every span of every kind with its labelers' votes (1 for, -1 against, 0 abstains).
+    """``_row, text, cands`` of rows ``_row, text``: every span of every kind with its labelers' votes (1 for, -1 against, 0 abstains).
 
     Spans of the certain kinds have passed their own test and come first, by kind and start.
     """
     df = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    df = df.withColumn("_digits", F.col("text").rlike(DIGITS))
+    text = F.col("text")
+    some = text.rlike(DIGITS)
+    tried = {"email": text.contains("@"), "phone": text.contains("+"), "iban": text.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9]{11}")}
     for name, pattern in PATTERNS.items():
-        tried = F.col("text").contains(HINTS[name]) if name in HINTS else F.col("_digits")
-        df = _located(df, name, pattern, tried if name != "iban" else F.col("text").rlike("[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"))
-    df = _cards(df.drop("_digits"))
+        df = df.withColumn(name, _located(_masked(text) if name == "email" else text, pattern, tried.get(name, some)))
     small = lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.coalesce(F.regexp_replace(p, "^0+(?=[0-9])", "").substr(1, 3).cast("int"), F.lit(0)) <= 255)
-    df = df.withColumn("ip", F.filter("ip", lambda s: F.forall(F.split(s["hit"], r"\."), small)))
-    df = df.withColumn("phone", F.filter("phone", lambda s: F.length(_digits(s["hit"])).between(9, 15)))
+    df = df.withColumns({
+        "email": F.transform("email", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.translate(s["hit"], DOT, ".").alias("hit"))),
+        "ip": F.filter("ip", lambda s: F.forall(F.split(s["hit"], r"\."), small)),
+        "card": _cards(F.col("run")),
+        "phone": F.filter("phone", lambda s: F.length(_digits(s["hit"])).between(9, 15)),
+    })
 
     plus, minus, zero = F.lit(1), F.lit(-1), F.lit(0)
     vote = lambda test: F.when(test, plus).otherwise(minus)
     form = {
-        "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$", "ip": r"^([1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$",
+        "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$", "ip": r"^([1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$",
         "card": r"^[0-9]{4}([\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{1,7}$|^[0-9]{13,19}$", "phone": r"^\+[0-9]{1,3}[\x20(-]",
         "local_phone": r"^\(?[2-9][0-9]{2}\)?[\x20-]?[2-9]", "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", "iban": r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{4}[0-9]{7}",
     }
@@ -114,21 +151,23 @@ def candidates(docs: DataFrame) -> DataFrame:
         "local_phone": r"^\(?(?!555)", "national_id": r"^(?!123-45-6789|078-05-1120)", "iban": rf"^({IBAN_COUNTRIES})",
     }
 
-    def voted(k: int, name: str):
+    def voted(pieces: Column, k: int, name: str):
         def votes(s):
-            before = F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
-            edges = F.concat(F.substring(F.col("text"), s["start"], F.when(s["start"] > 0, 1).otherwise(0)), F.lit(" "), F.substring(F.col("text"), s["end"] + 1, F.lit(1)))
+            context = _short(pieces, F.greatest(s["start"] - CONTEXT, F.lit(0)), F.least(s["start"], F.lit(CONTEXT)))
+            edges = F.concat(F.when(s["start"] > 0, _short(pieces, F.greatest(s["start"] - 1, F.lit(0)), F.lit(1))).otherwise(""), F.lit(" "), _short(pieces, s["end"], F.lit(1)))
             return F.struct(
                 F.lit(k).alias("at"), F.lit(name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
                 vote(s["hit"].rlike(form[name])).alias("regex"), vote(s["hit"].rlike(known[name])).alias("gazetteer"),
-                F.when(before.rlike(FOR), plus).when(before.rlike(AGAINST), minus).otherwise(zero).alias("context"),
+                F.when(context.rlike(FOR), plus).when(context.rlike(AGAINST), minus).otherwise(zero).alias("context"),
                 F.when(edges.rlike(r"[\p{L}0-9]"), minus).otherwise(zero).alias("edges"),
             )
 
         return F.transform(name, votes)
 
-    made = [voted(k, name) for k, name in enumerate(KINDS)]
-    return df.withColumn("cands", F.concat(*made)).drop(*KINDS)
+    kind = "array<struct<at:int,kind:string,start:int,end:int,regex:int,gazetteer:int,context:int,edges:int>>"
+    made = _let(_pieces_of(text), lambda pieces: F.concat(*(voted(pieces, k, name) for k, name in enumerate(KINDS))))
+    some = sum((F.size(name) for name in KINDS), F.lit(0)) > 0
+    return df.select("_row", "text", F.coalesce(F.when(some, made), F.array().cast(kind)).alias("cands"))
 
 
 VOTES = ("regex", "gazetteer", "context", "edges")
@@ -194,16 +233,9 @@ def _code(s) -> Column:
     return out
 
 
-def find_pii(docs: DataFrame, least: float = 0.5, keep_text: bool = False) -> DataFrame:
-    """Adds personal-data spans to every document.
-
-    Returns the columns of ``docs`` (``text`` only if ``keep_text``) and ``spans``: an array of (at, kind, start, end), code
-    points, end exclusive, by kind as in KINDS and then start. Certain kinds are always reported; the weak kinds where
-    the trained classifier scores them at ``least`` or more. Null and empty texts have no spans; doc_id is not needed and
-    may be null or repeated; other columns pass through unless named like a kind or ``cands``. No shuffle but for counts.
-    """
-    found = candidates(docs)
-    found = cut(found if keep_text else found.drop("text"))
+def _found(docs: DataFrame, least: float) -> DataFrame:
+    """``_row, text, spans`` of rows ``_row, text``."""
+    found = cut(candidates(docs))
     votes = found.select(F.inline("cands")).groupBy("at", *VOTES).count().collect()
     scores = span_classifier([((r["at"], tuple(r[v] for v in VOTES)), r["count"]) for r in votes]) if votes else {}
     good = []
@@ -215,7 +247,21 @@ def find_pii(docs: DataFrame, least: float = 0.5, keep_text: bool = False) -> Da
             good.append(code)
     keep = lambda s: (s["at"] < len(BASE)) | _code(s).isin(*sorted(good)) if good else s["at"] < len(BASE)
     narrow = F.transform(F.filter("cands", keep), lambda s: F.struct(s["at"].alias("at"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.withColumn("spans", F.array_sort(narrow)).drop("cands")
+    return found.select("_row", "text", F.array_sort(narrow).alias("spans"))
+
+
+def find_pii(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """Adds personal-data spans to every document.
+
+    Returns the columns of ``docs`` but ``text``, and ``spans``: an array of (at, kind, start, end), code points, end exclusive,
+    by kind as in KINDS and then start. Certain kinds are always reported; the weak kinds where the trained classifier
+    scores them at ``least`` or more. Null and empty texts have no spans; doc_id is not needed and may be null or
+    repeated; other columns pass through, but for an own column ``spans``, which is replaced; an empty table gives no
+    rows. No shuffle but for counts.
+    """
+    own = [c for c in docs.columns if c not in ("text", "spans")]
+    found = _found(docs.select(F.struct(F.lit(0).alias("_"), *own).alias("_row"), "text"), least).drop("text")
+    return found.select(*(F.col("_row")[c].alias(c) for c in own), "spans")
 
 
 def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -224,16 +270,27 @@ def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:
     All columns stay; ``n_chars``, if there, is the new length. Texts without spans, null texts included, are untouched.
     """
     names = docs.columns
-    inner = docs.select(F.struct(*names).alias("_row"), F.col("text"))
-    found = find_pii(inner, least, keep_text=True)
+    found = _found(docs.select(F.struct(*names).alias("_row"), "text"), least)
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("kind"))))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.struct(
-        F.greatest(a["at"], s["end"]).alias("at"),
-        F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]"))).alias("out"),
-    )
-    rest = lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length(F.col("text"))))
-    new = F.when(F.size("spans") > 0, F.aggregate(by_start, state, step, rest)).otherwise(F.col("_row.text"))
+
+    def slice_of(pieces, a, b):
+        """Code points a to b; whole pieces in the middle."""
+        k, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        near, far = F.coalesce(F.get(pieces, k), F.lit("")), F.coalesce(F.get(pieces, last), F.lit(""))
+        across = F.concat(F.substring(near, a % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, k + 2, F.greatest(last - k - 1, F.lit(0))), ""), F.substring(far, F.lit(1), b % PIECE))
+        return F.when(k == last, F.substring(near, a % PIECE + 1, b - a)).otherwise(across)
+
+    def rewritten(spans):
+        ends = _let(F.transform(spans, lambda s: s["end"]), lambda e: _before(e, _most))
+
+        def parts(pieces):
+            each = F.zip_with(spans, ends, lambda s, past: F.when(s["start"] < past, "").otherwise(F.concat(slice_of(pieces, past, s["start"]), F.lit("["), s["kind"], F.lit("]"))))
+            tail = slice_of(pieces, _most(F.transform(spans, lambda s: s["end"])), F.length("text"))
+            return F.concat(F.array_join(each, ""), tail)
+
+        return _let(_pieces_of(F.col("text")), parts)
+
+    new = F.when(F.size("spans") > 0, _let(by_start, rewritten)).otherwise(F.col("_row.text"))
     out = found.withColumn("_new", new)
     columns = []
     for c in names:

@@ -203,6 +203,42 @@ def test_pii(spark):
     assert pii.find_pii(table(spark, texts).limit(0)).count() == 0
 
 
+def test_pii_of_many_matches_in_one_text(spark):
+    many = ["a@" + "b." * 100_000 + "c", "a@b.co " * 30_000, "5 " * 100_000, "1.2.3.4 " * 20_000, "(212) 555-1234 " * 3000, "4111 1111 1111 1111  " * 9000, "a@b..c@d.e. \x01@x.y"]
+    rows = {r["doc_id"]: r for r in pii.find_pii(table(spark, many)).collect()}
+    for k, t in enumerate(many):
+        assert [(s["kind"], s["start"], s["end"]) for s in rows[k]["spans"] if s["kind"] in pii.BASE] == personal(t)
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(table(spark, many)).collect()}
+    for k, t in enumerate(many):
+        out, at = "", 0
+        for start, end, kind in sorted((s["start"], s["end"], s["kind"].upper()) for s in rows[k]["spans"]):
+            out += "" if start < at else t[at:start] + f"[{kind}]"
+            at = max(at, end)
+        assert clean[k] == out + t[at:]
+
+
+def test_pii_query_writes_its_digest(spark, tmp_path):
+    texts = ODD + PRIVATE
+    docs = spark.createDataFrame([(k, t, "own") for k, t in enumerate(texts)], "doc_id long, text string, email string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in pii.op8_pii(spark, str(tmp_path)).collect():
+        found = sorted(personal(texts[r["doc_id"]] or ""), key=lambda s: (pii.BASE.index(s[0]), s[1]))
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(s[0] == k for s in found) for k in pii.BASE]
+        written = [":".join(map(str, s)) for s in found]
+        assert r["base_sha256"] == hashlib.sha256(",".join(written).encode()).hexdigest()
+        assert [s for s in r["spans"].split(",") if s.split(":")[0] in pii.BASE] == written
+    assert {r["email"] for r in pii.find_pii(docs).collect()} == {"own"}
+
+
+def test_pii_reports_weak_kinds_that_look_right(spark):
+    good = [f"please call me, phone (212) 55{k % 10}-12{k:02d} today" for k in range(60)] + [f"my ssn 1{k:02d}-45-67{k:02d} ok" for k in range(60)]
+    bad = [f"part x555-{k:03d}-0000y of version" for k in range(60)]
+    rows = pii.find_pii(table(spark, good + bad)).collect()
+    kinds = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in rows}
+    assert sum(kinds[k] == ["local_phone"] for k in range(60)) > 50 and sum(kinds[k] == ["national_id"] for k in range(60, 120)) > 50
+    assert not any(kinds[k] for k in range(120, 180))
+
+
 def test_reliabilities_find_the_good_labeler():
     counts: dict = {}
     rng = random.Random(3)
