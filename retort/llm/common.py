@@ -42,6 +42,57 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+# --- arrays and places of a text, in DataFrame functions -------------------------------------------------------
+
+#: Code points of a piece of a text; any place in a text is reached by its piece.
+PIECE = 256
+
+
+def let(value: Column, body) -> Column:
+    """What ``body`` makes of a value that is worked out once, however often a lambda in it uses the value."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def before(values: Column, fold) -> Column:
+    """For each item the fold over the items before it; by blocks, so that n items take about n ** (4 / 3) steps."""
+    zero = F.lit(0)
+
+    def made(values):
+        n = F.size(values)
+
+        def by(width):
+            blocks = F.transform(F.sequence(zero, F.greatest(n - 1, zero), width), lambda at: fold(F.slice(values, at + 1, width)))
+            past = let(blocks, lambda b: F.transform(b, lambda _, k: fold(F.slice(b, F.lit(1), k))))
+            return let(past, lambda p: F.transform(values, lambda _, k: fold(F.array(F.get(p, F.floor(k / width).cast("int")), fold(F.slice(values, (k - k % width) + 1, k % width))))))
+
+        return let(F.greatest(F.lit(1), F.ceil(F.cbrt(n)).cast("int")), by)
+
+    return let(values, made)
+
+
+def total(values: Column) -> Column:
+    """The sum of an array of int."""
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+def most(values: Column) -> Column:
+    """The largest of an array of int, 0 if there is none."""
+    return F.coalesce(F.array_max(values), F.lit(0))
+
+
+def pieces_of(text: Column) -> Column:
+    """A text in pieces of PIECE code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def piece_slice(pieces: Column, a: Column, b: Column) -> Column:
+    """Code points a to b of the text that was cut into pieces. Found by the piece: counting from the text's start takes too long."""
+    k, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+    near, far = F.coalesce(F.get(pieces, k), F.lit("")), F.coalesce(F.get(pieces, last), F.lit(""))
+    across = F.concat(F.substring(near, a % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, k + 2, F.greatest(last - k - 1, F.lit(0))), ""), F.substring(far, F.lit(1), b % PIECE))
+    return F.when(k == last, F.substring(near, a % PIECE + 1, b - a)).otherwise(across)
+
+
 def count_of(spans: str, kind: str) -> Column:
     """How many of an array of spans are of a kind."""
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
@@ -49,13 +100,12 @@ def count_of(spans: str, kind: str) -> Column:
 
 # --- hashing of words, vectorised over a block of texts -------------------------------------------------------
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _BLOCK = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_factors: list[np.ndarray] = [np.empty(0, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,16 +117,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for positions below n."""
-    size = 1 << max(n - 1, 1).bit_length()
-    if size not in _powers:
-        _powers.clear()
-        inverse = pow(_BASE, -1, 1 << 64)
-        _powers[size] = tuple(
-            np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size - 1, v, np.uint64)))) for v in (_BASE, inverse)
-        )
-    return _powers[size]
+def factors(n: int) -> np.ndarray:
+    """A fixed random odd number for each of the first n positions of a word."""
+    if len(_factors[0]) < n:
+        with np.errstate(over="ignore"):
+            _factors[0] = mix(np.arange(1, 2 * n + 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return _factors[0]
+
+
+def hashed(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, whose letters follow each other: their sum, each times the random factor of its place, mixed.
+
+    The factors follow no rule, so no pattern of letters makes different words collide, as powers of a base would.
+    """
+    if not len(sizes):
+        return np.empty(0, np.uint64)
+    at = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+    with np.errstate(over="ignore"):
+        return mix(np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * factors(int(sizes.max()))[at], np.cumsum(sizes) - sizes))
 
 
 def _hash_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -85,10 +143,7 @@ def _hash_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     word = ~_SPACE[b]
     edge = np.flatnonzero(np.diff(np.concatenate(([0], word.view(np.int8), [0])).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    power, inverse = _power_tables(len(b) + 1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=total[1:])
-    return start, mix((total[end] - total[start]) * inverse[start])
+    return start, hashed(b[word], end - start)
 
 
 def _pieces(text: bytes):

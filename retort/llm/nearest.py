@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retort.llm.common import documents
-from retort.llm.vectors import best, tiles, usable
+from retort.llm.vectors import best, power_above, tiles, usable
 
 
 def _quantised(x: np.ndarray):
@@ -26,14 +26,30 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances, in the order of the components; of rows whose squares leave the range of doubles, scaled by a power of two."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        gap = rows - query
+        out = np.sqrt(np.cumsum(gap**2, axis=1)[:, -1])
+        most = np.abs(gap).max(1)
+        for k in np.flatnonzero(~np.isfinite(out) | ((most > 0) & (most < 1e-140))):
+            half = rows[k] / 2 - query / 2 if most[k] > 1 else gap[k] / 2
+            top = power_above(half)
+            out[k] = np.sqrt(np.cumsum((half / top) ** 2)[-1]) * top * 2
+    return out
+
+
 def bounded_tiles(k: int):
     """A search of one tile: int8 products give each squared distance within a bound; survivors are computed in float.
 
     With x = x' + r, x' quantised, a product errs by at most |q'||r_x| + |x'||r_q| + |r_q||r_x|. A row survives if its
-    least distance is within the k-th smallest greatest distance of the tile.
+    least distance is within the k-th smallest greatest distance of the tile. Bounds are of vectors over a power of two
+    above all components, so that no square overflows; what then underflows is within the slack.
     """
 
-    def search(q, c_ids, c, own):
+    def search(original, c_ids, rows, own):
+        top = max(power_above(original), power_above(rows))
+        q, c = original / top, rows / top
         qi, qs, qn, qr = _quantised(q)
         ci, cs, cn, cr = _quantised(c)
         q2, c2 = (q * q).sum(1), (c * c).sum(1)
@@ -42,14 +58,14 @@ def bounded_tiles(k: int):
             dot = _product(qi[part], ci) * qs[part, None] * cs
             slack = qn[part, None] * cr + cn * qr[part, None] + qr[part, None] * cr
             middle = q2[part, None] + c2
-            slack = 2 * slack + 1e-12 * middle
+            slack = 2 * slack + 1e-12 * middle + 1e-290
             near = middle - 2 * dot
-            for row, extra, query, me in zip(near, slack, q[part], own[part], strict=True):
+            for row, extra, query, me in zip(near, slack, original[part], own[part], strict=True):
                 other = c_ids != me
                 most = np.where(other, row + extra, np.inf)
                 level = np.partition(most, k - 1)[k - 1] if len(most) >= k else np.inf
                 at = np.flatnonzero(other & (row - extra <= level))
-                yield at, np.sqrt(np.cumsum((c[at] - query) ** 2, axis=1)[:, -1]) if len(at) else np.zeros(0)
+                yield at, distances(rows[at], query) if len(at) else np.zeros(0)
 
     return search
 
@@ -60,8 +76,9 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10) -> Dat
     Queries are the rows of ``vectors`` (``vec_id, embedding``) whose vec_id is divisible by ``every``; candidates are all
     rows but those with the query's vec_id. Returns ``query_id, rank, vec_id, score``; ties go to the smaller vec_id, a
     query with fewer candidates gets all. Vectors that are null, empty, zero or hold null or non-finite components take
-    no part, nor do rows without vec_id; vectors meet those of their own length only. Equal rows count once. Extra
-    columns are ignored; an empty table gives no rows.
+    no part, nor do rows without vec_id; vectors meet those of their own length only. Components may have any finite size.
+    Equal rows count once; rows of one vec_id with different vectors are candidates each, and as queries they get the
+    best of all their results together. Extra columns are ignored; an empty table gives no rows.
     """
     return best(tiles(usable(vectors, nonzero=True), F.col("id") % every == 0), bounded_tiles(k), k, descending=False, kind="double")
 

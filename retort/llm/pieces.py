@@ -8,9 +8,9 @@ no piece of the model is itself merged out of order, which is tested on loading;
 long ones and runs of blanks, are merged pair by pair, by an exact heap.
 
 A text is cut into words wherever no piece holds its two neighbouring characters, as no merge can go across. Frequent
-words are encoded once and held by every worker, in arrays of bounded size. All other words pass through the lattice in
-the task that reads their text: they come right before the documents that hold them, their edges lie next to each other,
-and so neither texts nor words are shuffled. Which words are held decides the speed, never the result.
+words are encoded once and held by every worker, in arrays of bounded size. The other words go through the lattice with
+the keys of their documents and meet these again in one shuffle, in which texts travel compressed. Which words are held
+decides the speed, never the result.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from retort.llm.common import cut, documents, mix
+from retort.llm.common import cut, documents, hashed
 
 #: Words up to this length have a lattice; an edge's ends are bits of one 64-bit number.
 LONGEST = 60
@@ -33,8 +34,8 @@ HELD, HELD_BYTES = 1 << 20, 1 << 25
 COUNTED = 400_000
 #: Characters that are cut into words at once, about.
 SEGMENT = 1 << 17
-#: Stands for a word that the lattice encodes; no piece has this id.
-_OPEN = 0xFFFF
+#: Keys of documents that a row of an open word holds, about.
+KEYS = 256
 _MOD, _BASE = 2_147_483_647, 1_000_003
 
 
@@ -98,7 +99,7 @@ def load_pieces(path: str) -> PieceModel:
             byte = k if byte is None else byte
         elif not (model.is_control(k) or model.is_unknown(k)):
             pieces[model.id_to_piece(k).replace("▁", " ")] = (k, model.get_score(k))
-    if byte is None or any(" " in p.lstrip(" ") for p in pieces) or model.get_piece_size() >= _OPEN:
+    if byte is None or any(" " in p.lstrip(" ") for p in pieces) or model.get_piece_size() > 65_535:
         raise ValueError("needs byte fallback, pieces that hold blanks only at their start, and ids of 16 bits")
     letters = sorted({c for p in pieces if len(p) > 1 for c in p})
     number = {c: k + 1 for k, c in enumerate(letters)}
@@ -158,28 +159,9 @@ def _groups(texts: list[str | None]):
         yield held
 
 
-_random: list[np.ndarray] = [np.empty(0, np.uint64)]
-
-
-def _factors(n: int) -> np.ndarray:
-    """A fixed random odd number for each of the first n positions within a word."""
-    if len(_random[0]) < n:
-        with np.errstate(over="ignore"):
-            _random[0] = mix(np.arange(1, 2 * n + 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    return _random[0]
-
-
-def _hashed(points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a sum of its code points, each times the factor of its position, mixed."""
-    at = np.arange(len(points), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
-    with np.errstate(over="ignore"):
-        return mix(np.add.reduceat((points + np.uint32(1)).astype(np.uint64) * _factors(int(sizes.max()))[at], starts))
-
-
 def _hashes_of(units: list[str]) -> np.ndarray:
     """The hashes of whole words."""
-    sizes = np.array([len(u) for u in units])
-    return _hashed(np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(sizes) - sizes, sizes)
+    return hashed(np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32), np.array([len(u) for u in units]))
 
 
 @dataclass
@@ -206,7 +188,7 @@ def cut_words(parts: list[str], model: PieceModel) -> Words:
     fresh[ends[:-1]] = True
     starts = np.flatnonzero(fresh)
     sizes = np.diff(starts, append=len(points))
-    return Words(points, starts, sizes, _hashed(points, starts, sizes), np.diff(np.searchsorted(starts, ends), prepend=0))
+    return Words(points, starts, sizes, hashed(points, sizes), np.diff(np.searchsorted(starts, ends), prepend=0))
 
 
 def word_counts(docs: DataFrame, model: PieceModel) -> DataFrame:
@@ -234,7 +216,7 @@ def word_counts(docs: DataFrame, model: PieceModel) -> DataFrame:
 
         for batch in batches:
             for group in _groups(batch.column(0).to_pylist()):
-                for parts in _blocks(group):
+                for parts, _ in _blocks(group):
                     words = cut_words(parts, model)
                     one, first, n = np.unique(words.hashes, return_index=True, return_counts=True)
                     fine = words.sizes[first] <= LONGEST
@@ -260,37 +242,39 @@ def word_counts(docs: DataFrame, model: PieceModel) -> DataFrame:
 
 
 def _blocks(group):
-    """The parts of a group, one after the other, a few at a time; a part that is long comes alone."""
-    held, size = [], 0
-    for _, parts in group:
+    """The parts of a group and the positions of their documents, a few at a time; a part that is long comes alone."""
+    held, owners, size = [], [], 0
+    for k, parts in group:
         for p in parts:
             if held and size + len(p) > 2 * SEGMENT:
-                yield held
-                held, size = [], 0
+                yield held, owners
+                held, owners, size = [], [], 0
             held.append(p)
+            owners.append(k)
             size += len(p)
     if held:
-        yield held
+        yield held, owners
 
 
 # --- the lattice ----------------------------------------------------------------------------------------------
 
 
-def _edges(words: DataFrame, model: PieceModel, keep: list[str]) -> DataFrame:
-    """``keep``, ``unit, edge``: every substring of a word that is a piece, and every single character, as a number.
+def _edges(words: DataFrame, model: PieceModel, key: list[str], carry: list[str]) -> DataFrame:
+    """``key, carry, unit, edge``: every substring of a word that is a piece, and every single character, as a number.
 
-    Rows whose ``unit`` is null stay as they are, with a null edge. The order of rows stays: the joined side is broadcast.
+    What is carried stands in one row of a word, the others hold null.
     """
     table = F.broadcast(_table(words.sparkSession, model))
-    starts = words.selectExpr(*keep, "unit", "explode_outer(CASE WHEN unit IS NOT NULL THEN sequence(0, length(unit) - 1) END) AS s")
-    spans = starts.selectExpr(*keep, "unit", "s", f"explode_outer(CASE WHEN s IS NOT NULL THEN sequence(1, least({model.longest}, length(unit) - s)) END) AS l")
-    met = spans.join(table, F.expr("substring(unit, s + 1, l) = piece"), "left").where("id IS NOT NULL OR l = 1 OR unit IS NULL")
+    once = lambda test: [f"CASE WHEN {test} THEN {c} END AS {c}" for c in carry]
+    starts = words.selectExpr(*key, *carry, "unit", "explode(sequence(0, length(unit) - 1)) AS s")
+    spans = starts.selectExpr(*key, *once("s = 0"), "unit", "s", f"explode(sequence(1, least({model.longest}, length(unit) - s))) AS l")
+    met = spans.join(table, F.expr("substring(unit, s + 1, l) = piece"), "left").where("id IS NOT NULL OR l = 1")
     # an edge is one number, in the order of the fold: rank, start, length, id; an unknown character has id 0
-    return met.selectExpr(*keep, "unit", "CASE WHEN unit IS NOT NULL THEN shiftleft(cast(coalesce(rank, 0) AS bigint), 27) | shiftleft(s, 21) | shiftleft(l, 16) | coalesce(id, 0) END AS edge")
+    return met.selectExpr(*key, *once("l = 1"), "unit", "shiftleft(cast(coalesce(rank, 0) AS bigint), 27) | shiftleft(s, 21) | shiftleft(l, 16) | coalesce(id, 0) AS edge")
 
 
 def _folded(lattice: DataFrame, model: PieceModel, keep: list[str]) -> DataFrame:
-    """``keep, ids``: the piece ids of ``unit`` by the fold over its ``edges``; null where there is no unit."""
+    """``keep, ids``: the piece ids of ``unit`` by the fold over its ``edges``."""
     at, size = "(shiftright({0}, 21) & 63)", "(shiftright({0}, 16) & 31)"
     ends = f"(shiftleft(1L, cast({at} AS int)) | shiftleft(1L, cast({at} + {size} AS int)))".format("x")
     inner = f"shiftleft(shiftleft(1L, cast({size} AS int) - 1) - 1, cast({at} AS int) + 1)".format("x")
@@ -316,19 +300,33 @@ def _exact(unit: str, model: PieceModel) -> list[int]:
     return ids
 
 
-def encode_words(units: DataFrame, model: PieceModel) -> DataFrame:
-    """``unit, ids``: the piece ids of distinct words of up to LONGEST characters, by the lattice and its fold."""
-    edges = _edges(units.select("unit"), model, [])
-    return _folded(edges.groupBy("unit").agg(F.collect_list("edge").alias("edges")), model, ["unit"])
+def encode_words(words: DataFrame, model: PieceModel, key: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """``unit, key, carry, ids``: the piece ids of words of up to LONGEST characters, by the lattice and its fold.
+
+    ``unit`` and ``key`` are unlike in all rows; where the rows are dealt by them, nothing is shuffled.
+    """
+    key, carry = key or [], carry or []
+    edges = _edges(words, model, key, carry)
+    lattice = edges.groupBy("unit", *key).agg(*(F.first(c, ignorenulls=True).alias(c) for c in carry), F.collect_list("edge").alias("edges"))
+    return _folded(lattice, model, ["unit", *key, *carry])
 
 
 @dataclass
 class Held:
-    """Words by hash, ascending, and their ids: those of word k are ``ids[ends[k] : ends[k + 1]]``."""
+    """Words by hash, ascending, and their ids: those of word k are ``ids[ends[k] : ends[k + 1]]``; others occur less than ``least`` times."""
 
     hashes: np.ndarray
     ends: np.ndarray
     ids: np.ndarray
+    least: int
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are of held words, and the places of these."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hit = self.hashes[at] == hashes
+        return hit, at[hit]
 
 
 def frequent(docs: DataFrame, model: PieceModel) -> Held:
@@ -343,14 +341,14 @@ def frequent(docs: DataFrame, model: PieceModel) -> Held:
             break
         least = r["level"]
     if least is None:
-        return Held(np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.uint16))
-    out = encode_words(counts.where(F.col("n") >= least), model).toArrow()
+        return Held(np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.uint16), 2)
+    out = encode_words(counts.where(F.col("n") >= least).select("unit"), model).toArrow()
     units, ids = out.column(0).to_pylist(), out.column(1).combine_chunks()
     keep = [k for k, u in enumerate(units) if not _far(u, model)]
     hashes = np.concatenate([np.empty(0, np.uint64), *(_hashes_of([units[k] for k in keep[i : i + SEGMENT]]) for i in range(0, len(keep), SEGMENT))])
     order = np.argsort(hashes)
     ids = ids.take(pa.array(np.array(keep, np.int64)[order]))
-    return Held(hashes[order], np.asarray(ids.offsets).astype(np.int64) - ids.offsets[0].as_py(), np.asarray(ids.flatten()).astype(np.uint16))
+    return Held(hashes[order], np.asarray(ids.offsets).astype(np.int64) - ids.offsets[0].as_py(), np.asarray(ids.flatten()).astype(np.uint16), int(least))
 
 
 # --- documents ------------------------------------------------------------------------------------------------
@@ -362,131 +360,38 @@ def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[
     return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
 
-class _Group:
-    """The words of some documents: ids where they are held or merged by the heap, _OPEN where the lattice is needed."""
-
-    def __init__(self, held: Held, model: PieceModel):
-        self.held, self.model = held, model
-        self.numbers: dict[int, int] = {}
-        self.open: list[str] = []
-        self.far: dict[int, np.ndarray] = {}
-
-    def encode(self, parts: list[str]):
-        """For each part: its ids, the numbers of its open words in their order, and how many words it has."""
-        words, held = cut_words(parts, self.model), self.held
-        at = np.minimum(np.searchsorted(held.hashes, words.hashes), max(len(held.hashes) - 1, 0))
-        hit = held.hashes[at] == words.hashes if len(held.hashes) else np.zeros(len(words.hashes), bool)
-        starts, sizes = np.zeros(len(hit), np.int64), np.ones(len(hit), np.int64)
-        starts[hit], sizes[hit] = held.ends[at[hit]], np.diff(held.ends)[at[hit]]
-        number = np.full(len(hit), -1, np.int64)
-        pool = held.ids
-        if not hit.all():
-            miss = np.flatnonzero(~hit)
-            one, first, back = np.unique(words.hashes[miss], return_index=True, return_inverse=True)
-            own, own_starts, own_sizes, own_numbers = [], [], [], []
-            end = len(pool)
-            for h, k in zip(one.tolist(), miss[first].tolist(), strict=True):
-                if h not in self.numbers and h not in self.far:
-                    text = words.text(k)
-                    if _far(text, self.model):
-                        self.far[h] = np.array(_exact(text, self.model), np.uint16)
-                    else:
-                        self.numbers[h] = len(self.open)
-                        self.open.append(text)
-                ids = self.far.get(h, _PLACE)
-                own.append(ids)
-                own_starts.append(end)
-                own_sizes.append(len(ids))
-                own_numbers.append(self.numbers.get(h, -1))
-                end += len(ids)
-            pool = np.concatenate((pool, *own))
-            starts[miss], sizes[miss], number[miss] = np.array(own_starts)[back], np.array(own_sizes)[back], np.array(own_numbers)[back]
-        flat, ends = _gathered(pool, starts, sizes)
-        last = np.cumsum(words.counts)
-        opened = np.split(number, last[:-1])
-        ids = np.split(flat, np.concatenate(([0], ends))[last[:-1]])
-        return [(i, o[o >= 0].astype(np.int32), int(n)) for i, o, n in zip(ids, opened, words.counts, strict=True)]
-
-
-_PLACE = np.array([_OPEN], np.uint16)
-_KIND = "_p binary, _r binary, _n long, _w int, unit string"
-
-
-def _as_rows(group, batch: pa.RecordBatch, state: _Group, names: list[str]):
-    """A batch that has the open words of a group first, then its documents with their ids and the numbers of their open words."""
-    made: dict[int, tuple[list, list, int]] = {}
-    flat = [(k, p) for k, parts in group for p in parts]
-    for k, _ in group:
-        made[k] = ([], [], 0)
-    held: list[tuple[int, str]] = []
-
-    def flush():
-        if held:
-            for (k, _), (ids, numbers, n) in zip(held, state.encode([p for _, p in held]), strict=True):
-                a, b, c = made[k]
-                a.append(ids.tobytes())
-                b.append(numbers.tobytes())
-                made[k] = (a, b, c + n)
-            held.clear()
-
-    size = 0
-    for k, p in flat:
-        if held and size + len(p) > 2 * SEGMENT:
-            flush()
-            size = 0
-        held.append((k, p))
-        size += len(p)
-    flush()
-    n, rows = len(state.open), batch.take(pa.array([k for k, _ in group], pa.int32()))
-    own = [pa.concat_arrays([pa.nulls(n, c.type), c]) for c in rows.columns]
-    docs = [made[k] for k, _ in group]
-    extra = [
-        pa.array([None] * n + [b"".join(d[0]) for d in docs], pa.binary()), pa.array([None] * n + [b"".join(d[1]) for d in docs], pa.binary()),
-        pa.array([None] * n + [d[2] for d in docs], pa.int64()), pa.array([*range(n)] + [-1] * len(docs), pa.int32()), pa.array(state.open + [None] * len(docs), pa.string()),
-    ]
-    return pa.RecordBatch.from_arrays([*own, *extra], names=names)
-
-
-def _packed(batches):
-    """Rows with an edge each, a word's next to each other, as a row a word with all its ``edges``; documents as they are."""
-    rest = None
-    for batch in batches:
-        if rest is not None:
-            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-        if not len(batch):
-            continue
-        number, at = np.asarray(batch.column(batch.schema.get_field_index("_w"))), batch.schema.get_field_index("edge")
-        fresh = np.ones(len(number), bool)
-        fresh[1:] = (number[1:] != number[:-1]) | (number[1:] < 0)
-        starts = np.flatnonzero(fresh)
-        if number[-1] >= 0:  # the last word may go on
-            batch, rest, starts = batch.slice(0, starts[-1]), batch.slice(starts[-1]), starts[:-1]
-        else:
-            rest = None
-        if len(starts):
-            yield _rows_of(batch, starts, at)
-    if rest is not None:
-        yield _rows_of(rest, np.zeros(1, np.int64), rest.schema.get_field_index("edge"))
-
-
-def _rows_of(batch: pa.RecordBatch, starts: np.ndarray, at: int) -> pa.RecordBatch:
-    edges = pa.ListArray.from_arrays(pa.array(np.append(starts, len(batch)), pa.int32()), batch.column(at))
-    first = batch.take(pa.array(starts))
-    columns = [edges if k == at else c for k, c in enumerate(first.columns)]
-    return pa.RecordBatch.from_arrays(columns, names=["edges" if k == at else f for k, f in enumerate(batch.schema.names)])
+def _encoded_parts(words: Words, held: Held, model: PieceModel, known: dict[int, np.ndarray]) -> list[np.ndarray]:
+    """The ids of each part. ``known`` has those of words that are not held, and gets those of words that the heap merges."""
+    hit, at = held.places(words.hashes)
+    starts, sizes = np.zeros(len(hit), np.int64), np.ones(len(hit), np.int64)
+    starts[hit], sizes[hit] = held.ends[at], held.ends[at + 1] - held.ends[at]
+    pool = held.ids
+    if not hit.all():
+        miss = np.flatnonzero(~hit)
+        one, first, back = np.unique(words.hashes[miss], return_index=True, return_inverse=True)
+        own = []
+        for h, k in zip(one.tolist(), miss[first].tolist(), strict=True):
+            if h not in known:
+                known[h] = np.array(_exact(words.text(k), model), np.uint16)
+            own.append(known[h])
+        own_sizes = np.array([len(x) for x in own])
+        starts[miss], sizes[miss] = (len(pool) + np.cumsum(own_sizes) - own_sizes)[back], own_sizes[back]
+        pool = np.concatenate((pool, *own))
+    flat, ends = _gathered(pool, starts, sizes)
+    return np.split(flat, np.concatenate(([0], ends))[np.cumsum(words.counts)[:-1]])
 
 
 def encode_documents(docs: DataFrame, model: PieceModel) -> DataFrame:
     """Adds ``ids`` (array of int) to the columns of ``docs``: the pieces of every whole text, as the library gives them.
 
-    Null and empty texts have no ids; the same text always gets the same ids. Rows are never told apart, so any doc_id,
-    repeated rows and an empty table are fine. An own column ``ids`` is replaced; other columns stay. Only counts of words
-    are shuffled.
+    Null and empty texts have no ids; the same text always gets the same ids. Any doc_id, repeated rows and an empty table
+    are fine. An own column ``ids`` is replaced; other columns stay. Every row is shuffled once, its text compressed.
     """
     own = [c for c in docs.columns if c != "ids"]
 
-    def whole(batch, ids, words):
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(own)], ids], names=[*own, "ids"])
+    def whole(batch, texts, ids, words):
+        columns = [texts if c == "text" else batch.column(k) for k, c in enumerate(own)]
+        return pa.RecordBatch.from_arrays([*columns, ids], names=[*own, "ids"])
 
     return _encoded(docs.select(*own), model, whole, f"{_kind(docs, own)}, ids array<int>")
 
@@ -495,54 +400,92 @@ def _kind(docs: DataFrame, own: list[str]) -> str:
     return ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
 
 
+def _open_words(docs: DataFrame, shared) -> DataFrame:
+    """``key, hash, unit`` of ``key, text``: the words of each text that are not held and have a lattice, once."""
+
+    def find(batches):
+        held, model = shared.value
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            for group in _groups(batch.column(1).to_pylist()):
+                found: dict[tuple[int, int], str] = {}
+                for parts, owners in _blocks(group):
+                    words = cut_words(parts, model)
+                    hit, _ = held.places(words.hashes)
+                    miss = np.flatnonzero(~hit)
+                    owner = np.repeat(owners, words.counts)[miss]
+                    for d, h, k in zip(owner.tolist(), words.hashes[miss].tolist(), miss.tolist(), strict=True):
+                        if (d, h) not in found:
+                            found[d, h] = words.text(k)
+                rows = [(keys[d], h, u) for (d, h), u in found.items() if not _far(u, model)]
+                if rows:
+                    key, h, unit = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(unit, pa.string())], names=["key", "hash", "unit"])
+
+    return docs.mapInArrow(find, "key long, hash long, unit string")
+
+
 def _encoded(docs: DataFrame, model: PieceModel, finish, kind: str) -> DataFrame:
-    """What ``finish`` makes of some rows of ``docs``, the ids of each whole text and its number of words."""
-    shared = docs.sparkSession.sparkContext.broadcast((frequent(docs, model), model))
+    """What ``finish`` makes of some rows of ``docs``, their texts, the ids of each whole text and its number of words.
+
+    Rows are known by a hash of their columns that have one, so copies of a text with other columns go separate ways. Rows
+    that share a hash share their open words, which changes nothing, as a word is looked up by its own hash.
+    """
+    held = frequent(docs, model)
+    shared = docs.sparkSession.sparkContext.broadcast((held, model))
     own = docs.columns
-    inner = [f"_{k}" for k in range(len(own))]
     at = own.index("text")
-    names = [*inner, "_p", "_r", "_n", "_w", "unit"]
+    plain = [c for c in own if not isinstance(docs.schema[c].dataType, (MapType, VariantType))]
+    keyed = docs.select(F.xxhash64(*plain).alias("key"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(own)))
 
-    def split(batches):
-        held, model = shared.value
+    # a row of an open word has some of the keys of its documents; with many, the word has more rows
+    part = F.pmod("key", F.lit(max(1, held.least // KEYS)))
+    units = _open_words(keyed.select("key", f"_{at}"), shared).groupBy("unit", part.alias("part")).agg(F.first("hash").alias("hash"), F.collect_list("key").alias("keys"))
+    found = encode_words(units, model, ["part"], ["hash", "keys"]).select(F.explode("keys").alias("key"), F.struct("hash", "ids").alias("word"))
+    found = found.groupBy("key").agg(F.collect_list("word").alias("words"))
+
+    def pack(batches):
+        codec = pa.Codec("zstd")
         for batch in batches:
-            for group in _groups(batch.column(at).to_pylist()):
-                yield _as_rows(group, batch, _Group(held, model), names)
+            texts = [None if t is None else (len(b := t.encode("utf-8", "surrogatepass")), codec.compress(b, asbytes=True)) for t in batch.column(at + 1).to_pylist()]
+            columns = [*batch.columns, pa.array([None if t is None else t[0] for t in texts], pa.int64())]
+            columns[at + 1] = pa.array([None if t is None else t[1] for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "size"])
+
+    types = [("binary" if k == at else docs.schema[c].dataType.simpleString()) for k, c in enumerate(own)]
+    packed = keyed.mapInArrow(pack, "key long, " + ", ".join(f"_{k} {t}" for k, t in enumerate(types)) + ", size long")
 
     def assemble(batches):
-        ids: list[list[int]] = []
-        closed = True
+        held, model = shared.value
+        codec = pa.Codec("zstd")
         for batch in batches:
-            number, words = batch.column(len(own) + 3).to_pylist(), batch.column(len(own) + 4)
-            payload, opened = batch.column(len(own)), batch.column(len(own) + 1)
-            flat, ends, rows = [], [0], []
-            for k, w in enumerate(number):
-                if w >= 0:
-                    if closed:
-                        ids, closed = [], False
-                    ids.append(np.array(words[k].as_py(), np.int32))
-                    continue
-                closed = True
-                plain, need = np.frombuffer(payload[k].as_py(), np.uint16).astype(np.int32), np.frombuffer(opened[k].as_py(), np.int32)
-                if len(need):
-                    parts, before = [], 0
-                    for j, p in zip(need.tolist(), np.flatnonzero(plain == _OPEN).tolist(), strict=True):
-                        parts += [plain[before:p], ids[j]]
-                        before = p + 1
-                    plain = np.concatenate((*parts, plain[before:]))
-                flat.append(plain)
-                ends.append(ends[-1] + len(plain))
-                rows.append(k)
-            if rows:
-                docs = batch.take(pa.array(rows, pa.int32()))
-                made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
-                yield finish(docs, made, docs.column(len(own) + 2))
-
-    stay = ", ".join(f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(inner, own, strict=True))
-    rows = docs.mapInArrow(split, f"{stay}, {_KIND}")
-    keep = [*inner, "_p", "_r", "_n", "_w"]
-    lattice = _edges(rows, model, keep).mapInArrow(_packed, f"{stay}, _p binary, _r binary, _n long, _w int, unit string, edges array<long>")
-    return _folded(lattice, model, keep).mapInArrow(assemble, kind)
+            sizes, words = batch.column(len(own)), batch.column(len(own) + 1)
+            texts = [t if t is None else codec.decompress(t, n, asbytes=True).decode("utf-8", "surrogatepass") for t, n in zip(batch.column(at).to_pylist(), sizes.to_pylist(), strict=True)]
+            for group in _groups(texts):
+                known = _known(words.slice(group[0][0], len(group)))
+                made, counts = [[] for _ in group], [0] * len(group)
+                for parts, owners in _blocks(group):
+                    cut_up = cut_words(parts, model)
+                    for d, ids, n in zip(owners, _encoded_parts(cut_up, held, model, known), cut_up.counts.tolist(), strict=True):
+                        made[d - group[0][0]].append(ids)
+                        counts[d - group[0][0]] += n
+                flat = [x for ids in made for x in ids]
+                ends = np.cumsum([0, *(sum(map(len, ids)) for ids in made)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat).astype(np.int32) if flat else np.empty(0, np.int32)))
+                yield finish(batch.slice(group[0][0], len(group)), pa.array(texts[group[0][0] : group[0][0] + len(group)], pa.string()), ids, pa.array(counts, pa.int64()))
+
+    return packed.join(found, "key", "left").select(*(f"_{k}" for k in range(len(own))), "size", "words").mapInArrow(assemble, kind)
+
+
+def _known(words: pa.ListArray) -> dict[int, np.ndarray]:
+    """The ids of the words of some documents by hash, from their lists of (hash, ids)."""
+    rows = words.flatten()
+    if not len(rows):
+        return {}
+    hashes, ids = (rows.field(k) for k in (0, 1))
+    ends = np.asarray(ids.offsets)
+    flat = np.asarray(ids.values).astype(np.uint16)
+    return dict(zip(np.asarray(hashes).view(np.uint64).tolist(), (flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), strict=True))
 
 
 def decode_ids(rows: DataFrame, model: PieceModel, column: str = "ids", name: str = "decoded") -> DataFrame:
@@ -583,7 +526,7 @@ def encoding_digests(docs: DataFrame, model: PieceModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast([parts.get(k, b"") for k in range(max(parts) + 1)])
     held: dict[str, object] = {}
 
-    def digest(batch, ids, words):
+    def digest(batch, texts, ids, words):
         if not held:
             held.update(parts=pa.array(shared.value, pa.large_binary()), powers=_powers(1))
         flat, ends = np.asarray(ids.values), np.asarray(ids.offsets).astype(np.int64)
@@ -597,10 +540,10 @@ def encoding_digests(docs: DataFrame, model: PieceModel) -> DataFrame:
         at = np.frombuffer(decoded.buffers()[1], np.int64)[ends] if len(flat) else np.zeros(len(ends), np.int64)
         spelled = memoryview(decoded.buffers()[2] or b"").cast("B")
         back = []
-        for k, text in enumerate(batch.column(1).to_pylist()):
+        for k, text in enumerate(texts.to_pylist()):
             wanted = (" " + text.replace("▁", " ")).encode("utf-8", "surrogatepass") if text else b""
             back.append(spelled[at[k] : at[k + 1]] == wanted)
-        made = [words.cast(pa.int64()), pa.array(n, pa.int64()), ids, pa.array(total, pa.int64()), pa.array(back, pa.bool_())]
+        made = [words, pa.array(n, pa.int64()), ids, pa.array(total, pa.int64()), pa.array(back, pa.bool_())]
         return pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_words", "n_tokens", "ids", "ids_digest", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

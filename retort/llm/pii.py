@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.common import count_of, cut, documents
+from retort.llm.common import PIECE, before, count_of, cut, documents, let, most, piece_slice, pieces_of, total
 
 # The certain kinds in their order, then the kinds that only the classifier reports.
 BASE = ("email", "ip", "card", "phone")
@@ -46,36 +46,6 @@ FOR = r"(?i)\b(?:e-?mail|mail|contact|call|phone|tel|mobile|fax|card|visa|credit
 AGAINST = r"(?i)\b(?:version|isbn|issn|serial|order|invoice|part|build|release|section|figure|table)\b"
 
 
-#: Code points of a piece of a text; any place in a text is reached by its piece.
-PIECE = 256
-
-
-def _let(value: Column, body) -> Column:
-    """What ``body`` makes of a value that is worked out once, however often a lambda in it uses the value."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def _before(values: Column, fold) -> Column:
-    """For each item the fold over the items before it; by blocks, so that n items take about n ** (4 / 3) steps."""
-    zero = F.lit(0)
-    n = F.size(values)
-
-    def made(width):
-        blocks = F.transform(F.sequence(zero, F.greatest(n - 1, zero), width), lambda at: fold(F.slice(values, at + 1, width)))
-        past = _let(blocks, lambda b: F.transform(b, lambda _, k: fold(F.slice(b, F.lit(1), k))))
-        return _let(past, lambda p: F.transform(values, lambda _, k: fold(F.array(F.get(p, F.floor(k / width).cast("int")), fold(F.slice(values, (k - k % width) + 1, k % width))))))
-
-    return _let(F.greatest(F.lit(1), F.ceil(F.cbrt(n)).cast("int")), made)
-
-
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
-
-
-def _most(values: Column) -> Column:
-    return F.coalesce(F.array_max(values), F.lit(0))
-
-
 def _masked(text: Column) -> Column:
     """The text with DOT for each dot that no label follows; a DOT that it holds becomes another control character."""
     return F.regexp_replace(F.translate(text, DOT, "\x02"), r"\.(?![A-Za-z0-9-])", DOT)
@@ -86,8 +56,8 @@ def _located(text: Column, pattern: str, tried: Column) -> Column:
     kind = "array<struct<start:int,end:int,hit:string>>"
     placed = lambda hits, ends: F.zip_with(hits, ends, lambda h, e: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit")))
     steps = lambda hits: F.zip_with(hits, F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(hits)), lambda h, g: F.length(h) + g)
-    ends = lambda hits: _let(steps(hits), lambda s: F.zip_with(_before(s, _total), s, lambda a, b: a + b))
-    found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, placed(hits, ends(hits))))
+    ends = lambda hits: let(steps(hits), lambda s: F.zip_with(before(s, total), s, lambda a, b: a + b))
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, placed(hits, ends(hits))))
     return F.coalesce(F.when(tried, found), F.array().cast(kind))
 
 
@@ -102,18 +72,14 @@ def _cards(runs: Column) -> Column:
     def parts(run):
         gaps = F.transform(F.regexp_extract_all(run["hit"], F.lit(cutter), F.lit(0)), F.length)
         steps = lambda p: F.zip_with(p, gaps, lambda x, g: F.length(x) + F.coalesce(g, F.lit(0)))
-        starts = lambda p: _let(steps(p), lambda s: _before(s, _total))
-        return _let(F.split(run["hit"], cutter, -1), lambda p: F.zip_with(p, starts(p), lambda x, at: F.struct(
+        starts = lambda p: let(steps(p), lambda s: before(s, total))
+        return let(F.split(run["hit"], cutter, -1), lambda p: F.zip_with(p, starts(p), lambda x, at: F.struct(
             (run["start"] + at).alias("start"), (run["start"] + at + F.length(x)).alias("end"), x.alias("hit"))))
 
     fit = lambda s: F.length(_digits(s["hit"])).between(13, 19) & F.call_function("luhn_check", _digits(s["hit"]))
     return F.filter(F.flatten(F.transform(runs, parts)), fit)
 
 
-def _pieces_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
-
-
 def _short(pieces: Column, at: Column, n: Column) -> Column:
     """Up to PIECE code points of a text from a place on; found by the piece, as counting from the start takes too long."""
     k = F.floor(at / PIECE).cast("int")
@@ -165,7 +131,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         return F.transform(name, votes)
 
     kind = "array<struct<at:int,kind:string,start:int,end:int,regex:int,gazetteer:int,context:int,edges:int>>"
-    made = _let(_pieces_of(text), lambda pieces: F.concat(*(voted(pieces, k, name) for k, name in enumerate(KINDS))))
+    made = let(pieces_of(text), lambda pieces: F.concat(*(voted(pieces, k, name) for k, name in enumerate(KINDS))))
     some = sum((F.size(name) for name in KINDS), F.lit(0)) > 0
     return df.select("_row", "text", F.coalesce(F.when(some, made), F.array().cast(kind)).alias("cands"))
 
@@ -273,24 +239,17 @@ def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:
     found = _found(docs.select(F.struct(*names).alias("_row"), "text"), least)
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("kind"))))
 
-    def slice_of(pieces, a, b):
-        """Code points a to b; whole pieces in the middle."""
-        k, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
-        near, far = F.coalesce(F.get(pieces, k), F.lit("")), F.coalesce(F.get(pieces, last), F.lit(""))
-        across = F.concat(F.substring(near, a % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, k + 2, F.greatest(last - k - 1, F.lit(0))), ""), F.substring(far, F.lit(1), b % PIECE))
-        return F.when(k == last, F.substring(near, a % PIECE + 1, b - a)).otherwise(across)
-
     def rewritten(spans):
-        ends = _let(F.transform(spans, lambda s: s["end"]), lambda e: _before(e, _most))
+        ends = before(F.transform(spans, lambda s: s["end"]), most)
 
         def parts(pieces):
-            each = F.zip_with(spans, ends, lambda s, past: F.when(s["start"] < past, "").otherwise(F.concat(slice_of(pieces, past, s["start"]), F.lit("["), s["kind"], F.lit("]"))))
-            tail = slice_of(pieces, _most(F.transform(spans, lambda s: s["end"])), F.length("text"))
+            each = F.zip_with(spans, ends, lambda s, past: F.when(s["start"] < past, "").otherwise(F.concat(piece_slice(pieces, past, s["start"]), F.lit("["), s["kind"], F.lit("]"))))
+            tail = piece_slice(pieces, most(F.transform(spans, lambda s: s["end"])), F.length("text"))
             return F.concat(F.array_join(each, ""), tail)
 
-        return _let(_pieces_of(F.col("text")), parts)
+        return let(pieces_of(F.col("text")), parts)
 
-    new = F.when(F.size("spans") > 0, _let(by_start, rewritten)).otherwise(F.col("_row.text"))
+    new = F.when(F.size("spans") > 0, let(by_start, rewritten)).otherwise(F.col("_row.text"))
     out = found.withColumn("_new", new)
     columns = []
     for c in names:

@@ -7,62 +7,114 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retort.llm.common import documents
-from retort.llm.vectors import best, tiles, usable
+from retort.llm.vectors import best, power_above, tiles, usable
 
-#: Dimensions whose postings are processed between two tests for the proof.
-SEGMENT = 8
+#: Levels of a quantised impact, to either side of 0.
+LEVELS = 16
+#: Segments that are processed between two tests for the proof.
+SEGMENTS = 128
 
 
-def impact_ordered(k: int):
-    """A search of one tile. Its index holds, per dimension, the quantised impacts of all rows, and per row its norm.
+class Index:
+    """The impact-ordered postings of one block of rows.
 
-    A dense vector has a posting in every dimension, so a segment is the postings of a few dimensions. Segments are
-    processed by descending impact, |query component| times spread of the dimension. Rows whose bound, what they
-    have plus the norms of what is left (Cauchy-Schwarz), is under the k-th best guaranteed score are out; when few
-    are left, these possible members are scored exactly, in integers.
+    A posting says in which row a dimension has which quantised impact: the component in LEVELS steps of the dimension's
+    largest one. Postings lie by dimension and impact; those of one dimension and one impact are a segment. ``rows`` has
+    them end to end, ``ends`` where each begins and ends, ``dims`` and ``impacts`` what it is of; ``rest`` is the norm of what
+    the impacts of a row leave out.
+    """
+
+    def __init__(self, c: np.ndarray):
+        x = c / power_above(c)
+        step = np.abs(x).max(0, initial=0.0) / LEVELS
+        level = np.rint(x / np.where(step > 0, step, 1.0)).astype(np.int16)
+        n, width = x.shape
+        kind = (np.arange(width)[:, None] * (2 * LEVELS + 1) + level.T + LEVELS).ravel()
+        order = np.argsort(kind, kind="stable")
+        kinds, starts = np.unique(kind[order], return_index=True)
+        self.rows = np.tile(np.arange(n), width)[order]
+        self.ends = np.append(starts, len(order)).tolist()
+        self.dims = kinds // (2 * LEVELS + 1)
+        self.impacts = (kinds % (2 * LEVELS + 1) - LEVELS) * step[self.dims]
+        self.rest = np.sqrt(((x - level * step) ** 2).sum(1)) * (1 + 1e-9) + 1e-12
+
+
+def _to_come(dims: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each place in an order of segments, and the end: the sum, over the dimensions, of the largest size from there on.
+
+    Sizes fall, so a dimension's largest one is that of its next segment.
+    """
+    by = np.argsort(dims, kind="stable")
+    past = np.full(len(dims), -1)
+    past[by[1:]] = np.where(dims[by[1:]] == dims[by[:-1]], by[:-1], -1)
+    change = np.bincount(past + 1, sizes, len(dims) + 2)[: len(dims) + 2]
+    change[1 : len(dims) + 1] -= sizes
+    return np.maximum(np.cumsum(change)[: len(dims) + 1], 0.0)
+
+
+def _exact_scores(rows: np.ndarray, query: np.ndarray, scale: float) -> np.ndarray:
+    """Inner products of the whole numbers rows * scale and query * scale: of any size, beyond what doubles hold exactly."""
+    if not len(rows) or float(np.abs(rows).max()) * scale < 2.0**53 / (float(np.abs(query).max()) * scale * len(query) + 1):
+        return ((rows * scale) @ (query * scale)).astype(np.int64)
+    whole = lambda row: [int(x) * int(scale) if abs(x) >= 2.0**53 else int(x * scale) for x in row]
+    own = whole(query.tolist())
+    return np.array([sum(a * b for a, b in zip(whole(row), own, strict=True)) for row in rows.tolist()], object)
+
+
+def impact_ordered(k: int, scale: float):
+    """A search of one tile, score at a time.
+
+    Segments are processed by descending size of the query's component times the impact, whatever their dimension; each
+    adds that product to the scores of its rows. What is still to come for a row is, per dimension, at most the product of
+    the next segment; what quantisation left out is at most the query's norm times the row's. The search stops as soon as
+    this proves all but a few rows to be below the k-th best; these possible members are scored exactly, in whole numbers.
     """
 
     def search(q, c_ids, c, own):
-        postings = np.ascontiguousarray(c.T)
-        spread = postings.max(1) - postings.min(1) if len(c) else np.zeros(q.shape[1])
-        norms = (c * c).sum(1)
-        exact = c.astype(np.int64)
-        for query, me in zip(q, own, strict=True):
-            order = np.argsort(-np.abs(query) * spread, kind="stable")
-            rest_q = np.concatenate((np.cumsum((query[order] ** 2)[::-1])[::-1], [0.0]))
-            alive = np.flatnonzero(c_ids != me)
-            have, left = np.zeros(len(alive)), norms[alive]
-            whole = len(alive) == len(c)
-            at = 0
-            while at < len(order) and len(alive) > 4 * k:
-                dims = order[at : at + SEGMENT]
-                part = postings[dims] if whole else postings[dims[:, None], alive]
-                have += query[dims] @ part
-                left = left - (part * part).sum(0)
-                at += len(dims)
-                slack = np.sqrt(np.maximum(left, 0) * rest_q[at]) * (1 + 1e-9) + 1e-6
-                low = have - slack
-                floor = np.partition(low, len(low) - k)[len(low) - k]
-                keep = have + slack >= floor
-                if keep.sum() < 0.7 * len(alive):
-                    alive, have, left, whole = alive[keep], have[keep], left[keep], False
-            yield alive, exact[alive] @ query.astype(np.int64)
+        index, top = Index(c), power_above(q)
+        for original, me in zip(q, own, strict=True):
+            query = original / top
+            add = query[index.dims] * index.impacts
+            order = np.argsort(-np.abs(add), kind="stable")
+            order = order[add[order] != 0]
+            to_come = _to_come(index.dims[order], np.abs(add)[order])
+            off = np.sqrt((query * query).sum()) * index.rest + 1e-300
+            usual = float(np.median(off)) if len(off) else 0.0
+            have, alive = np.zeros(len(c)), np.flatnonzero(c_ids != me)
+            places = order.tolist()
+            for at in range(0, len(places) + 1, SEGMENTS):
+                for s in places[at : at + SEGMENTS]:
+                    have[index.rows[index.ends[s] : index.ends[s + 1]]] += add[s]
+                done = min(at + SEGMENTS, len(places))
+                if (to_come[done] < 2 * usual or done == len(places)) and len(alive) > k:
+                    slack = off[alive] + to_come[done] * (1 + 1e-9)
+                    low = have[alive] - slack
+                    possible = have[alive] + slack >= np.partition(low, len(low) - k)[len(low) - k]
+                    if possible.sum() <= 4 * k or done == len(places):
+                        alive = alive[possible]
+                        break
+            yield alive, _exact_scores(c[alive], original, scale)
 
     return search
 
 
 def exact_top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0) -> DataFrame:
-    """Each query's k highest inner products of the integer vectors floor(scale * component).
+    """Each query's k highest inner products of the integer vectors floor(scale * component), scale a power of two.
 
     Queries are the rows of ``vectors`` (``vec_id, embedding``) whose vec_id is divisible by ``every``; candidates are all
     rows but those with the query's vec_id. Returns ``query_id, rank, vec_id, score``; ties go to the smaller vec_id, a
-    query with fewer candidates gets all. Vectors that are null or empty or hold null or non-finite components, or ones
-    of 2**20 / scale or more, take no part, nor do rows without vec_id; vectors meet those of their own length only.
-    Equal rows count once. Extra columns are ignored; an empty table gives no rows.
+    query with fewer candidates gets all. Vectors that are null or empty or hold null or non-finite components take no
+    part, nor do rows without vec_id; vectors meet those of their own length only. Components of any size are scored
+    exactly: a score beyond 64 bits is ranked by its exact value and returned as the nearest number of 64 bits. Equal
+    rows count once; rows of one vec_id with different vectors are candidates each, and as queries they get the best
+    of all their results together. Extra columns are ignored; an empty table gives no rows.
     """
-    rows = usable(vectors, nonzero=False).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
-    rows = rows.where(F.forall("v", lambda x: F.abs(x) < 2.0**20))
-    return best(tiles(rows, F.col("id") % every == 0), impact_ordered(k), k, descending=True, kind="long")
+    if np.frexp(scale)[0] != 0.5:
+        raise ValueError("scale must be a power of two")
+    # whole numbers over scale; from 2 ** 53 on, a double has no fraction, whatever it is multiplied by
+    whole = lambda x: F.when(F.abs(x) < 2.0**53 / scale, F.floor(x * scale) / scale).otherwise(x)
+    rows = usable(vectors, nonzero=False).withColumn("v", F.transform("v", whole))
+    return best(tiles(rows, F.col("id") % every == 0), impact_ordered(k, scale), k, descending=True, kind="long")
 
 
 def op6_exact_top_k(spark, sf_dir):

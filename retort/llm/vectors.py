@@ -53,6 +53,11 @@ def tiles(vectors: DataFrame, is_query: Column) -> DataFrame:
     return made.join(others, ["dim", "cb"]).select("q_ids", "q_vs", "c_ids", "c_vs")
 
 
+def power_above(x: np.ndarray) -> float:
+    """A power of two above all sizes of an array, so that dividing by it is exact and no square overflows."""
+    return 2.0 ** int(np.clip(np.frexp(np.abs(x).max(initial=0.0))[1], -1000, 1000))
+
+
 def _matrix(column: pa.ListArray, k: int) -> np.ndarray:
     inner = column[k].values
     return np.asarray(inner.flatten()).reshape(len(inner), -1)
@@ -62,29 +67,38 @@ def best(tiled: DataFrame, search: Callable, k: int, descending: bool, kind: str
     """Each query's k best of all tiles: ``query_id, rank, vec_id, score``; ties go to the smaller vec_id.
 
     search(q, c_ids, c, own): for queries q, yields per query the positions and scores of at least its k best
-    candidates of the tile; ``own`` are the queries' ids, which must be passed over.
+    candidates of the tile; ``own`` are the queries' ids, which must be passed over. Whole scores may have any size: beyond
+    64 bits they go to the merging in full, as text.
     """
     arrow = pa.int64() if kind == "long" else pa.float64()
     sign = -1 if descending else 1
+    least, largest = -(1 << 63), (1 << 63) - 1
 
     def scan(batches):
         for batch in batches:
             for t in range(len(batch)):
                 q_ids, c_ids = (np.asarray(batch.column(i)[t].values) for i in (0, 2))
-                a, b, s = [], [], []
+                a, b, s, big = [], [], [], []
                 for own, (at, score) in zip(q_ids, search(_matrix(batch.column(1), t), c_ids, _matrix(batch.column(3), t), q_ids), strict=True):
-                    order = np.lexsort((c_ids[at], sign * score))[:k]
+                    if score.dtype == object:
+                        order = sorted(range(len(at)), key=lambda i: (sign * score[i], c_ids[at[i]]))[:k]
+                        big += [None if least <= x <= largest else str(x) for x in score[order]]
+                        score = np.array([min(max(x, least), largest) for x in score], np.int64)
+                    else:
+                        order = np.lexsort((c_ids[at], sign * score))[:k]
+                        big += [None] * len(order)
                     a.append(np.full(len(order), own))
                     b.append(c_ids[at][order])
                     s.append(score[order])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(s), arrow)], names=["query_id", "vec_id", "score"])
+                columns = [pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(s), arrow), pa.array(big, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score", "big"])
 
     def merge(batches):
         heaps: dict[int, list] = {}
         for batch in batches:
-            for q, v, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for q, v, s, big in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 heap = heaps.setdefault(q, [])
-                item = (-sign * s, -v)
+                item = (-sign * (s if big is None else int(big)), -v)
                 if len(heap) < k:
                     heapq.heappush(heap, item)
                 else:
@@ -92,7 +106,8 @@ def best(tiled: DataFrame, search: Callable, k: int, descending: bool, kind: str
         out = [(q, r + 1, -v, -sign * s) for q, heap in heaps.items() for r, (s, v) in enumerate(sorted(heap, reverse=True))]
         if out:
             q, r, v, s = zip(*out, strict=True)
+            s = [min(max(x, least), largest) for x in s] if kind == "long" else s
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(r, pa.int32()), pa.array(v, pa.int64()), pa.array(s, arrow)], names=["query_id", "rank", "vec_id", "score"])
 
-    found = tiled.mapInArrow(scan, f"query_id long, vec_id long, score {kind}")
+    found = tiled.mapInArrow(scan, f"query_id long, vec_id long, score {kind}, big string")
     return found.repartition("query_id").mapInArrow(merge, f"query_id long, rank int, vec_id long, score {kind}")

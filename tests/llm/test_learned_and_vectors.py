@@ -51,6 +51,49 @@ def test_nearest(spark):
     assert nearest.nearest_neighbours(few, every=50, k=6).count() == 2
 
 
+def brute_top_k(rows, every, k):
+    """By exact whole numbers; rows: (id, vector)."""
+    import math
+
+    whole = lambda x: int(x) * 64 if abs(x) >= 2.0**53 else math.floor(x * 64)
+    ints = [(i, [whole(x) for x in v]) for i, v in rows]
+    out = []
+    for i, v in ints:
+        if i % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in ints if j != i)[:k]
+            out += [(i, r + 1, j, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, j) in enumerate(scored)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [1e-3, 1.0, 1e5, 1e9, 1e155, 1e200, 1e307])
+def test_vectors_of_any_size(spark, size):
+    from fractions import Fraction
+
+    rng = np.random.default_rng(3)
+    rows = [(k, (rng.normal(size=5) * (size if k % 3 else 1.0)).tolist()) for k in range(90)] + [(90, [20000.0, 1.0, 0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.exact_top_k(frame, every=10, k=6).collect()) == brute_top_k(rows, 10, 6)
+    got = {}
+    for r in nearest.nearest_neighbours(frame, every=10, k=6).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for i, v in rows:
+        if i % 10 == 0:
+            true = {j: sum((Fraction(a) - Fraction(b)) ** 2 for a, b in zip(v, w, strict=True)) for j, w in rows if j != i}
+            found = sorted(got[i])
+            assert [r for r, _, _ in found] == [1, 2, 3, 4, 5, 6]
+            assert all(abs(Fraction(s) ** 2 - true[j]) * 10**9 <= true[j] for _, j, s in found)
+            assert max(true[j] for _, j, _ in found) <= sorted(true.values())[5] * (1 + Fraction(1, 10**9))
+
+
+def test_vector_searches_of_odd_tables(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [1.0, 0.0]), (2, [0.0, 2.5]), (2, [0.0, 2.5]), (3, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS score", "2 AS v", "3 AS dim")
+    got = [tuple(r) for r in nearest.nearest_neighbours(frame, every=50, k=3).orderBy("rank").collect()]
+    assert [(v, round(s, 6)) for _, _, v, s in got] == [(1, 0.0), (2, 0.5), (1, round(5**0.5, 6))]
+    assert [r["vec_id"] for r in topk.exact_top_k(frame, every=50, k=2).orderBy("rank").collect()] == [2, 1]
+    assert nearest.nearest_neighbours(frame.limit(0)).count() == topk.exact_top_k(frame.limit(0)).count() == 0
+
+
 def corpus(seed, n=700):
     rng = random.Random(seed)
     syllables = ["ta", "lo", "mi", "ren", "sto", "vek", "ul", "ban", "dri", "os"]
