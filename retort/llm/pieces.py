@@ -120,10 +120,9 @@ def load_pieces(path: str) -> PieceModel:
 
 
 def _table(spark: SparkSession, model: PieceModel) -> DataFrame:
-    """The piece table: piece, id, rank by descending score. As many rows as the model has pieces."""
-    order = sorted(model.pieces, key=lambda p: (-model.pieces[p][1], model.pieces[p][0]))
-    rows = [(p, model.pieces[p][0], k) for k, p in enumerate(order)]
-    return spark.createDataFrame(rows, "piece string, id int, rank int").coalesce(1)
+    """The pieces of two characters and more: piece, rank by descending score. At most as many rows as the model has pieces."""
+    order = sorted((p for p in model.pieces if len(p) > 1), key=lambda p: (-model.pieces[p][1], model.pieces[p][0]))
+    return spark.createDataFrame([(p, k) for k, p in enumerate(order)], "piece string, rank int").coalesce(1)
 
 
 # --- cutting texts into words, vectorised ----------------------------------------------------------------------
@@ -260,32 +259,33 @@ def _blocks(group):
 
 
 def _edges(words: DataFrame, model: PieceModel, key: list[str], carry: list[str]) -> DataFrame:
-    """``key, carry, unit, edge``: every substring of a word that is a piece, and every single character, as a number.
+    """``key, carry, unit, edge``: every substring of a word that is a longer piece, as a number; its first character has a null edge.
 
-    What is carried stands in one row of a word, the others hold null.
+    What is carried stands in the row of the first character, the others hold null.
     """
     table = F.broadcast(_table(words.sparkSession, model))
     once = lambda test: [f"CASE WHEN {test} THEN {c} END AS {c}" for c in carry]
-    starts = words.selectExpr(*key, *carry, "unit", "explode(sequence(0, length(unit) - 1)) AS s")
-    spans = starts.selectExpr(*key, *once("s = 0"), "unit", "s", f"explode(sequence(1, least({model.longest}, length(unit) - s))) AS l")
-    met = spans.join(table, F.expr("substring(unit, s + 1, l) = piece"), "left").where("id IS NOT NULL OR l = 1")
-    # an edge is one number, in the order of the fold: rank, start, length, id; an unknown character has id 0
-    return met.selectExpr(*key, *once("l = 1"), "unit", "shiftleft(cast(coalesce(rank, 0) AS bigint), 27) | shiftleft(s, 21) | shiftleft(l, 16) | coalesce(id, 0) AS edge")
-
-
-def _folded(lattice: DataFrame, model: PieceModel, keep: list[str]) -> DataFrame:
-    """``keep, ids``: the piece ids of ``unit`` by the fold over its ``edges``."""
-    at, size = "(shiftright({0}, 21) & 63)", "(shiftright({0}, 16) & 31)"
-    ends = f"(shiftleft(1L, cast({at} AS int)) | shiftleft(1L, cast({at} + {size} AS int)))".format("x")
-    inner = f"shiftleft(shiftleft(1L, cast({size} AS int) - 1) - 1, cast({at} AS int) + 1)".format("x")
-    folded = lattice.selectExpr(*keep, "unit", "edges", f"""aggregate(sort_array(edges), shiftleft(1L, length(unit) + 1) - 1,
-        (cuts, x) -> CASE WHEN (cuts & {ends}) = {ends} AND bit_count(cuts & {inner}) = 1 THEN cuts & ~{inner} ELSE cuts END) AS cuts""")
-    chosen = folded.selectExpr(*keep, "unit", f"""sort_array(transform(filter(edges, x -> (cuts & {ends}) = {ends} AND (cuts & {inner}) = 0),
-        x -> shiftleft({at.format("x")}, 16) | (x & 65535))) AS path""")
-    letter = "substring(unit, cast(shiftright(x, 16) AS int) + 1, 1)"
-    spelled = f"transform(sequence(0, octet_length({letter}) - 1), i -> cast(conv(substring(hex(encode({letter}, 'utf-8')), 2 * i + 1, 2), 16, 10) AS int) + {model.byte})"
-    plain = "transform(path, x -> cast(x & 65535 AS int))"
-    return chosen.selectExpr(*keep, f"CASE WHEN exists(path, x -> (x & 65535) = 0) THEN flatten(transform(path, x -> CASE WHEN (x & 65535) = 0 THEN {spelled} ELSE array(cast(x & 65535 AS int)) END)) ELSE {plain} END AS ids")
+    starts = words.selectExpr(*key, *carry, "unit", "explode(sequence(0, greatest(length(unit) - 2, 0))) AS s")
+    spans = starts.selectExpr(*key, *once("s = 0"), "unit", "s", f"explode(sequence(CASE WHEN s = 0 THEN 1 ELSE 2 END, least({model.longest}, length(unit) - s))) AS l")
+    met = spans.join(table, F.expr("substring(unit, s + 1, l) = piece"), "left").where("rank IS NOT NULL OR l = 1")
+    # an edge is one number, in the order of the fold: rank, start, length
+    return met.selectExpr(*key, *once("l = 1"), "unit", "shiftleft(cast(rank AS bigint), 12) | shiftleft(s, 6) | l AS edge")
+
+
+def encode_words(words: DataFrame, model: PieceModel, key: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """``unit, key, carry, cuts``: how words of up to LONGEST characters fall into pieces, by the lattice and its fold.
+
+    Bit k of ``cuts`` is set where a piece starts or ends at character k. The fold starts from single characters and goes through
+    the edges by rank; an edge whose ends are cuts, with one cut between, takes that one away. ``unit`` and ``key`` are
+    unlike in all rows; where the rows are dealt by them, nothing is shuffled.
+    """
+    key, carry = key or [], carry or []
+    grouped = _edges(words, model, key, carry).groupBy("unit", *key)
+    lattice = grouped.agg(*(F.first(c, ignorenulls=True).alias(c) for c in carry), F.collect_list("edge").alias("edges"))
+    at, size = "cast(shiftright(x, 6) & 63 AS int)", "cast(x & 63 AS int)"
+    return lattice.selectExpr("unit", *key, *carry, f"""aggregate(sort_array(edges), shiftleft(1L, length(unit) + 1) - 1, (cuts, x) ->
+        CASE WHEN bit_count(shiftright(cuts, {at}) & (shiftleft(2L, {size}) - 1)) = 3 AND (shiftright(cuts, {at}) & 1) = 1 AND (shiftright(cuts, {at} + {size}) & 1) = 1
+        THEN cuts & ~shiftleft(shiftleft(1L, {size} - 1) - 1, {at} + 1) ELSE cuts END) AS cuts""")
 
 
 def _far(unit: str, model: PieceModel) -> bool:
@@ -293,22 +293,21 @@ def _far(unit: str, model: PieceModel) -> bool:
     return len(unit) > LONGEST or unit.startswith("  ") or any(p in unit for p in model.odd)
 
 
-def _exact(unit: str, model: PieceModel) -> list[int]:
+def _ids(parts: list[str], model: PieceModel) -> list[int]:
+    """The ids of pieces; a character that is none is spelled in bytes."""
     ids: list[int] = []
-    for p in merged(unit, model.pieces):
-        ids += [model.pieces[p][0]] if p in model.pieces else [model.byte + b for b in p.encode("utf-8", "surrogatepass")]
+    for p in parts:
+        if p in model.pieces:
+            ids.append(model.pieces[p][0])
+        else:
+            ids += [model.byte + b for b in p.encode("utf-8", "surrogatepass")]
     return ids
 
 
-def encode_words(words: DataFrame, model: PieceModel, key: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
-    """``unit, key, carry, ids``: the piece ids of words of up to LONGEST characters, by the lattice and its fold.
-
-    ``unit`` and ``key`` are unlike in all rows; where the rows are dealt by them, nothing is shuffled.
-    """
-    key, carry = key or [], carry or []
-    edges = _edges(words, model, key, carry)
-    lattice = edges.groupBy("unit", *key).agg(*(F.first(c, ignorenulls=True).alias(c) for c in carry), F.collect_list("edge").alias("edges"))
-    return _folded(lattice, model, ["unit", *key, *carry])
+def _parted(unit: str, cuts: int) -> list[str]:
+    """The pieces of a word between its cuts."""
+    at = [k for k in range(len(unit) + 1) if cuts >> k & 1]
+    return [unit[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 @dataclass
@@ -342,13 +341,15 @@ def frequent(docs: DataFrame, model: PieceModel) -> Held:
         least = r["level"]
     if least is None:
         return Held(np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.uint16), 2)
-    out = encode_words(counts.where(F.col("n") >= least).select("unit"), model).toArrow()
-    units, ids = out.column(0).to_pylist(), out.column(1).combine_chunks()
-    keep = [k for k, u in enumerate(units) if not _far(u, model)]
-    hashes = np.concatenate([np.empty(0, np.uint64), *(_hashes_of([units[k] for k in keep[i : i + SEGMENT]]) for i in range(0, len(keep), SEGMENT))])
+    # dealt by word before they are spread to edges, so that these are not shuffled
+    chosen = counts.where(F.col("n") >= least).select("unit").repartition("unit")
+    out = encode_words(chosen, model).toArrow()
+    words = [(u, c) for u, c in zip(out.column("unit").to_pylist(), out.column("cuts").to_pylist(), strict=True) if not _far(u, model)]
+    hashes = np.concatenate([np.empty(0, np.uint64), *(_hashes_of([u for u, _ in words[k : k + SEGMENT]]) for k in range(0, len(words), SEGMENT))])
+    ids = [_ids(_parted(u, c), model) for u, c in words]
     order = np.argsort(hashes)
-    ids = ids.take(pa.array(np.array(keep, np.int64)[order]))
-    return Held(hashes[order], np.asarray(ids.offsets).astype(np.int64) - ids.offsets[0].as_py(), np.asarray(ids.flatten()).astype(np.uint16), int(least))
+    sizes = np.array([len(x) for x in ids], np.int64)[order]
+    return Held(hashes[order], np.concatenate(([0], np.cumsum(sizes))), np.array([x for k in order.tolist() for x in ids[k]], np.uint16), int(least))
 
 
 # --- documents ------------------------------------------------------------------------------------------------
@@ -360,8 +361,8 @@ def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[
     return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
 
-def _encoded_parts(words: Words, held: Held, model: PieceModel, known: dict[int, np.ndarray]) -> list[np.ndarray]:
-    """The ids of each part. ``known`` has those of words that are not held, and gets those of words that the heap merges."""
+def _encoded_parts(words: Words, held: Held, model: PieceModel, cuts: dict[str, int], known: dict[int, np.ndarray]) -> list[np.ndarray]:
+    """The ids of each part. ``cuts`` has the words that went through the lattice; ``known`` keeps the ids of words that are not held."""
     hit, at = held.places(words.hashes)
     starts, sizes = np.zeros(len(hit), np.int64), np.ones(len(hit), np.int64)
     starts[hit], sizes[hit] = held.ends[at], held.ends[at + 1] - held.ends[at]
@@ -372,7 +373,8 @@ def _encoded_parts(words: Words, held: Held, model: PieceModel, known: dict[int,
         own = []
         for h, k in zip(one.tolist(), miss[first].tolist(), strict=True):
             if h not in known:
-                known[h] = np.array(_exact(words.text(k), model), np.uint16)
+                text = words.text(k)
+                known[h] = np.array(_ids(_parted(text, cuts[text]) if text in cuts else merged(text, model.pieces), model), np.uint16)
             own.append(known[h])
         own_sizes = np.array([len(x) for x in own])
         starts[miss], sizes[miss] = (len(pool) + np.cumsum(own_sizes) - own_sizes)[back], own_sizes[back]
@@ -401,7 +403,7 @@ def _kind(docs: DataFrame, own: list[str]) -> str:
 
 
 def _open_words(docs: DataFrame, shared) -> DataFrame:
-    """``key, hash, unit`` of ``key, text``: the words of each text that are not held and have a lattice, once."""
+    """``key, unit`` of ``key, text``: the words of each text that are not held and have a lattice, once."""
 
     def find(batches):
         held, model = shared.value
@@ -417,19 +419,17 @@ def _open_words(docs: DataFrame, shared) -> DataFrame:
                     for d, h, k in zip(owner.tolist(), words.hashes[miss].tolist(), miss.tolist(), strict=True):
                         if (d, h) not in found:
                             found[d, h] = words.text(k)
-                rows = [(keys[d], h, u) for (d, h), u in found.items() if not _far(u, model)]
-                if rows:
-                    key, h, unit = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(unit, pa.string())], names=["key", "hash", "unit"])
+                rows = [(keys[d], u) for (d, _), u in found.items() if not _far(u, model)]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([u for _, u in rows], pa.string())], names=["key", "unit"])
 
-    return docs.mapInArrow(find, "key long, hash long, unit string")
+    return docs.mapInArrow(find, "key long, unit string")
 
 
 def _encoded(docs: DataFrame, model: PieceModel, finish, kind: str) -> DataFrame:
     """What ``finish`` makes of some rows of ``docs``, their texts, the ids of each whole text and its number of words.
 
     Rows are known by a hash of their columns that have one, so copies of a text with other columns go separate ways. Rows
-    that share a hash share their open words, which changes nothing, as a word is looked up by its own hash.
+    that share a hash share their open words, which changes nothing.
     """
     held = frequent(docs, model)
     shared = docs.sparkSession.sparkContext.broadcast((held, model))
@@ -440,8 +440,8 @@ def _encoded(docs: DataFrame, model: PieceModel, finish, kind: str) -> DataFrame
 
     # a row of an open word has some of the keys of its documents; with many, the word has more rows
     part = F.pmod("key", F.lit(max(1, held.least // KEYS)))
-    units = _open_words(keyed.select("key", f"_{at}"), shared).groupBy("unit", part.alias("part")).agg(F.first("hash").alias("hash"), F.collect_list("key").alias("keys"))
-    found = encode_words(units, model, ["part"], ["hash", "keys"]).select(F.explode("keys").alias("key"), F.struct("hash", "ids").alias("word"))
+    units = _open_words(keyed.select("key", f"_{at}"), shared).groupBy("unit", part.alias("part")).agg(F.collect_list("key").alias("keys"))
+    found = encode_words(units, model, ["part"], ["keys"]).select(F.explode("keys").alias("key"), F.struct("unit", "cuts").alias("word"))
     found = found.groupBy("key").agg(F.collect_list("word").alias("words"))
 
     def pack(batches):
@@ -462,11 +462,11 @@ def _encoded(docs: DataFrame, model: PieceModel, finish, kind: str) -> DataFrame
             sizes, words = batch.column(len(own)), batch.column(len(own) + 1)
             texts = [t if t is None else codec.decompress(t, n, asbytes=True).decode("utf-8", "surrogatepass") for t, n in zip(batch.column(at).to_pylist(), sizes.to_pylist(), strict=True)]
             for group in _groups(texts):
-                known = _known(words.slice(group[0][0], len(group)))
+                cuts, known = _cuts(words.slice(group[0][0], len(group))), {}
                 made, counts = [[] for _ in group], [0] * len(group)
                 for parts, owners in _blocks(group):
                     cut_up = cut_words(parts, model)
-                    for d, ids, n in zip(owners, _encoded_parts(cut_up, held, model, known), cut_up.counts.tolist(), strict=True):
+                    for d, ids, n in zip(owners, _encoded_parts(cut_up, held, model, cuts, known), cut_up.counts.tolist(), strict=True):
                         made[d - group[0][0]].append(ids)
                         counts[d - group[0][0]] += n
                 flat = [x for ids in made for x in ids]
@@ -477,15 +477,10 @@ def _encoded(docs: DataFrame, model: PieceModel, finish, kind: str) -> DataFrame
     return packed.join(found, "key", "left").select(*(f"_{k}" for k in range(len(own))), "size", "words").mapInArrow(assemble, kind)
 
 
-def _known(words: pa.ListArray) -> dict[int, np.ndarray]:
-    """The ids of the words of some documents by hash, from their lists of (hash, ids)."""
+def _cuts(words: pa.ListArray) -> dict[str, int]:
+    """The cuts of the words of some documents, from their lists of (unit, cuts)."""
     rows = words.flatten()
-    if not len(rows):
-        return {}
-    hashes, ids = (rows.field(k) for k in (0, 1))
-    ends = np.asarray(ids.offsets)
-    flat = np.asarray(ids.values).astype(np.uint16)
-    return dict(zip(np.asarray(hashes).view(np.uint64).tolist(), (flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), strict=True))
+    return dict(zip(rows.field(0).to_pylist(), rows.field(1).to_pylist(), strict=True)) if len(rows) else {}
 
 
 def decode_ids(rows: DataFrame, model: PieceModel, column: str = "ids", name: str = "decoded") -> DataFrame:
