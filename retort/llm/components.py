@@ -8,15 +8,29 @@ from pyspark.sql import functions as F
 from retort.llm.common import cut
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node is hot from this many edges on, or from a share of all edges that at most HOT nodes can have.
+LEAST, HOT = 256, 50_000
+
+
+def _with_least(edges: DataFrame, count: int) -> DataFrame:
+    """Edges ``a, b`` with ``m``, the least ``b`` of each ``a``.
+
+    The edges of hot nodes meet it by a broadcast, so that no task gets all edges of a node; there are at most HOT of them,
+    as no more than that many nodes can have as many edges. The least of a node is found by partial minima.
+    """
+    least = cut(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+    hot = F.broadcast(least.where(F.col("n") > max(LEAST, count // HOT)).select("a", "m"))
+    cold = edges.join(hot.select("a"), "a", "left_anti").join(least.select("a", "m"), "a")
+    return edges.join(hot, "a").unionByName(cold)
+
+
+def _large_star(edges: DataFrame, count: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both, 2 * count).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    return edges.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+def _small_star(edges: DataFrame, count: int) -> DataFrame:
+    return _with_least(edges, count).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,6 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        now = cut(_small_star(_large_star(now)).where("a <> b").distinct())
+        large = cut(_large_star(now, state[0]).where("a <> b").distinct())
+        now = cut(_small_star(large, state[0]).where("a <> b").distinct())
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

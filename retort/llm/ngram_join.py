@@ -7,14 +7,15 @@ Plan, every step over all documents:
 2. Signature: by that order, the first ``n - ceil(t n) + slack(n)`` shingles of a set of n. Two sets of
    similarity t share at least ``slack`` of them (of the smaller set), so searching these lists loses no link.
 3. Sets that are equal meet in one representative.
-4. Collapse, where only components are asked for: a document is compared with the most typical document of each of its inverted lists, which joins
-   most large groups of near copies without their pairs.
-5. Search: lists that still hold several components, or all if links are counted, are searched. Of each document's lists the longest ones,
-   up to the needed overlap less one, are set aside; the others are heap-merged with skipping, and the
-   documents found are binary-probed for the rest and kept if they reach the overlap (DivideSkip). A pair must
-   also meet in the shortest prefixes that its two sizes allow, which spares most pairs of a group of near
-   copies that are not similar enough.
+4. Collapse: a document is compared with the most typical document of each of its inverted lists, which joins most
+   large groups of near copies without their pairs.
+5. Search: lists that still hold several components are searched. Of each document's lists the longest ones, up to the
+   needed overlap less one, are set aside; the others are heap-merged with skipping, and the documents found are
+   binary-probed for the rest and kept if they reach the overlap (DivideSkip). A pair must also meet in the shortest
+   prefixes that its two sizes allow, which spares most pairs of a group of near copies that are not similar enough.
 6. Pairs that reach it are verified exactly on whole texts; components follow from the links.
+7. Links, where they are asked for: both ends of one are in one component, so the sets of a component meet in blocks. In
+   a task, each document's inverted lists in the other block are added up, and what reaches the overlap is a link.
 """
 
 from __future__ import annotations
@@ -247,10 +248,84 @@ def _sets(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return reps, sets, cut(rows.join(shared, "token").select("token", "pos", "doc", "n", "df"))
 
 
-def _all_links(rows: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Every link (a, b) between distinct sets, inside components too: each set is searched as a component of its own."""
-    found = cut(_searched(rows.withColumn("component", F.col("doc")), sets, percent))
-    return cut(_verified(found, docs, width, percent))
+#: Shingles of a block of a component whose links are counted, about.
+SHINGLES = 1 << 18
+#: Members of components that may be broadcast to choose their texts: 64 MB at most.
+BROADCAST_MEMBERS = 1_000_000
+
+
+def _overlaps(one: list[np.ndarray], two: list[np.ndarray], percent: int):
+    """For each set of one block, the positions of the sets of the other that are linked to it."""
+    owner = np.repeat(np.arange(len(two)), [len(s) for s in two])
+    tokens = np.concatenate(two)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    sizes = np.array([len(s) for s in two])
+    for s in one:
+        a, b = np.searchsorted(tokens, s), np.searchsorted(tokens, s, side="right")
+        n = b - a
+        ends = np.cumsum(n)
+        at = np.repeat(a - (ends - n), n) + np.arange(int(ends[-1]))
+        same = np.bincount(owner[at], minlength=len(two))
+        yield np.flatnonzero((same > 0) & (100 * same >= percent * (len(s) + sizes - same)))
+
+
+def _within(final: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, emit, kind: str) -> DataFrame:
+    """What ``emit(ids, sizes, found)`` makes of each tile: ids and numbers of copies of both blocks, and per set of the first its links in the second.
+
+    Every pair of sets of a component is in one tile, once from either side where both sets are in one block.
+    """
+    members = final.select(F.col("node").alias("doc"), "component").join(reps.groupBy("doc").agg(F.max("n").alias("n"), F.sum("size").alias("size")), "doc")
+    groups = members.groupBy("component").agg(F.count("*").alias("count"), F.ceil(F.sum("n") / SHINGLES).alias("blocks")).where("count > 1").drop("count")
+    placed = members.join(groups, "component").select("doc", "size", "component", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"))
+    placed = cut(placed)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+
+    def packed(part):
+        rows = texts.join(F.broadcast(part) if placed_small else part, "doc")
+        return rows.groupBy("component", "block").agg(F.sort_array(F.collect_set(F.struct("doc", "size", "text"))).alias("rows"), F.first("blocks").alias("blocks"))
+
+    placed_small = placed.count() <= BROADCAST_MEMBERS
+    single = packed(placed.where("blocks = 1")).select("rows", F.lit(None).cast("array<struct<doc:bigint,size:bigint,text:string>>").alias("others"))
+    several = packed(placed.where("blocks > 1"))
+    left = several.withColumn("meet", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    right = several.select("component", F.col("block").alias("meet"), F.col("rows").alias("_others"))
+    tiles = left.join(right, ["component", "meet"]).select("rows", F.when(F.col("block") != F.col("meet"), F.col("_others")).alias("others"))
+
+    def sides(rows):
+        first: dict[int, tuple[int, bytes]] = {}
+        for r in rows:
+            first.setdefault(r["doc"], (r["size"], (r["text"] or "").encode("utf-8", "surrogatepass")))
+        return list(first), [size for size, _ in first.values()], list(shingle_sets([t for _, t in first.values()], width))
+
+    def scan(batches):
+        for batch in batches:
+            for rows, others in zip(batch.column(0), batch.column(1), strict=True):
+                ids, sizes, sets = sides(rows.as_py())
+                if not others.is_valid:
+                    own = [found[found != k] for k, found in enumerate(_overlaps(sets, sets, percent))]
+                    yield emit(ids, sizes, ids, sizes, own, True)
+                else:
+                    ids2, sizes2, sets2 = sides(others.as_py())
+                    yield emit(ids, sizes, ids2, sizes2, list(_overlaps(sets, sets2, percent)), False)
+
+    return single.unionByName(tiles).mapInArrow(scan, kind)
+
+
+def _near(final, reps, docs, width, percent) -> DataFrame:
+    """``doc, near``: how many rows with another set are linked to each set."""
+
+    def emit(ids, sizes, ids2, sizes2, found, own):
+        near = [int(np.asarray(sizes2)[f].sum()) for f in found]
+        doc = list(ids)
+        if not own:
+            back = np.zeros(len(ids2), np.int64)
+            for size, f in zip(sizes, found, strict=True):
+                back[f] += size
+            doc, near = doc + list(ids2), near + back.tolist()
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(near, pa.int64())], names=["doc", "near"])
+
+    return _within(final, reps, docs, width, percent, emit, "doc long, near long").groupBy("doc").agg(F.sum("near").alias("near"))
 
 
 def representative_links(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -258,9 +333,14 @@ def representative_links(docs: DataFrame, width: int = 4, percent: int = 85) ->
 
     Its ``representative`` is the membership: documents are linked if they share it, or if theirs are a pair here.
     """
-    _, sets, rows = _sets(_signatures(docs, width, percent))
-    links = _all_links(rows, sets, docs, width, percent)
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    reps, sets, rows = _sets(_signatures(docs, width, percent))
+    final = cut(_collapsed(rows, sets, docs, width, percent))
+
+    def emit(ids, sizes, ids2, sizes2, found, own):
+        pairs = [(min(a, ids2[k]), max(a, ids2[k])) for a, f in zip(ids, found, strict=True) for k in f.tolist() if not own or a < ids2[k]]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return _within(final, reps, docs, width, percent, emit, "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, links: bool = False) -> DataFrame:
@@ -268,9 +348,8 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, links
 
     Words are runs other than ASCII white space, A-Z lower-cased; a document of fewer words has its whole sequence as
     its one shingle. Returns a row per input row: ``doc_id, n_shingles, component_id`` (smallest doc_id reachable by
-    links, its own included) and ``representative`` (smallest doc_id with the same set). With ``links``, every pair
-    of different sets is searched instead of collapsed, and a column ``n_links`` follows: the other rows that are linked
-    to the row, exact copies included.
+    links, its own included) and ``representative`` (smallest doc_id with the same set). With ``links`` a column
+    ``n_links`` follows: the other rows that are linked to the row, exact copies included.
 
     Null, empty and blank texts have an empty set, link with nothing and keep their own id. Repeated rows and exact
     copies share a representative. doc_id should be unique: rows of one doc_id with different texts are returned
@@ -280,15 +359,10 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, links
     """
     signed = _signatures(docs, width, percent)
     reps, sets, rows = _sets(signed)
-    counts = None
+    final = _collapsed(rows, sets, docs, width, percent)
     if links:
-        pairs = _all_links(rows, sets, docs, width, percent)
-        final = components(pairs)
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        sizes = reps.groupBy(F.col("doc").alias("b")).agg(F.sum("size").alias("size"))
-        counts = both.join(sizes, "b").groupBy(F.col("a").alias("doc")).agg(F.sum("size").alias("near"))
-    else:
-        final = _collapsed(rows, sets, docs, width, percent)
+        final = cut(final)
+        counts = _near(final, reps, docs, width, percent)
 
     joined = reps.join(final.select(F.col("node").alias("doc"), "component"), "doc", "left")
     if links:

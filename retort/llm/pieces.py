@@ -34,6 +34,8 @@ HELD, HELD_BYTES = 1 << 20, 1 << 25
 COUNTED = 400_000
 #: Characters that are cut into words at once, about.
 SEGMENT = 1 << 17
+#: Rows of a batch that a task takes up at once, so that what it makes of them stays small.
+AT_ONCE = 512
 #: Keys of documents that a row of an open word holds, about.
 KEYS = 256
 _MOD, _BASE = 2_147_483_647, 1_000_003
@@ -144,6 +146,13 @@ def _segments(text: str | None) -> list[str]:
     return [*out, text[at:]]
 
 
+def _rows(batches):
+    """The batches in smaller ones."""
+    for batch in batches:
+        for k in range(0, len(batch), AT_ONCE):
+            yield batch.slice(k, AT_ONCE)
+
+
 def _groups(texts: list[str | None]):
     """Documents next to each other, as lists of (position, parts), about SEGMENT characters at a time."""
     held, size = [], 0
@@ -213,7 +222,7 @@ def word_counts(docs: DataFrame, model: PieceModel) -> DataFrame:
             often = n > 1
             return pa.RecordBatch.from_arrays([pa.array([texts[h] for h in every[often].tolist()], pa.string()), pa.array(n[often])], names=["unit", "n"])
 
-        for batch in batches:
+        for batch in _rows(batches):
             for group in _groups(batch.column(0).to_pylist()):
                 for parts, _ in _blocks(group):
                     words = cut_words(parts, model)
@@ -407,7 +416,7 @@ def _open_words(docs: DataFrame, shared) -> DataFrame:
 
     def find(batches):
         held, model = shared.value
-        for batch in batches:
+        for batch in _rows(batches):
             keys = batch.column(0).to_pylist()
             for group in _groups(batch.column(1).to_pylist()):
                 found: dict[tuple[int, int], str] = {}
@@ -446,7 +455,7 @@ def _encoded(docs: DataFrame, model: PieceModel, finish, kind: str) -> DataFrame
 
     def pack(batches):
         codec = pa.Codec("zstd")
-        for batch in batches:
+        for batch in _rows(batches):
             texts = [None if t is None else (len(b := t.encode("utf-8", "surrogatepass")), codec.compress(b, asbytes=True)) for t in batch.column(at + 1).to_pylist()]
             columns = [*batch.columns, pa.array([None if t is None else t[0] for t in texts], pa.int64())]
             columns[at + 1] = pa.array([None if t is None else t[1] for t in texts], pa.binary())
@@ -458,7 +467,7 @@ def _encoded(docs: DataFrame, model: PieceModel, finish, kind: str) -> DataFrame
     def assemble(batches):
         held, model = shared.value
         codec = pa.Codec("zstd")
-        for batch in batches:
+        for batch in _rows(batches):
             sizes, words = batch.column(len(own)), batch.column(len(own) + 1)
             texts = [t if t is None else codec.decompress(t, n, asbytes=True).decode("utf-8", "surrogatepass") for t, n in zip(batch.column(at).to_pylist(), sizes.to_pylist(), strict=True)]
             for group in _groups(texts):
@@ -495,7 +504,7 @@ def decode_ids(rows: DataFrame, model: PieceModel, column: str = "ids", name: st
 
     def decode(batches):
         known = shared.value
-        for batch in batches:
+        for batch in _rows(batches):
             out = [None if ids is None else b"".join([known.get(k, b"") for k in ids]).decode("utf-8", "replace") for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*own, name])
 

@@ -3,7 +3,9 @@
 The kernel compares words by the subsequences of three characters that they share within a span of six, each weighted
 by DECAY to the power of its span: a gapped or padded insult keeps most of its subsequences. The machine learns from
 words of labelled sentences, of which a toxic document only says that some are toxic, so the toxic words are those with a
-significantly toxic n-gram, and rounds of training add the clean words that come too near. With fixed landmarks the decision function is one weight per
+significantly toxic n-gram, and rounds of training add the clean words that come too near. Long words, and texts without
+blanks, are cut into overlapping windows, in training as in scoring. The most frequent characters have a number of their
+own, all others share these numbers by a hash. With fixed landmarks the decision function is one weight per
 subsequence, which makes scoring a table look-up.
 """
 
@@ -12,6 +14,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -25,6 +28,8 @@ from retort.llm.common import documents
 DECAY, SPAN = 0.6, 6
 #: Fitting uses at most this many labelled documents of each class, chosen by a hash of doc_id; everything is scored.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 700, 1500
+#: Of a sampled document, fitting uses at most this many distinct words, chosen by a hash.
+SAMPLE_WORDS = 4_000
 LANDMARKS, NEGATIVES, ALPHABET, ROUNDS = 160, 5_000, 63, 4
 #: The machine's cost of a violated margin, and the weight of all toxic words against that of all clean ones.
 COST, BALANCE = 10.0, 0.2
@@ -55,6 +60,12 @@ def _core(word: str) -> str:
     return word[a:b]
 
 
+def _windows(word: str) -> list[str]:
+    """A word's core, or overlapping windows of one that is longer than a window."""
+    word = _core(word)
+    return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+
+
 def _norms(n: int) -> np.ndarray:
     """By length, the square root of the sum of squared weights of all positions of a subsequence."""
     out = np.zeros(n + 1)
@@ -76,8 +87,7 @@ class Model:
         """The machine's margin for each word."""
         pieces, owner = [], []
         for k, word in enumerate(words):
-            word = _core(word)
-            cut = [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+            cut = _windows(word)
             pieces += cut
             owner += [k] * len(cut)
         if not pieces:
@@ -109,7 +119,10 @@ def _coded(pieces: list[str], alphabet: dict[str, int]):
         table[ord(c)] = k
     sizes = np.array([len(p) + 2 for p in pieces])
     starts = np.concatenate(([0], np.cumsum(sizes + SPAN)[:-1]))
-    return table[np.minimum(points, top)], starts, sizes
+    code = table[np.minimum(points, top)]
+    other = (code == 0) & (points > 2)
+    code[other] = 3 + points[other].astype(np.int64) * 40_503 % 65_521 % (ALPHABET - 2)
+    return code, starts, sizes
 
 
 def _score_pieces(pieces, alphabet, weights):
@@ -162,14 +175,15 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
 
 
 def _telling(bags: list[set[str]], clean: Counter, n_clean: int) -> set[str]:
-    """Words that only toxic documents hold, with a character 4- or 5-gram that is significantly more frequent there.
+    """Words of toxic documents with a character 4- or 5-gram that is significantly more frequent there, and more than 20 times.
 
-    Significance is a log-likelihood ratio over documents, at a level that allows for the number of grams tried.
+    A word that clean documents hold too must itself be that much more frequent in toxic ones. Significance is a
+    log-likelihood ratio over documents, at a level that allows for the number of grams tried.
     """
     grams = lambda w: {f"\x01{w}\x02"[i : i + n] for n in (4, 5) for i in range(len(w) + 3 - n)}
     bad: Counter = Counter()
     for bag in bags:
-        bad.update({g for w in bag - clean.keys() for g in grams(w)})
+        bad.update({g for w in bag for g in grams(w)})
     tried = len(bad)
     bad = Counter({g: n for g, n in bad.items() if n > 2})
     good: Counter = Counter()
@@ -186,7 +200,8 @@ def _telling(bags: list[set[str]], clean: Counter, n_clean: int) -> set[str]:
             ratio = n * math.log(p / r) + (m * math.log(q / r) if m else 0) + ((n_bad - n) * math.log((1 - p) / (1 - r)) if p < 1 else 0) + ((n_clean - m) * math.log((1 - q) / (1 - r)) if q < 1 else 0)
             if 2 * ratio > least:
                 telling.add(g)
-    return {w for bag in bags for w in bag - clean.keys() if grams(w) & telling}
+    often = Counter(w for bag in bags for w in bag)
+    return {w for w, n in often.items() if n / n_bad > 20 * clean[w] / n_clean and grams(w) & telling}
 
 
 def fit(sample: list[tuple[int, list[str]]], totals: tuple[int, int] | None = None, seed: int = 7) -> Model:
@@ -195,20 +210,20 @@ def fit(sample: list[tuple[int, list[str]]], totals: tuple[int, int] | None = No
     totals: how many clean and toxic documents the sample stands for; it may hold the classes in other shares.
     """
     one: dict[str, str] = {}  # equal words share one string
-    core = lambda w: one.setdefault(c := _core(w), c)
-    bags = [{c for w in words if 2 < len(c := core(w)) <= WINDOW} for toxic, words in sample if toxic]
-    clear = [{c for w in words if 2 < len(c := core(w)) <= WINDOW} for toxic, words in sample if not toxic]
+    bag = lambda words: {one.setdefault(c, c) for w in words for c in _windows(w) if c}
+    bags = [bag(words) for toxic, words in sample if toxic]
+    clear = [bag(words) for toxic, words in sample if not toxic]
     clean = Counter(w for bag in clear for w in bag)
     letters = Counter(c for bag in bags for w in bag for c in w) + Counter(c for w in clean for c in w)
     alphabet = {"\x01": 1, "\x02": 2} | {c: k + 3 for k, (c, _) in enumerate(letters.most_common(ALPHABET - 2)) if ord(c) < 0x10000}
     size = (ALPHABET + 1) ** 3
-    positive = sorted(_telling(bags, clean, len(clear)) - clean.keys()) if bags and clean else []
+    positive = sorted(_telling(bags, clean, len(clear))) if bags and clean else []
     if not positive:
         return Model(alphabet, np.zeros(size, np.float32), -1.0, (0.0, 0.0, math.log((len(bags) + 0.5) / (len(clear) + 0.5))))
     rng = np.random.default_rng(seed)
     often = Counter(w for bag in bags for w in bag)
     seen = np.array([often[w] for w in positive], float)
-    words = sorted(clean)
+    words = sorted(clean.keys() - set(positive))
     weight = np.array([clean[w] for w in words], float) ** 0.5
     chosen = {words[i] for i in rng.choice(len(words), min(NEGATIVES, len(words)), False, weight / weight.sum())}
     model = None
@@ -266,15 +281,19 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits the model to a bounded sample of the labelled documents that are not held out."""
+    """Fits the model to a bounded sample of the labelled documents that are not held out.
+
+    A class gives at most as many documents as its sample says, of rows that share a doc_id one, and a document at most
+    SAMPLE_WORDS words, so what reaches the driver has a bound.
+    """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), "doc_id")
     picked = known.where("toxic = 1").orderBy(*order).limit(TOXIC_SAMPLE).unionByName(known.where("toxic = 0").orderBy(*order).limit(CLEAN_SAMPLE))
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
 
     def words(batches):
         for batch in batches:
-            bags = [sorted(units(t or "")) for t in batch.column(1).to_pylist()]
+            bags = [sorted(heapq.nsmallest(SAMPLE_WORDS, units(t or ""), key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(bags, pa.list_(pa.string()))], names=["toxic", "words"])
 
     sample = texts.mapInArrow(words, "toxic int, words array<string>").collect()

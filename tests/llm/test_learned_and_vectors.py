@@ -128,6 +128,45 @@ def test_toxicity_without_labels(spark):
     assert 0 <= toxicity.score_toxicity(docs, none).first()["score"] <= 1
 
 
+def test_kernel_equals_naive_subsequences():
+    import itertools
+
+    words = ["grumplow", "gr-umplow", "ab", "a", "漢字漢字", "Ωmegaωω", "tarenlotarenlotarenlotar"]
+    alphabet = {"\x01": 1, "\x02": 2} | {c: k + 3 for k, c in enumerate("abcdefghijklmnopqrstuvwxyz-")}
+
+    def features(word):
+        code, _, sizes = toxicity._coded([word], alphabet)
+        symbols, out = code[: sizes[0]].tolist(), {}
+        for at in itertools.combinations(range(len(symbols)), 3):
+            if at[2] - at[0] < toxicity.SPAN:
+                key = tuple(symbols[k] for k in at)
+                out[key] = out.get(key, 0.0) + toxicity.DECAY ** (at[2] - at[0] + 1)
+        return out
+
+    norms = toxicity._norms(toxicity.WINDOW + 2)
+    got = toxicity._kernel(words, words, alphabet)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            x, y = features(a), features(b)
+            assert got[i, j] == pytest.approx(sum(v * y.get(k, 0.0) for k, v in x.items()) / norms[len(a) + 2] / norms[len(b) + 2])
+    assert len(set(toxicity._coded(["漢字"], alphabet)[0][1:3].tolist())) == 2, "characters without a number of their own count"
+
+
+def test_toxicity_without_blanks_and_with_repeated_ids(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(400):
+        toxic = int(k % 4 == 0)
+        text = "".join(rng.choice("天地人日月山水火木金土風雨雪花") for _ in range(120))
+        at = rng.randrange(100)
+        rows.append((k, text[:at] + ("惡毒壞鬼" if toxic else "") + text[at:], toxic))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, x) for k, _, x in rows], "doc_id long, toxic int")
+    out = toxicity.score_toxicity(docs, labels).where("held_out").collect()
+    truth = {k: x for k, _, x in rows}
+    assert len(out) > 150 and sum(r["predicted"] == truth[r["doc_id"]] for r in out) / len(out) > 0.95
+
+
 def test_kernel_is_positive_semidefinite_and_tolerates_gaps():
     words = ["grumplow", "gr-umplow", "grumpplow", "tarenlo", "stovek", "gxrumplow"]
     alphabet = {"\x01": 1, "\x02": 2} | {c: k + 3 for k, c in enumerate("abcdefghijklmnopqrstuvwxyz-")}
