@@ -19,7 +19,7 @@ def displacement_grid() -> np.ndarray:
 
 
 def bounds(modes: DataFrame, kt: float = KT) -> DataFrame:
-    """Per mode how far it can go, to either side, until its energy changes by kt: adds ``low`` (<= 0) and ``high``.
+    """Per mode how far it can go, to either side, until its energy changes by more than kt: adds ``low`` (<= 0) and ``high``.
 
     modes: ``g`` slope and ``h`` curvature along the mode. The first point of the grid that is beyond kt, or the last.
     """
@@ -30,16 +30,15 @@ def bounds(modes: DataFrame, kt: float = KT) -> DataFrame:
 
 
 def mode_error(modes: DataFrame, key: list[str]) -> DataFrame:
-    """Root of the mean squared energy that leaving modes out costs, within their bounds: key, ``error``.
+    """Error of a property that leaving modes out costs, within their bounds: key, ``error``; modes: key, ``lam, low, high``.
 
-    modes: key, ``mode, g, h, low, high``. Averages over a box of the square of sum g x + h x^2 / 2: each mode alone, and
-    the products of two modes' means, as a sum over modes and a square of a sum.
+    The double sum over modes of curvature products, with fifth powers of the bounds for a mode itself and third powers for
+    two modes, written as single sums: the square of a sum holds every product.
     """
     width = F.col("high") - F.col("low")
-    power = lambda n: (F.pow("high", float(n)) - F.pow("low", float(n))) / (n * width)
-    mean = F.col("g") * power(2) + F.col("h") * power(3) / 2
-    square = F.col("g") * F.col("g") * power(3) + F.col("g") * F.col("h") * power(4) + F.col("h") * F.col("h") * power(5) / 4
-    sums = modes.where(width > 0).groupBy(*key).agg(F.sum(mean).alias("_m"), F.sum(square - mean * mean).alias("_v"))
+    one = F.col("lam") * (F.pow("high", 3.0) - F.pow("low", 3.0)) / (3 * width)
+    own = F.col("lam") * F.col("lam") * (F.pow("high", 5.0) - F.pow("low", 5.0)) / (5 * width)
+    sums = modes.groupBy(*key).agg(F.sum(one).alias("_m"), F.sum(own - one * one).alias("_v"))
     return sums.select(*key, F.sqrt(F.greatest(F.col("_v") + F.col("_m") * F.col("_m"), F.lit(0.0))).alias("error"))
 
 
@@ -52,42 +51,119 @@ def best_by_dimension(tried: DataFrame, key: list[str], most: int) -> DataFrame:
     return every.join(least, [*key, "dim"], "left").select(*key, "dim", filled.alias("error"))
 
 
-def greedy_dimensions(molecules: DataFrame, kt: float = KT) -> DataFrame:
-    """Per molecule the error by number of modes kept, each step keeping the mode that lowers it most: ``mol, dim, error``.
+def _reordered(x: np.ndarray) -> np.ndarray:
+    """Coordinates in blocks of every fourth one: the third block first, then the first, the second and the last."""
+    return np.concatenate((x[2::4], x[0::4], x[1::4], x[3::4]))
 
-    molecules: ``mol, g array<double>, h array<array<double>>``; modes are the Hessian's eigenvectors. Zero gradients and
-    Hessians are an error. Molecules are independent, so this is a map.
+
+def property_modes(molecules: DataFrame) -> DataFrame:
+    """The modes of each molecule's property: ``mol, mode, lam, g, h``; its arrays stay as they are in ``molecules``.
+
+    molecules: ``mol`` and gradients and Hessians of energy and property, ``g_e, h_e, g_p, h_p``. ``lam`` is an eigenvalue of
+    the property's Hessian, ``g`` and ``h`` slope and curvature of the energy along the row of the eigenvectors' matrix that
+    has the mode's number (a row, as the published program has it, not a column). Constant gradients, or first rows of
+    Hessians, are an error.
     """
 
-    def error(g, h, low, high):
-        w = high - low
-        p = lambda n: (high**n - low**n) / (n * w)
-        mean = g * p(2) + h * p(3) / 2
-        var = g * g * p(3) + g * h * p(4) + h * h * p(5) / 4 - mean**2
-        return float(np.sqrt(max(var.sum() + mean.sum() ** 2, 0.0)))
+    def one(batches):
+        for batch in batches:
+            out = []
+            for mol, g_e, h_e, g_p, h_p in zip(*(batch[c] for c in ("mol", "g_e", "h_e", "g_p", "h_p")), strict=True):
+                g_e, g_p = np.array(g_e, float), np.array(g_p, float)
+                h_e, h_p = (np.array([list(r) for r in h], float) for h in (h_e, h_p))
+                if any((x == x[0]).all() for x in (g_e, h_e[0], g_p, h_p[0])):
+                    raise NotImplementedError(f"molecule {mol} has a constant gradient or Hessian")
+                lam, vectors = np.linalg.eigh(h_p)
+                for k, value in enumerate(lam):
+                    way = _reordered(vectors[k])
+                    out.append((mol, k, float(value), float(g_e @ way), float(way @ h_e @ way)))
+            yield pd.DataFrame(out, columns=["mol", "mode", "lam", "g", "h"])
+
+    return molecules.mapInPandas(one, "mol long, mode int, lam double, g double, h double")
+
+
+def greedy_modes(modes: DataFrame) -> DataFrame:
+    """Per molecule the order in which modes are kept, each step the one that leaves the least error: ``mol, kept, errors``.
 
-    grid = displacement_grid()
+    modes: ``mol, mode, lam, low, high``. ``errors`` starts with that of keeping nothing. A step in which no mode brings the
+    error below 1 keeps none, null, and counts error 1. A fold over the steps of one molecule, whose modes are few.
+    """
+    width = F.col("high") - F.col("low")
+    one = F.col("lam") * (F.pow("high", 3.0) - F.pow("low", 3.0)) / (3 * width)
+    own = F.col("lam") * F.col("lam") * (F.pow("high", 5.0) - F.pow("low", 5.0)) / (5 * width)
+    rows = modes.groupBy("mol").agg(F.array_sort(F.collect_list(F.struct("mode", one.alias("m"), (own - one * one).alias("v")))).alias("left"))
+    total = lambda left, name: F.aggregate(left, F.lit(0.0), lambda a, x: a + x[name])
+    error = lambda m, v: F.sqrt(F.greatest(v + m * m, F.lit(0.0)))
+    whole = F.struct(total("left", "m").alias("m"), total("left", "v").alias("v"))
+    start = F.struct(F.col("left").alias("left"), F.array().cast("array<int>").alias("kept"), F.array(error(whole["m"], whole["v"])).alias("errors"))
+
+    def step(state, _):
+        left = state["left"]
+        m, v = total(left, "m"), total(left, "v")
+        tried = F.transform(left, lambda x: F.struct(F.when(F.size(left) > 1, error(m - x["m"], v - x["v"])).otherwise(0.0).alias("error"), x["mode"].alias("mode")))
+        best = F.array_min(F.filter(tried, lambda t: t["error"] < 1))
+        return F.struct(
+            F.filter(left, lambda x: ~x["mode"].eqNullSafe(best["mode"])).alias("left"), F.concat(state["kept"], F.array(best["mode"])).alias("kept"),
+            F.concat(state["errors"], F.array(F.coalesce(best["error"], F.lit(1.0)))).alias("errors"))
+
+    done = F.aggregate(F.sequence(F.lit(1), F.size("left")), start, step)
+    return rows.select("mol", done.alias("d")).select("mol", "d.kept", "d.errors")
+
+
+def _degenerate(lam: np.ndarray, vectors: np.ndarray, kept: list[int], gap: float, scaled: np.ndarray) -> int:
+    """The most neighbouring eigenvalues that are closer than ``gap``, of the kept modes' Hessian under 101 scalings of some coordinates."""
+    values = np.where(np.isin(np.arange(len(lam)), kept), lam, 0.0)
+    count = int((np.abs(values) > 0).sum())
+    hessian = (vectors * values) @ np.linalg.inv(vectors)
+    most = 0
+    for s in {1.0} if not scaled.any() else {1.0, *np.linspace(0.01, 10, 100).tolist()}:
+        by = np.where(scaled, s, 1.0)
+        found = np.sort(np.abs(np.linalg.eigvalsh(np.outer(by, by) * hessian)))[::-1][:count]
+        most = max(most, int((np.abs(np.diff(found)) < gap).sum()))
+    return most
+
+
+def dimension_steps(molecules: DataFrame, chosen: DataFrame, gap: float, groups: list[bool] | None) -> DataFrame:
+    """``mol, dim, error``: each step's dimension. It is the number of kept modes, one more unless these hold the property's
+
+    gradient (sum of absolute cosines of 0.95), less the degeneracy. The steps of all molecules are rows, so they run apart.
+    """
+    steps = chosen.select("mol", "kept", "errors", F.explode(F.sequence(F.lit(0), F.size("kept"))).alias("step"))
+    steps = steps.select("mol", "step", F.slice("kept", F.lit(1), F.col("step")).alias("kept"), F.get("errors", F.col("step")).alias("error"))
+    rows = steps.join(molecules.select("mol", "g_p", "h_p"), "mol")
 
     def one(batches):
         for batch in batches:
             out = []
-            for mol, g, h in zip(batch["mol"], batch["g"], batch["h"], strict=True):
-                h = np.array([list(row) for row in h])
-                g = np.array(g)
-                if not h.any() and not g.any():
-                    raise ValueError(f"molecule {mol} has neither gradient nor curvature")
-                value, vector = np.linalg.eigh(h)
-                slope = vector.T @ g
-                reach = []
-                for s in (-1.0, 1.0):
-                    beyond = np.abs(s * grid[:, None] * slope + grid[:, None] ** 2 * value / 2) > kt
-                    reach.append(np.where(beyond.any(0), grid[beyond.argmax(0)], 10.0))
-                low, high = -reach[0], reach[1]
-                left = list(range(len(value)))
-                for dim in range(len(value) + 1):
-                    out.append((mol, dim, error(slope[left], value[left], low[left], high[left]) if left else 0.0))
-                    if left:
-                        left.remove(min(left, key=lambda k: error(slope[[j for j in left if j != k]], value[[j for j in left if j != k]], low[[j for j in left if j != k]], high[[j for j in left if j != k]])))
+            for mol, step, kept, error, g, h in zip(*(batch[c] for c in ("mol", "step", "kept", "error", "g_p", "h_p")), strict=True):
+                if step == 0:
+                    out.append((mol, 0, error))
+                    continue
+                lam, vectors = np.linalg.eigh(np.array([list(r) for r in h], float))
+                own = [int(k) for k in kept if k is not None and k == k]
+                count = int((np.abs(np.where(np.isin(np.arange(len(lam)), own), lam, 0.0)) > 0).sum())
+                g = np.array(g, float)
+                unit = vectors[:count] / np.linalg.norm(vectors[:count], axis=1, keepdims=True)
+                held = np.abs(unit @ (g / np.linalg.norm(g))).sum() >= 0.95
+                out.append((mol, step + (0 if held else 1) - _degenerate(lam, vectors, own, gap, np.array(groups or [False] * len(lam))), error))
             yield pd.DataFrame(out, columns=["mol", "dim", "error"])
 
-    return molecules.select("mol", "g", "h").mapInPandas(one, "mol long, dim int, error double")
+    return rows.mapInPandas(one, "mol long, dim int, error double")
+
+
+def intrinsic_dimension(molecules: DataFrame, gap: float = 1e-4, groups: list[bool] | None = None, kt: float = KT) -> DataFrame:
+    """Per molecule the least error by intrinsic dimension: ``mol, dim, error`` for every dimension from 0 to its number of coordinates.
+
+    Gaps take the error of the dimension before; dimensions beyond the largest that a step reached have 0, as does a
+    step that reaches one more than there are coordinates. ``groups`` marks coordinates that are scaled together when
+    degeneracy is counted; ``gap`` is the difference below which two eigenvalues count as one.
+    """
+    modes = bounds(property_modes(molecules), kt)
+    tried = dimension_steps(molecules, greedy_modes(modes), gap, groups)
+    size = molecules.select("mol", F.size("g_e").alias("_n"))
+    least = tried.groupBy("mol", "dim").agg(F.min("error").alias("error"))
+    order = Window.partitionBy("mol").orderBy("dim").rowsBetween(Window.unboundedPreceding, 0)
+    every = size.select("mol", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("dim")).join(least, ["mol", "dim"], "left")
+    top = least.groupBy("mol").agg(F.max("dim").alias("_top"))
+    filled = F.coalesce(F.last("error", ignorenulls=True).over(order), F.lit(0.0))
+    return every.select("mol", "dim", filled.alias("error")).join(top, "mol").select("mol", "dim", F.when(F.col("dim") <= F.col("_top"), F.col("error")).otherwise(0.0).alias("error"))

@@ -1,4 +1,4 @@
-"""Pairwise kernels: global ones in blocks, local ones as joins of atoms."""
+"""Pairwise kernels, global and local ones, in blocks that meet by an equality of numbers."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retort.functions.kernels import kernel_array, kernel_column
+from retort.plans.lineage import cut
 
 #: Rows of a block of a global matrix.
 BLOCK = 1024
@@ -88,36 +89,146 @@ def length_scale(rows: DataFrame) -> DataFrame:
     return nearest_squared(rows).agg(F.sqrt(F.median("d2")).alias("scale"))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance of two arrays of double, clamped at 0."""
-    return F.greatest(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+#: Distinct atoms of a block of a local kernel, about.
+ATOMS = 2048
+#: Weights between elements that may be sent to every task.
+WEIGHTS = 100_000
+
+
+def _atom_blocks(atoms: DataFrame, feature: str, by_element: bool) -> DataFrame:
+    """Distinct atoms with their numbers, packed in blocks: ``kind, blk, mols, zs, fs, ns``; of one element each, if asked.
+
+    A molecule's atoms share a block unless they are more than one holds; then they are dealt by a hash of the atom, so
+    that neither a large molecule nor a common element makes a large block.
+    """
+    kind = F.col("z") if by_element else F.lit(0)
+    counted = atoms.groupBy("mol", "z", F.col(feature).alias("f")).agg(F.count("*").alias("n")).withColumn("kind", kind)
+    sizes = counted.groupBy("kind", F.col("mol").alias("_m")).agg(F.count("*").alias("_size"))
+    totals = sizes.groupBy("kind").agg(F.ceil(F.sum("_size") / ATOMS).alias("_blocks"))
+    sizes = sizes.join(totals, "kind").withColumnRenamed("kind", "_k")
+    part = F.pmod(F.xxhash64("z", "f"), F.ceil(F.col("_size") / ATOMS))
+    placed = counted.join(sizes, (F.col("kind") == F.col("_k")) & (F.col("mol") == F.col("_m")))
+    placed = placed.withColumn("blk", F.pmod(F.xxhash64("mol", part), F.col("_blocks")))
+    rows = placed.groupBy("kind", "blk").agg(F.collect_list(F.struct("mol", "z", "f", "n")).alias("r"), F.first("_blocks").alias("blocks"))
+    return rows.select("kind", "blk", "blocks", *(F.col(f"r.{c}").alias(f"{c}s") for c in ("mol", "z", "f", "n")))
+
+
+def _local_sums(one: DataFrame, two: DataFrame, kernel: str, sigma: float, weigh: dict | None, same: bool, numeric: bool, parameters: dict) -> DataFrame:
+    """Sums of the kernel over the atoms of two molecules, block by block: ``i, j, k``; ``same``: of one table, i <= j only.
+
+    Blocks meet by an equality of element and block number; each task sums its tile by molecules before the shuffle.
+    """
+    names = ("mols", "zs", "fs", "ns")
+    side = lambda df, x: [F.col(c).alias(f"{x}_{c}") for c in names]
+    blocks = two.groupBy("kind").agg(F.first("blocks").alias("_to"))
+    left = one.join(blocks, "kind").withColumn("meet", F.explode(F.sequence(F.col("blk") if same else F.lit(0).cast("long"), F.col("_to") - 1)))
+    left = left.select("kind", "meet", F.col("blk").alias("a_blk"), *side(left, "a"))
+    tiles = left.join(two.select("kind", F.col("blk").alias("meet"), *side(two, "b")), ["kind", "meet"])
+    tiles = tiles.select((F.lit(same) & (F.col("a_blk") == F.col("meet"))).alias("own"), (F.lit(same) & (F.col("a_blk") != F.col("meet"))).alias("other"), *(f"{x}_{c}" for x in "ab" for c in names))
+    arrow = pa.int64() if numeric else pa.string()
+
+    def read(batch, t, at):
+        mols, zs, fs, ns = (batch.column(at + k)[t].values for k in range(4))
+        f = np.asarray(fs.flatten() if pa.types.is_list(fs.type) else fs, float).reshape(len(mols), -1)
+        return mols.to_pylist(), np.array(zs.to_pylist(), object), f, np.asarray(ns, float)
+
+    def scan(batches):
+        for batch in batches:
+            for t in range(len(batch)):
+                own, other = batch.column(0)[t].as_py(), batch.column(1)[t].as_py()
+                (m, z, x, n), (l, y, v, w) = read(batch, t, 2), read(batch, t, 6)
+                k = kernel_array(kernel, distances(x, v) / sigma, **parameters) * n[:, None] * w
+                if weigh is not None:
+                    (us, ui), (vs, vi) = np.unique(z, return_inverse=True), np.unique(y, return_inverse=True)
+                    missing = [(a, b) for a in us for b in vs if (min(a, b), max(a, b)) not in weigh]
+                    if missing:
+                        raise ValueError(f"no weight for {missing[0]}")
+                    k = k * np.array([[weigh[min(a, b), max(a, b)] for b in vs] for a in us])[ui][:, vi]
+                (i, ii), (j, jj) = np.unique(np.array(m, object), return_inverse=True), np.unique(np.array(l, object), return_inverse=True)
+                sums = np.zeros((len(i), len(y)))
+                np.add.at(sums, ii, k)
+                total = np.zeros((len(j), len(i)))
+                np.add.at(total, jj, sums.T)
+                p, q = np.meshgrid(i, j, indexing="ij")
+                p, q, total = p.ravel(), q.ravel(), total.T.ravel()
+                if own:
+                    keep = np.array(p <= q, bool)
+                    p, q, total = p[keep], q[keep], total[keep]
+                elif other:  # each pair of atoms is in one tile only; within a molecule it counts twice
+                    total = np.where(p == q, 2 * total, total)
+                    p, q = np.where(p <= q, p, q), np.where(p <= q, q, p)
+                yield pa.RecordBatch.from_arrays([pa.array(p.tolist(), arrow), pa.array(q.tolist(), arrow), pa.array(total)], names=["i", "j", "k"])
+
+    kind = "long" if numeric else "string"
+    return tiles.mapInArrow(scan, f"i {kind}, j {kind}, k double").groupBy("i", "j").agg(F.sum("k").alias("k"))
+
+
+def _weights(weights: DataFrame | None) -> dict | None:
+    if weights is None:
+        return None
+    rows = weights.select("z1", "z2", F.abs("w").alias("w")).limit(WEIGHTS + 1).collect()
+    if len(rows) > WEIGHTS:
+        raise ValueError(f"more than {WEIGHTS} weights")
+    return {(r["z1"], r["z2"]): float(r["w"]) for r in rows}
 
 
 def local_kernel(atoms: DataFrame, kernel: str, sigma: float, mode: str = "all", weights: DataFrame | None = None, normalise: bool = True, **parameters) -> DataFrame:
-    """Sums of a kernel over pairs of atoms of two molecules: ``i, j, k`` with i <= j.
+    """Sums of a kernel over pairs of atoms of two molecules: ``i, j, k`` with i <= j, every pair of molecules once.
 
-    atoms: ``mol, z`` and either a number ``x`` or an array ``v``. Modes: all pairs; ``elemental``, where only equal z
-    meet (an equality join; molecules that share none are absent and mean 0); ``alchemical``, where each pair is
-    weighted by ``weights (z1, z2, w)``, z1 <= z2, and a missing pair is an error. Normalised, k(i, i) = 1.
+    atoms: ``mol, z`` and either a number ``x`` or an array ``v``; mol is text or a whole number. Modes: all pairs;
+    ``elemental``, where only equal z meet (molecules that share none get 0); ``alchemical``, where each pair is weighted
+    by ``weights (z1, z2, w)``, z1 <= z2, and a missing pair is an error. Normalised, k(i, i) = 1. Equal atoms of a
+    molecule are counted first, then blocks of atoms meet and are summed by molecules in their task.
     """
-    feature = "x" if "x" in atoms.columns else "v"
-    a = atoms.select(F.col("mol").alias("i"), F.col("z").alias("z"), F.col(feature).alias("a"))
-    b = atoms.select(F.col("mol").alias("j"), F.col("z").alias("y"), F.col(feature).alias("b"))
+    feature, numeric = _kinds(atoms)
+    blocks = cut(_atom_blocks(atoms, feature, mode == "elemental"))
+    out = _local_sums(blocks, blocks, kernel, sigma, _weights(weights) if mode == "alchemical" else None, True, numeric, parameters)
     if mode == "elemental":
-        met = a.join(b, (F.col("z") == F.col("y")) & (F.col("i") <= F.col("j")))
-    else:
-        met = a.join(b, F.col("i") <= F.col("j"))
-    d = F.abs(F.col("a") - F.col("b")) if feature == "x" else F.sqrt(squared_distance(F.col("a"), F.col("b")))
-    value = kernel_column(kernel, d / sigma, **parameters)
-    if mode == "alchemical":
-        w = weights.select(F.col("z1").alias("_1"), F.col("z2").alias("_2"), F.abs("w").alias("_w"))
-        met = met.join(w, (F.least("z", "y") == F.col("_1")) & (F.greatest("z", "y") == F.col("_2")), "left")
-        missing = F.raise_error(F.concat(F.lit("no weight for "), F.col("z").cast("string"), F.lit(", "), F.col("y").cast("string"))).cast("double")
-        value = value * F.coalesce("_w", missing)
-    out = met.groupBy("i", "j").agg(F.sum(value).alias("k"))
+        ids = _atom_blocks(atoms.select("mol").distinct().select("mol", F.lit(0).alias("z"), F.lit(0.0).alias("x")), "x", False)
+        none = _local_sums(ids, ids, "Gaussian", 1.0, None, True, numeric, {}).select("i", "j", F.lit(0.0).alias("k"))
+        out = out.unionByName(none).groupBy("i", "j").agg(F.sum("k").alias("k"))
     return normalised(out) if normalise else out
 
 
+def _kinds(atoms: DataFrame) -> tuple[str, bool]:
+    return "x" if "x" in atoms.columns else "v", atoms.schema["mol"].dataType.simpleString() not in ("string", "char", "varchar")
+
+
+def self_kernel(atoms: DataFrame, kernel: str, sigma: float, mode: str = "all", weights: DataFrame | None = None, **parameters) -> DataFrame:
+    """Each molecule with itself: ``i, k``, by equality joins within molecules."""
+    feature, _ = _kinds(atoms)
+    counted = atoms.groupBy("mol", "z", F.col(feature).alias("f")).agg(F.count("*").alias("n"))
+    a, b = (counted.select(F.col("mol").alias("i"), F.col("z").alias(f"z{k}"), F.col("f").alias(f"f{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
+    met = a.join(b, "i")
+    met = met.where("z1 = z2") if mode == "elemental" else met
+    d = F.abs(F.col("f1") - F.col("f2")) if feature == "x" else F.sqrt(squared_distance(F.col("f1"), F.col("f2")))
+    value = kernel_column(kernel, d / sigma, **parameters) * F.col("n1") * F.col("n2")
+    if mode == "alchemical":
+        known = weights.select(F.col("z1").alias("_a"), F.col("z2").alias("_b"), F.abs("w").alias("_w"))
+        met = met.join(known, (F.least("z1", "z2") == F.col("_a")) & (F.greatest("z1", "z2") == F.col("_b")), "left")
+        value = value * F.coalesce("_w", F.raise_error(F.lit("no weight for a pair of elements")).cast("double"))
+    return met.groupBy("i").agg(F.sum(value).alias("k"))
+
+
+def local_kernel_between(rows: DataFrame, train: DataFrame, kernel: str, sigma: float, mode: str = "all", weights: DataFrame | None = None, **parameters) -> DataFrame:
+    """The normalised local kernel of every molecule of ``rows`` with every one of ``train``: ``i, j, k``; without a common element 0."""
+    feature, numeric = _kinds(train)
+    by_element = mode == "elemental"
+    one, two = (_atom_blocks(df, feature, by_element) for df in (rows, train))
+    out = _local_sums(one, two, kernel, sigma, _weights(weights) if mode == "alchemical" else None, False, numeric, parameters)
+    if by_element:
+        ids = [_atom_blocks(df.select("mol").distinct().select("mol", F.lit(0).alias("z"), F.lit(0.0).alias("x")), "x", False) for df in (rows, train)]
+        none = _local_sums(*ids, "Gaussian", 1.0, None, False, numeric, {}).select("i", "j", F.lit(0.0).alias("k"))
+        out = out.unionByName(none).groupBy("i", "j").agg(F.sum("k").alias("k"))
+    own = lambda df, x: self_kernel(df, kernel, sigma, mode, weights, **parameters).select(F.col("i").alias(x), F.sqrt("k").alias(f"_{x}"))
+    return out.join(own(rows, "i"), "i").join(own(train, "j"), "j").select("i", "j", (F.col("k") / (F.col("_i") * F.col("_j"))).alias("k"))
+
+
+def squared_distance(a: Column, b: Column) -> Column:
+    """Squared Euclidean distance of two arrays of double, clamped at 0."""
+    return F.greatest(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+
+
 def normalised(kernel: DataFrame) -> DataFrame:
     """k(i, j) / sqrt(k(i, i) k(j, j)) of a long kernel."""
     own = kernel.where("i = j").select(F.col("i").alias("_m"), F.sqrt("k").alias("_s"))
@@ -130,8 +241,34 @@ def symmetric(kernel: DataFrame) -> DataFrame:
     return kernel.unionByName(kernel.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "k"))
 
 
+def kernel_means(rows: DataFrame, kernel: str, sigma: float, **parameters) -> tuple[DataFrame, float]:
+    """The mean of each row of the matrix, ``id, mean``, and of all of it."""
+    sums = cut(kernel_row_sums(rows, {kernel: parameters}, sigma).select("id", "total"))
+    n, total = sums.agg(F.count("*"), F.sum("total")).first()
+    return sums.select("id", (F.col("total") / max(n, 1)).alias("mean")), (total or 0.0) / max(n * n, 1)
+
+
+def centered_sums(rows: DataFrame, kernel: str, sigma: float, **parameters) -> DataFrame:
+    """Per row of the centered matrix the sum of squares and the largest value: ``i, power, most``; a row a molecule.
+
+    The centered matrix is the kernel less its row and column means, plus its grand mean. A first pass over the tiles gives
+    the means, a second one sums within tiles: the matrix itself is never written or shuffled.
+    """
+    means, grand = kernel_means(rows, kernel, sigma, **parameters)
+    known = rows.join(means, "id").select("id", F.concat("v", F.array("mean")).alias("v"))
+
+    def one(batches):
+        for batch in batches:
+            for t in range(len(batch)):
+                i, a, _, b = _tile(batch, t)
+                k = kernel_array(kernel, distances(a[:, :-1], b[:, :-1]) / sigma, **parameters) - a[:, -1:] - b[:, -1] + grand
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array((k * k).sum(1)), pa.array(k.max(1))], names=["i", "power", "most"])
+
+    return block_pairs(known).mapInArrow(one, "i long, power double, most double").groupBy("i").agg(F.sum("power").alias("power"), F.max("most").alias("most"))
+
+
 def centered(kernel: DataFrame) -> DataFrame:
-    """A full long kernel less its row and column means, plus its grand mean.
+    """A full long kernel less its row and column means, plus its grand mean; for kernels that are small enough to be written out.
 
     The means are aggregates joined back, so that no window gathers a whole matrix in one task.
     """
@@ -156,12 +293,18 @@ def power_moments(pairs: DataFrame, grid: list[float], most: int) -> DataFrame:
     return long.select("i", "j", "bin", "p", F.sum("part").over(running).alias("moment"))
 
 
-def chebyshev_of_exp(cutoff: float, degree: int = 20) -> list[float]:
-    """Coefficients c_p of exp(-x) as a polynomial in x on [0, cutoff], from its interpolation at Chebyshev nodes."""
-    nodes = np.polynomial.chebyshev.Chebyshev.interpolate(lambda x: np.exp(-x), degree, [0, cutoff])
+def chebyshev_of_exp(cutoff: float, degree: int = 20, power: int = 1) -> list[float]:
+    """Coefficients c_p of exp(-x ** power) as a polynomial in x on [0, cutoff], from its interpolation at Chebyshev nodes."""
+    nodes = np.polynomial.chebyshev.Chebyshev.interpolate(lambda x: np.exp(-(x**power)), degree, [0, cutoff])
     return nodes.convert(kind=np.polynomial.Polynomial).coef.tolist()
 
 
+def acceptable(kernel: DataFrame) -> bool:
+    """Whether an approximated, normalised kernel can be used: no value above 1 + 1e-8 and none of the diagonal under 0.1."""
+    most, least = kernel.agg(F.max("k"), F.min(F.when(F.col("i") == F.col("j"), F.col("k")))).first()
+    return most is not None and most <= 1 + 1e-8 and (least is None or least > 0.1)
+
+
 def kernel_from_moments(moments: DataFrame, grid: list[float], cutoff: float, scale: float) -> DataFrame:
     """Sums of exp(-x / scale) per pair from power moments: those up to the last bin below cutoff * scale; ``i, j, k``."""
     last = int(np.searchsorted(grid, cutoff * scale, side="right")) - 1

@@ -78,12 +78,23 @@ def select_cases(cases: DataFrame, predicate: str) -> DataFrame:
     return cases.where(Composition(predicate).column(counts))
 
 
+def _whole(x: Column) -> Column:
+    """A count without its fraction; doubles that are too large for one stay, as 64 bits end before they do."""
+    return F.when(x < 2.0**53, F.floor(x).cast("double")).otherwise(x)
+
+
+def _factorial(n: Column) -> Column:
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(1.0), lambda a, k: a * k)
+
+
 def count_cases(cases: DataFrame, known: DataFrame | None = None, paths: DataFrame | None = None, least: int = 20) -> DataFrame:
     """Adds ``n``, the number of molecules of each case, and ``source``, where it is from.
 
-    In this order: the exact count of the label (``known``: label, n), its average path length (``paths``: label, length),
-    the path length or count of its pure label, the asymptotic count from ``least`` atoms on. Smaller cases that no table
-    knows get null and the source ``missing``. The tables are joined by label after the labels are made distinct.
+    In this order: the exact count of the label (``known``: label, n); the count that its average path length stands for
+    (``paths``: label, length); where its pure label has one of these, the path length before the exact count, that count
+    with its path scaled by the label's permutations; from ``least`` atoms on the asymptotic count, divided by the
+    factorial of the number of atoms of degree 1, and scaled likewise where the label isn't pure. Smaller cases that no
+    table knows get null and the source ``missing``. The tables are joined by label after the labels are made distinct.
     """
     spark = cases.sparkSession
     known = known if known is not None else spark.createDataFrame([], "label string, n double")
@@ -95,10 +106,13 @@ def count_cases(cases: DataFrame, known: DataFrame | None = None, paths: DataFra
     out = labels.join(exact, "label", "left").join(approx, "label", "left")
     out = out.join(exact.toDF("pure", "_pe"), "pure", "left").join(approx.toDF("pure", "_pa"), "pure", "left")
     atoms = F.aggregate("s", F.lit(0), lambda a, p: a + p["cnt"])
-    scaled = size_of_path(F.coalesce("_pa", path_of_size(F.col("_pe"))) * pure_prefactor(F.col("s")))
+    terminals = F.aggregate(F.filter("s", lambda p: p["deg"] == 1), F.lit(0), lambda a, p: a + p["cnt"])
+    scaled = lambda n: _whole(size_of_path(path_of_size(n) * pure_prefactor(F.col("s"))))
+    of_pure = F.coalesce(_whole(size_of_path(F.col("_pa"))), F.col("_pe"))
+    limit = _whole(_whole(asymptotic_count(F.col("s"))) / _factorial(terminals))
     choices = [
-        ("exact", F.col("_e")), ("path", F.floor(size_of_path(F.col("_a"))).cast("double")), ("pure", F.floor(scaled).cast("double")),
-        ("asymptotic", F.when(atoms >= least, F.floor(asymptotic_count(F.col("s"))).cast("double"))),
+        ("exact", F.col("_e")), ("path", _whole(size_of_path(F.col("_a")))), ("pure", F.when(of_pure > 0, scaled(of_pure))),
+        ("asymptotic", F.when(atoms >= least, F.when(F.col("label") == F.col("pure"), limit).otherwise(scaled(limit)))),
     ]
     source = F.lit("missing")
     for name, value in reversed(choices):
@@ -107,6 +121,18 @@ def count_cases(cases: DataFrame, known: DataFrame | None = None, paths: DataFra
     return keyed.drop("_s").join(out, "label")
 
 
+def estimated_only(known: DataFrame, paths: DataFrame, most: float | None = None) -> DataFrame:
+    """Labels that have a path length but no exact count, with the count ``n`` it stands for, at most ``most`` if given."""
+    rows = paths.select("label", _whole(size_of_path(F.col("length"))).alias("n")).join(known.select("label"), "label", "left_anti")
+    return rows if most is None else rows.where(F.col("n") <= most)
+
+
+def merge_counts(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Two tables ``label, n, length`` as one: of path lengths the smaller, and none where an exact count is known."""
+    rows = one.select("label", "n", "length").unionByName(two.select("label", "n", "length")).groupBy("label").agg(F.max("n").alias("n"), F.min("length").alias("length"))
+    return rows.select("label", "n", F.when(F.col("n").isNull(), F.col("length")).alias("length"))
+
+
 def missing_labels(cases: DataFrame, known: DataFrame, limit: int = 20) -> DataFrame:
     """Distinct labels, of at most ``limit`` atoms, that the table of counts lacks, pure labels included."""
     s = canonical_label(degree_sequence(F.col("stoichiometry")))
@@ -121,6 +147,10 @@ def formula_table(counted: DataFrame) -> DataFrame:
     return rows.groupBy("formula").agg(F.sum("n").alias("n"), F.count("*").alias("cases"), F.sort_array(F.collect_list(F.struct("label", "n"))).alias("stoichiometries"))
 
 
-def covered_space(spark: SparkSession, types: list[tuple[str, int]]) -> DataFrame:
-    """A search space as ``label, valence``."""
-    return spark.createDataFrame(types, "label string, valence int")
+# The spaces that published count tables cover.
+SPACES = {"A": "C:4 O:2 F:1 H:1 Cl:1 Br:1 I:1 P:3,5 N:3,5 S:2,4,6 Si:4", "B": "C:4 O:2 F:1 H:1 Cl:1 Br:1 I:1 P:3,5 N:3"}
+
+
+def covered_space(spark: SparkSession, types: list[tuple[str, int]] | str) -> DataFrame:
+    """A search space as ``label, valence``; types or the name of one of SPACES."""
+    return spark.createDataFrame(parse_space(SPACES[types]) if isinstance(types, str) else types, "label string, valence int")

@@ -90,8 +90,7 @@ k AS (SELECT a.id AS i, b.id AS j, exp(-pow(list_distance(a.v, b.v) / 1.5, 2)) A
 c AS (SELECT i, k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER () AS k FROM k)
 SELECT i, round(sum(k * k), 6) AS power, round(max(k), 6) AS most FROM c GROUP BY i""")
 def _centered(spark, folder):
-    k = pairs.centered(cut(pairs.global_kernel(_vectors(spark, folder), "Gaussian", 1.5)))
-    return _rounded(k.groupBy("i").agg(F.sum(F.col("k") * F.col("k")).alias("power"), F.max("k").alias("most")), 6, "power", "most")
+    return _rounded(pairs.centered_sums(_vectors(spark, folder), "Gaussian", 1.5), 6, "power", "most")
 
 
 def _parts(spark, folder):
@@ -112,7 +111,17 @@ def _local(spark, folder):
     return _rounded(pairs.local_kernel(_parts(spark, folder), "Gaussian", 2.0), 6, "k")
 
 
-@register("elemental_kernel", _LOCAL.format(weights="", value=_GAUSS, on="a.z = b.z AND", join=""))
+@register("local_kernel_between", """
+WITH a AS (SELECT p_brand AS mol, p_type AS z, p_size / 10 AS x FROM part), b AS (SELECT s_nationkey AS mol, s_suppkey % 50 / 5 AS x FROM supplier),
+k AS (SELECT b.mol AS i, a.mol AS j, sum(exp(-pow((a.x - b.x) / 2.0, 2))) AS k FROM b, a GROUP BY 1, 2),
+o AS (SELECT a.mol AS m, sqrt(sum(exp(-pow((a.x - c.x) / 2.0, 2)))) AS s FROM a JOIN a c USING (mol) GROUP BY 1), u AS (SELECT b.mol AS m, sqrt(sum(exp(-pow((b.x - c.x) / 2.0, 2)))) AS s FROM b JOIN b c USING (mol) GROUP BY 1)
+SELECT i::VARCHAR AS i, j, round(k / (u.s * o.s), 6) AS k FROM k JOIN u ON i = u.m JOIN o ON j = o.m""")
+def _between(spark, folder):
+    rows = _t(spark, folder, "supplier").select(F.col("s_nationkey").cast("string").alias("mol"), F.lit("any").alias("z"), (F.col("s_suppkey") % 50 / 5).alias("x"))
+    return _rounded(pairs.local_kernel_between(rows, _parts(spark, folder), "Gaussian", 2.0), 6, "k")
+
+
+@register("elemental_kernel", _LOCAL.format(weights="", value=f"CASE WHEN a.z = b.z THEN {_GAUSS} ELSE 0 END", on="", join=""))
 def _elemental(spark, folder):
     return _rounded(pairs.local_kernel(_parts(spark, folder), "Gaussian", 2.0, "elemental"), 6, "k")
 
@@ -124,7 +133,7 @@ def _alchemical(spark, folder):
     atoms = _parts(spark, folder)
     kinds = atoms.select("z").distinct().withColumn("n", F.row_number().over(Window.orderBy("z")))
     weights = kinds.toDF("z1", "n1").join(kinds.toDF("z2", "n2"), F.col("n1") <= F.col("n2")).select("z1", "z2", (1.0 / (1 + F.col("n2") - F.col("n1"))).alias("w"))
-    return _rounded(pairs.local_kernel(atoms, "Gaussian", 2.0, "alchemical", F.broadcast(weights)), 6, "k")
+    return _rounded(pairs.local_kernel(atoms, "Gaussian", 2.0, "alchemical", weights), 6, "k")
 
 
 _GRID = [0.1, 0.25, 0.5, 0.75, 1.0]
@@ -437,21 +446,52 @@ _KNOWN = ", l AS (SELECT *, concat_ws('_', CASE WHEN n > 0 THEN '1.' || n END, C
 
 
 def _tables(spark, folder):
-    """Cases, and tables of counts made from them: exact for frequent labels, path lengths for odd sums of them."""
+    """Cases, and a table of exact counts of their frequent labels."""
     cases = cut(_compositions(spark, folder).withColumn("label", space.label_of(F.col("stoichiometry"))))
     labels = cases.groupBy("label").agg(F.count("*").alias("n"))
-    return cases.drop("label"), labels.where("n >= 40"), labels.where("n < 40 AND n % 2 = 1").select("label", (F.col("n") / 5.0).alias("length"))
-
-
-@register("count_fallback", _COUNTS + _KNOWN + " SELECT source, count(*) AS cases, round(sum(v), 3) AS total FROM (SELECT l.label, CASE WHEN g.n >= 40 THEN 'exact' WHEN g.n % 2 = 1 THEN 'path' ELSE 'missing' END AS source, CASE WHEN g.n >= 40 THEN g.n::DOUBLE WHEN g.n % 2 = 1 THEN floor(exp(1.22066271 * g.n / 5.0 - 0.72953204)) END AS v FROM l JOIN g ON l.label = g.label) GROUP BY 1")
+    return cases.drop("label"), labels.where("n >= 40")
+
+
+def _mixed(spark, folder):
+    """Orders, and parts with some dozens of lines, as compositions of C, O and two elements of valence 1, of even valence."""
+    kind = F.when(F.col("l_returnflag") == "A", "C").when(F.col("l_returnflag") == "R", "O").when(F.col("l_linenumber") % 2 == 1, "H").otherwise("F")
+    line = _t(spark, folder, "lineitem").withColumn("el", kind)
+    side = lambda c: line.select(F.concat(F.lit(c), F.col(c).cast("string")).alias("id"), "el")
+    m = molecules.element_matrix(side("l_orderkey").unionByName(side("l_partkey")), "id", "el", ["C", "O", "H", "F"])
+    atom = lambda label, v: F.struct(F.lit(label).alias("label"), F.lit(v).alias("valence"), F.col(label).cast("int").alias("count"))
+    return m.where("(H + F) % 2 = 0").select("id", F.filter(F.array(atom("C", 4), atom("O", 2), atom("H", 1), atom("F", 1)), lambda x: x["count"] > 0).alias("stoichiometry"))
+
+
+_TERM = "CASE WHEN {n} > 0 THEN '{d}.' || {n} END"
+_LABEL = "concat_ws('_', {}, " + ", ".join(_TERM.format(n=n, d=d) for n, d in (("o", 2), ("c", 4))) + ")"
+
+
+@register("count_fallback", f"""
+WITH x AS (SELECT 'o' || l_orderkey AS id, l_returnflag AS f, l_linenumber % 2 AS k FROM lineitem UNION ALL SELECT 'p' || l_partkey, l_returnflag, l_linenumber % 2 FROM lineitem),
+c AS (SELECT id, count(*) FILTER (f = 'A') AS c, count(*) FILTER (f = 'R') AS o, count(*) FILTER (f = 'N' AND k = 1) AS h, count(*) FILTER (f = 'N' AND k = 0) AS f FROM x GROUP BY id),
+l AS (SELECT *, h + f AS t, 4 * c + 2 * o + h + f AS m1, 12 * c + 2 * o AS m2, 24 * c AS m3,
+  {_LABEL.format(_TERM.format(n="least(h, f)", d=1) + ", " + _TERM.format(n="greatest(h, f)", d=1))} AS label, {_LABEL.format(_TERM.format(n="(h + f)", d=1))} AS pure FROM c WHERE (h + f) % 2 = 0),
+g AS (SELECT label, count(*) AS n FROM l GROUP BY 1), e AS (SELECT label, n::DOUBLE AS n FROM g WHERE n >= 40),
+p AS (SELECT label, floor(exp(1.22066271 * n / 5 - 0.72953204)) AS n FROM g WHERE n BETWEEN 3 AND 39 AND n % 2 = 1),
+j AS (SELECT l.*, e.n AS exact, p.n AS path, coalesce(q.n, d.n) AS base, 1 + (lgamma(t + 1) - lgamma(h + 1) - lgamma(f + 1)) / m1 AS scale,
+  lgamma(m1 + 1) - lgamma(m1 // 2 + 1) - (m1 // 2) * ln(2) - c * ln(24) - o * ln(2) - m2 / (2 * m1) + pow(m2, 2) / (4 * pow(m1, 2)) + pow(m2, 4) / (4 * pow(m1, 5)) - pow(m2, 2) * m3 / (2 * pow(m1, 4)) + pow(m3, 2) / (6 * pow(m1, 3)) AS lg
+  FROM l LEFT JOIN e USING (label) LEFT JOIN p USING (label) LEFT JOIN e d ON d.label = pure LEFT JOIN p q ON q.label = pure),
+k AS (SELECT *, floor(floor(exp(1.22066271 * (0.75617982 * lg - 14.40107699) - 0.72953204)) / gamma(t + 1)) AS top FROM j),
+v AS (SELECT CASE WHEN exact IS NOT NULL THEN 'exact' WHEN path IS NOT NULL THEN 'path' WHEN base > 0 THEN 'pure' WHEN c + o + t >= 20 THEN 'asymptotic' ELSE 'missing' END AS source,
+  CASE WHEN exact IS NOT NULL THEN exact WHEN path IS NOT NULL THEN path WHEN base > 0 THEN floor(exp((greatest(ln(base), 1) + 0.72953204) * scale - 0.72953204))
+  WHEN c + o + t >= 20 THEN CASE WHEN label = pure THEN top ELSE floor(exp((greatest(ln(greatest(top, 1)), 1) + 0.72953204) * scale - 0.72953204)) END END AS n FROM k)
+SELECT source, count(*) AS cases, round(ln(1 + sum(n)), 6) AS ln_total FROM v GROUP BY 1""")
 def _fallback(spark, folder):
-    cases, known, paths = _tables(spark, folder)
-    return _rounded(space.count_cases(cases, known, paths).groupBy("source").agg(F.count("*").alias("cases"), F.sum("n").alias("total")), 3, "total")
+    cases = cut(_mixed(spark, folder).withColumn("label", space.label_of(F.col("stoichiometry"))))
+    labels = cases.groupBy("label").agg(F.count("*").alias("n"))
+    paths = labels.where("n BETWEEN 3 AND 39 AND n % 2 = 1").select("label", (F.col("n") / 5.0).alias("length"))
+    counted = space.count_cases(cases.drop("label"), labels.where("n >= 40"), paths)
+    return counted.groupBy("source").agg(F.count("*").alias("cases"), F.round(F.ln(1 + F.sum("n")), 6).alias("ln_total"))
 
 
 @register("missing_labels", _COUNTS + _KNOWN + " SELECT DISTINCT label FROM l WHERE t <= 20 AND label NOT IN (SELECT label FROM g WHERE n >= 40)")
 def _missing(spark, folder):
-    cases, known, _ = _tables(spark, folder)
+    cases, known = _tables(spark, folder)
     return space.missing_labels(cases, known)
 
 
@@ -482,10 +522,12 @@ def _taylor(spark, folder):
 
 
 def _modes(spark, folder):
-    return _t(spark, folder, "customer").select("c_nationkey", F.col("c_custkey").alias("mode"), (F.col("c_acctbal") / 1e7).alias("g"), ((F.col("c_custkey") % 97 + 1) / 1e3).alias("h"))
+    return _t(spark, folder, "customer").select("c_nationkey", F.col("c_custkey").alias("mode"), (F.col("c_acctbal") / 1e7).alias("g"), ((F.col("c_custkey") % 97 + 1) / 1e3).alias("h"), ((F.col("c_custkey") % 89 - 44) / 1e4).alias("lam"))
 
 
-_MODES = "WITH m AS (SELECT c_nationkey, c_custkey AS mode, c_acctbal / 1e7 AS g, (c_custkey % 97 + 1) / 1e3 AS h FROM customer), x AS (SELECT pow(10, k * (11.0::DOUBLE / 99) - 10) AS x FROM range(100) t(k)), b AS (SELECT m.*, -coalesce((SELECT min(x) FROM x WHERE abs(-x * g + x * x * h / 2) > 4.75e-4), 10) AS low, coalesce((SELECT min(x) FROM x WHERE abs(x * g + x * x * h / 2) > 4.75e-4), 10) AS high FROM m)"
+_MODES = """WITH m AS (SELECT c_nationkey, c_custkey AS mode, c_acctbal / 1e7 AS g, (c_custkey % 97 + 1) / 1e3 AS h, (c_custkey % 89 - 44) / 1e4 AS lam FROM customer),
+x AS (SELECT pow(10, k * (11.0::DOUBLE / 99) - 10) AS x FROM range(100) t(k)),
+b AS (SELECT m.*, -coalesce((SELECT min(x) FROM x WHERE abs(-x * g + x * x * h / 2) > 4.75e-4), 10) AS low, coalesce((SELECT min(x) FROM x WHERE abs(x * g + x * x * h / 2) > 4.75e-4), 10) AS high FROM m)"""
 
 
 @register("mode_bounds", _MODES + " SELECT mode, round(low, 8) AS low, round(high, 8) AS high FROM b")
@@ -493,10 +535,13 @@ def _bounds(spark, folder):
     return _rounded(dimension.bounds(_modes(spark, folder)).select("mode", "low", "high"), 8, "low", "high")
 
 
-@register("mode_error", _MODES + """, p AS (SELECT *, (pow(high, 2) - pow(low, 2)) / (2 * (high - low)) AS p2, (pow(high, 3) - pow(low, 3)) / (3 * (high - low)) AS p3, (pow(high, 4) - pow(low, 4)) / (4 * (high - low)) AS p4, (pow(high, 5) - pow(low, 5)) / (5 * (high - low)) AS p5 FROM b),
-s AS (SELECT c_nationkey, sum(g*p2 + h*p3/2) AS m, sum(g*g*p3 + g*h*p4 + h*h*p5/4 - pow(g*p2 + h*p3/2, 2)) AS v FROM p GROUP BY 1) SELECT c_nationkey, round(sqrt(greatest(v + m*m, 0)), 8) AS error FROM s""")
+# the double sum over pairs of modes, as it is defined
+@register("mode_error", _MODES + """, w AS (SELECT *, high - low AS w, pow(high, 3) - pow(low, 3) AS c, pow(high, 5) - pow(low, 5) AS f FROM b WHERE mode % 3 <> 0),
+d AS (SELECT c_nationkey, sum(lam * lam / w * f / 5) AS v FROM w GROUP BY 1),
+o AS (SELECT a.c_nationkey, sum(a.lam * b.lam / (a.w * b.w) * a.c * b.c / 9) AS v FROM w a JOIN w b ON a.c_nationkey = b.c_nationkey AND a.mode <> b.mode GROUP BY 1)
+SELECT c_nationkey, round(sqrt(d.v + coalesce(o.v, 0)), 8) AS error FROM d LEFT JOIN o USING (c_nationkey)""")
 def _mode_error(spark, folder):
-    return _rounded(dimension.mode_error(dimension.bounds(_modes(spark, folder)), ["c_nationkey"]), 8, "error")
+    return _rounded(dimension.mode_error(dimension.bounds(_modes(spark, folder)).where("mode % 3 <> 0"), ["c_nationkey"]), 8, "error")
 
 
 @register("best_by_dimension", "WITH b AS (SELECT l_suppkey, (l_linenumber * 2)::INTEGER AS dim, min(l_extendedprice) AS e FROM lineitem GROUP BY 1, 2), k AS (SELECT l_suppkey, d::INTEGER AS dim FROM (SELECT DISTINCT l_suppkey FROM lineitem), range(17) t(d)) SELECT l_suppkey, dim, coalesce(last_value(e IGNORE NULLS) OVER (PARTITION BY l_suppkey ORDER BY dim), 0) AS error FROM k LEFT JOIN b USING (l_suppkey, dim)")
@@ -508,8 +553,10 @@ def _filled(spark, folder):
 @register("greedy_dimensions")
 def _greedy(spark, folder):
     e = _vectors(spark, folder)
-    row = lambda k: F.transform(F.slice("v", 5 + 4 * k, 4), lambda x, j: (x + F.get("v", j * 4 + 4 + k)) / 20)
-    return dimension.greedy_dimensions(e.select(F.col("id").alias("mol"), F.transform(F.slice("v", 1, 4), lambda x: x / 100).alias("g"), F.array(*(row(k) for k in range(4))).alias("h")))
+    row = lambda at, k: F.transform(F.slice("v", at + 4 * k, 4), lambda x, j: (x + F.get("v", j * 4 + at - 1 + k)) / 20)
+    square = lambda at: F.array(*(row(at, k) for k in range(4)))
+    line = lambda at: F.transform(F.slice("v", at, 4), lambda x: x / 100)
+    return dimension.intrinsic_dimension(e.select(F.col("id").alias("mol"), line(1).alias("g_e"), square(5).alias("h_e"), line(21).alias("g_p"), square(25).alias("h_p")))
 
 
 _EDGES = "WITH e AS (SELECT l_suppkey AS g, l_linenumber AS u, (l_quantity % 7)::INTEGER + 10 AS v FROM lineitem), b AS (SELECT g, u, v, count(*) AS bond FROM e GROUP BY ALL)"

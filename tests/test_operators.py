@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -31,7 +32,7 @@ def test_pair_feature(spark):
     assert out == {1: pytest.approx(np.exp(-6)), 2: pytest.approx(6**2.5 * 8**2.5 * np.exp(-4.5)), 3: 0.0}
 
 
-def test_local_kernels_against_loops(spark):
+def test_local_kernels_against_loops(spark, monkeypatch):
     rng = np.random.default_rng(1)
     atoms = [(m, int(rng.integers(1, 3)), rng.normal(size=3).tolist()) for m in range(4) for _ in range(int(rng.integers(2, 5)))]
     weights = {(1, 1): 1.0, (1, 2): 0.3, (2, 2): 0.8}
@@ -43,8 +44,15 @@ def test_local_kernels_against_loops(spark):
         for (m, z, v), (n, y, u) in itertools.product(atoms, atoms):
             w = {"all": 1.0, "elemental": float(z == y), "alchemical": weights[min(z, y), max(z, y)]}[mode]
             naive[m, n] = naive.get((m, n), 0.0) + w * float(kernel_array("Gaussian", np.linalg.norm(np.subtract(v, u)) / 1.3))
+        assert sorted(got) == [(i, j) for i in range(4) for j in range(i, 4)]
         for i, j in got:
             assert got[i, j] == pytest.approx(naive[i, j] / np.sqrt(naive[i, i] * naive[j, j]))
+        few = frame.where("mol < 2")
+        across = {(r["i"], r["j"]): r["k"] for r in pairs.local_kernel_between(few, frame.where("mol >= 2"), "Gaussian", 1.3, mode, table).collect()}
+        assert across == {(i, j): pytest.approx(got[i, j]) for i in (0, 1) for j in (2, 3)}
+    monkeypatch.setattr(pairs, "ATOMS", 2)
+    cut_up = {(r["i"], r["j"]): r["k"] for r in pairs.local_kernel(frame, "Gaussian", 1.3, "alchemical", table).collect()}
+    assert cut_up == {pair: pytest.approx(k) for pair, k in got.items()}
     with pytest.raises(Exception, match="no weight"):
         pairs.local_kernel(frame, "Gaussian", 1.3, "alchemical", table.where("z2 = 2")).collect()
 
@@ -87,6 +95,22 @@ def test_enumeration(spark):
     known = spark.createDataFrame([("4.5", 6.0)], "label string, n double")
     counted = {r["label"]: (r["n"], r["source"]) for r in space.count_cases(cases.where("natoms = 5"), known).collect()}
     assert counted["4.5"] == (6.0, "exact") and counted["1.1_1.3_4.1"][1] == "missing"
+    big = spark.createDataFrame([([("C", 4, 30), ("H", 1, 22)],), ([("C", 4, 30), ("H", 1, 10), ("F", 1, 12)],)], "stoichiometry array<struct<label string, valence int, count int>>")
+    pure, mixed = (r["n"] for r in space.count_cases(big).orderBy("label", ascending=False).collect())
+    degrees, a, b = [1] * 22 + [4] * 30, 1.22066271, -0.72953204
+    m = [sum(math.prod(range(d - r + 1, d + 1)) for d in degrees if d >= r) for r in (1, 2, 3)]
+    ways = math.factorial(m[0]) // (math.factorial(m[0] // 2) * 2 ** (m[0] // 2))
+    log = math.log(ways / math.prod(map(math.factorial, degrees))) - m[1] / (2 * m[0]) + m[1] ** 2 / (4 * m[0] ** 2) + m[1] ** 4 / (4 * m[0] ** 5) - m[1] ** 2 * m[2] / (2 * m[0] ** 4) + m[2] ** 2 / (6 * m[0] ** 3)
+    wanted = int(math.exp(a * (0.75617982 * log - 14.40107699) + b)) // math.factorial(22)
+    assert wanted > 0 and pure == pytest.approx(wanted, rel=1e-9)
+    scale = 1 + math.log(math.comb(22, 10)) / m[0]
+    assert mixed == pytest.approx(int(math.exp(a * ((max(math.log(wanted), 1) - b) / a * scale) + b)), rel=1e-2)
+    by_pure = space.count_cases(big.where("size(stoichiometry) = 3"), paths=spark.createDataFrame([("1.22_4.30", 30.0)], "label string, length double")).first()
+    assert by_pure["source"] == "pure" and by_pure["n"] == pytest.approx(math.exp(a * ((math.log(int(math.exp(a * 30 + b))) - b) / a * scale) + b), rel=1e-9)
+    tables = [spark.createDataFrame(rows, "label string, n double, length double") for rows in ([("a", None, 3.0), ("b", 5.0, None), ("c", None, 1.0)], [("a", None, 2.0), ("b", None, 9.0)])]
+    assert sorted(tuple(r) for r in space.merge_counts(*tables).collect()) == [("a", None, 2.0), ("b", 5.0, None), ("c", None, 1.0)]
+    assert [r["label"] for r in space.estimated_only(tables[0].where("n > 0"), tables[1].where("length > 0"), 1e3).collect()] == ["a"]
+    assert space.covered_space(spark, "A").count() == 16 and space.covered_space(spark, "B").count() == 10
     with pytest.raises(ValueError):
         space.parse_space("C4")
 
@@ -145,13 +169,63 @@ def test_taylor(spark):
     assert bowl.minimize("y", {"x": (-5, 0.5)})["x"] == pytest.approx(0.5, abs=1e-6)
 
 
+def naive_dimension(g_e, h_e, g_p, h_p, gap=1e-4):
+    """Step by step, as the search is defined, with the double sum over modes."""
+    n = len(g_e)
+    lam, vectors = np.linalg.eigh(h_p)
+    grid = np.logspace(-10, 1, 100)
+    limits = []
+    for k in range(n):
+        x = vectors[k]
+        x = np.concatenate((x[2::4], x[0::4], x[1::4], x[3::4]))
+        value = lambda s: abs(s * (g_e @ x) + s * s * (x @ h_e @ x) / 2)  # noqa: E731, B023
+        limits.append([next((sign * s for s in grid if value(sign * s) > 4.75e-4), sign * 10.0) for sign in (1, -1)])
+
+    def error(kept):
+        total = 0.0
+        for i, j in itertools.product([k for k in range(n) if k not in kept], repeat=2):
+            (a, b), (c, d) = limits[i], limits[j]
+            total += lam[i] ** 2 * (a**5 - b**5) / (a - b) / 5 if i == j else lam[i] * lam[j] * (a**3 - b**3) * (c**3 - d**3) / ((a - b) * (c - d)) / 9
+        return np.sqrt(total)
+
+    kept, found = [], {0: error([])}
+    for step in range(1, n + 1):
+        tried = [(error([*kept, k]), k) for k in range(n) if k not in kept]
+        best = min([t for t in tried if t[0] < 1], default=(1.0, None))
+        kept.append(best[1])
+        own = [k for k in kept if k is not None]
+        values = np.array([lam[k] if k in own else 0.0 for k in range(n)])
+        count = int((abs(values) > 0).sum())
+        sizes = np.sort(abs(np.linalg.eigvalsh(vectors @ np.diag(values) @ vectors.T)))[::-1][:count]
+        unit = g_p / np.linalg.norm(g_p)
+        dim = step + (sum(abs(unit @ v) / np.linalg.norm(v) for v in vectors[:count]) < 0.95) - int((abs(np.diff(sizes)) < gap).sum())
+        found[dim] = min(found.get(dim, np.inf), best[0])
+    out, last = [], 0.0
+    for dim in range(n + 1):
+        last = found.get(dim, last) if dim <= max(found) else 0.0
+        out.append(last)
+    return out
+
+
 def test_dimensions(spark):
-    rows = spark.createDataFrame([(1, [1e-3, 0.0, 0.0], [[0.5, 0.0, 0.0], [0.0, 0.01, 0.0], [0.0, 0.0, 0.0]])], "mol long, g array<double>, h array<array<double>>")
-    out = [r["error"] for r in dimension.greedy_dimensions(rows).orderBy("dim").collect()]
-    assert len(out) == 4 and out[0] > out[1] > 0 and out[3] == 0
-    flat = spark.createDataFrame([(1, [0.0], [[0.0]])], "mol long, g array<double>, h array<array<double>>")
-    with pytest.raises(Exception, match="neither"):
-        dimension.greedy_dimensions(flat).collect()
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(6):
+        scale = [1e-3, 1e-2, 0.1, 1.0, 5.0, 20.0][k]
+        h_e, h_p = (x + x.T for x in rng.normal(size=(2, 8, 8)) * scale)
+        if k == 2:
+            h_p = np.diag([1.0, 1.0, 1.0, 2.0, 2.0, 0.5, 0.0, 3.0])
+        rows.append((k, (rng.normal(size=8) * 1e-3).tolist(), h_e.tolist(), rng.normal(size=8).tolist(), h_p.tolist()))
+    kind = "mol long, g_e array<double>, h_e array<array<double>>, g_p array<double>, h_p array<array<double>>"
+    frame = spark.createDataFrame(rows, kind)
+    got = dimension.intrinsic_dimension(frame).orderBy("mol", "dim").collect()
+    for mol, *parts in rows:
+        assert [r["error"] for r in got if r["mol"] == mol] == pytest.approx(naive_dimension(*map(np.array, parts)), rel=1e-6, abs=1e-9)
+    scaled = dimension.intrinsic_dimension(frame, groups=[True, False] * 4)
+    assert scaled.count() == 54
+    flat = spark.createDataFrame([(1, [0.0] * 4, [[0.0] * 4] * 4, [1.0, 2.0, 3.0, 4.0], [[1.0] * 4] * 4)], kind)
+    with pytest.raises(Exception, match="constant"):
+        dimension.intrinsic_dimension(flat).collect()
     tried = spark.createDataFrame([(1, 1, 0.5), (1, 1, 0.4), (1, 3, 0.2)], "m int, dim int, error double")
     assert [r["error"] for r in dimension.best_by_dimension(tried, ["m"], 4).orderBy("dim").collect()] == [0, 0.4, 0.4, 0.2, 0.2]
 
