@@ -35,13 +35,6 @@ def small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lets Arrow batches of this session hold at most ``rows`` rows: of whole texts, ten thousand can be too many for a task."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
-
-
 # --- arrays and places of a text, in DataFrame functions -------------------------------------------------------
 
 #: Code points of a piece of a text; any place in a text is reached by its piece.

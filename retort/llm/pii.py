@@ -91,8 +91,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     Spans of the certain kinds have passed their own test and come first, by kind and start.
     """
-    df = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    text = F.col("text")
+    df, text = docs, F.coalesce("text", F.lit(""))
     some = text.rlike(DIGITS)
     tried = {"email": text.contains("@"), "phone": text.contains("+"), "iban": text.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9]{11}")}
     for name, pattern in PATTERNS.items():
@@ -199,9 +198,10 @@ def _code(s) -> Column:
     return out
 
 
-def _found(docs: DataFrame, least: float) -> DataFrame:
-    """``_row, text, spans`` of rows ``_row, text``."""
-    found = cut(candidates(docs))
+def _found(docs: DataFrame, least: float, keep_text: bool) -> DataFrame:
+    """``_row, spans`` of rows ``_row, text``, and ``text`` if it is kept; what is found is written once, as votes are counted over all of it."""
+    found = candidates(docs)
+    found = cut(found if keep_text else found.drop("text"))
     votes = found.select(F.inline("cands")).groupBy("at", *VOTES).count().collect()
     scores = span_classifier([((r["at"], tuple(r[v] for v in VOTES)), r["count"]) for r in votes]) if votes else {}
     good = []
@@ -213,7 +213,7 @@ def _found(docs: DataFrame, least: float) -> DataFrame:
             good.append(code)
     keep = lambda s: (s["at"] < len(BASE)) | _code(s).isin(*sorted(good)) if good else s["at"] < len(BASE)
     narrow = F.transform(F.filter("cands", keep), lambda s: F.struct(s["at"].alias("at"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.select("_row", "text", F.array_sort(narrow).alias("spans"))
+    return found.select("_row", *(["text"] if keep_text else []), F.array_sort(narrow).alias("spans"))
 
 
 def find_pii(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -226,7 +226,7 @@ def find_pii(docs: DataFrame, least: float = 0.5) -> DataFrame:
     rows. No shuffle but for counts.
     """
     own = [c for c in docs.columns if c not in ("text", "spans")]
-    found = _found(docs.select(F.struct(F.lit(0).alias("_"), *own).alias("_row"), "text"), least).drop("text")
+    found = _found(docs.select(F.struct(F.lit(0).alias("_none_"), *own).alias("_row"), "text"), least, False)
     return found.select(*(F.col("_row")[c].alias(c) for c in own), "spans")
 
 
@@ -236,7 +236,7 @@ def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:
     All columns stay; ``n_chars``, if there, is the new length. Texts without spans, null texts included, are untouched.
     """
     names = docs.columns
-    found = _found(docs.select(F.struct(*names).alias("_row"), "text"), least)
+    found = _found(docs.select(F.struct(F.lit(0).alias("_none_"), *(c for c in names if c != "text")).alias("_row"), "text"), least, True)
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("kind"))))
 
     def rewritten(spans):
@@ -249,14 +249,12 @@ def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
         return let(pieces_of(F.col("text")), parts)
 
-    new = F.when(F.size("spans") > 0, let(by_start, rewritten)).otherwise(F.col("_row.text"))
+    new = F.when(F.size("spans") > 0, let(by_start, rewritten)).otherwise(F.col("text"))
     out = found.withColumn("_new", new)
     columns = []
     for c in names:
-        col = F.col("_row")[c]
-        if c == "text":
-            col = F.col("_new")
-        elif c == "n_chars":
+        col = F.col("_new") if c == "text" else F.col("_row")[c]
+        if c == "n_chars":
             col = F.when(F.size("spans") > 0, F.length("_new").cast(docs.schema[c].dataType)).otherwise(col)
         columns.append(col.alias(c))
     return out.select(*columns)
