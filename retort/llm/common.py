@@ -20,12 +20,15 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared checkpoint folder, with their lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``; a private one is made only where none is set.
+    The folder is the session's ``spark.checkpoint.dir``; a private one is made only where none is set and all of Spark is
+    one process.
     Spark's cleaner removes the files when the frame is no longer referenced.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all nodes share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="retort-checkpoint-"))
     return df.checkpoint(eager=True)
 
