@@ -12,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"\s*(?:(`[^`]+`)|(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|('[^']*'|\"[^\"]*\")|(\*\*|//|==|!=|<=|>=|&&|\|\||[-+*/%<>=()\[\],!&|~#.])|([A-Za-z_][A-Za-z_0-9]*))")
-_COUNT = re.compile(r"\bn_atoms\b|\bn_[A-Z][a-z]?\b")
+# Fixed value: how calculated count columns are named.
+COUNT_COLUMN = re.compile(r"\bn_atoms\b|\bn_[A-Z][a-z]?\b")
 
 
 def _tokens(text: str) -> list[tuple[str, str]]:
@@ -31,7 +32,7 @@ def select_mode(select: str | None) -> str:
     """What a selection needs: nothing, stored columns, or counts that are calculated from geometries."""
     if not select or not select.strip():
         return "none"
-    return "calculated" if _COUNT.search(select) else "native"
+    return "calculated" if COUNT_COLUMN.search(select) else "native"
 
 
 class _Parser:

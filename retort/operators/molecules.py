@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retort.functions.expressions import COUNT_COLUMN
+
 # The elements by atomic number.
 SYMBOLS = (
     "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe "
@@ -41,18 +45,28 @@ def element_counts(xyz: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_distinct(names), lambda s: F.struct(s, F.size(F.filter(names, lambda t: t == s)))))
 
 
+def counts_of(xyz: Column, names: list[str]) -> Column:
+    """A struct of the named counts, ``n_atoms`` or ``n_<El>``, in one pass over the atoms of an XYZ text."""
+    lines = F.split(F.regexp_replace(xyz, "\r", ""), "\n")
+    first = F.transform(F.slice(lines, 3, F.trim(lines[0]).cast("int")), lambda line: F.split(F.trim(line), r"\s+")[0])
+    start = F.struct(*(F.lit(0).alias(n) for n in names))
+
+    def is_element(token, symbol):
+        same = token == symbol
+        return same | (token == str(SYMBOLS.index(symbol) + 1)) if symbol in SYMBOLS else same
+
+    one = lambda token, n: F.lit(1) if n == "n_atoms" else is_element(token, n[2:]).cast("int")
+    return F.aggregate(first, start, lambda a, token: F.struct(*((a[n] + one(token, n)).alias(n) for n in names)))
+
+
 def with_counts(molecules: DataFrame, expression: str) -> DataFrame:
     """The molecules with just those count columns that an expression names: ``n_atoms``, ``n_<El>``; absent elements count 0."""
-    import re
-
-    named = sorted(set(re.findall(r"\bn_(?:atoms|[A-Z][a-z]?)\b", expression)) - set(molecules.columns))
+    named = sorted({m[0] for m in COUNT_COLUMN.finditer(expression)} - set(molecules.columns))
     if not named:
         return molecules
-    out = molecules.withColumn("_counts", element_counts(F.col("xyz")))
-    total = F.aggregate(F.map_values("_counts"), F.lit(0), lambda a, x: a + x)
-    for name in named:
-        out = out.withColumn(name, total if name == "n_atoms" else F.coalesce(F.try_element_at("_counts", F.lit(name[2:])), F.lit(0)))
-    return out.drop("_counts")
+    counts = F.when(F.col("xyz").isNotNull(), counts_of(F.col("xyz"), named))
+    out = molecules.withColumn("_counts", counts)
+    return out.select(*molecules.columns, *(F.col("_counts")[n].alias(n) for n in named))
 
 
 def select_molecules(molecules: DataFrame, select: str | None = None, label: str | None = None) -> DataFrame:
@@ -66,6 +80,26 @@ def select_molecules(molecules: DataFrame, select: str | None = None, label: str
     return out.select(*own, select_column(label).cast("double").alias("label")) if label else out.select(*own)
 
 
+def checked_selection(molecules: DataFrame, select: str | None = None, label: str | None = None) -> DataFrame:
+    """As select_molecules(); a selection that leaves nothing is an error, one that leaves everything gives a warning."""
+    out = select_molecules(molecules, select, label)
+    before, after = molecules.count(), out.count()
+    if after == 0:
+        raise ValueError(f"no molecule is left of {before}")
+    if select and select.strip() and after == before:
+        warnings.warn(f"the selection {select!r} keeps all {before} molecules", stacklevel=2)
+    return out
+
+
+def check_predictions(labelled: DataFrame, more: DataFrame, element: str, needed: list[str]) -> None:
+    """Errors if rows to predict lack a needed column or hold an element that the labelled ones don't."""
+    if missing := [c for c in needed if c not in more.columns]:
+        raise ValueError(f"rows to predict lack {missing}")
+    unseen = more.select(F.explode(element).alias("e")).distinct().join(labelled.select(F.explode(element).alias("e")).distinct(), "e", "left_anti")
+    if found := [r[0] for r in unseen.limit(5).collect()]:
+        raise ValueError(f"rows to predict hold elements without labels: {found}")
+
+
 def charges(molecules: DataFrame) -> DataFrame:
     """``charge`` (0 if absent) and ``spin_multiplicity`` (1 if absent) as whole numbers."""
     value = lambda c, d: F.coalesce(F.col(c).cast("int"), F.lit(d)) if c in molecules.columns else F.lit(d)

@@ -300,9 +300,9 @@ def chebyshev_of_exp(cutoff: float, degree: int = 20, power: int = 1) -> list[fl
 
 
 def acceptable(kernel: DataFrame) -> bool:
-    """Whether an approximated, normalised kernel can be used: no value above 1 + 1e-8 and none of the diagonal under 0.1."""
-    most, least = kernel.agg(F.max("k"), F.min(F.when(F.col("i") == F.col("j"), F.col("k")))).first()
-    return most is not None and most <= 1 + 1e-8 and (least is None or least > 0.1)
+    """Whether an approximated, normalised kernel can be used: no value above 1 + 1e-8, and not all of them above 0.1."""
+    most, least = kernel.agg(F.max("k"), F.min("k")).first()
+    return most is not None and most <= 1 + 1e-8 and least <= 0.1
 
 
 def kernel_from_moments(moments: DataFrame, grid: list[float], cutoff: float, scale: float) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retort.operators.pairs import distances, kernel_array
+from retort.functions.kernels import kernel_array
+from retort.operators import molecules
+from retort.operators.pairs import distances, length_scale
+from retort.plans.lineage import cut
 
 
 def normal_equations(rows: DataFrame, features: list[str], label: str) -> tuple[np.ndarray, np.ndarray]:
@@ -39,85 +44,171 @@ def null_model(rows: DataFrame, label: str, train: str) -> DataFrame:
     return rows.join(F.broadcast(mean)).groupBy(F.expr(train).alias("is_train")).agg(F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"))
 
 
-def grid(scale: float) -> list[tuple[float, float]]:
-    """Length scales from half the heuristic upwards by doublings, and regularisers from 1e-10 to 1e-2."""
-    return [(scale * 2.0**e, 10.0**p) for e in range(-1, 20) for p in range(-10, -1)]
+def detrend_design(rows: DataFrame, key: str, blocks: list[str], atoms: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """The rows with the columns of the active blocks, always in the order atomic, pairs, charge, spin, and their names.
+
+    ``atomic`` counts each element, by atomic number; ``pairs`` is the pairwise feature; ``charge`` and ``spin`` have a column per
+    observed state. atoms: the key, ``i``, ``z, x, y, zc``. Elements and states are few, so their list reaches the driver.
+    """
+    out, names = rows, []
+    if unknown := set(blocks) - {"atomic", "pairs", "charge", "spin"}:
+        raise ValueError(f"no such block: {sorted(unknown)}")
+    if "atomic" in blocks:
+        elements = [r[0] for r in atoms.select("z").distinct().orderBy("z").collect()]
+        counts = molecules.element_matrix(atoms, key, "z", elements).toDF(key, *(f"n_{e:g}" for e in elements))
+        out, names = out.join(counts, key, "left").na.fill(0, counts.columns[1:]), names + counts.columns[1:]
+    if "pairs" in blocks:
+        out = out.join(molecules.pair_feature(atoms, key, "i").withColumnRenamed("feature", "pairs"), key, "left").na.fill(0.0, ["pairs"])
+        names.append("pairs")
+    for block, column in (("charge", "charge"), ("spin", "spin_multiplicity")):
+        if block in blocks:
+            out = molecules.one_hot(out, column)
+            names += [c for c in out.columns if c.startswith(f"{column}_") and c not in rows.columns]
+    return out, names
+
+
+#: Rows of a training set at most: solving takes one task, and time with the third power of its size.
+MOST = 4096
+#: Length scales by factors of the heuristic one, and regularisers.
+FACTORS, LAMBDAS = [2.0**e for e in range(-1, 20)], [10.0**p for p in range(-10, -1)]
+
+
+def _gathered(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = train.select("id", "v", "y").limit(MOST + 1).toPandas()
+    if len(rows) > MOST:
+        raise ValueError(f"more than {MOST} training rows")
+    rows = rows.sort_values("id")
+    return np.array(rows["v"].tolist(), float).reshape(len(rows), -1), rows["y"].to_numpy(float)
+
+
+def _centered(k: np.ndarray) -> np.ndarray:
+    return k - k.mean(1, keepdims=True) - k.mean(0, keepdims=True) + k.mean()
 
 
-def _solve(k: np.ndarray, y: np.ndarray, lam: float) -> tuple[np.ndarray, float]:
-    shift = y.mean()
-    return np.linalg.solve(k + lam * np.eye(len(y)), y - shift), shift
+def _usable(k: np.ndarray) -> bool:
+    """Whether a kernel tells molecules apart, and doesn't keep all of them apart."""
+    off = k - np.diag(np.diag(k))
+    return len(k) > 1 and off.max() >= 1e-4 and k.min() <= 0.999
 
 
-def hyperparameters(train: DataFrame, kernel: str, candidates: list[tuple[float, float]], splits: int = 10, share: float = 0.2, seed: int = 0) -> DataFrame:
-    """Cross-validation errors of every (sigma, lambda): ``sigma, lam, split, rmse, mae``.
+def _split_errors(k: np.ndarray, y: np.ndarray, lams: list[float], splits: int, share: float, seed: int) -> list[tuple]:
+    """Errors (lambda, split, rmse, mae, train_rmse, train_mae) on random splits of a centered kernel; none if it is too ill-conditioned.
 
-    train: ``id, v, y``, a training set of the reference's sizes (some thousands of rows at most), sent to one task per
-    length scale; the tasks run in parallel. Kernels that are nearly constant or diagonal give no rows.
+    A regulariser that has come to rest gets no more splits: over 5, and the medians of every other one within 5 %. One
+    eigendecomposition serves all splits: with M the inverse of K + lambda, that of its training part is
+    M_tt - M_tv M_vv^-1 M_vt.
     """
-    sent = train.agg(F.sort_array(F.collect_list(F.struct("id", "v", "y"))).alias("rows"))
-    scales: dict[float, list[float]] = {}
-    for sigma, lam in candidates:
-        scales.setdefault(sigma, []).append(lam)
-    jobs = train.sparkSession.createDataFrame(list(scales.items()), "sigma double, lams array<double>").repartition(len(scales), "sigma")
+    values, vectors = np.linalg.eigh(k)
+    n = int(len(y) * share)
+    if len(y) < 3 or n < 1 or values[-1] > 1e15 * abs(values[1]):
+        return []
+    out, seen, order = [], {lam: [] for lam in lams}, np.arange(len(y))
+    rng = np.random.default_rng(seed)
+    for split in range(splits):
+        rng.shuffle(order)
+        fit, valid = order[:-n], order[-n:]
+        q_fit, q_valid = vectors[fit], vectors[valid]
+        for lam in lams:
+            past = seen[lam]
+            if len(past) > 5 and abs(np.median(past[::2]) - np.median(past[1::2])) < 0.05 * np.median(past):
+                continue
+            scale = 1 / (values + lam)
+            whole = scale * (q_fit.T @ y[fit])
+            try:
+                inner = np.linalg.solve((q_valid * scale) @ q_valid.T, q_valid @ whole)
+            except np.linalg.LinAlgError:
+                continue
+            alpha = q_fit @ (whole - scale * (q_valid.T @ inner))
+            gap, own = k[np.ix_(valid, fit)] @ alpha - y[valid], k[np.ix_(fit, fit)] @ alpha - y[fit]
+            past.append(float(np.sqrt((gap**2).mean())))
+            out.append((lam, split, past[-1], float(np.abs(gap).mean()), float(np.sqrt((own**2).mean())), float(np.abs(own).mean())))
+    return out
+
+
+def hyperparameters(train: DataFrame, kernel: str, scales: list[float], lams: list[float] | None = None, splits: int = 50, share: float = 0.2, seed: int = 0) -> DataFrame:
+    """Cross-validation errors: ``sigma, lam, split, rmse, mae, train_rmse, train_mae``; a task per length scale.
+
+    train: ``id, v, y``, at most MOST rows, sent to every task; labels are used less their mean, kernels centered. Length
+    scales whose kernel is nearly constant, diagonal or singular give no rows.
+    """
+    spark = train.sparkSession
+    x, y = _gathered(train)
+    shared = spark.sparkContext.broadcast((x, y))
+    jobs = spark.createDataFrame([(float(s),) for s in scales], "sigma double").repartition(len(scales), "sigma")
+    wanted = lams or LAMBDAS
 
     def one(batches):
+        x, y = shared.value
         for batch in batches:
-            for sigma, lams, rows in zip(batch["sigma"], batch["lams"], batch["rows"], strict=True):
-                x, y = np.array([list(r["v"]) for r in rows]), np.array([r["y"] for r in rows])
-                k = kernel_array(kernel, distances(x, x) / sigma)
-                off = k[~np.eye(len(k), dtype=bool)]
-                if len(off) == 0 or off.max() < 1e-4 or off.min() > 0.999:
-                    continue
-                out = []
-                for split in range(splits):
-                    order = np.random.default_rng((seed, split)).permutation(len(y))
-                    n = max(1, int(share * len(y)))
-                    valid, fit = order[:n], order[n:]
-                    for lam in lams:
-                        alpha, shift = _solve(k[np.ix_(fit, fit)], y[fit], lam)
-                        gap = k[np.ix_(valid, fit)] @ alpha + shift - y[valid]
-                        out.append((sigma, lam, split, float(np.sqrt((gap**2).mean())), float(np.abs(gap).mean())))
-                yield pd.DataFrame(out, columns=["sigma", "lam", "split", "rmse", "mae"])
-
-    return jobs.crossJoin(F.broadcast(sent)).mapInPandas(one, "sigma double, lam double, split int, rmse double, mae double")
+            for sigma in batch["sigma"]:
+                k = kernel_array(kernel, distances(x, x) / sigma) if len(x) else np.zeros((0, 0))
+                rows = _split_errors(_centered(k), y - y.mean(), wanted, splits, share, seed) if _usable(k) else []
+                yield pd.DataFrame([(sigma, *r) for r in rows], columns=["sigma", "lam", "split", "rmse", "mae", "train_rmse", "train_mae"])
+
+    return jobs.mapInPandas(one, "sigma double, lam double, split int, rmse double, mae double, train_rmse double, train_mae double")
+
+
+def swept(scales: list[float], tried: list[float], heuristic: float) -> list[float]:
+    """The length scales that a sweep reaches: upwards from the heuristic one, downwards below it, each way until one fails."""
+    up, down = sorted(s for s in scales if s >= heuristic), sorted((s for s in scales if s < heuristic), reverse=True)
+    return [s for way in (up, down) for s in itertools.takewhile(lambda s: s in tried, way)]
 
 
 def predict(train: DataFrame, rows: DataFrame, kernel: str, sigma: float, lam: float) -> DataFrame:
-    """Predictions of ``(id, v)`` by a model fitted to ``(id, v, y)``: ``id, prediction``. A map over the rows."""
-    known = train.orderBy("id").select("v", "y").collect()
-    x, y = np.array([r["v"] for r in known], float), np.array([r["y"] for r in known], float)
-    alpha, shift = _solve(kernel_array(kernel, distances(x, x) / sigma), y, lam)
-    shared = train.sparkSession.sparkContext.broadcast((x, alpha, shift))
+    """Predictions of ``(id, v)`` by a model fitted to ``(id, v, y)``: ``id, prediction``. A map over the rows.
+
+    The kernel is centered by the training set's means, and labels are shifted by theirs. At most MOST training rows.
+    """
+    x, y = _gathered(train)
+    k = kernel_array(kernel, distances(x, x) / sigma)
+    alpha = np.linalg.solve(_centered(k) + lam * np.eye(len(y)), y - y.mean())
+    shared = train.sparkSession.sparkContext.broadcast((x, alpha, y.mean(), k.mean(0), k.mean()))
 
     def one(batches):
-        x, alpha, shift = shared.value
+        x, alpha, shift, columns, grand = shared.value
         for batch in batches:
-            k = kernel_array(kernel, distances(np.array(batch["v"].tolist(), float), x) / sigma)
-            yield pd.DataFrame({"id": batch["id"], "prediction": k @ alpha + shift})
+            k = kernel_array(kernel, distances(np.array(batch["v"].tolist(), float).reshape(len(batch), -1), x) / sigma)
+            yield pd.DataFrame({"id": batch["id"], "prediction": (k - k.mean(1, keepdims=True) - columns + grand) @ alpha + shift})
 
     return rows.select("id", "v").mapInPandas(one, "id long, prediction double")
 
 
+def spectrum(train: DataFrame, kernel: str, sigma: float) -> list[float]:
+    """Eigenvalues of the centered kernel of a training set, ascending."""
+    x, _ = _gathered(train)
+    return np.linalg.eigvalsh(_centered(kernel_array(kernel, distances(x, x) / sigma))).tolist()
+
+
 def errors(predicted: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     """Root mean square and mean absolute error; rows without a label don't count."""
     gap = F.col("prediction") - F.col(label)
     return predicted.groupBy(*(by or [])).agg(F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"))
 
 
-def learning_curve(train: DataFrame, holdout: DataFrame, kernel: str, sizes: list[int], splits: int = 5) -> DataFrame:
-    """Per training size the best hyper-parameters and the error on the held-out rows: ``ntrain, sigma, lam, rmse, mae``."""
-    from retort.operators.pairs import length_scale
+def learning_curve(train: DataFrame, holdout: DataFrame, kernel: str, sizes: list[int], splits: int = 50, features: list[str] | None = None) -> DataFrame:
+    """Per training size the best hyper-parameters and errors: ``ntrain, sigma, lam, val_rmse, val_mae, test_rmse, test_mae``.
 
-    spark, rows = train.sparkSession, []
-    ordered = train.orderBy("position")
+    train: ``position`` (from 1), ``id, v, y`` and the detrending ``features``; holdout: the same but the position. A size takes the
+    first positions, is detrended by its own fit, swept over length scales around its heuristic one, and judged by the
+    median over splits (5 at least). Size 1 is the null model, which predicts the mean of all training rows.
+    """
+    spark, rows, features = train.sparkSession, [], features or []
+    null = {r["is_train"]: r for r in null_model(train.select("y", F.lit(True).alias("t")).unionByName(holdout.select("y", F.lit(False).alias("t"))), "y", "t").collect()}
+    rows.append((1, None, None, null[True]["rmse"], null[True]["mae"], null[False]["rmse"], null[False]["mae"]))
     for n in sizes:
-        part = ordered.limit(n).select("id", "v", "y").cache()
-        scale = length_scale(part.select("id", "v")).first()["scale"]
-        candidates = [(scale * 2.0**e, 10.0**p) for e in range(-1, 6) for p in (-8, -5, -2)]
-        tried = hyperparameters(part, kernel, candidates, splits).groupBy("sigma", "lam").agg(F.median("rmse").alias("rmse"))
-        best = tried.orderBy("rmse", "sigma", "lam").first()
-        error = errors(predict(part, holdout, kernel, best["sigma"], best["lam"]).join(holdout.select("id", "y"), "id"), "y").first()
-        rows.append((n, best["sigma"], best["lam"], error["rmse"], error["mae"]))
-        part.unpersist()
-    return spark.createDataFrame(rows, "ntrain int, sigma double, lam double, rmse double, mae double")
+        part, held = train.where(F.col("position") <= n), holdout
+        if features:
+            both = detrend(part.withColumn("_t", F.lit(True)).drop("position").unionByName(held.withColumn("_t", F.lit(False)), allowMissingColumns=True), features, "y", "_t").drop("y").withColumnRenamed("residual", "y")
+            part, held = both.where("_t"), both.where("NOT _t")
+        part = cut(part.select("id", "v", "y"))
+        scale = length_scale(part.select("id", "v")).first()["scale"] or 1.0
+        scales = [scale * f for f in FACTORS]
+        tried = cut(hyperparameters(part, kernel, scales, splits=splits))
+        reached = swept(scales, [r[0] for r in tried.select("sigma").distinct().collect()], scale)
+        medians = tried.where(F.col("sigma").isin(reached)).groupBy("sigma", "lam").agg(F.median("rmse").alias("rmse"), F.median("mae").alias("mae"), F.count("*").alias("n")).where("n >= 5")
+        best = medians.orderBy("rmse", "sigma", "lam").first()
+        if best is None:
+            continue
+        error = errors(predict(part, held, kernel, best["sigma"], best["lam"]).join(held.select("id", "y"), "id"), "y").first()
+        rows.append((n, best["sigma"], best["lam"], best["rmse"], best["mae"], error["rmse"], error["mae"]))
+    return spark.createDataFrame(rows, "ntrain int, sigma double, lam double, val_rmse double, val_mae double, test_rmse double, test_mae double")

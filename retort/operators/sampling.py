@@ -40,11 +40,26 @@ def holdout_split(rows: DataFrame, key: str, maxcount: int, seed: str = "0") ->
     return numbered(rows, key, seed).select(*rows.columns, (F.col("position") <= maxcount).alias("is_train"))
 
 
-def cross_validation(rows: DataFrame, key: str, splits: int, share: float = 0.2) -> DataFrame:
-    """Each row in each of ``splits`` random splits: adds ``split`` and ``is_validation``, for about ``share`` of the rows."""
+def fraction(rows: DataFrame, key: str, share: float, seed: str = "0") -> DataFrame:
+    """A share of the rows, rounded to whole ones, uniformly and without replacement."""
+    return sample(rows, key, round(share * rows.count()), seed)
+
+
+def cross_validation(rows: DataFrame, key: str, splits: int, share: float = 0.2, cell: int = 100_000) -> DataFrame:
+    """Each row in each of ``splits`` random splits: adds ``split`` and ``is_validation``, for exactly ``share`` of the rows, rounded down.
+
+    The rank of a row within a split goes by cells of the hash range, after the rows of the cells before.
+    """
+    n = rows.count()
+    cells = max(1, -(-n // cell))
     out = rows.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    u = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("split").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(1000))
-    return out.withColumn("is_validation", u < int(share * 1000))
+    out = out.withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("split").cast("string"))))
+    out = out.withColumn("_c", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * cells / F.lit(1 << 32)))
+    past = Window.partitionBy("split").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    before = out.groupBy("split", "_c").count().select("split", "_c", F.coalesce(F.sum("count").over(past), F.lit(0)).alias("_b"))
+    rank = F.row_number().over(Window.partitionBy("split", "_c").orderBy("_h", key))
+    ranked = out.withColumn("_r", rank).join(before, ["split", "_c"])
+    return ranked.select(*rows.columns, "split", (F.col("_b") + F.col("_r") <= int(n * share)).alias("is_validation"))
 
 
 def stratified(rows: DataFrame, key: str, stratum: str, size: int, seed: str = "0") -> DataFrame:
@@ -57,12 +72,35 @@ def stratified(rows: DataFrame, key: str, stratum: str, size: int, seed: str = "
     return rows.withColumn("_r", rank).join(quotas, F.col(stratum).eqNullSafe(F.col("_s"))).where("_r <= _q").select(*rows.columns)
 
 
-def weighted_choice(rows: DataFrame, key: str, weight: str, draws: int, seed: int = 0) -> DataFrame:
+def _uniform(*parts: Column) -> Column:
+    """A number in (0, 1) from a hash that any engine with md5 gives."""
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def weighted_choice(rows: DataFrame, key: str, weight: str, draws: int, seed: str = "0") -> DataFrame:
     """One row per draw, with probability in proportion to its weight, however large: ``draw, key``.
 
     An exponential race: the least -ln(u) / weight wins, u a hash of row and draw; a partial minimum per task.
     """
     out = rows.where(F.col(weight) > 0).select(key, weight, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    u = (F.pmod(F.xxhash64(key, "draw", F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    time = out.select("draw", key, (F.ln(-F.ln(u)) - F.ln(weight)).alias("_t"))
+    u = _uniform(F.col(key).cast("string"), F.col("draw").cast("string"), F.lit(seed))
+    time = out.select("draw", key, (F.ln(-F.ln(u)) - F.ln(F.col(weight).cast("double"))).alias("_t"))
     return time.groupBy("draw").agg(F.min_by(key, F.struct("_t", key)).alias(key))
+
+
+def multinomial(rows: DataFrame, key: str, weight: str, draws: int, seed: str = "0", cells: int = 1024) -> DataFrame:
+    """How often each key comes in ``draws`` independent draws by weight: ``key, times``; keys that never come are left out.
+
+    Keys own intervals of (0, 1), by running sums in ranges of the key; draws are hashes of their numbers and meet the
+    interval they fall into by an equality of cells.
+    """
+    from retort.operators.stats import ranged, running
+
+    spark = rows.sparkSession
+    summed = running(ranged(rows.where(F.col(weight) > 0).select(key, F.col(weight).cast("double").alias("_w")), key), key, {"_high": "_w"})
+    whole = summed.agg(F.max("_high").alias("_all"))
+    owned = summed.join(F.broadcast(whole)).select(key, ((F.col("_high") - F.col("_w")) / F.col("_all")).alias("_a"), (F.col("_high") / F.col("_all")).alias("_b"))
+    at = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1)).cast("int")
+    owned = owned.withColumn("_cell", F.explode(F.sequence(at(F.col("_a")), at(F.col("_b")))))
+    drawn = spark.range(draws).select(_uniform(F.col("id").cast("string"), F.lit(seed)).alias("_u")).withColumn("_cell", at(F.col("_u")))
+    return drawn.join(owned, "_cell").where("_u >= _a AND _u < _b").groupBy(key).agg(F.count("*").alias("times"))

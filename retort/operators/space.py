@@ -141,6 +141,33 @@ def missing_labels(cases: DataFrame, known: DataFrame, limit: int = 20) -> DataF
     return labels.join(known.select("label"), "label", "left_anti").join(known.select(F.col("label").alias("pure")), "pure", "left_anti").select("label")
 
 
+def shared_labels(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Labels that both tables have."""
+    return one.select("label").intersect(two.select("label"))
+
+
+def only_in(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Rows of the first table whose label the second lacks."""
+    return one.join(two.select("label").distinct(), "label", "left_anti")
+
+
+def element_sequence(stoichiometry: Column) -> Column:
+    """Every atom's element, by valence, then count, then label."""
+    ordered = F.array_sort(F.transform(stoichiometry, lambda t: F.struct(t["valence"].alias("valence"), t["count"].alias("count"), t["label"].alias("label"))))
+    return F.flatten(F.transform(ordered, lambda t: F.array_repeat(t["label"], t["count"])))
+
+
+def largest_valence(stoichiometry: Column) -> Column:
+    """The largest valence of an atom that occurs; null without atoms."""
+    return F.array_max(F.transform(F.filter(stoichiometry, lambda t: t["count"] > 0), lambda t: t["valence"]))
+
+
+def types_per_valence(stoichiometry: Column) -> Column:
+    """Map of valence to the number of atom types that have it."""
+    valences = F.array_sort(F.array_distinct(F.transform(stoichiometry, lambda t: t["valence"])))
+    return F.map_from_entries(F.transform(valences, lambda v: F.struct(v, F.size(F.filter(stoichiometry, lambda t: t["valence"] == v)))))
+
+
 def formula_table(counted: DataFrame) -> DataFrame:
     """Per sum formula the number of molecules, and all its stoichiometries with theirs."""
     rows = counted.withColumn("formula", sum_formula(F.col("stoichiometry")))

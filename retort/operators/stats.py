@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,31 +24,49 @@ def relative_weights(merged: DataFrame) -> DataFrame:
     return merged.join(F.broadcast(totals)).select(*merged.columns, share(F.col("f1"), F.col("_1")).alias("w1"), share(F.col("f2"), F.col("_2")).alias("w2"), share(both, F.col("_1") + F.col("_2")).alias("w"))
 
 
-def cumulative(merged: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """Adds ``c1, c2``: running sums of w1, w2 by key.
+def ranged(rows: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+    """The rows with ``_p``, the number of a range of the key that they belong to."""
+    from retort.plans.lineage import cut
+
+    return cut(rows.repartitionByRange(buckets, key).withColumn("_p", F.spark_partition_id()))
+
+
+def running(rows: DataFrame, key: str, sums: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """Adds running sums by key within ``by``: name -> summed column. Rows have ``_p`` from ranged().
 
-    The order is dealt into key ranges: sums within a range, plus the sums of the ranges before it.
+    Sums within a range, plus those of the ranges before it: no task gets all keys. Of the ranges there are as many
+    sums as buckets, times the values of ``by``.
     """
-    parts = merged.repartitionByRange(buckets, key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
-    from retort.plans.lineage import cut
+    by = by or []
+    past = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*by, "_p").agg(*(F.sum(c).alias(f"_s{k}") for k, c in enumerate(sums.values())))
+    totals = totals.select(*by, "_p", *(F.coalesce(F.sum(f"_s{k}").over(past), F.lit(0.0)).alias(f"_b{k}") for k in range(len(sums))))
+    within = Window.partitionBy(*by, "_p").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(totals, [*by, "_p"])
+    return out.select(*rows.columns, *((F.col(f"_b{k}") + F.sum(c).over(within)).alias(name) for k, (name, c) in enumerate(sums.items())))
+
 
-    parts = cut(parts)
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sums = parts.groupBy("_p").agg(F.sum("w1").alias("_1"), F.sum("w2").alias("_2"))
-    sums = sums.select("_p", *(F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(c) for c in ("_1", "_2")))
-    within = Window.partitionBy("_p").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    out = parts.join(F.broadcast(sums), "_p")
-    return out.select(*merged.columns, (F.col("_1") + F.sum("w1").over(within)).alias("c1"), (F.col("_2") + F.sum("w2").over(within)).alias("c2"))
+def cumulative(merged: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+    """Adds ``c1, c2``: running sums of w1, w2 by key."""
+    return running(ranged(merged, key, buckets), key, {"c1": "w1", "c2": "w2"}).drop("_p")
 
 
 def distances(merged: DataFrame, key: str, eps: float = 1e-10) -> DataFrame:
-    """``ks``: largest difference of the cumulative shares; ``kl``: sum p ln(p / q) after adding eps and renormalising; ``area``: trapezoid between the cumulative shares."""
-    weighted = cumulative(relative_weights(merged), key)
-    totals = weighted.agg(F.sum(F.col("w1") + eps).alias("_p"), F.sum(F.col("w2") + eps).alias("_q"))
+    """Distances of two distributions, each share raised by ``eps``: one row.
+
+    ``ks``: largest difference of the cumulative shares; ``kl``: sum p ln(p / q) of the shares made to sum to 1 again; areas by
+    trapezoids of width 1: ``area_one``, ``area_two`` under the cumulative shares, ``area`` between them, and ``percent``, the
+    latter relative to the larger of the others.
+    """
+    raised = relative_weights(merged).withColumns({"_p1": F.col("w1") + eps, "_p2": F.col("w2") + eps})
+    weighted = running(ranged(raised, key), key, {"c1": "_p1", "c2": "_p2"})
+    totals = weighted.agg(F.sum("_p1").alias("_a"), F.sum("_p2").alias("_b"))
     gap = F.abs(F.col("c1") - F.col("c2"))
-    p, q = (F.col("w1") + eps) / F.col("_p"), (F.col("w2") + eps) / F.col("_q")
-    ends = F.min_by(gap, key) + F.max_by(gap, key)
-    return weighted.join(F.broadcast(totals)).agg(F.max(gap).alias("ks"), F.sum(p * F.ln(p / q)).alias("kl"), (F.sum(gap) - ends / 2).alias("area"))
+    p, q = F.col("_p1") / F.col("_a"), F.col("_p2") / F.col("_b")
+    under = lambda c: F.sum(c) - (F.min_by(c, key) + F.max_by(c, key)) / 2
+    out = weighted.join(F.broadcast(totals)).agg(
+        F.max(gap).alias("ks"), F.sum(p * F.ln(p / q)).alias("kl"), under(gap).alias("area"), under(F.col("c1")).alias("area_one"), under(F.col("c2")).alias("area_two"))
+    return out.withColumn("percent", F.col("area") / F.greatest("area_one", "area_two") * 100)
 
 
 def two_sample_ks(values: DataFrame) -> DataFrame:
@@ -55,20 +75,56 @@ def two_sample_ks(values: DataFrame) -> DataFrame:
     return cumulative(relative_weights(counts), "x").agg(F.max(F.abs(F.col("c1") - F.col("c2"))).alias("ks"))
 
 
-def bootstrap(merged: DataFrame, key: str, rounds: int, seed: int = 0) -> DataFrame:
-    """Total variation distance of Poisson-resampled frequencies: ``round, tv``; one pass, partial sums per round.
+#: The chances of at most 0, 1, 2, ... under a Poisson distribution of mean 1, as far as doubles tell them from 1.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(18)]
 
-    A cell of frequency f is drawn as a Poisson number of mean f, by inversion for small f and by the normal limit for
-    large, from a hash of key and round, so that reruns agree.
+
+def bootstrap(merged: DataFrame, key: str, rounds: int, seed: str = "0", eps: float = 1e-10) -> DataFrame:
+    """Distances of resampled distributions: ``round, ks, kl``, as distances() defines them.
+
+    A round draws the rows with replacement: each one as often as a Poisson number of mean 1 says, the limit of such draws, by
+    inversion of a hash of key and round, so that reruns agree; a repeated row counts with its frequencies and
+    ``eps`` as often. Running sums go by key, in ranges of it, within a round.
     """
-    u = lambda salt: (F.pmod(F.xxhash64(F.col(key), F.col("round"), F.lit(seed), F.lit(salt)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    drawn = merged.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    for k, c in ((1, "f1"), (2, "f2")):
-        normal = F.sqrt(-2 * F.ln(u(2 * k))) * F.cos(F.lit(6.283185307179586) * u(2 * k + 10))
-        drawn = drawn.withColumn(f"r{k}", F.greatest(F.lit(0.0), F.round(F.col(c) + F.sqrt(F.col(c).cast("double")) * normal)))
-    totals = drawn.groupBy("round").agg(F.sum("r1").alias("_1"), F.sum("r2").alias("_2"))
-    gap = F.abs(F.coalesce(F.try_divide("r1", "_1"), F.lit(0.0)) - F.coalesce(F.try_divide("r2", "_2"), F.lit(0.0)))
-    return drawn.join(F.broadcast(totals), "round").groupBy("round").agg((F.sum(gap) / 2).alias("tv"))
+    drawn = ranged(merged, key).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("round").cast("string"), F.lit(seed))), 1, 12), 16, 10).cast("double")
+    times = F.size(F.filter(F.array(*(F.lit(c) for c in POISSON)), lambda c: c <= (hashed + 0.5) / float(1 << 48)))
+    drawn = drawn.withColumn("_t", times).where("_t > 0")
+    totals = drawn.groupBy("round").agg(F.sum(F.col("f1") * F.col("_t")).alias("_1"), F.sum(F.col("f2") * F.col("_t")).alias("_2"), F.sum("_t").alias("_n"))
+    share = lambda f, t: F.coalesce(F.try_divide(f, t), F.lit(0.0)) + eps
+    rows = drawn.join(F.broadcast(totals), "round").withColumns({"_p1": share("f1", "_1"), "_p2": share("f2", "_2")})
+    rows = rows.withColumns({"_q1": F.col("_p1") * F.col("_t"), "_q2": F.col("_p2") * F.col("_t")})
+    both = running(rows.select(key, "_p", "round", "_p1", "_p2", "_q1", "_q2", "_t", "_n"), key, {"c1": "_q1", "c2": "_q2"}, ["round"])
+    whole = both.groupBy("round").agg(F.sum("_q1").alias("_a"), F.sum("_q2").alias("_b"))
+    p, q = F.col("_p1") / F.col("_a"), F.col("_p2") / F.col("_b")
+    return both.join(F.broadcast(whole), "round").groupBy("round").agg(F.max(F.abs(F.col("c1") - F.col("c2"))).alias("ks"), F.sum(F.col("_t") * p * F.ln(p / q)).alias("kl"))
+
+
+def bootstrap_summary(values: DataFrame, metrics: list[str], alpha: float = 0.05) -> DataFrame:
+    """Mean and percentile interval of each metric over the rounds: ``<m>_mean, <m>_low, <m>_high``."""
+    out = []
+    for m in metrics:
+        out += [F.avg(m).alias(f"{m}_mean"), F.percentile(m, F.lit(alpha / 2)).alias(f"{m}_low"), F.percentile(m, F.lit(1 - alpha / 2)).alias(f"{m}_high")]
+    return values.agg(*out)
+
+
+def log_metrics(points: DataFrame, columns: list[str], pairs: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Adds ``log_<column>``, the decimal logarithm, and for each pair the larger of two logarithms; null where there is none."""
+    log = lambda c: F.when(F.col(c) > 0, F.log10(c))
+    out = points.select("*", *(log(c).alias(f"log_{c}") for c in columns))
+    return out.select("*", *(F.greatest(log(a), log(b)).alias(f"log_{name}") for name, (a, b) in (pairs or {}).items()))
+
+
+def capped(points: DataFrame, column: str, share: float = 0.9) -> DataFrame:
+    """The points with values above a percentile set to it."""
+    top = points.agg(F.percentile(column, F.lit(share)).alias("_top"))
+    return points.join(F.broadcast(top)).withColumn(column, F.least(column, "_top")).select(*points.columns)
+
+
+def curve_table(points: DataFrame, n: str, metrics: list[str]) -> DataFrame:
+    """A learning curve as lines of text, in order of the training size: numbers in scientific form, no number as ``inf``."""
+    shown = lambda c: F.when(F.col(c).isNull() | (F.abs(F.col(c)) == float("inf")), "inf").otherwise(F.format_string("%.3e", c))
+    return points.select(n, F.concat_ws("  ", F.lpad(F.col(n).cast("string"), 8, " "), *(F.lpad(shown(m), 11, " ") for m in metrics)).alias("line"))
 
 
 def interval(values: DataFrame, column: str, low: float = 0.025, high: float = 0.975) -> DataFrame:

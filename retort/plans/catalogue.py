@@ -15,7 +15,8 @@ from retort.functions import formulas
 from retort.functions.expressions import Composition, select_column
 from retort.functions.kernels import KERNELS
 from retort.operators import dimension, graphs, molecules, pairs, regression, sampling, space, stats, taylor
-from retort.plans.lineage import cut
+from retort.plans.lineage import cut, scratch
+from retort.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -272,12 +273,31 @@ def _holdout(spark, folder):
     return sampling.holdout_split(_t(spark, folder, "orders").select("o_orderkey"), "o_orderkey", 1000, "7")
 
 
-@register("cross_validation", "WITH s AS (SELECT c_custkey, c_acctbal, k AS split, ('0x' || substr(md5(c_custkey::VARCHAR || ':' || k::VARCHAR), 1, 8))::BIGINT % 1000 < 200 AS v FROM customer, range(10) t(k)) SELECT split::INTEGER AS split, count(*) AS n, round(median(c_acctbal), 4) AS m FROM s WHERE v GROUP BY 1")
+@register("cross_validation", """
+WITH s AS (SELECT c_custkey, c_acctbal, k AS split, row_number() OVER (PARTITION BY k ORDER BY md5(c_custkey::VARCHAR || ':' || k::VARCHAR), c_custkey) <= floor((SELECT count(*) FROM customer) * 0.2) AS v FROM customer, range(10) t(k))
+SELECT split::INTEGER AS split, count(*) AS n, round(median(c_acctbal), 4) AS m FROM s WHERE v GROUP BY 1""")
 def _cv(spark, folder):
     out = sampling.cross_validation(_t(spark, folder, "customer").select("c_custkey", "c_acctbal"), "c_custkey", 10).where("is_validation")
     return _rounded(out.groupBy("split").agg(F.count("*").alias("n"), F.median("c_acctbal").alias("m")), 4, "m")
 
 
+@register("sample_fraction", "SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey::VARCHAR || ':5'), o_orderkey LIMIT (SELECT round_even(count(*) * 0.3, 0)::BIGINT FROM orders)")
+def _fraction(spark, folder):
+    return sampling.fraction(_t(spark, folder, "orders").select("o_orderkey"), "o_orderkey", 0.3, "5")
+
+
+_UNIFORM = "((('0x' || substr(md5({}), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656"
+
+
+@register("multinomial", f"""
+WITH w AS (SELECT s_suppkey, abs(s_acctbal) + 1 AS w FROM supplier), c AS (SELECT s_suppkey, w, sum(w) OVER (ORDER BY s_suppkey) AS h, sum(w) OVER () AS t FROM w),
+d AS (SELECT {_UNIFORM.format("k::VARCHAR || ':0'")} AS u FROM range(20000) t(k))
+SELECT s_suppkey, count(*) AS times FROM c JOIN d ON u >= (h - w) / t AND u < h / t GROUP BY 1""")
+def _multinomial(spark, folder):
+    rows = _t(spark, folder, "supplier").select("s_suppkey", (F.abs("s_acctbal") + 1).alias("w"))
+    return sampling.multinomial(rows, "s_suppkey", "w", 20000)
+
+
 @register("sample_fixed_size", "SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey::VARCHAR || ':3'), o_orderkey LIMIT 500")
 def _sample(spark, folder):
     return sampling.sample(_t(spark, folder, "orders").select("o_orderkey"), "o_orderkey", 500, "3")
@@ -288,7 +308,9 @@ def _stratified(spark, folder):
     return sampling.stratified(_t(spark, folder, "customer").select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey", 200)
 
 
-@register("weighted_choice")
+@register("weighted_choice", f"""
+WITH r AS (SELECT p_partkey, k AS draw, ln(-ln({_UNIFORM.format("p_partkey::VARCHAR || ':' || k::VARCHAR || ':0'")})) - ln(p_retailprice::DOUBLE) AS t FROM part, range(50) t(k))
+SELECT draw::INTEGER AS draw, min_by(p_partkey, (t, p_partkey)) AS p_partkey FROM r GROUP BY 1""")
 def _weighted(spark, folder):
     return sampling.weighted_choice(_t(spark, folder, "part"), "p_partkey", "p_retailprice", 50)
 
@@ -346,10 +368,14 @@ def _weights(spark, folder):
     return _rounded(stats.relative_weights(_merged(spark, folder)), 9, "w1", "w2", "w")
 
 
-@register("distribution_distances", _MERGED + """, c AS (SELECT *, abs(sum(w1) OVER o - sum(w2) OVER o) AS g FROM w WINDOW o AS (ORDER BY k)), t AS (SELECT sum(w1 + 1e-10) AS p, sum(w2 + 1e-10) AS q FROM w)
-SELECT round(max(g), 8) AS ks, round(sum((w1 + 1e-10) / p * ln(((w1 + 1e-10) / p) / ((w2 + 1e-10) / q))), 6) AS kl, round(sum(g) - (min_by(g, k) + max_by(g, k)) / 2, 6) AS area FROM c, t""")
+@register("distribution_distances", _MERGED + """,
+c AS (SELECT *, sum(w1 + 1e-10) OVER o AS c1, sum(w2 + 1e-10) OVER o AS c2 FROM w WINDOW o AS (ORDER BY k)), t AS (SELECT sum(w1 + 1e-10) AS p, sum(w2 + 1e-10) AS q FROM w),
+z AS (SELECT max(abs(c1 - c2)) AS ks, sum((w1 + 1e-10) / p * ln(((w1 + 1e-10) / p) / ((w2 + 1e-10) / q))) AS kl, sum(abs(c1 - c2)) - (min_by(abs(c1 - c2), k) + max_by(abs(c1 - c2), k)) / 2 AS area,
+  sum(c1) - (min_by(c1, k) + max_by(c1, k)) / 2 AS area_one, sum(c2) - (min_by(c2, k) + max_by(c2, k)) / 2 AS area_two FROM c, t)
+SELECT round(ks, 8) AS ks, round(kl, 6) AS kl, round(area, 6) AS area, round(area_one, 6) AS area_one, round(area_two, 6) AS area_two, round(area / greatest(area_one, area_two) * 100, 6) AS percent FROM z""")
 def _distances(spark, folder):
-    return stats.distances(_merged(spark, folder), "k").select(_r("ks", 8), _r("kl"), _r("area"))
+    out = stats.distances(_merged(spark, folder), "k")
+    return out.select(_r("ks", 8), *(_r(c) for c in out.columns[1:]))
 
 
 @register("two_sample_ks", "WITH c AS (SELECT value AS x, count(*) FILTER (user_id % 2 = 0) AS a, count(*) FILTER (user_id % 2 = 1) AS b FROM events GROUP BY 1) SELECT round(max(g), 8) AS ks FROM (SELECT abs(sum(a) OVER (ORDER BY x) / (SELECT sum(a) FROM c) - sum(b) OVER (ORDER BY x) / (SELECT sum(b) FROM c)) AS g FROM c)")
@@ -358,9 +384,30 @@ def _ks2(spark, folder):
     return stats.two_sample_ks(x).select(_r("ks", 8))
 
 
-@register("bootstrap_interval")
+_TIMES = "len(list_filter([" + ", ".join(repr(c) for c in stats.POISSON) + "]::DOUBLE[], lambda c: c <= u))"
+
+
+@register("bootstrap_interval", _MERGED + f""",
+u AS (SELECT k, f1, f2, r, {_UNIFORM.format("k::VARCHAR || ':' || r::VARCHAR || ':0'")} AS u FROM m, range(1000) t(r)), d AS (SELECT *, {_TIMES} AS n FROM u),
+s AS (SELECT r, sum(f1 * n) AS t1, sum(f2 * n) AS t2 FROM d GROUP BY 1),
+p AS (SELECT d.*, f1 / t1 + 1e-10 AS p1, f2 / t2 + 1e-10 AS p2 FROM d JOIN s USING (r) WHERE n > 0),
+c AS (SELECT *, abs(sum(n * p1) OVER o - sum(n * p2) OVER o) AS gap, sum(n * p1) OVER (PARTITION BY r) AS a, sum(n * p2) OVER (PARTITION BY r) AS b FROM p WINDOW o AS (PARTITION BY r ORDER BY k)),
+q AS (SELECT r, max(gap) AS ks, sum(n * p1 / a * ln((p1 / a) / (p2 / b))) AS kl FROM c GROUP BY 1)
+SELECT """ + ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(quantile_cont({m}, 0.025), 6) AS {m}_low, round(quantile_cont({m}, 0.975), 6) AS {m}_high" for m in ("ks", "kl")) + " FROM q")
 def _bootstrap(spark, folder):
-    return stats.interval(stats.bootstrap(_merged(spark, folder), "k", 50), "tv")
+    out = stats.bootstrap_summary(stats.bootstrap(_merged(spark, folder), "k", 1000), ["ks", "kl"])
+    return _rounded(out, 6, *out.columns)
+
+
+@register("log_metrics", "SELECT p_partkey, round(log10(p_size), 8) AS log_p_size, round(greatest(log10(p_size), log10(p_retailprice)), 8) AS log_larger FROM part")
+def _log_metrics(spark, folder):
+    out = stats.log_metrics(_t(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size"], {"larger": ("p_size", "p_retailprice")})
+    return _rounded(out.select("p_partkey", "log_p_size", "log_larger"), 8, "log_p_size", "log_larger")
+
+
+@register("capped_metrics", "SELECT o_orderkey, round(least(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.9) FROM orders)), 4) AS o_totalprice FROM orders")
+def _capped(spark, folder):
+    return _rounded(stats.capped(_t(spark, folder, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice"), 4, "o_totalprice")
 
 
 # --- chemical space -----------------------------------------------------------------------------------------------
@@ -495,6 +542,69 @@ def _missing(spark, folder):
     return space.missing_labels(cases, known)
 
 
+@register("stoichiometry_projections", _COUNTS + """ SELECT l_orderkey, CASE WHEN a > 0 THEN 4 WHEN r > 0 THEN 2 ELSE 1 END AS largest, repeat('H', n::INTEGER) || repeat('O', r::INTEGER) || repeat('C', a::INTEGER) AS elements,
+ (a > 0)::INTEGER + (r > 0)::INTEGER + (n > 0)::INTEGER AS types FROM c""")
+def _projections(spark, folder):
+    s = F.col("stoichiometry")
+    return _compositions(spark, folder).select("l_orderkey", space.largest_valence(s).alias("largest"), F.array_join(space.element_sequence(s), "").alias("elements"), F.size(F.map_keys(space.types_per_valence(s))).alias("types"))
+
+
+@register("label_sets", _COUNTS + _KNOWN + """, f AS (SELECT label, t FROM l) SELECT 'both' AS part, count(*) AS n FROM (SELECT label FROM f WHERE t % 2 = 0 INTERSECT SELECT g.label FROM g WHERE n >= 40)
+UNION ALL SELECT 'only', count(*) FROM (SELECT DISTINCT label FROM f WHERE t % 2 = 0) x WHERE label NOT IN (SELECT label FROM g WHERE n >= 40)""")
+def _label_sets(spark, folder):
+    cases, known = _tables(spark, folder)
+    atoms = F.aggregate("stoichiometry", F.lit(0), lambda a, x: a + x["count"])
+    even = cases.where(atoms % 2 == 0).select(space.label_of(F.col("stoichiometry")).alias("label")).distinct()
+    count = lambda df, part: df.agg(F.lit(part).alias("part"), F.count("*").alias("n")).select("part", "n")
+    return count(space.shared_labels(even, known), "both").unionByName(count(space.only_in(even, known), "only"))
+
+
+# --- files that are written and read again ------------------------------------------------------------------------
+
+
+@register("counts_round_trip", _COUNTS + _KNOWN + " SELECT label, CASE WHEN n >= 40 THEN n ELSE -1 END AS n, CASE WHEN n < 40 THEN round(n / 8, 6) ELSE -1 END AS length FROM g")
+def _counts_files(spark, folder):
+    rows = _compositions(spark, folder).groupBy(space.label_of(F.col("stoichiometry")).alias("label")).agg(F.count("*").alias("c"))
+    at = scratch(spark)
+    files.write_counts(rows.select("label", F.when(F.col("c") >= 40, F.col("c")).alias("n"), F.when(F.col("c") < 40, F.col("c") / 8.0).alias("length")), at)
+    return files.read_counts(spark, at).select("label", F.coalesce(F.col("n").cast("long"), F.lit(-1)).alias("n"), F.coalesce(F.round("length", 6), F.lit(-1.0)).alias("length"))
+
+
+@register("molecules_round_trip", "WITH c AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1 HAVING count(*) >= 2) SELECT o_orderkey, round(o_totalprice / n, 6) AS label FROM orders JOIN c ON o_orderkey = l_orderkey")
+def _molecule_files(spark, folder):
+    at = scratch(spark)
+    files.write_predictions(_xyz(spark, folder), at, compress=True)
+    out = molecules.checked_selection(files.read_molecules(spark, at, "o_orderkey long, o_totalprice double, xyz string"), "n_C >= 2", "o_totalprice / n_C")
+    return _rounded(out.select("o_orderkey", "label"), 6, "label")
+
+
+@register("predictions_round_trip", "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN round(c_acctbal / 3, 6) END AS charge FROM customer")
+def _prediction_files(spark, folder):
+    rows = _t(spark, folder, "customer").select("c_custkey", "c_acctbal")
+    nan = F.lit(float("nan"))
+    out = files.with_predictions(rows, rows.select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") / 3).otherwise(nan).alias("prediction")), "c_custkey", "charge")
+    at = scratch(spark)
+    files.write_predictions(out, at)
+    return spark.read.schema("c_custkey long, charge double").json(at).select("c_custkey", F.round("charge", 6).alias("charge"))
+
+
+@register("frequencies_round_trip", _COUNTS + f" SELECT {_HILL} AS SF, count(*) AS freq FROM c GROUP BY 1")
+def _frequency_files(spark, folder):
+    at = scratch(spark)
+    files.write_csv(_compositions(spark, folder).groupBy(formulas.sum_formula(F.col("stoichiometry")).alias("SF")).agg(F.count("*").alias("freq")), at)
+    return files.read_frequencies(spark, at)
+
+
+@register("graph_lines", "WITH b AS (SELECT l_orderkey AS g, l_linenumber AS u, l_linenumber + 1 + l_suppkey % 2 AS v, l_suppkey % 3 + 1 AS bond FROM lineitem) SELECT u::INTEGER AS u, v::INTEGER AS v, bond::INTEGER AS bond, count(*) AS n FROM b GROUP BY 1, 2, 3")
+def _graph_files(spark, folder):
+    sign = F.element_at(F.array(F.lit("-"), F.lit("="), F.lit("#")), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    bond = F.concat(F.col("l_linenumber").cast("string"), sign, (F.col("l_linenumber") + 1 + F.col("l_suppkey") % 2).cast("string"))
+    lines = _t(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.concat_ws(" ", F.lit("1"), F.col("l_orderkey").cast("string"), F.lit("Aa9"), F.array_join(F.sort_array(F.collect_list(bond)), " ")).alias("value"))
+    at = scratch(spark)
+    lines.select("value").write.text(at)
+    return files.read_graphs(spark, at).select(F.inline("bonds")).groupBy("u", "v", "bond").agg(F.count("*").alias("n"))
+
+
 @register("formula_table", _COUNTS + f" SELECT {_HILL} AS formula, count(*)::DOUBLE AS n, count(*) AS cases FROM c GROUP BY 1")
 def _formula_table(spark, folder):
     counted = _compositions(spark, folder).withColumns({"n": F.lit(1.0), "label": space.label_of(F.col("stoichiometry"))})
@@ -590,7 +700,16 @@ def _random_graphs(spark, folder):
     return graphs.random_graphs(d.select("g", formulas.degrees_of(F.col("s")).alias("degrees")))
 
 
-@register("edit_distances")
+_SIX = ", ".join(f"{x}{k} AS (SELECT unnest([{', '.join(map(str, own))}]) AS {x}{k})" for x, own in (("e", (0, 2, 4)), ("o", (1, 3, 5))) for k in own)
+
+
+@register("edit_distances", f"""
+WITH r AS (SELECT c_nationkey AS g, c_custkey % 6 AS u, round(c_acctbal)::BIGINT % 6 AS v FROM customer), b AS (SELECT g, least(u, v) AS u, greatest(u, v) AS v, count(*) AS n FROM r WHERE u <> v AND v >= 0 GROUP BY ALL),
+{_SIX}, p AS (SELECT row_number() OVER () AS id, [e0, o1, e2, o3, e4, o5] AS p FROM e0, o1, e2, o3, e4, o5 WHERE e0 <> e2 AND e0 <> e4 AND e2 <> e4 AND o1 <> o3 AND o1 <> o5 AND o3 <> o5),
+g AS (SELECT DISTINCT g FROM b), w AS (SELECT x.g AS a, y.g AS b, p.id, p.p, i.u, j.v FROM g x JOIN g y ON x.g < y.g, p, range(6) i(u), range(6) j(v) WHERE i.u < j.v),
+d AS (SELECT w.a, w.b, id, sum(abs(coalesce(m.n, 0) - coalesce(q.n, 0))) AS d FROM w LEFT JOIN b m ON m.g = w.a AND m.u = w.u AND m.v = w.v
+  LEFT JOIN b q ON q.g = w.b AND q.u = least(p[w.u + 1], p[w.v + 1]) AND q.v = greatest(p[w.u + 1], p[w.v + 1]) GROUP BY 1, 2, 3)
+SELECT a::BIGINT AS a, b::BIGINT AS b, min(d)::INTEGER AS distance FROM d GROUP BY 1, 2""")
 def _edit(spark, folder):
     rows = _t(spark, folder, "customer").select(F.col("c_nationkey").cast("long").alias("g"), (F.col("c_custkey") % 6).cast("int").alias("u"), (F.round("c_acctbal").cast("long") % 6).cast("int").alias("v"))
     bonds = cut(graphs.bond_orders(rows.where("u <> v AND v >= 0")).select("g", "u", "v", F.col("bond").cast("int").alias("bond")))
@@ -603,19 +722,54 @@ def _labelled(spark, folder):
     return _t(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("double").alias("y"))
 
 
+def _ladder(spark, folder):
+    """Labelled rows in shuffled order; those to train on, four fifths but 2048 at most, the default end of the ladder; and the held-out ones."""
+    rows = cut(sampling.numbered(_labelled(spark, folder), "id", "0"))
+    most = min(2048, rows.count() * 4 // 5)
+    return rows.where(F.col("position") <= most), rows.where(F.col("position") > most), most
+
+
 @register("krr_predict")
 def _krr(spark, folder):
-    rows = _labelled(spark, folder)
-    return _rounded(regression.predict(sampling.sample(rows, "id", 256), rows, "Gaussian", 1.5, 1e-4), 6, "prediction")
+    train, _, _ = _ladder(spark, folder)
+    return _rounded(regression.predict(train, _labelled(spark, folder), "Gaussian", 1.5, 1e-4), 6, "prediction")
+
+
+# two training rows, the mean vectors of even and odd labels, have a closed solution
+@register("krr_two_means", """
+WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label::DOUBLE AS y, label % 2 AS s FROM embeddings),
+u AS (SELECT s, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e), m AS (SELECT s, list(a ORDER BY i) AS v FROM (SELECT s, i, avg(x) AS a FROM u GROUP BY 1, 2) GROUP BY 1),
+t AS (SELECT s, avg(y) AS y FROM e GROUP BY 1), p AS (SELECT a.v AS a, b.v AS b, c.y AS ya, d.y AS yb FROM m a, m b, t c, t d WHERE a.s = 0 AND b.s = 1 AND c.s = 0 AND d.s = 1),
+w AS (SELECT *, (ya - yb) / 2 / (1 - exp(-pow(list_distance(a, b) / 1.5, 2)) + 0.01) AS alpha FROM p)
+SELECT id, round((ya + yb) / 2 + alpha * (exp(-pow(list_distance(v, a) / 1.5, 2)) - exp(-pow(list_distance(v, b) / 1.5, 2))), 6) AS prediction FROM e, w""")
+def _two_means(spark, folder):
+    rows = _labelled(spark, folder).withColumn("s", F.col("y").cast("long") % 2)
+    each = rows.select("s", F.posexplode("v").alias("i", "x")).groupBy("s", "i").agg(F.avg("x").alias("a"))
+    vectors = each.groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a"))), lambda x: x["a"]).alias("v"))
+    train = vectors.join(rows.groupBy("s").agg(F.avg("y").alias("y")), "s").withColumnRenamed("s", "id")
+    return _rounded(regression.predict(train, rows, "Gaussian", 1.5, 0.01), 6, "prediction")
 
 
 @register("krr_hyperparameters")
 def _hyper(spark, folder):
-    rows = sampling.sample(_labelled(spark, folder), "id", 192)
-    return regression.hyperparameters(rows, "Gaussian", [(s, 10.0**p) for s in (0.5, 1.0, 2.0, 4.0) for p in (-6, -3)], splits=6)
+    train, _, _ = _ladder(spark, folder)
+    scale = pairs.length_scale(train.select("id", "v")).first()["scale"]
+    return regression.hyperparameters(train, "Gaussian", [scale * f for f in regression.FACTORS])
 
 
 @register("krr_learning_curve")
 def _learning(spark, folder):
-    rows = cut(sampling.numbered(_labelled(spark, folder), "id", "0"))
-    return regression.learning_curve(rows.where("position <= 256"), rows.where("position > 256"), "Gaussian", sampling.training_sizes(64, 256), splits=5)
+    train, held, most = _ladder(spark, folder)
+    return regression.learning_curve(train, held, "Gaussian", sampling.training_sizes(min(128, most), most))
+
+
+@register("detrend_blocks", """
+WITH a AS (SELECT l_orderkey AS k, l_linenumber AS z, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i, l_quantity / 10 AS x, l_discount AS y, l_tax AS zc FROM lineitem),
+c AS (SELECT k, """ + ", ".join(f"count(*) FILTER (z = {z}) AS n_{z}" for z in range(1, 8)) + """ FROM a GROUP BY 1),
+p AS (SELECT a.k, sum(pow(a.z * b.z, 2.5) * exp(-3 * sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.zc - b.zc, 2)))) AS f FROM a JOIN a b ON a.k = b.k AND a.i < b.i GROUP BY 1)
+SELECT o_orderkey AS k, """ + ", ".join(f"coalesce(n_{z}, 0) AS n_{z}" for z in range(1, 8)) + """, round(coalesce(f, 0), 4) AS pairs, """ + ", ".join(f"(o_custkey % 3 = {q})::INTEGER AS charge_{q}" for q in range(3)) + """ FROM orders LEFT JOIN c ON o_orderkey = c.k LEFT JOIN p ON o_orderkey = p.k""")
+def _blocks(spark, folder):
+    atoms = _atoms(spark, folder).withColumnsRenamed({"l_orderkey": "k", "idx": "i"})
+    rows = _t(spark, folder, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 3).alias("charge"))
+    out, names = regression.detrend_design(rows, "k", ["charge", "pairs", "atomic"], atoms)
+    return _rounded(out.select("k", *names), 4, "pairs")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed value: the schema of training archives.
 ARCHIVE = (
     "hyperopt ARRAY<STRUCT<ntrain BIGINT, sigma DOUBLE, lambda DOUBLE, val_rmse ARRAY<DOUBLE>, val_mae ARRAY<DOUBLE>, train_rmse ARRAY<DOUBLE>, train_mae ARRAY<DOUBLE>>>,"
     "spectrum MAP<STRING, ARRAY<DOUBLE>>, learning_curve ARRAY<STRUCT<ntrain BIGINT, val_rmse DOUBLE, test_rmse DOUBLE, val_mae DOUBLE, test_mae DOUBLE,"
@@ -86,11 +89,53 @@ def read_basis(spark: SparkSession, path: str) -> DataFrame:
     return shells.select("element", "shell", "l", number(0).alias("exp"), number(1).alias("coef"))
 
 
+def read_generated(spark: SparkSession, path: str) -> DataFrame:
+    """What an external graph generator said, a file per run: ``path, n``, the count in the line that holds ``>Z generated``."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.split(F.trim("value"), r"\s+").alias("t"), "value").where(F.col("value").contains(">Z generated"))
+    return lines.select("path", F.element_at("t", -4).cast("long").alias("n"))
+
+
+def read_graphs(spark: SparkSession, path: str) -> DataFrame:
+    """Graphs that an external generator listed, a line each: ``line, elements, bonds``; the line's text tells graphs apart.
+
+    A line's third word is the elements with their numbers, pseudo elements of two letters from A, and its other words are bonds
+    like ``0-1``, ``0=2`` or ``1#2``: array of (u, v, bond).
+    """
+    words = spark.read.text(path).where("trim(value) <> ''").select(F.trim("value").alias("line"), F.split(F.trim("value"), r"\s+").alias("w"))
+    names, counts = (F.regexp_extract_all(F.get("w", 2), F.lit("(A[a-z])([0-9]*)"), F.lit(k)) for k in (1, 2))
+    elements = F.flatten(F.zip_with(names, counts, lambda e, n: F.array_repeat(e, F.when(n == "", 1).otherwise(n.try_cast("int")))))
+    part = lambda b, k: F.regexp_extract(b, "^([0-9]+)([^0-9])([0-9]+)$", k)
+    bond = lambda b: F.struct(part(b, 1).cast("int").alias("u"), part(b, 3).cast("int").alias("v"), F.instr(F.lit("-=#"), part(b, 2)).alias("bond"))
+    return words.select("line", elements.alias("elements"), F.transform(F.slice("w", 4, F.greatest(F.size("w") - 3, F.lit(0))), bond).alias("bonds"))
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of files: ``path, sha256``."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def write_counts(table: DataFrame, path: str) -> None:
+    """Lines ``label value`` that read_counts() reads: exact counts ``n`` as whole numbers, path lengths ``length`` with a point."""
+    value = F.coalesce(F.col("n").cast("decimal(38,0)").cast("string"), F.col("length").cast("string"))
+    table.select(F.concat_ws(" ", "label", value).alias("value")).write.text(path)
+
+
+def write_csv(table: DataFrame, path: str) -> None:
+    """A table with a header."""
+    table.write.csv(path, header=True)
+
+
+def with_predictions(records: DataFrame, predictions: DataFrame, key: str, column: str) -> DataFrame:
+    """The records with the predictions ``key, prediction`` as a column; unequal numbers are an error, an own column is replaced with a warning."""
+    n, m = records.count(), predictions.count()
+    if n != m:
+        raise ValueError(f"{m} predictions for {n} records")
+    if column in records.columns:
+        warnings.warn(f"column {column!r} is replaced", stacklevel=2)
+    value = F.when(~F.isnan("prediction"), F.col("prediction"))
+    return records.drop(column).join(predictions.select(key, value.alias(column)), key, "left")
+
+
 def write_predictions(rows: DataFrame, path: str, compress: bool = False) -> None:
     """JSON lines, nulls written out, into a new folder; Spark cannot replace what it is reading."""
     writer = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write

@@ -110,7 +110,7 @@ def test_enumeration(spark):
     tables = [spark.createDataFrame(rows, "label string, n double, length double") for rows in ([("a", None, 3.0), ("b", 5.0, None), ("c", None, 1.0)], [("a", None, 2.0), ("b", None, 9.0)])]
     assert sorted(tuple(r) for r in space.merge_counts(*tables).collect()) == [("a", None, 2.0), ("b", 5.0, None), ("c", None, 1.0)]
     assert [r["label"] for r in space.estimated_only(tables[0].where("n > 0"), tables[1].where("length > 0"), 1e3).collect()] == ["a"]
-    assert space.covered_space(spark, "A").count() == 16 and space.covered_space(spark, "B").count() == 10
+    assert space.covered_space(spark, "A").count() == 15 and space.covered_space(spark, "B").count() == 10
     with pytest.raises(ValueError):
         space.parse_space("C4")
 
@@ -140,15 +140,37 @@ def test_regression(spark):
     test = spark.createDataFrame([(k, [k / 4.0 + 0.1], float(np.sin(k / 4.0 + 0.1))) for k in range(23)], "id long, v array<double>, y double")
     out = regression.predict(train, test, "Gaussian", 1.0, 1e-8).join(test, "id")
     assert regression.errors(out, "y").first()["rmse"] < 1e-3
-    tried = regression.hyperparameters(train, "Gaussian", [(1.0, 1e-8), (1e9, 1e-8)], splits=3)
-    assert {r["sigma"] for r in tried.collect()} == {1.0}
+    tried = regression.hyperparameters(train, "Gaussian", [1.0, 1e9], splits=3).collect()
+    assert {r["sigma"] for r in tried} == {1.0} and len(tried) == 3 * len(regression.LAMBDAS)
+    assert regression.swept([0.5, 1.0, 2.0, 4.0, 8.0], [0.5, 1.0, 2.0, 8.0], 1.0) == [1.0, 2.0, 0.5]
+    noisy = spark.createDataFrame([(k, k + 1, [k / 8.0], float(np.sin(k / 8.0) + 3.0 + k % 2)) for k in range(120)], "id long, position long, v array<double>, y double").withColumn("odd", F.col("id") % 2).withColumn("even", 1 - F.col("odd"))
+    curve = regression.learning_curve(noisy.where("position <= 80"), noisy.where("position > 80").drop("position"), "Gaussian", [40, 80], splits=8, features=["odd", "even"]).orderBy("ntrain").collect()
+    assert [r["ntrain"] for r in curve] == [1, 40, 80] and curve[2]["val_rmse"] < 0.2 * curve[0]["val_rmse"]
+    with pytest.raises(ValueError):
+        regression.detrend_design(rows, "k", ["colour"])
+
+
+def test_splits_by_one_decomposition_equal_single_solutions():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(30, 3))
+    k = regression._centered(np.exp(-((x[:, None] - x[None]) ** 2).sum(-1)))
+    y = rng.normal(size=30)
+    y -= y.mean()
+    got = {(lam, split): rmse for lam, split, rmse, *_ in regression._split_errors(k, y, [1e-3, 1e-1], 5, 0.2, 3)}
+    order, rng = np.arange(30), np.random.default_rng(3)
+    for split in range(5):
+        rng.shuffle(order)
+        fit, valid = order[:-6], order[-6:]
+        for lam in (1e-3, 1e-1):
+            alpha = np.linalg.solve(k[np.ix_(fit, fit)] + lam * np.eye(24), y[fit])
+            assert got[lam, split] == pytest.approx(np.sqrt(((k[np.ix_(valid, fit)] @ alpha - y[valid]) ** 2).mean()), rel=1e-6)
 
 
 def test_distributions(spark):
     one = spark.createDataFrame([("a", 3), ("b", 1)], "k string, freq long")
     two = spark.createDataFrame([("b", 2), ("c", 2)], "k string, freq long")
     out = stats.distances(stats.merge_frequencies(one, two, "k"), "k").first()
-    assert out["ks"] == pytest.approx(0.75)
+    assert out["ks"] == pytest.approx(0.75) and out["area_one"] == pytest.approx(1.875) and out["area"] == pytest.approx(0.875)
     p, q = np.array([0.75, 0.25, 0]) + 1e-10, np.array([0, 0.5, 0.5]) + 1e-10
     p, q = p / p.sum(), q / q.sum()
     assert out["kl"] == pytest.approx((p * np.log(p / q)).sum())
