@@ -9,47 +9,33 @@ from pyspark.sql import functions as F
 from retort.llm.common import documents
 from retort.llm.vectors import best, power_above, tiles, usable
 
-#: Levels of a quantised impact, to either side of 0.
-LEVELS = 16
-#: Segments that are processed between two tests for the proof.
-SEGMENTS = 128
+#: Levels of a quantised impact, to either side of 0, and the levels at which one group of segments ends and the next begins.
+LEVELS, BANDS = 64, (32, 16, 8, 4, 2, 0)
+#: Rows, queries and components of a block, about, and queries whose scores are held at once.
+BLOCKS, TOGETHER = (1 << 16, 256, 1 << 22), 32
 
 
 class Index:
     """The impact-ordered postings of one block of rows.
 
-    A posting says in which row a dimension has which quantised impact: the component in LEVELS steps of the dimension's
-    largest one. Postings lie by dimension and impact; those of one dimension and one impact are a segment. ``rows`` has
-    them end to end, ``ends`` where each begins and ends, ``dims`` and ``impacts`` what it is of; ``rest`` is the norm of what
-    the impacts of a row leave out.
+    A posting says that a row has some quantised impact in a dimension: the component in LEVELS steps of the dimension's
+    largest one. Postings of equal impact are a segment, over all dimensions; segments lie by descending impact, in groups.
+    As every row has a posting in every dimension, a group is an array of rows and dimensions, 0 where there is none.
+    ``rest`` has for each group the norms of what the rows hold beyond the impacts up to it.
     """
 
     def __init__(self, c: np.ndarray):
         x = c / power_above(c)
         step = np.abs(x).max(0, initial=0.0) / LEVELS
         level = np.rint(x / np.where(step > 0, step, 1.0)).astype(np.int16)
-        n, width = x.shape
-        kind = (np.arange(width)[:, None] * (2 * LEVELS + 1) + level.T + LEVELS).ravel()
-        order = np.argsort(kind, kind="stable")
-        kinds, starts = np.unique(kind[order], return_index=True)
-        self.rows = np.tile(np.arange(n), width)[order]
-        self.ends = np.append(starts, len(order)).tolist()
-        self.dims = kinds // (2 * LEVELS + 1)
-        self.impacts = (kinds % (2 * LEVELS + 1) - LEVELS) * step[self.dims]
-        self.rest = np.sqrt(((x - level * step) ** 2).sum(1)) * (1 + 1e-9) + 1e-12
-
-
-def _to_come(dims: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each place in an order of segments, and the end: the sum, over the dimensions, of the largest size from there on.
-
-    Sizes fall, so a dimension's largest one is that of its next segment.
-    """
-    by = np.argsort(dims, kind="stable")
-    past = np.full(len(dims), -1)
-    past[by[1:]] = np.where(dims[by[1:]] == dims[by[:-1]], by[:-1], -1)
-    change = np.bincount(past + 1, sizes, len(dims) + 2)[: len(dims) + 2]
-    change[1 : len(dims) + 1] -= sizes
-    return np.maximum(np.cumsum(change)[: len(dims) + 1], 0.0)
+        size = np.abs(level)
+        self.groups, self.rest, above = [], [], LEVELS + 1
+        for lowest in BANDS:
+            self.groups.append(np.where((size > lowest) & (size < above), level * step, 0.0).astype(np.float32).T.copy())
+            left = np.where(size > lowest, x - level * step, x)
+            self.rest.append(np.sqrt((left * left).sum(1)) * (1 + 1e-9) + 1e-12)
+            above = lowest + 1
+        self.norms = np.sqrt((x * x).sum(1))
 
 
 def _exact_scores(rows: np.ndarray, query: np.ndarray, scale: float) -> np.ndarray:
@@ -62,38 +48,39 @@ def _exact_scores(rows: np.ndarray, query: np.ndarray, scale: float) -> np.ndarr
 
 
 def impact_ordered(k: int, scale: float):
-    """A search of one tile, score at a time.
+    """A search of one tile, score at a time, of some queries together.
 
-    Segments are processed by descending size of the query's component times the impact, whatever their dimension; each
-    adds that product to the scores of its rows. What is still to come for a row is, per dimension, at most the product of
-    the next segment; what quantisation left out is at most the query's norm times the row's. The search stops as soon as
-    this proves all but a few rows to be below the k-th best; these possible members are scored exactly, in whole numbers.
+    Groups of segments are processed by descending impact; each adds query component times impact to the scores of its
+    rows. What is still to come for a row, and what quantisation left out, is at most the query's norm times the row's
+    rest (Cauchy-Schwarz). The search stops as soon as this proves all but a few rows to be below the k-th best; these
+    possible members are scored exactly, in whole numbers. Scores are summed in single precision, which the bounds allow for.
     """
 
     def search(q, c_ids, c, own):
-        index, top = Index(c), power_above(q)
-        for original, me in zip(q, own, strict=True):
-            query = original / top
-            add = query[index.dims] * index.impacts
-            order = np.argsort(-np.abs(add), kind="stable")
-            order = order[add[order] != 0]
-            to_come = _to_come(index.dims[order], np.abs(add)[order])
-            off = np.sqrt((query * query).sum()) * index.rest + 1e-300
-            usual = float(np.median(off)) if len(off) else 0.0
-            have, alive = np.zeros(len(c)), np.flatnonzero(c_ids != me)
-            places = order.tolist()
-            for at in range(0, len(places) + 1, SEGMENTS):
-                for s in places[at : at + SEGMENTS]:
-                    have[index.rows[index.ends[s] : index.ends[s + 1]]] += add[s]
-                done = min(at + SEGMENTS, len(places))
-                if (to_come[done] < 2 * usual or done == len(places)) and len(alive) > k:
-                    slack = off[alive] + to_come[done] * (1 + 1e-9)
-                    low = have[alive] - slack
-                    possible = have[alive] + slack >= np.partition(low, len(low) - k)[len(low) - k]
-                    if possible.sum() <= 4 * k or done == len(places):
-                        alive = alive[possible]
-                        break
-            yield alive, _exact_scores(c[alive], original, scale)
+        index, few = Index(c), max(4 * k, len(c) // 64)
+        top = power_above(q)
+        for at in range(0, len(q), TOGETHER):
+            query = q[at : at + TOGETHER] / top
+            size = np.sqrt((query * query).sum(1))[:, None]
+            have = np.zeros((len(query), len(c)), np.float32)
+            me = c_ids[None, :] == own[at : at + TOGETHER, None]
+            have[me] = -np.inf
+            rounding = size * index.norms * 1e-5 + 1e-30
+            for group, rest in zip(index.groups, index.rest, strict=True):
+                have += query.astype(np.float32) @ group
+                last = rest is index.rest[-1]
+                if len(c) <= k or (not last and np.median(rest) > 0.2 * np.median(index.norms)):
+                    continue
+                slack = size * rest + rounding
+                least = np.partition(have - slack, len(c) - k, axis=1)[:, len(c) - k]
+                possible = have + slack >= least[:, None]
+                if last or possible.sum(1).max() <= few:
+                    break
+            else:
+                possible = np.ones(have.shape, bool)
+            for row, original in zip(possible & ~me, q[at : at + TOGETHER], strict=True):
+                alive = np.flatnonzero(row)
+                yield alive, _exact_scores(c[alive], original, scale)
 
     return search
 
@@ -114,7 +101,7 @@ def exact_top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: float =
     # whole numbers over scale; from 2 ** 53 on, a double has no fraction, whatever it is multiplied by
     whole = lambda x: F.when(F.abs(x) < 2.0**53 / scale, F.floor(x * scale) / scale).otherwise(x)
     rows = usable(vectors, nonzero=False).withColumn("v", F.transform("v", whole))
-    return best(tiles(rows, F.col("id") % every == 0), impact_ordered(k, scale), k, descending=True, kind="long")
+    return best(tiles(rows, F.col("id") % every == 0, BLOCKS), impact_ordered(k, scale), k, descending=True, kind="long")
 
 
 def op6_exact_top_k(spark, sf_dir):

@@ -35,18 +35,19 @@ def _blocks(rows: DataFrame, size: Column, count: Column, name: str) -> DataFram
     return rows.withColumn(name, number).groupBy("dim", name).agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows")).select("dim", name, F.col("rows.id").alias("ids"), F.col("rows.v").alias("vs"))
 
 
-def tiles(vectors: DataFrame, is_query: Column) -> DataFrame:
+def tiles(vectors: DataFrame, is_query: Column, most: tuple[int, int, int] = (ROWS, QUERIES, COMPONENTS)) -> DataFrame:
     """Every block of queries next to every block of candidates of the same dimension: ``q_ids, q_vs, c_ids, c_vs``.
 
-    A query block is repeated for each candidate block and meets it by an equality of block numbers.
+    A query block is repeated for each candidate block and meets it by an equality of block numbers. ``most``: rows and
+    queries of a block, and its components, about.
     """
     rows = cut(vectors.withColumn("dim", F.size("v")))
     counts = rows.groupBy("dim").agg(F.count("*").alias("n"), F.sum(is_query.cast("long")).alias("nq")).where("nq > 0")
     counts = small(cut(counts), LENGTHS)
     rows = rows.join(counts, "dim")
-    limit = lambda most: F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(COMPONENTS) / F.col("dim"))))
-    size = limit(ROWS)
-    made = _blocks(rows.where(is_query), limit(QUERIES), F.col("nq"), "qb")
+    limit = lambda n: F.greatest(F.lit(1), F.least(F.lit(n), F.floor(F.lit(most[2]) / F.col("dim"))))
+    size = limit(most[0])
+    made = _blocks(rows.where(is_query), limit(most[1]), F.col("nq"), "qb")
     made = made.join(counts, "dim").withColumn("cb", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / size) - 1).cast("int"))))
     made = made.select("dim", F.col("cb").cast("long").alias("cb"), F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
     others = _blocks(rows, size, F.col("n"), "cb").select("dim", F.col("cb").cast("long").alias("cb"), F.col("ids").alias("c_ids"), F.col("vs").alias("c_vs"))
