@@ -15,8 +15,10 @@ from retort.llm.toxicity import score_toxicity
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; the labels' held-out rows are never trained on."""
-    scored = score_toxicity(docs, documents(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    needed = ("doc_id", "text")
+    inner = docs.select(*needed, F.struct(F.lit(0).alias("_none_"), *(c for c in docs.columns if c not in needed)).alias("_doc"))
+    kept = score_toxicity(inner, documents(spark, sf_dir, "labels")).where("predicted = 0")
+    return kept.select(*(F.col(c) if c in needed else F.col("_doc")[c].alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,20 +22,30 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: floa
     point is found by one sort: sources reach their ceiling in the order of ceiling / weight.
     """
     by = sizes.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size"))
-    by = by.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    by = _before(by.withColumn("one", F.lit(1)), [F.col("source").asc_nulls_last()], {"rank": "one"})
     by = by.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int")))
-    by = by.withColumn("most", F.col("source_size") * F.lit(ceiling))
-    order = Window.orderBy(F.col("most") / F.col("weight"), "rank")
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("left", F.sum("source_size").over(whole) * share - F.coalesce(F.sum("most").over(past), F.lit(0.0)))
-    by = by.withColumn("open", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(past), F.lit(0.0)))
-    # the level that the sources from here on would get; the first that stays below its ceiling fixes it
-    by = by.withColumn("level", F.col("left") / F.col("open"))
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))
-    by = by.withColumn("level", F.first(fits, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    by = by.withColumn("most", F.col("source_size") * F.lit(ceiling)).withColumn("ratio", F.col("most") / F.col("weight"))
+    by = cut(_before(by, [F.col("ratio").asc(), F.col("rank").asc()], {"full": "most", "closed": "weight"}))
+    # the level that the sources from one on would get; the first that stays below its ceiling fixes it
+    whole = by.agg(F.sum("source_size").alias("_size"), F.sum("weight").alias("_weight"))
+    level = (F.col("_size") * share - F.col("full")) / (F.col("_weight") - F.col("closed"))
+    fixed = by.crossJoin(F.broadcast(whole)).where(level * F.col("weight") <= F.col("most")).agg(F.min_by(level, F.struct("ratio", "rank")).alias("level"))
     target = F.least(F.col("most"), F.coalesce(F.col("level") * F.col("weight"), F.col("most")))
-    return by.select("source", "rows", "source_size", "weight", target.alias("target"))
+    return by.crossJoin(F.broadcast(fixed)).select("source", "rows", "source_size", "weight", target.alias("target"))
+
+
+def _before(rows: DataFrame, order: list, sums: dict[str, str], ranges: int = 64) -> DataFrame:
+    """Adds to each row the sums over the rows before it in an order: name -> summed column.
+
+    The order is dealt into ranges: sums within a range, plus those of the ranges before it, so no task gets all rows.
+    """
+    parts = cut(rows.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id()))
+    past = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("_p").agg(*(F.sum(c).alias(f"_s{k}") for k, c in enumerate(sums.values())))
+    totals = totals.select(F.col("_p"), *(F.coalesce(F.sum(f"_s{k}").over(past), F.lit(0)).alias(f"_b{k}") for k in range(len(sums))))
+    within = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = parts.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_w{k}") for k, c in enumerate(sums.values())))
+    return inner.join(F.broadcast(totals), "_p").select(*rows.columns, *((F.col(f"_b{k}") + F.col(f"_w{k}")).alias(name) for k, name in enumerate(sums)))
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: float = 2.0, seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
@@ -78,10 +88,13 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: f
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: float = 2.0, seed: str = "mix") -> DataFrame:
-    """The mix itself: each document as often as it is taken; the one that a budget cuts, if at least half of it is."""
-    out = mix_sources(docs, weights, share, ceiling, seed)
+    """The mix itself: each document as often as it is taken; the one that a budget cuts, if at least half of it is. All columns stay."""
+    needed = ("doc_id", "text", "source")
+    inner = docs.select(*needed, F.struct(F.lit(0).alias("_none_"), *(c for c in docs.columns if c not in needed)).alias("_doc"))
+    out = mix_sources(inner, weights, share, ceiling, seed)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).drop("_copy")
+    own = [F.col(c) if c in needed else F.col("_doc")[c].alias(c) for c in docs.columns]
+    return out.select(*own, F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).drop("_copy")
 
 
 def op2_mixing(spark, sf_dir):

@@ -405,15 +405,20 @@ def _collapsed(rows: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents without near duplicates: of each component, the rows of its smallest doc_id, once.
 
-    Keeps the columns of ``docs``; rows with a null doc_id or without words are kept as they are.
+    Keeps the columns of ``docs``; rows with a null doc_id or without words are kept as they are. Of a doc_id that several
+    rows have, each different text is kept once, as an id can't say which of them has a near duplicate.
     """
-    ids = cut(ngram_jaccard_join(docs, width, percent).where("component_id <> doc_id").select("doc_id").distinct())
-    kept = docs.join(small(ids, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
-    again = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if again.isEmpty():
+    apart = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_distinct(F.xxhash64("text")).alias("texts")).where("rows > 1"))
+    ids = ngram_jaccard_join(docs, width, percent).where("component_id <> doc_id").select("doc_id").distinct()
+    several = not apart.isEmpty()
+    if several:
+        ids = ids.join(apart.where("texts > 1"), "doc_id", "left_anti")
+    kept = docs.join(small(cut(ids), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    if not several:
         return kept
-    single = kept.join(again, "doc_id", "left_anti")
-    return single.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    single = kept.join(apart, "doc_id", "left_anti")
+    again = kept.join(apart, "doc_id", "left_semi").withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"])
+    return single.select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def op1_ngram_jaccard(spark, sf_dir):

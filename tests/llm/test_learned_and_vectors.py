@@ -189,6 +189,29 @@ def test_queries_equal_their_sql(spark, name):
     assert columns == sorted(wanted.columns) and rows(got) == rows(wanted)
 
 
+@pytest.mark.skipif(not HERE, reason="needs the driver's tables")
+def test_pipeline_stages_of_odd_documents(spark):
+    import corpus_pipeline
+    from retort.llm.common import cut
+
+    names = "score double, predicted int, held_out string, size string, target int, taken int, source_size int, email string, spans int, words int, key int"
+    texts = ["", None, " \t", "x" * 60_000, "a b " * 20_000, *(f"some words that differ {k} and then some more {k * 7} of them {k % 3}" for k in range(40))]
+    rows = [(k if k != 8 else None, t, None if k % 5 == 0 else "en", None if k % 7 == 0 else f"s{k % 3}", len(t or ""), 0.5, 7, "h", "z", 1, 2, 3, "e", 4, 5, 6) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[12], rows[13]], "doc_id long, text string, lang string, source string, n_chars long, " + names)
+    own = dict(zip([n.split()[0] for n in names.split(", ")], rows[0][5:], strict=True))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        empty = stage(spark, docs.limit(0), FOLDER)
+        assert empty.count() == 0, name
+        out = cut(stage(spark, docs, FOLDER))
+        if k < 4:
+            assert out.columns == docs.columns
+            assert {tuple(r[c] for c in own) for r in out.collect()} == {tuple(own.values())}, name
+        assert out.count() >= (40 if k != 3 else 1)
+        if k == 1:
+            assert out.count() == len(rows)
+        docs = out if k < 4 else docs
+
+
 @pytest.mark.skipif(not HERE, reason="needs the driver's tables")
 def test_pipeline_stages(spark):
     import corpus_pipeline
