@@ -155,3 +155,42 @@ def coulomb_spectrum(atoms: DataFrame, key: str, size: int) -> DataFrame:
         return pd.DataFrame({key: [pdf[key].iloc[0]], "v": [values.tolist()]})
 
     return atoms.groupBy(key).applyInPandas(one, f"{key} long, v array<double>")
+
+
+#: Representations of molecules by name: functions of (atoms, key, **parameters) that give ``key, v``.
+REPRESENTATIONS = {"coulomb_spectrum": coulomb_spectrum}
+
+
+def bag_of_distances(atoms: DataFrame, key: str, index: str, kinds: list[tuple[float, float]], size: int) -> DataFrame:
+    """A global representation: per pair of elements (z1 <= z2) the ``size`` smallest distances, ascending, padded with zeros: ``key, v``.
+
+    Pairs of one molecule meet by an equality join; of each kind only the smallest distances are kept.
+    """
+    names = ("z", "x", "y", "zc")
+    a = atoms.select(key, F.col(index).alias("_i"), *(F.col(c).alias(f"a_{c}") for c in names))
+    b = atoms.select(key, F.col(index).alias("_j"), *(F.col(c).alias(f"b_{c}") for c in names))
+    square = lambda c: F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), 2)
+    pairs = a.join(b, key).where("_i < _j").select(key, F.least("a_z", "b_z").alias("z1"), F.greatest("a_z", "b_z").alias("z2"), F.sqrt(square("x") + square("y") + square("zc")).alias("d"))
+    bags = [F.slice(F.array_sort(F.collect_list(F.when((F.col("z1") == p) & (F.col("z2") == q), F.col("d")))), 1, size) for p, q in kinds]
+    zeros = F.array_repeat(F.lit(0.0), size)
+    rows = pairs.groupBy(key).agg(*(bag.alias(f"_b{k}") for k, bag in enumerate(bags)))
+    whole = atoms.select(key).distinct().join(rows, key, "left")
+    padded = [F.slice(F.concat(F.coalesce(f"_b{k}", F.array().cast("array<double>")), zeros), 1, size) for k in range(len(kinds))]
+    return whole.select(key, F.concat(*padded).alias("v"))
+
+
+REPRESENTATIONS["bag_of_distances"] = bag_of_distances
+
+
+def register_representation(name: str, function) -> None:
+    """Adds a representation; a taken name is an error."""
+    if name in REPRESENTATIONS:
+        raise ValueError(f"there is a representation {name!r}")
+    REPRESENTATIONS[name] = function
+
+
+def represent(atoms: DataFrame, name: str, key: str, **parameters) -> DataFrame:
+    """The named representation of every molecule: ``key, v``."""
+    if name not in REPRESENTATIONS:
+        raise ValueError(f"no representation {name!r}; there are {sorted(REPRESENTATIONS)}")
+    return REPRESENTATIONS[name](atoms, key, **parameters)

@@ -83,6 +83,18 @@ class Taylor:
         """Adds ``pred_<output>`` to a table of points."""
         return points.select("*", *(self.column(o).alias(f"pred_{o}") for o in outputs))
 
+    def detail(self, points: DataFrame, output: str) -> DataFrame:
+        """What each term adds at each point: the points' columns, ``term`` (variables with their powers) and ``value``."""
+        parts = []
+        for o, powers, derivative in self.monomials:
+            if o == output:
+                value = F.lit(derivative / math.prod(math.factorial(p) for p in powers.values()))
+                for v, p in powers.items():
+                    value = value * F.pow(F.col(v) - F.lit(float(self.center[v])), float(p))
+                name = " ".join(v if p == 1 else f"{v}^{p}" for v, p in powers.items()) or "1"
+                parts.append(F.struct(F.lit(name).alias("term"), value.alias("value")))
+        return points.select("*", F.inline(F.array(*parts)))
+
     def gradient_and_hessian(self, output: str) -> tuple[float, np.ndarray, np.ndarray]:
         """Constant, gradient and Hessian in the order of the variables."""
         n = len(self.variables)
@@ -98,13 +110,34 @@ class Taylor:
                     h[at[0], at[1]] = h[at[1], at[0]] = value
         return constant, g, h
 
+    def maximize(self, output: str, bounds: dict[str, tuple[float, float]], steps: int = 500) -> dict[str, float]:
+        """A maximum within bounds."""
+        turned = Taylor(self.variables, self.center, [(o, powers, -d) for o, powers, d in self.monomials])
+        return turned.minimize(output, bounds, steps)
+
+    def reach(self, output: str, target: float, bounds: dict[str, tuple[float, float]], steps: int = 500) -> dict[str, float]:
+        """A point within bounds whose value comes closest to a target, by bisection between a minimum and a maximum."""
+        ends = [np.array([x[v] for v in self.variables]) for x in (self.minimize(output, bounds, steps), self.maximize(output, bounds, steps))]
+        low, high = 0.0, 1.0
+        at = lambda t: dict(zip(self.variables, (ends[0] + t * (ends[1] - ends[0])).tolist(), strict=True))
+        if not self.value(output, at(0.0)) < target < self.value(output, at(1.0)):
+            return at(0.0) if target <= self.value(output, at(0.0)) else at(1.0)
+        for _ in range(100):
+            middle = (low + high) / 2
+            low, high = (middle, high) if self.value(output, at(middle)) < target else (low, middle)
+        return at(high)
+
+    def value(self, output: str, at: dict[str, float]) -> float:
+        """The expansion at one point."""
+        return sum(d * math.prod((at[v] - self.center[v]) ** p / math.factorial(p) for v, p in powers.items()) for o, powers, d in self.monomials if o == output)
+
     def minimize(self, output: str, bounds: dict[str, tuple[float, float]], steps: int = 500) -> dict[str, float]:
         """A minimum within bounds, by projected gradient steps with backtracking from the center."""
         low, high = (np.array([bounds[v][k] for v in self.variables]) for k in (0, 1))
         origin = np.array([self.center[v] for v in self.variables], float)
 
         def value(x):
-            return sum(d * math.prod((x[self.variables.index(v)] - self.center[v]) ** p / math.factorial(p) for v, p in powers.items()) for o, powers, d in self.monomials if o == output)
+            return self.value(output, dict(zip(self.variables, x.tolist(), strict=True)))
 
         x, size = np.clip(origin, low, high), 1.0
         for _ in range(steps):

@@ -179,6 +179,14 @@ def _gcp(spark, folder):
     return _rounded(molecules.pair_feature(_atoms(spark, folder), "l_orderkey", "idx"), 4, "feature")
 
 
+@register("bag_of_distances", _ATOMS_SQL + """, p AS (SELECT a.l_orderkey, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.zc - b.zc, 2)) AS d, least(a.z, b.z) AS p, greatest(a.z, b.z) AS q FROM a JOIN a b ON a.l_orderkey = b.l_orderkey AND a.idx < b.idx),
+s AS (SELECT l_orderkey, list(d ORDER BY d) FILTER (p = 1 AND q = 2) AS u, list(d ORDER BY d) FILTER (p = 1 AND q = 3) AS v FROM p GROUP BY 1)
+SELECT o.l_orderkey, round(coalesce(u[1], 0), 6) AS first, round(coalesce(v[1], 0), 6) AS second FROM (SELECT DISTINCT l_orderkey FROM a) o LEFT JOIN s USING (l_orderkey)""")
+def _bags(spark, folder):
+    out = molecules.represent(_atoms(spark, folder), "bag_of_distances", "l_orderkey", index="idx", kinds=[(1.0, 2.0), (1.0, 3.0)], size=2)
+    return out.select("l_orderkey", F.round(F.get("v", 0), 6).alias("first"), F.round(F.get("v", 2), 6).alias("second"))
+
+
 @register("element_matrix", "SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') AS \"A\", count(*) FILTER (l_returnflag = 'N') AS \"N\", count(*) FILTER (l_returnflag = 'R') AS \"R\" FROM lineitem GROUP BY 1")
 def _elements(spark, folder):
     return molecules.element_matrix(_t(spark, folder, "lineitem"), "l_orderkey", "l_returnflag", ["A", "N", "R"])
@@ -631,6 +639,14 @@ def _taylor(spark, folder):
     return model.query(part.select("p_partkey", F.col("p_size").cast("double").alias("x")), ["y"]).select("p_partkey", F.round("pred_y", 6).alias("predicted"))
 
 
+@register("taylor_detail", "WITH s AS (SELECT p_size AS x, avg(p_retailprice) AS y FROM part GROUP BY 1), c AS (SELECT max(y) FILTER (x = 24) AS a, max(y) FILTER (x = 25) AS b, max(y) FILTER (x = 26) AS c FROM s), t AS (SELECT unnest(['1', 'x', 'x^2']) AS term) SELECT term, round(sum(CASE term WHEN '1' THEN b WHEN 'x' THEN (c - a) / 2 * (p_size - 25) ELSE (c - 2 * b + a) / 2 * pow(p_size - 25, 2) END), 4) AS total FROM part, c, t GROUP BY 1")
+def _taylor_detail(spark, folder):
+    part = _t(spark, folder, "part")
+    table = part.groupBy(F.col("p_size").cast("double").alias("x")).agg(F.avg("p_retailprice").alias("y"))
+    model = taylor.Taylor.fit(cut(table.where(F.abs(F.col("x") - 25) <= 1)), ["x"], ["y"], {"x": 25.0}, 2)
+    return _rounded(model.detail(part.select(F.col("p_size").cast("double").alias("x")), "y").groupBy("term").agg(F.sum("value").alias("total")), 4, "total")
+
+
 def _modes(spark, folder):
     return _t(spark, folder, "customer").select("c_nationkey", F.col("c_custkey").alias("mode"), (F.col("c_acctbal") / 1e7).alias("g"), ((F.col("c_custkey") % 97 + 1) / 1e3).alias("h"), ((F.col("c_custkey") % 89 - 44) / 1e4).alias("lam"))
 

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from retort.functions import kernels
 from retort.functions.kernels import kernel_array
 from retort.operators import dimension, graphs, molecules, pairs, regression, sampling, space, stats, taylor
 
@@ -252,6 +253,33 @@ def test_dimensions(spark):
     assert [r["error"] for r in dimension.best_by_dimension(tried, ["m"], 4).orderBy("dim").collect()] == [0, 0.4, 0.4, 0.2, 0.2]
 
 
+def test_checks_and_registries(spark):
+    rows = spark.createDataFrame([(1, WATER, 3.0, ["O", "H"]), (2, METHANE, -1.0, ["C", "H"])], "m int, xyz string, e double, els array<string>")
+    with pytest.raises(ValueError, match="no molecule"):
+        molecules.checked_selection(rows, "n_N > 0")
+    with pytest.warns(UserWarning, match="keeps all"):
+        assert molecules.checked_selection(rows, "n_H > 0").count() == 2
+    molecules.check_predictions(rows, rows.drop("e"), "els", ["xyz"])
+    with pytest.raises(ValueError, match="lack"):
+        molecules.check_predictions(rows, rows.drop("xyz"), "els", ["xyz"])
+    with pytest.raises(ValueError, match="without labels"):
+        molecules.check_predictions(rows.where("m = 1"), rows, "els", ["xyz"])
+    kernels.register_kernel("Own", lambda r, ops: ops.exp(-3 * r))
+    try:
+        assert kernel_array("Own", np.ones(1))[0] == pytest.approx(np.exp(-3))
+        with pytest.raises(ValueError):
+            kernels.register_kernel("Own", lambda r, ops: ops.exp(-r))
+        with pytest.raises(ValueError):
+            kernels.register_kernel("Other", lambda r, ops: 2 * ops.exp(-r))
+    finally:
+        del kernels.KERNELS["Own"]
+    with pytest.raises(ValueError):
+        molecules.represent(rows, "none", "m")
+    line = taylor.Taylor(["x"], {"x": 1.0}, [("y", {}, 2.0), ("y", {"x": 1}, 3.0)])
+    assert line.maximize("y", {"x": (0.0, 2.0)})["x"] == pytest.approx(2.0) and line.reach("y", 2.6, {"x": (0.0, 2.0)})["x"] == pytest.approx(1.2, abs=1e-6)
+    assert {r["term"]: r["value"] for r in line.detail(spark.createDataFrame([(2.0,)], "x double"), "y").collect()} == {"1": 2.0, "x": 3.0}
+
+
 def test_graphs(spark):
     assert graphs.automorphisms(["H", "H"], [(0, 1)]) == 2
     assert graphs.automorphisms(["C", "C", "H", "H", "H", "H"], [(0, 1), (0, 2), (0, 3), (1, 4), (1, 5)]) == 8

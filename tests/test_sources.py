@@ -57,6 +57,20 @@ def test_predictions_residuals_and_archives(spark, tmp_path):
     assert row["spectrum"] == {"128": [1.0]} and row["learning_curve"][0]["val_rmse"] == float("inf")
 
 
+def test_generated_graphs_and_predictions(spark, tmp_path):
+    (tmp_path / "run.txt").write_text("header\n>Z generated 3 -> 4 -> 17 in 0.0 sec\n")
+    assert files.read_generated(spark, str(tmp_path / "run.txt")).first()["n"] == 17
+    (tmp_path / "list.txt").write_text("5 4 Aa2Ab 0-1 1=2\n\n5 4 Ac 0#1\n")
+    rows = {tuple(r["elements"]): [tuple(b) for b in r["bonds"]] for r in files.read_graphs(spark, str(tmp_path / "list.txt")).collect()}
+    assert rows == {("Aa", "Aa", "Ab"): [(0, 1, 1), (1, 2, 2)], ("Ac",): [(0, 1, 3)]}
+    records = spark.createDataFrame([(1, 5.0), (2, 6.0)], "k int, old double")
+    made = spark.createDataFrame([(1, 0.5), (2, float("nan"))], "k int, prediction double")
+    with pytest.warns(UserWarning, match="replaced"):
+        assert {tuple(r) for r in files.with_predictions(records, made, "k", "old").collect()} == {(1, 0.5), (2, None)}
+    with pytest.raises(ValueError):
+        files.with_predictions(records, made.where("k = 1"), "k", "new")
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text("\n".join(json.dumps(r) for r in ROWS))
