@@ -114,10 +114,12 @@ def count_cases(cases: DataFrame, known: DataFrame | None = None, paths: DataFra
         ("exact", F.col("_e")), ("path", _whole(size_of_path(F.col("_a")))), ("pure", F.when(of_pure > 0, scaled(of_pure))),
         ("asymptotic", F.when(atoms >= least, F.when(F.col("label") == F.col("pure"), limit).otherwise(scaled(limit)))),
     ]
+    # as columns first, so that no expression is worked out twice
+    out = out.select("label", *(value.alias(f"_{name}") for name, value in choices))
     source = F.lit("missing")
-    for name, value in reversed(choices):
-        source = F.when(value.isNotNull(), name).otherwise(source)
-    out = out.select("label", F.coalesce(*(v for _, v in choices)).alias("n"), source.alias("source"))
+    for name, _ in reversed(choices):
+        source = F.when(F.col(f"_{name}").isNotNull(), name).otherwise(source)
+    out = out.select("label", F.coalesce(*(f"_{name}" for name, _ in choices)).alias("n"), source.alias("source"))
     return keyed.drop("_s").join(out, "label")
 
 
