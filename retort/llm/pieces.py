@@ -30,6 +30,8 @@ from retort.llm.common import cut, documents, hashed
 LONGEST = 60
 #: Words that every worker holds, and their bytes, at most: the most frequent ones.
 HELD, HELD_BYTES = 1 << 20, 1 << 25
+#: A word that occurs less often is not worth a place.
+LEAST = 3
 #: Distinct words that a task counts before it sends them on.
 COUNTED = 400_000
 #: Characters that are cut into words at once, about.
@@ -339,7 +341,7 @@ class Held:
 
 def frequent(docs: DataFrame, model: PieceModel) -> Held:
     """The most frequent words with their ids, at most HELD and HELD_BYTES of them."""
-    counts = cut(word_counts(docs, model).where("n > 1 AND NOT startswith(unit, '  ')"))
+    counts = cut(word_counts(docs, model).where(F.col("n") >= LEAST).where("NOT startswith(unit, '  ')"))
     level = F.when(F.col("n") < 64, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long")).alias("level")
     sizes = counts.groupBy(level).agg(F.count("*").alias("words"), F.sum(F.octet_length("unit") + 12).alias("bytes")).collect()
     least, words, size = None, 0, 0
@@ -349,16 +351,26 @@ def frequent(docs: DataFrame, model: PieceModel) -> Held:
             break
         least = r["level"]
     if least is None:
-        return Held(np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.uint16), 2)
+        return Held(np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.uint16), LEAST)
     # dealt by word before they are spread to edges, so that these are not shuffled
     chosen = counts.where(F.col("n") >= least).select("unit").repartition("unit")
-    out = encode_words(chosen, model).toArrow()
-    words = [(u, c) for u, c in zip(out.column("unit").to_pylist(), out.column("cuts").to_pylist(), strict=True) if not _far(u, model)]
-    hashes = np.concatenate([np.empty(0, np.uint64), *(_hashes_of([u for u, _ in words[k : k + SEGMENT]]) for k in range(0, len(words), SEGMENT))])
-    ids = [_ids(_parted(u, c), model) for u, c in words]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def ready(batches):
+        model = shared.value
+        for batch in batches:
+            words = [(u, c) for u, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not _far(u, model)]
+            if words:
+                ids = [np.array(_ids(_parted(u, c), model), np.int32) for u, c in words]
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes_of([u for u, _ in words]).view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))], names=["hash", "ids"])
+
+    out = encode_words(chosen, model).select("unit", "cuts").mapInArrow(ready, "hash long, ids array<int>").toArrow()
+    hashes = out.column(0).to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    sizes = np.array([len(x) for x in ids], np.int64)[order]
-    return Held(hashes[order], np.concatenate(([0], np.cumsum(sizes))), np.array([x for k in order.tolist() for x in ids[k]], np.uint16), int(least))
+    ids = out.column(1).combine_chunks().take(pa.array(order))
+    flat, ends = np.asarray(ids.flatten()).astype(np.uint16), np.asarray(ids.offsets).astype(np.int64)
+    return Held(hashes[order], ends - ends[0] if len(order) else np.zeros(1, np.int64), flat, int(least))
 
 
 # --- documents ------------------------------------------------------------------------------------------------
