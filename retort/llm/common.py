@@ -133,9 +133,10 @@ def hashed(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return mix(np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * factors(int(sizes.max()))[at], np.cumsum(sizes) - sizes))
 
 
-def _hash_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 64-bit hash of each lower-cased (A-Z) word of a block of bytes."""
-    b = _LOWER[np.frombuffer(block, np.uint8)]
+def _hash_block(block: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of each word of a block of bytes, lower-cased (A-Z) or as it is."""
+    b = np.frombuffer(block, np.uint8)
+    b = _LOWER[b] if lower else b
     word = ~_SPACE[b]
     edge = np.flatnonzero(np.diff(np.concatenate(([0], word.view(np.int8), [0])).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
@@ -154,27 +155,27 @@ def _pieces(text: bytes):
     yield text[at:]
 
 
-def word_hashes(texts: list[bytes]):
-    """For each text, the hashes of its words in order. Texts are hashed together, a megabyte at a time."""
+def word_hashes(texts: list[bytes], lower: bool = True):
+    """For each text, the hashes of its words in order, lower-cased (A-Z) or as they are. Texts are hashed together, a megabyte at a time."""
     held: list[bytes] = []
     size = 0
     for text in texts:
         if len(text) > _BLOCK:
-            yield from _flush(held)
+            yield from _flush(held, lower)
             held, size = [], 0
-            yield np.concatenate([_hash_block(p)[1] for p in _pieces(text)])
+            yield np.concatenate([_hash_block(p, lower)[1] for p in _pieces(text)])
             continue
         held.append(text)
         size += len(text) + 1
         if size > _BLOCK:
-            yield from _flush(held)
+            yield from _flush(held, lower)
             held, size = [], 0
-    yield from _flush(held)
+    yield from _flush(held, lower)
 
 
-def _flush(held: list[bytes]):
+def _flush(held: list[bytes], lower: bool):
     if held:
-        start, hashes = _hash_block(b" ".join(held))
+        start, hashes = _hash_block(b" ".join(held), lower)
         ends = np.cumsum([len(t) + 1 for t in held])
         yield from np.split(hashes, np.searchsorted(start, ends[:-1]))
 

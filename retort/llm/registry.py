@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL that checks them."""
 
-from retort.llm import chat, lexical, mixing, nearest, ngram_join, pieces, pii, secrets, token_counts, topk, toxicity
+from retort.llm import chat, lexical, mixing, nearest, ngram_join, pieces, pii, repeats, secrets, token_counts, topk, toxicity, whitening
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard,
@@ -13,7 +13,9 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_nearest_neighbours": nearest.op10_nearest_neighbours,
+    "op11_substring_dedup": repeats.op11_substring_dedup,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
     "op13_lexical_search": lexical.op13_lexical_search,
 }
 #: Where SQL can express the whole result; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op2_mixing": mixing.OP2_SQL, "op4_chat_formatting": chat.OP4_SQL, "op6_exact_top_k": topk.OP6_SQL, "op10_nearest_neighbours": nearest.OP10_SQL, "op13_lexical_search": lexical.OP13_SQL}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.OP2_SQL, "op4_chat_formatting": chat.OP4_SQL, "op6_exact_top_k": topk.OP6_SQL, "op10_nearest_neighbours": nearest.OP10_SQL, "op11_substring_dedup": repeats.OP11_SQL, "op13_lexical_search": lexical.OP13_SQL}
