@@ -59,16 +59,39 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(paths)
 
 
+#: A record of more characters, or with a text of so many, may be beyond what a variant holds (20 million a text, 128 MB).
+LONG = 10_000_000
+_OPTIONS = {"maxStringLen": "2147483647", "allowSingleQuotes": "false"}
+
+
+def _long_turns(record: Column, layouts, text, turn) -> tuple[Column, Column]:
+    """Layout and turns of a JSON record of any length, known by the sets of its fields' names instead of a variant's schema."""
+    same = lambda wanted: F.array_sort(F.json_object_keys(record)) == F.array(*map(F.lit, sorted(wanted)))
+    chosen, layout = F.lit(None), F.lit(None)
+    for kind in reversed(layouts):
+        if kind.items:
+            top = kind.items.removeprefix("$").removeprefix(".")
+            items = F.from_json(record, f"{top} array<map<string,string>>", _OPTIONS)[top] if top else F.from_json(record, "array<map<string,string>>", _OPTIONS)
+            known = F.array_sort(F.array_distinct(F.flatten(F.transform(items, F.map_keys)))) == F.array(*map(F.lit, sorted(p[2:] for p in (kind.role, kind.text))))
+            turns, fits = _items(items, kind, text, turn), (same([top]) & known if top else known)
+        else:
+            fields = [path[2:] for _, path in kind.fields]
+            turns, fits = _fields(F.from_json(record, ", ".join(f"{f} string" for f in fields), _OPTIONS), kind, text, turn), same(fields)
+        chosen, layout = F.when(fits, turns).otherwise(chosen), F.when(fits, kind.name).otherwise(layout)
+    return layout, chosen
+
+
 def canonical_turns(records: DataFrame, column: str = "record", layouts=LAYOUTS) -> DataFrame:
     """Adds ``layout`` and ``turns`` (array of (role, text)) for JSON records of any registered layout.
 
     Null roles and texts are empty; a layout's own names of roles become the canonical ones, other roles stay. An
     instruction's input follows it in the user's turn after an empty line, if not empty. A record that is null, isn't
     JSON or has an unregistered skeleton gets a null layout and no turns; an empty list of items has no field paths and
-    counts as unregistered. Other columns stay, but for own columns of the two names, which are replaced.
+    counts as unregistered. Records and texts have any length that a row has: those beyond the limits of a variant are read
+    by the names of their fields. Other columns stay, but for own columns of the two names, which are replaced.
     """
     own = [c for c in records.columns if c not in ("layout", "turns")]
-    rows = records.select(F.struct(*own).alias("_row"), F.try_parse_json(column).alias("_v")).withColumn("_f", fingerprint(skeleton(F.col("_v"))))
+    rows = records.select(F.struct(*own).alias("_row"), F.try_parse_json(column).alias("_v"), F.col(column).alias("_record")).withColumn("_f", fingerprint(skeleton(F.col("_v"))))
     text = lambda v, path: F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
     turn = lambda role, body: F.struct(role.alias("role"), body.alias("text"))
     chosen, layout = None, None
@@ -76,17 +99,25 @@ def canonical_turns(records: DataFrame, column: str = "record", layouts=LAYOUTS)
         if kind.items:
             turns = _items(F.try_variant_get("_v", kind.items, "array<variant>"), kind, text, turn)
         else:
-            parts = {role: text(F.col("_v"), path) for role, path in kind.fields}
-            if "context" in parts:
-                parts["user"] = F.when(parts["context"] == "", parts["user"]).otherwise(F.concat_ws("\n\n", parts["user"], parts["context"]))
-            turns = F.array(*(turn(F.lit(role), body) for role, body in parts.items() if role != "context"))
+            turns = _fields(F.col("_v"), kind, text, turn)
         same = F.col("_f") == fingerprint(F.lit(kind.skeleton))
         chosen = F.when(same, turns) if chosen is None else chosen.when(same, turns)
         layout = F.when(same, kind.name) if layout is None else layout.when(same, kind.name)
+    named = lambda m, path: F.coalesce(m[path[2:]], F.lit(""))
+    long_layout, long_turns = _long_turns(F.col("_record"), layouts, named, turn)
+    beyond = F.col("_v").isNull() & (F.length("_record") > LONG)
+    layout, chosen = F.when(beyond, long_layout).otherwise(layout), F.when(beyond, long_turns).otherwise(chosen)
     turns = F.coalesce(chosen, F.array().cast("array<struct<role:string,text:string>>"))
     return rows.select(*(F.col("_row")[c].alias(c) for c in own), layout.alias("layout"), turns.alias("turns"))
 
 
+def _fields(record: Column, kind: Layout, text, turn) -> Column:
+    parts = {role: text(record, path) for role, path in kind.fields}
+    if "context" in parts:
+        parts["user"] = F.when(parts["context"] == "", parts["user"]).otherwise(F.concat_ws("\n\n", parts["user"], parts["context"]))
+    return F.array(*(turn(F.lit(role), body) for role, body in parts.items() if role != "context"))
+
+
 def _items(items: Column, kind: Layout, text, turn) -> Column:
     names = F.create_map(*(F.lit(x) for pair in kind.names for x in pair)) if kind.names else None
 

@@ -52,8 +52,9 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: f
     """How many words of each document the mix takes.
 
     Adds ``size`` (words; null text: 0), ``source_size``, ``target`` and ``taken`` to the columns of ``docs``, which must
-    have ``doc_id, text, source``; its own columns of these names are replaced. ``keep`` names the columns to return, all by default. Each source is ordered by a hash of doc_id,
-    taken whole as often as its target allows, and cut in that order where the rest of the budget ends: the taken
+    have ``doc_id, text, source``; its own columns of these names are replaced, all others stay, whatever their names.
+    ``keep`` names the columns to return, all by default. Each source is ordered by a hash of doc_id (of the text, where
+    doc_id is null), taken whole as often as its target allows, and cut in that order where the rest of the budget ends: the taken
     words of a source sum to its target, rounded down. The same rows give the same mix. Rows of equal doc_id, null
     included, are ordered by size and text; equal rows differ in nothing. Empty documents take nothing; an empty table
     gives no rows.
@@ -62,9 +63,11 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: f
     sums of cells, prefix sums over the few cells, then prefix sums within a cell.
     """
     own = [c for c in keep or docs.columns if c not in ("size", "source_size", "target", "taken")]
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    none = F.concat_ws(":", F.lit("null"), F.md5(F.coalesce("text", F.lit(""))))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), none)))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(*own, F.col("source").alias("_src"), size.alias("size"), key.alias("_key"), F.xxhash64("text").alias("_tie"))
+    row = F.struct(*own) if own else F.lit(None)
+    sized = docs.select(row.alias("_row"), F.col("source").alias("_src"), size.alias("size"), key.alias("_key"), F.xxhash64("text").alias("_tie"))
     narrow = sized = cut(sized) if "text" not in own else sized
     if "text" in own:
         narrow = cut(sized.select("_src", "size", "_key"))
@@ -84,7 +87,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: f
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size") - F.col("_before") - F.col("_within")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return rows.select(*own, "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.cast("long").alias("taken"))
+    return rows.select(*(F.col("_row")[c].alias(c) for c in own), "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: float = 2.0, seed: str = "mix") -> DataFrame:
@@ -94,7 +97,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, ceiling: float =
     out = mix_sources(inner, weights, share, ceiling, seed)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
     own = [F.col(c) if c in needed else F.col("_doc")[c].alias(c) for c in docs.columns]
-    return out.select(*own, F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).drop("_copy")
+    return out.select(F.struct(*own).alias("_row"), F.explode(F.array_repeat(F.lit(0), times))).select("_row.*")
 
 
 def op2_mixing(spark, sf_dir):
@@ -104,7 +107,7 @@ def op2_mixing(spark, sf_dir):
 
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                  md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS k, md5(coalesce(text, '')) AS h FROM documents),
+                  md5('mix:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS k, md5(coalesce(text, '')) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM s),
 w AS (SELECT *, CASE rk % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS most FROM r),

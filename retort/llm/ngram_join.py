@@ -38,8 +38,20 @@ _SLICE = 1 << 14
 LONG = 64
 #: A list is dealt out in chunks of about this many documents.
 CHUNK = 1024
+#: Documents that ask for a chunk together, about, and pairs of one document whose texts meet in one task.
+ASKERS, PAIRS = 4096, 512
 #: Ids that may be broadcast to prune a scan: 64 MB at most; more are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 2_500_000
+
+
+def _keyed(docs: DataFrame, *more) -> DataFrame:
+    """``doc_id, h``: a row's text is found again by its id and the hash of the text, as rows of one id may differ."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), *more)
+
+
+def _texts(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The text of each of some rows ``doc, doc_id, h``, once for every equal row: ``doc, text``, and what else they have."""
+    return _keyed(docs, "text").join(named, ["doc_id", "h"])
 
 
 def _slack(n):
@@ -82,7 +94,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, number of shingles, 128-bit fingerprint of the set, its first shingles in the common order, and a row number."""
+    """doc_id, hash of the text, number of shingles, 128-bit fingerprint of the set, its first shingles in the common order, and a row number."""
     counts = _sketch(docs, width)
     mean = float(counts.mean())
     hot = np.packbits(counts > mean + max(4 * LONG, 8 * mean**0.5))
@@ -94,7 +106,7 @@ def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
         for batch in batches:
             n, one, two, tokens = [], [], [], []
             with np.errstate(over="ignore"):
-                for s in shingle_sets(as_bytes(batch.column(1)), width):
+                for s in shingle_sets(as_bytes(batch.column(2)), width):
                     n.append(len(s))
                     one.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                     two.append(int(mix(s ^ salt).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
@@ -104,19 +116,27 @@ def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
             ends = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int32)
             values = pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)],
-                names=["doc_id", "n", "one", "two", "tokens"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)],
+                names=["doc_id", "h", "n", "one", "two", "tokens"],
             )
 
-    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, one long, two long, tokens array<long>")
+    signed = _keyed(docs, "text").mapInArrow(sign, "doc_id long, h long, n long, one long, two long, tokens array<long>")
     return cut(signed.withColumn("row", F.monotonically_increasing_id()))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of documents whose whole sets are similar enough."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(ids, BROADCAST_IDS), "id", "left_semi")
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of representatives whose whole sets are similar enough.
+
+    The second of many pairs is repeated, so that not all of them meet in one task.
+    """
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(reps.select("doc", "doc_id", "h"), "doc"))
+    texts = _texts(docs, small(ids, BROADCAST_IDS)).select("doc", "text")
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).alias("parts")).where("parts > 1")
+    many = small(cut(many), BROADCAST_IDS)
+    parts = F.coalesce("parts", F.lit(1))
+    asked = pairs.join(many, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).alias("part"))
+    second = texts.toDF("b", "text_b").join(many, "b", "left").select("b", "text_b", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    both = asked.join(texts.toDF("a", "text_a"), "a").join(second, ["b", "part"])
 
     def verify(batches):
         for batch in batches:
@@ -180,10 +200,13 @@ def _searched(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     skipped = asked.groupBy("doc").agg(F.first("need").alias("need"), F.sum(F.col("long").cast("int")).alias("set_aside"))
     longest = rows.agg(F.max("df")).first()[0] or 1
     chunks = 1 << max(0, (longest // CHUNK - 1).bit_length())
+    groups = F.ceil(F.col("df") / ASKERS)
     lists = (
         rows.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.lit(chunks)))
-        .groupBy("token", "chunk").agg(F.array_sort(F.collect_list(F.struct("doc", "n", F.col("pos").alias("at"), "component"))).alias("list"))
+        .groupBy("token", "chunk").agg(F.array_sort(F.collect_list(F.struct("doc", "n", F.col("pos").alias("at"), "component"))).alias("list"), F.first("df").alias("df"))
+        .select("token", "chunk", "list", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)).alias("group"))
     )
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("doc", F.lit(1)), groups))
     overlap = lambda x: -F.floor(-(F.col("n") + x["n"]) * percent / (100 + percent))
     fits = lambda x: (
         (x["component"] != F.col("component")) & (x["n"] * 100 >= F.col("n") * percent)
@@ -192,7 +215,7 @@ def _searched(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     first = lambda x: (x["at"] <= x["n"] - overlap(x)) & (F.col("pos") <= F.col("n") - overlap(x))
     ids = lambda kept: F.transform(kept, lambda x: x["doc"])
     merged = (
-        asked.select("token", "pos", "doc", "n", "component", "long").join(lists, "token")
+        asked.select("token", "group", "pos", "doc", "n", "component", "long").join(lists, ["token", "group"])
         .select("doc", "chunk", "pos", "n", "long", F.filter("list", lambda x: fits(x) & (~F.col("long") | first(x))).alias("list")).where("size(list) > 0")
         .select("doc", "chunk", ids(F.col("list")).alias("list"), ids(F.filter("list", first)).alias("sure"))
         .groupBy("doc", "chunk").agg(F.collect_list("list").alias("lists"), F.array_distinct(F.flatten(F.collect_list("sure"))).alias("sure"))
@@ -237,12 +260,13 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The first row of every distinct set; ``doc, n, tokens`` of these; their tokens that several of them hold."""
+    """A representative of every distinct set, known by its row number ``doc``; ``doc, n, tokens`` of these; their tokens that several of them hold."""
     full = signed.where("n > 0 AND doc_id IS NOT NULL")
-    first = F.min(F.struct("doc_id", "row")).alias("first")
-    reps = cut(full.groupBy("one", "two", "n").agg(first, F.count("*").alias("size")).select("one", "two", "n", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row"), "size"))
-    copies = cut(full.select("row").join(reps.select("row"), "row", "left_anti"))
-    sets = full.join(small(copies, BROADCAST_IDS), "row", "left_anti").select(F.col("doc_id").alias("doc"), "n", "tokens")
+    first = F.min(F.struct("doc_id", "row", "h")).alias("first")
+    reps = full.groupBy("one", "two", "n").agg(first, F.count("*").alias("size"))
+    reps = cut(reps.select("one", "two", "n", F.col("first.row").alias("doc"), "first.doc_id", "first.h", "size"))
+    copies = cut(full.select(F.col("row").alias("doc")).join(reps.select("doc"), "doc", "left_anti"))
+    sets = full.select(F.col("row").alias("doc"), "n", "tokens").join(small(copies, BROADCAST_IDS), "doc", "left_anti")
     rows = sets.select("doc", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     return reps, sets, cut(rows.join(shared, "token").select("token", "pos", "doc", "n", "df"))
@@ -251,7 +275,7 @@ def _sets(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 #: Shingles of a block of a component whose links are counted, about.
 SHINGLES = 1 << 18
 #: Members of components that may be broadcast to choose their texts: 64 MB at most.
-BROADCAST_MEMBERS = 1_000_000
+BROADCAST_MEMBERS = 800_000
 
 
 def _overlaps(one: list[np.ndarray], two: list[np.ndarray], percent: int):
@@ -275,14 +299,13 @@ def _within(final: DataFrame, reps: DataFrame, docs: DataFrame, width: int, perc
 
     Every pair of sets of a component is in one tile, once from either side where both sets are in one block.
     """
-    members = final.select(F.col("node").alias("doc"), "component").join(reps.groupBy("doc").agg(F.max("n").alias("n"), F.sum("size").alias("size")), "doc")
+    members = final.select(F.col("node").alias("doc"), "component").join(reps.select("doc", "doc_id", "h", "n", "size"), "doc")
     groups = members.groupBy("component").agg(F.count("*").alias("count"), F.ceil(F.sum("n") / SHINGLES).alias("blocks")).where("count > 1").drop("count")
-    placed = members.join(groups, "component").select("doc", "size", "component", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"))
+    placed = members.join(groups, "component").select("doc", "doc_id", "h", "size", "component", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"))
     placed = cut(placed)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
 
     def packed(part):
-        rows = texts.join(F.broadcast(part) if placed_small else part, "doc")
+        rows = _texts(docs, F.broadcast(part) if placed_small else part)
         return rows.groupBy("component", "block").agg(F.sort_array(F.collect_set(F.struct("doc", "size", "text"))).alias("rows"), F.first("blocks").alias("blocks"))
 
     placed_small = placed.count() <= BROADCAST_MEMBERS
@@ -334,13 +357,16 @@ def representative_links(docs: DataFrame, width: int = 4, percent: int = 85) ->
     Its ``representative`` is the membership: documents are linked if they share it, or if theirs are a pair here.
     """
     reps, sets, rows = _sets(_signatures(docs, width, percent))
-    final = cut(_collapsed(rows, sets, docs, width, percent))
+    final = cut(_collapsed(rows, sets, reps, docs, width, percent))
 
     def emit(ids, sizes, ids2, sizes2, found, own):
-        pairs = [(min(a, ids2[k]), max(a, ids2[k])) for a, f in zip(ids, found, strict=True) for k in f.tolist() if not own or a < ids2[k]]
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        pairs = [(a, ids2[k]) for a, f in zip(ids, found, strict=True) for k in f.tolist() if not own or a < ids2[k]]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["one", "two"])
 
-    return _within(final, reps, docs, width, percent, emit, "a long, b long")
+    names = reps.select(F.col("doc"), "doc_id")
+    pairs = _within(final, reps, docs, width, percent, emit, "one long, two long")
+    pairs = pairs.join(names.toDF("one", "_one"), "one").join(names.toDF("two", "_two"), "two")
+    return pairs.select(F.least("_one", "_two").alias("a"), F.greatest("_one", "_two").alias("b"))
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, links: bool = False) -> DataFrame:
@@ -352,23 +378,19 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, links
     ``n_links`` follows: the other rows that are linked to the row, exact copies included.
 
     Null, empty and blank texts have an empty set, link with nothing and keep their own id. Repeated rows and exact
-    copies share a representative. doc_id should be unique: rows of one doc_id with different texts are returned
-    each, and meet in one node where that id represents their sets. A null doc_id gets the component of its set's
-    other rows, or null. Other columns are ignored; an empty table gives no rows. A shingle is told from others by
-    a 64-bit hash, a set by a 128-bit one.
+    copies share a representative. Rows of one doc_id with different texts are documents each, linked by their own sets
+    only. A null doc_id gets the component of its set's other rows, or null. Other columns are ignored; an empty table
+    gives no rows. A shingle is told from others by a 64-bit hash, a set by a 128-bit one.
     """
     signed = _signatures(docs, width, percent)
     reps, sets, rows = _sets(signed)
-    final = _collapsed(rows, sets, docs, width, percent)
+    final = cut(_collapsed(rows, sets, reps, docs, width, percent))
+    joined = _placed(final, reps)
     if links:
-        final = cut(final)
         counts = _near(final, reps, docs, width, percent)
-
-    joined = reps.join(final.select(F.col("node").alias("doc"), "component"), "doc", "left")
-    if links:
         joined = joined.join(counts, "doc", "left").withColumn("linked", F.col("size") + F.coalesce("near", F.lit(0)))
     own = ["linked"] if links else []
-    joined = joined.select("one", "two", "n", F.col("doc").alias("representative"), F.coalesce("component", "doc").alias("component_id"), *own)
+    joined = joined.select("one", "two", "n", F.col("doc_id").alias("representative"), F.col("first.doc_id").alias("component_id"), *own)
     out = signed.select("doc_id", "n", "one", "two").join(joined, ["one", "two", "n"], "left")
     empty = F.col("n") == 0
     n_links = F.coalesce(F.col("linked") - F.col("doc_id").isNotNull().cast("long"), F.lit(0)).alias("n_links") if links else None
@@ -380,7 +402,14 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, links
     )
 
 
-def _collapsed(rows: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _placed(final: DataFrame, reps: DataFrame) -> DataFrame:
+    """The representatives with ``first``, the ``doc_id, h`` of the first one of their component."""
+    placed = reps.join(final.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    return placed.join(first, "component").drop("component")
+
+
+def _collapsed(rows: DataFrame, sets: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The components of the links between distinct sets, without searching inside those that the collapse has found."""
     typical = rows.groupBy("doc").agg(F.sum("df").alias("typical"))
     centers = rows.join(typical, "doc").groupBy("token").agg(F.max(F.struct("typical", "doc", "n")).alias("center"))
@@ -390,7 +419,7 @@ def _collapsed(rows: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
     )
     smaller, larger = F.least("n", "m"), F.greatest("n", "m")
     near = cut(near.where((F.col("same") >= 1 + F.floor(smaller / 32)) & (smaller * 100 >= larger * percent)).select("a", "b"))
-    links = cut(_verified(near, docs, width, percent))
+    links = cut(_verified(near, reps, docs, width, percent))
     first = components(links)
 
     placed = rows.join(first.select(F.col("node").alias("doc"), "component"), "doc", "left")
@@ -398,27 +427,29 @@ def _collapsed(rows: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     placed = cut(placed.join(mixed, "token"))
     found = cut(_searched(placed, sets, percent))
-    more = _verified(found, docs, width, percent)
+    more = _verified(found, reps, docs, width, percent)
     return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near duplicates: of each component, the rows of its smallest doc_id, once.
+    """The documents without near duplicates: of each component, the row of the smallest doc_id, once.
 
-    Keeps the columns of ``docs``; rows with a null doc_id or without words are kept as they are. Of a doc_id that several
-    rows have, each different text is kept once, as an id can't say which of them has a near duplicate.
+    Keeps the columns of ``docs``, whatever their names. Rows with a null doc_id or without words are kept as they are.
+    Rows of one doc_id with different texts are documents each: of those in one component, the one whose text has the
+    smallest hash stays, once if repeated.
     """
-    apart = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_distinct(F.xxhash64("text")).alias("texts")).where("rows > 1"))
-    ids = ngram_jaccard_join(docs, width, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    several = not apart.isEmpty()
-    if several:
-        ids = ids.join(apart.where("texts > 1"), "doc_id", "left_anti")
-    kept = docs.join(small(cut(ids), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
-    if not several:
-        return kept
-    single = kept.join(apart, "doc_id", "left_anti")
-    again = kept.join(apart, "doc_id", "left_semi").withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"])
-    return single.select(*docs.columns).unionByName(again.select(*docs.columns))
+    signed = _signatures(docs, width, percent)
+    reps, sets, rows = _sets(signed)
+    joined = _placed(cut(_collapsed(rows, sets, reps, docs, width, percent)), reps).select("one", "two", "n", "first")
+    words = signed.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "h", "one", "two", "n")
+    gone = words.join(joined, ["one", "two", "n"]).where("doc_id <> first.doc_id OR h <> first.h").select("doc_id", "h").distinct()
+    again = cut(words.groupBy("doc_id", "h").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "h"))
+    named = _keyed(docs, F.struct(*docs.columns).alias("row"))
+    kept = named.join(small(cut(gone), BROADCAST_IDS), ["doc_id", "h"], "left_anti")
+    if not again.isEmpty():
+        once = kept.join(again, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+        kept = kept.join(again, ["doc_id", "h"], "left_anti").unionByName(once)
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op1_ngram_jaccard(spark, sf_dir):

@@ -392,3 +392,54 @@ def test_conversation_rows(spark):
     out = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.canonical_turns(chat.gathered(rows)).collect()}
     assert out == {1: [("user", ""), ("assistant", "b")], 2: [("", "c")], None: [("user", "d")]}
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(chat.loss_text(F.lit("x"), F.array().cast("array<struct<start:int,end:int>>")), 256)).first()[0]
+
+
+def test_ngram_join_tells_rows_of_one_id_apart(spark, monkeypatch):
+    for name in ("ASKERS", "PAIRS", "LONG", "CHUNK"):
+        monkeypatch.setattr(ngram_join, name, 2)
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(ngram_join, "BROADCAST_MEMBERS", 0)
+    rng = random.Random(11)
+    a, b = ([rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(120)] for _ in range(2))
+    changed = lambda t, k: " ".join([*t[:k], "changed", *t[k + 1 :]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, changed(b, 5)), (3, changed(b, 50)), (4, changed(a, 7)), (5, "alone in the world it is"), (2, changed(b, 5)), (4, "alone in the world it  is")]
+    frame = spark.createDataFrame([(d, t, "x", 5) for d, t in rows], "doc_id long, text string, _text_key string, row int")
+    sets = [frozenset(tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)) for _, t in rows]
+    near = [[j for j in range(len(rows)) if j != i and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    reach = []
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            todo += (new := [j for j in near[todo.pop()] if j not in seen])
+            seen |= set(new)
+        reach.append(seen)
+    out = ngram_join.ngram_jaccard_join(frame, links=True).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in out) == sorted((rows[i][0], min(rows[j][0] for j in reach[i]), len(near[i])) for i in range(len(rows)))
+    kept = ngram_join.one_of_each(frame, 4, 85)
+    assert kept.columns == frame.columns
+    assert sorted((r["doc_id"], r["_text_key"]) for r in kept.collect()) == [(1, "x"), (1, "x"), (4, "x")]
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["_key", "_src", "_tie", "_cell", "_within", "_of", "_at", "_before", "_row", "size"]
+    rows = [(k if k % 5 else None, "word " * (k % 9), f"s{k % 3}", *range(len(names))) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = mixing.mix_sources(frame)
+    assert out.columns == ["doc_id", "text", "source", *names[:-1], "size", "source_size", "target", "taken"]
+    got = out.collect()
+    assert len(got) == 60 and all(tuple(r[n] for n in names[:-1]) == tuple(range(len(names) - 1)) for r in got)
+    assert mixing.mixed(frame).columns == frame.columns and mixing.mixed(frame).count() > 0
+
+
+def test_chat_turns_of_any_length(spark):
+    long = 21_000_000
+    spark.range(1).createOrReplaceTempView("one_row")
+    turns = spark.sql(f"SELECT 1L AS conv_id, t AS turn, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END AS role, CASE t WHEN 1 THEN repeat('ab\"', {long // 3}) ELSE 'short' END AS text FROM (SELECT explode(sequence(0, 2)) AS t FROM one_row)")
+    two = spark.sql("SELECT 2L AS conv_id, t AS turn, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END AS role, 'short' AS text FROM (SELECT explode(sequence(0, 1)) AS t FROM one_row)")
+    out = chat.format_chats(chat.canonical_turns(chat.gathered(turns.unionByName(two).coalesce(1))))
+    back = out.select("conv_id", "layout", F.transform(chat.read_back(F.col("formatted")), lambda t: F.struct(t["role"], F.length(t["text"]).alias("n"), F.sha2(t["text"], 256).alias("h"))).alias("b"), F.length(chat.loss_text(F.col("formatted"), F.col("mask"))).alias("loss"))
+    got = {r["conv_id"]: r for r in back.collect()}
+    said = hashlib.sha256(b'ab"' * (long // 3)).hexdigest()
+    assert got[1]["layout"] == "messages" and [(b["role"], b["n"]) for b in got[1]["b"]] == [("user", 5), ("assistant", long), ("assistant", 5)]
+    assert got[1]["b"][1]["h"] == said and got[1]["loss"] == long + 5
+    assert got[2]["layout"] == "prompt" and [b["n"] for b in got[2]["b"]] == [5, 5] and got[2]["loss"] == 5
