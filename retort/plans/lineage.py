@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,7 +15,7 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
+        if folder is None and not re.match(r"local(\[|$)", context.master):
             raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all nodes share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="retort-"))
     return df.checkpoint(eager=True)
