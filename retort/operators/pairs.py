@@ -29,7 +29,20 @@ def block_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return left.join(packed.toDF("blk", "b_ids", "b_vs"), "blk").drop("blk")
 
 
-def _tile(batch, k):
+def block_rectangles(one: DataFrame, two: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Every block of one table next to every block of another, as block_pairs() does for one."""
+    counts = [max(1, -(-df.count() // block)) for df in (one, two)]
+
+    def packed(df, count, ids, vs):
+        rows = df.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(count))).groupBy("blk").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("r"))
+        return rows.select("blk", F.col("r.id").alias(ids), F.col("r.v").alias(vs))
+
+    left = packed(one, counts[0], "a_ids", "a_vs").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(counts[1] - 1).cast("long"))).alias("blk"), "a_ids", "a_vs")
+    return left.join(packed(two, counts[1], "b_ids", "b_vs"), "blk").drop("blk")
+
+
+def tile(batch, k):
+    """Ids and vectors of both sides of a tile."""
     vs = [batch.column(i)[k].values for i in (1, 3)]
     a, b = (np.asarray(v.flatten()).reshape(len(v), -1) for v in vs)
     return np.asarray(batch.column(0)[k].values), a, np.asarray(batch.column(2)[k].values), b
@@ -48,7 +61,7 @@ def global_kernel(rows: DataFrame, kernel: str, sigma: float, **parameters) -> D
     def one(batches):
         for batch in batches:
             for t in range(len(batch)):
-                i, a, j, b = _tile(batch, t)
+                i, a, j, b = tile(batch, t)
                 k = kernel_array(kernel, distances(a, b) / sigma, **parameters)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, len(j))), pa.array(np.tile(j, len(i))), pa.array(k.ravel())], names=["i", "j", "k"])
 
@@ -61,7 +74,7 @@ def kernel_row_sums(rows: DataFrame, kernels: dict[str, dict], sigma: float) ->
     def one(batches):
         for batch in batches:
             for t in range(len(batch)):
-                i, a, _, b = _tile(batch, t)
+                i, a, _, b = tile(batch, t)
                 r = distances(a, b) / sigma
                 for name, parameters in kernels.items():
                     yield pa.RecordBatch.from_arrays([pa.array(i), pa.array([name] * len(i)), pa.array(kernel_array(name, r, **parameters).sum(1))], names=["id", "kernel", "part"])
@@ -76,7 +89,7 @@ def nearest_squared(rows: DataFrame) -> DataFrame:
     def one(batches):
         for batch in batches:
             for t in range(len(batch)):
-                i, a, j, b = _tile(batch, t)
+                i, a, j, b = tile(batch, t)
                 d = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0.0)
                 d[i[:, None] == j[None, :]] = np.inf
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(d.min(1))], names=["id", "d2"])
@@ -95,75 +108,226 @@ ATOMS = 2048
 WEIGHTS = 100_000
 
 
-def _atom_blocks(atoms: DataFrame, feature: str, by_element: bool) -> DataFrame:
+def _atom_blocks(atoms: DataFrame, feature: str, by_element: bool, factors: tuple = ()) -> DataFrame:
     """Distinct atoms with their numbers, packed in blocks: ``kind, blk, mols, zs, fs, ns``; of one element each, if asked.
 
     A molecule's atoms share a block unless they are more than one holds; then they are dealt by a hash of the atom, so
-    that neither a large molecule nor a common element makes a large block.
+    that neither a large molecule nor a common element makes a large block. ``factors`` names columns that are summed
+    over equal atoms and packed too.
     """
     kind = F.col("z") if by_element else F.lit(0)
-    counted = atoms.groupBy("mol", "z", F.col(feature).alias("f")).agg(F.count("*").alias("n")).withColumn("kind", kind)
+    counted = atoms.groupBy("mol", "z", F.col(feature).alias("f")).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in factors)).withColumn("kind", kind)
     sizes = counted.groupBy("kind", F.col("mol").alias("_m")).agg(F.count("*").alias("_size"))
     totals = sizes.groupBy("kind").agg(F.ceil(F.sum("_size") / ATOMS).alias("_blocks"))
     sizes = sizes.join(totals, "kind").withColumnRenamed("kind", "_k")
     part = F.pmod(F.xxhash64("z", "f"), F.ceil(F.col("_size") / ATOMS))
     placed = counted.join(sizes, (F.col("kind") == F.col("_k")) & (F.col("mol") == F.col("_m")))
     placed = placed.withColumn("blk", F.pmod(F.xxhash64("mol", part), F.col("_blocks")))
-    rows = placed.groupBy("kind", "blk").agg(F.collect_list(F.struct("mol", "z", "f", "n")).alias("r"), F.first("_blocks").alias("blocks"))
-    return rows.select("kind", "blk", "blocks", *(F.col(f"r.{c}").alias(f"{c}s") for c in ("mol", "z", "f", "n")))
+    rows = placed.groupBy("kind", "blk").agg(F.collect_list(F.struct("mol", "z", "f", "n", *factors)).alias("r"), F.first("_blocks").alias("blocks"))
+    return rows.select("kind", "blk", "blocks", *(F.col(f"r.{c}").alias(f"{c}s") for c in ("mol", "z", "f", "n", *factors)))
+
+
+_SIDE = ("mols", "zs", "fs", "ns")
 
 
-def _local_sums(one: DataFrame, two: DataFrame, kernel: str, sigma: float, weigh: dict | None, same: bool, numeric: bool, parameters: dict) -> DataFrame:
-    """Sums of the kernel over the atoms of two molecules, block by block: ``i, j, k``; ``same``: of one table, i <= j only.
+def _tiles(one: DataFrame, two: DataFrame, same: bool, factors: tuple = ()) -> DataFrame:
+    """Blocks that meet by an equality of element and block number: ``own, other``, both sides, and the second's factors.
 
-    Blocks meet by an equality of element and block number; each task sums its tile by molecules before the shuffle.
+    ``same``: of one table, every two blocks once; ``own`` marks a block that meets itself, ``other`` two different ones.
     """
-    names = ("mols", "zs", "fs", "ns")
-    side = lambda df, x: [F.col(c).alias(f"{x}_{c}") for c in names]
+    more = [f"{c}s" for c in factors]
+    side = lambda x, names: [F.col(c).alias(f"{x}_{c}") for c in names]
     blocks = two.groupBy("kind").agg(F.first("blocks").alias("_to"))
     left = one.join(blocks, "kind").withColumn("meet", F.explode(F.sequence(F.col("blk") if same else F.lit(0).cast("long"), F.col("_to") - 1)))
-    left = left.select("kind", "meet", F.col("blk").alias("a_blk"), *side(left, "a"))
-    tiles = left.join(two.select("kind", F.col("blk").alias("meet"), *side(two, "b")), ["kind", "meet"])
-    tiles = tiles.select((F.lit(same) & (F.col("a_blk") == F.col("meet"))).alias("own"), (F.lit(same) & (F.col("a_blk") != F.col("meet"))).alias("other"), *(f"{x}_{c}" for x in "ab" for c in names))
+    left = left.select("kind", "meet", F.col("blk").alias("a_blk"), *side("a", _SIDE))
+    tiles = left.join(two.select("kind", F.col("blk").alias("meet"), *side("b", (*_SIDE, *more))), ["kind", "meet"])
+    own, other = F.lit(same) & (F.col("a_blk") == F.col("meet")), F.lit(same) & (F.col("a_blk") != F.col("meet"))
+    return tiles.select(own.alias("own"), other.alias("other"), *(f"{x}_{c}" for x in "ab" for c in _SIDE), *(f"b_{c}" for c in more))
+
+
+def atom_tiles(one: DataFrame, two: DataFrame, mode: str, same: bool) -> DataFrame:
+    """The tiles of two atom tables, or of one with itself."""
+    feature, _ = _kinds(two)
+    blocks = cut(_atom_blocks(one, feature, mode == "elemental"))
+    return _tiles(blocks, blocks if same else cut(_atom_blocks(two, feature, mode == "elemental")), same)
+
+
+def read_side(batch, t: int, at: int):
+    """Molecules, elements, features and numbers of atoms of one side of a tile, from column ``at`` on."""
+    mols, zs, fs, ns = (batch.column(at + k)[t].values for k in range(4))
+    f = np.asarray(fs.flatten() if pa.types.is_list(fs.type) else fs, float).reshape(len(mols), -1)
+    return mols.to_pylist(), np.array(zs.to_pylist(), object), f, np.asarray(ns, float)
+
+
+def weighed(k: np.ndarray, z: np.ndarray, y: np.ndarray, weigh: dict | None) -> np.ndarray:
+    """A tile of a kernel times the weights of the elements of its rows and columns; a missing weight is an error."""
+    if weigh is None or not k.size:
+        return k
+    (us, ui), (vs, vi) = np.unique(z, return_inverse=True), np.unique(y, return_inverse=True)
+    missing = [(a, b) for a in us for b in vs if (min(a, b), max(a, b)) not in weigh]
+    if missing:
+        raise ValueError(f"no weight for {missing[0]}")
+    return k * np.array([[weigh[min(a, b), max(a, b)] for b in vs] for a in us])[ui][:, vi]
+
+
+def _by_molecules(m: list, l: list, k: np.ndarray, own: bool, other: bool):
+    """The sums of a tile of atoms over pairs of molecules: names and sums; i <= j only, if the tile is of one table."""
+    (i, ii), (j, jj) = np.unique(np.array(m, object), return_inverse=True), np.unique(np.array(l, object), return_inverse=True)
+    sums = np.zeros((len(i), k.shape[1]))
+    np.add.at(sums, ii, k)
+    total = np.zeros((len(j), len(i)))
+    np.add.at(total, jj, sums.T)
+    p, q = np.meshgrid(i, j, indexing="ij")
+    p, q, total = p.ravel(), q.ravel(), total.T.ravel()
+    if own:
+        keep = np.array(p <= q, bool)
+        p, q, total = p[keep], q[keep], total[keep]
+    elif other:  # each pair of atoms is in one tile only; within a molecule it counts twice
+        total = np.where(p == q, 2 * total, total)
+        p, q = np.where(p <= q, p, q), np.where(p <= q, q, p)
+    return p, q, total
+
+
+def _local_sums(tiles: DataFrame, kernel: str, sigma: float, weigh: dict | None, numeric: bool, parameters: dict) -> DataFrame:
+    """Sums of the kernel over the atoms of two molecules, tile by tile: ``i, j, k``; summed by molecules before the shuffle."""
     arrow = pa.int64() if numeric else pa.string()
 
-    def read(batch, t, at):
-        mols, zs, fs, ns = (batch.column(at + k)[t].values for k in range(4))
-        f = np.asarray(fs.flatten() if pa.types.is_list(fs.type) else fs, float).reshape(len(mols), -1)
-        return mols.to_pylist(), np.array(zs.to_pylist(), object), f, np.asarray(ns, float)
+    def scan(batches):
+        for batch in batches:
+            for t in range(len(batch)):
+                own, other = batch.column(0)[t].as_py(), batch.column(1)[t].as_py()
+                (m, z, x, n), (l, y, v, w) = read_side(batch, t, 2), read_side(batch, t, 6)
+                k = weighed(kernel_array(kernel, distances(x, v) / sigma, **parameters) * n[:, None] * w, z, y, weigh)
+                p, q, total = _by_molecules(m, l, k, own, other)
+                yield pa.RecordBatch.from_arrays([pa.array(p.tolist(), arrow), pa.array(q.tolist(), arrow), pa.array(total)], names=["i", "j", "k"])
+
+    kind = "long" if numeric else "string"
+    return tiles.mapInArrow(scan, f"i {kind}, j {kind}, k double").groupBy("i", "j").agg(F.sum("k").alias("k"))
+
+
+#: Molecules of a block of names.
+NAMES = 4096
+
+
+def _without_atoms(one: DataFrame, two: DataFrame, same: bool) -> DataFrame:
+    """A zero for every pair of molecules: ``i, j, k``; of one table i <= j only. Blocks of names meet by their numbers."""
+    names = lambda df: df.select("mol").distinct()
+    counts = [max(1, -(-names(df).count() // NAMES)) for df in ((one,) if same else (one, two))]
+    packed = lambda df, n: names(df).withColumn("blk", F.pmod(F.xxhash64("mol"), F.lit(n))).groupBy("blk").agg(F.collect_list("mol").alias("mols"))
+    left = packed(one, counts[0])
+    right = (left if same else packed(two, counts[-1])).toDF("meet", "others")
+    left = left.withColumn("meet", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(counts[-1] - 1).cast("long"))))
+    out = left.join(right, "meet").select(F.explode("mols").alias("i"), "others").select("i", F.explode("others").alias("j"), F.lit(0.0).alias("k"))
+    return out.where("i <= j") if same else out
+
+
+def local_products(rows: DataFrame, train: DataFrame, coefficients: DataFrame, names: list[str], kernel: str, sigma: float, mode: str = "all", weights: DataFrame | None = None, **parameters) -> DataFrame:
+    """Sums of the normalised local kernel times coefficients over the molecules of ``train``: ``mol``, and one column each.
+
+    coefficients: ``mol`` and a column for each of ``names``; molecules without count for nothing. A tile of atoms gives one
+    number for each of its molecules in ``rows``, so no pair of molecules is made. A molecule that meets none gets 0.
+    """
+    feature, numeric = _kinds(train)
+    own = lambda df: self_kernel(df, kernel, sigma, mode, weights, **parameters).select(F.col("i").alias("mol"), F.sqrt("k").alias("_s"))
+    scaled = coefficients.join(own(train), "mol").select("mol", *((F.col(c) / F.col("_s")).alias(c) for c in names))
+    two = cut(_atom_blocks(train.join(scaled, "mol"), feature, mode == "elemental", tuple(names)))
+    tiles = _tiles(_atom_blocks(rows, feature, mode == "elemental"), two, False, tuple(names))
+    weigh, arrow = known_weights(weights if mode == "alchemical" else None), pa.int64() if numeric else pa.string()
+
+    def scan(batches):
+        for batch in batches:
+            for t in range(len(batch)):
+                (m, z, x, n), (_, y, v, _) = read_side(batch, t, 2), read_side(batch, t, 6)
+                factors = np.stack([np.asarray(batch.column(10 + k)[t].values, float) for k in range(len(names))], 1)
+                k = weighed(kernel_array(kernel, distances(x, v) / sigma, **parameters), z, y, weigh)
+                i, ii = np.unique(np.array(m, object), return_inverse=True)
+                sums = np.zeros((len(i), len(names)))
+                np.add.at(sums, ii, n[:, None] * (k @ factors))
+                yield pa.RecordBatch.from_arrays([pa.array(i.tolist(), arrow), *(pa.array(c) for c in sums.T)], names=["mol", *names])
+
+    kind = "long" if numeric else "string"
+    sums = tiles.mapInArrow(scan, f"mol {kind}, " + ", ".join(f"{c} double" for c in names)).groupBy("mol").agg(*(F.sum(c).alias(c) for c in names))
+    return own(rows).join(sums, "mol", "left").select("mol", *((F.coalesce(c, F.lit(0.0)) / F.col("_s")).alias(c) for c in names))
+
+
+#: A moment's grid of distances, the largest scaled one, and the degree of the polynomial. Fixed values of the published program.
+GRID, LARGEST, DEGREE = [1.5 ** (-15 + 30 * k / 19) for k in range(20)], 20.0, 20
+#: The kernels that a polynomial in a power of the distance stands for, and that power.
+POWERS = {"Exponential": 1, "Gaussian": 2}
+
+
+def local_moments(atoms: DataFrame, power: int, mode: str = "all") -> DataFrame:
+    """Sums of x ** p over the atoms of two molecules, x a power of their distance, up to each bin of GRID: ``i, j, bin, m0 ...``.
+
+    Atoms as of local_kernel(), i <= j. Tiles of atoms are summed by molecules and bins before the shuffle; all length scales
+    of a kernel follow from this one pass. Distances beyond the grid drop out, as they do in no scale's sum.
+    """
+    feature, numeric = _kinds(atoms)
+    blocks = cut(_atom_blocks(atoms, feature, mode == "elemental"))
+    arrow, edges, width = pa.int64() if numeric else pa.string(), np.array(GRID), DEGREE + 1
+    columns = [f"m{p}" for p in range(width)]
 
     def scan(batches):
         for batch in batches:
             for t in range(len(batch)):
                 own, other = batch.column(0)[t].as_py(), batch.column(1)[t].as_py()
-                (m, z, x, n), (l, y, v, w) = read(batch, t, 2), read(batch, t, 6)
-                k = kernel_array(kernel, distances(x, v) / sigma, **parameters) * n[:, None] * w
-                if weigh is not None:
-                    (us, ui), (vs, vi) = np.unique(z, return_inverse=True), np.unique(y, return_inverse=True)
-                    missing = [(a, b) for a in us for b in vs if (min(a, b), max(a, b)) not in weigh]
-                    if missing:
-                        raise ValueError(f"no weight for {missing[0]}")
-                    k = k * np.array([[weigh[min(a, b), max(a, b)] for b in vs] for a in us])[ui][:, vi]
+                (m, _, x, n), (l, _, v, w) = read_side(batch, t, 2), read_side(batch, t, 6)
                 (i, ii), (j, jj) = np.unique(np.array(m, object), return_inverse=True), np.unique(np.array(l, object), return_inverse=True)
-                sums = np.zeros((len(i), len(y)))
-                np.add.at(sums, ii, k)
-                total = np.zeros((len(j), len(i)))
-                np.add.at(total, jj, sums.T)
-                p, q = np.meshgrid(i, j, indexing="ij")
-                p, q, total = p.ravel(), q.ravel(), total.T.ravel()
+                sums = np.zeros((len(i) * len(j) * len(edges), width))
+                step = max(1, (1 << 20) // max(1, len(v)))
+                for at in range(0, len(x), step):
+                    r = distances(x[at : at + step], v) ** power
+                    bins = np.searchsorted(edges, r)
+                    inside = bins < len(edges)
+                    place = ((ii[at : at + step, None] * len(j) + jj) * len(edges) + bins)[inside]
+                    r, part = r[inside], (n[at : at + step, None] * w)[inside]
+                    for p in range(width):
+                        sums[:, p] += np.bincount(place, weights=part, minlength=len(sums))
+                        part = part * r
+                found = np.flatnonzero(sums[:, 0])
+                a, b, bins = i[found // len(edges) // len(j)], j[found // len(edges) % len(j)], found % len(edges)
+                sums = sums[found]
                 if own:
-                    keep = np.array(p <= q, bool)
-                    p, q, total = p[keep], q[keep], total[keep]
-                elif other:  # each pair of atoms is in one tile only; within a molecule it counts twice
-                    total = np.where(p == q, 2 * total, total)
-                    p, q = np.where(p <= q, p, q), np.where(p <= q, q, p)
-                yield pa.RecordBatch.from_arrays([pa.array(p.tolist(), arrow), pa.array(q.tolist(), arrow), pa.array(total)], names=["i", "j", "k"])
+                    keep = np.array(a <= b, bool)
+                    a, b, bins, sums = a[keep], b[keep], bins[keep], sums[keep]
+                elif other:
+                    sums = np.where((a == b).astype(bool)[:, None], 2 * sums, sums)
+                    a, b = np.where(a <= b, a, b), np.where(a <= b, b, a)
+                yield pa.RecordBatch.from_arrays([pa.array(a.tolist(), arrow), pa.array(b.tolist(), arrow), pa.array(bins, pa.int32()), *(pa.array(c) for c in sums.T)], names=["i", "j", "bin", *columns])
 
     kind = "long" if numeric else "string"
-    return tiles.mapInArrow(scan, f"i {kind}, j {kind}, k double").groupBy("i", "j").agg(F.sum("k").alias("k"))
+    parts = _tiles(blocks, blocks, True).mapInArrow(scan, f"i {kind}, j {kind}, bin int, " + ", ".join(f"{c} double" for c in columns))
+    sums = parts.groupBy("i", "j", "bin").agg(*(F.sum(c).alias(c) for c in columns))
+    running = Window.partitionBy("i", "j").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    return sums.select("i", "j", "bin", *(F.sum(c).over(running).alias(c) for c in columns))
 
 
-def _weights(weights: DataFrame | None) -> dict | None:
+def local_kernels_of_scales(atoms: DataFrame, kernel: str, sigmas: list[float], mode: str = "all") -> DataFrame:
+    """Normalised local kernels for many length scales: ``sigma, i, j, k``, i <= j, from one pass over the atoms.
+
+    ``Exponential`` and ``Gaussian`` only. A scale's sum is a polynomial in the moments up to the last bin below LARGEST
+    scales; pairs with nothing there are 0. A scale whose result isn't acceptable() is computed exactly instead.
+    """
+    power = POWERS[kernel]
+    moments = cut(local_moments(atoms, power, mode))
+    terms, out = chebyshev_of_exp(LARGEST, DEGREE), None
+    names = _without_atoms(atoms, atoms, True)
+    for sigma in sigmas:
+        q = float(sigma) ** power
+        last = min(max(int(np.searchsorted(GRID, LARGEST * q)) - 1, 0), len(GRID) - 1)
+        at_last = moments.where(F.col("bin") <= last).groupBy("i", "j").agg(F.max_by(F.struct(*(f"m{p}" for p in range(DEGREE + 1))), "bin").alias("m"))
+        value = sum((F.col("m")[f"m{p}"] * (c / q**p) for p, c in enumerate(terms)), F.lit(0.0))
+        sums = at_last.select("i", "j", value.alias("k")).unionByName(names).groupBy("i", "j").agg(F.sum("k").alias("k"))
+        scaled = cut(normalised(sums))
+        if not acceptable(scaled):
+            scaled = local_kernel(atoms, kernel, float(sigma), mode)
+        scaled = scaled.select(F.lit(float(sigma)).alias("sigma"), "i", "j", "k")
+        out = scaled if out is None else out.unionByName(scaled)
+    return out
+
+
+def known_weights(weights: DataFrame | None) -> dict | None:
+    """Weights by pair of elements, WEIGHTS at most."""
     if weights is None:
         return None
     rows = weights.select("z1", "z2", F.abs("w").alias("w")).limit(WEIGHTS + 1).collect()
@@ -182,11 +346,9 @@ def local_kernel(atoms: DataFrame, kernel: str, sigma: float, mode: str = "all",
     """
     feature, numeric = _kinds(atoms)
     blocks = cut(_atom_blocks(atoms, feature, mode == "elemental"))
-    out = _local_sums(blocks, blocks, kernel, sigma, _weights(weights) if mode == "alchemical" else None, True, numeric, parameters)
+    out = _local_sums(_tiles(blocks, blocks, True), kernel, sigma, known_weights(weights if mode == "alchemical" else None), numeric, parameters)
     if mode == "elemental":
-        ids = _atom_blocks(atoms.select("mol").distinct().select("mol", F.lit(0).alias("z"), F.lit(0.0).alias("x")), "x", False)
-        none = _local_sums(ids, ids, "Gaussian", 1.0, None, True, numeric, {}).select("i", "j", F.lit(0.0).alias("k"))
-        out = out.unionByName(none).groupBy("i", "j").agg(F.sum("k").alias("k"))
+        out = out.unionByName(_without_atoms(atoms, atoms, True)).groupBy("i", "j").agg(F.sum("k").alias("k"))
     return normalised(out) if normalise else out
 
 
@@ -215,11 +377,9 @@ def local_kernel_between(rows: DataFrame, train: DataFrame, kernel: str, sigma:
     feature, numeric = _kinds(train)
     by_element = mode == "elemental"
     one, two = (_atom_blocks(df, feature, by_element) for df in (rows, train))
-    out = _local_sums(one, two, kernel, sigma, _weights(weights) if mode == "alchemical" else None, False, numeric, parameters)
+    out = _local_sums(_tiles(one, two, False), kernel, sigma, known_weights(weights if mode == "alchemical" else None), numeric, parameters)
     if by_element:
-        ids = [_atom_blocks(df.select("mol").distinct().select("mol", F.lit(0).alias("z"), F.lit(0.0).alias("x")), "x", False) for df in (rows, train)]
-        none = _local_sums(*ids, "Gaussian", 1.0, None, False, numeric, {}).select("i", "j", F.lit(0.0).alias("k"))
-        out = out.unionByName(none).groupBy("i", "j").agg(F.sum("k").alias("k"))
+        out = out.unionByName(_without_atoms(rows, train, False)).groupBy("i", "j").agg(F.sum("k").alias("k"))
     own = lambda df, x: self_kernel(df, kernel, sigma, mode, weights, **parameters).select(F.col("i").alias(x), F.sqrt("k").alias(f"_{x}"))
     return out.join(own(rows, "i"), "i").join(own(train, "j"), "j").select("i", "j", (F.col("k") / (F.col("_i") * F.col("_j"))).alias("k"))
 
@@ -260,7 +420,7 @@ def centered_sums(rows: DataFrame, kernel: str, sigma: float, **parameters) -> D
     def one(batches):
         for batch in batches:
             for t in range(len(batch)):
-                i, a, _, b = _tile(batch, t)
+                i, a, _, b = tile(batch, t)
                 k = kernel_array(kernel, distances(a[:, :-1], b[:, :-1]) / sigma, **parameters) - a[:, -1:] - b[:, -1] + grand
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array((k * k).sum(1)), pa.array(k.max(1))], names=["i", "power", "most"])
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from retort.functions import formulas
 from retort.functions.expressions import Composition, select_column
 from retort.functions.kernels import KERNELS
-from retort.operators import dimension, graphs, molecules, pairs, regression, sampling, space, stats, taylor
+from retort.operators import dimension, graphs, molecules, pairs, regression, ridge, sampling, space, stats, taylor
 from retort.plans.lineage import cut, scratch
 from retort.sources import files
 
@@ -137,6 +137,73 @@ def _alchemical(spark, folder):
     return _rounded(pairs.local_kernel(atoms, "Gaussian", 2.0, "alchemical", weights), 6, "k")
 
 
+def _nations(spark, folder):
+    return _t(spark, folder, "supplier").select(F.col("s_nationkey").cast("string").alias("mol"), F.lit("any").alias("z"), (F.col("s_suppkey") % 50 / 5).alias("x"))
+
+
+_NORMS = """
+WITH RECURSIVE a AS (SELECT p_brand AS mol, p_type AS z, p_size / 10 AS x, p_retailprice AS y FROM part),
+b AS (SELECT s_nationkey::VARCHAR AS mol, s_suppkey % 50 / 5 AS x FROM supplier),
+o AS (SELECT a.mol AS m, sqrt(sum(exp(-pow((a.x - c.x) / 2.0, 2)))) AS s FROM a JOIN a c USING (mol) GROUP BY 1),
+u AS (SELECT b.mol AS m, sqrt(sum(exp(-pow((b.x - c.x) / 2.0, 2)))) AS s FROM b JOIN b c USING (mol) GROUP BY 1),
+g AS (SELECT b.mol AS j, a.mol AS i, sum(exp(-pow((a.x - b.x) / 2.0, 2))) / any_value(u.s) / any_value(o.s) AS k
+      FROM b CROSS JOIN a JOIN u ON u.m = b.mol JOIN o ON o.m = a.mol GROUP BY 1, 2)"""
+
+
+@register("local_kernel_predict", _NORMS + """
+SELECT j AS mol, round(sum(k * (substr(i, 7)::INTEGER % 7 - 3)), 6) AS alpha, round(sum(k), 6) AS one FROM g GROUP BY 1""")
+def _local_predict(spark, folder):
+    train = _parts(spark, folder)
+    coefficients = train.select("mol").distinct().select("mol", (F.substring("mol", 7, 9).cast("int") % 7 - 3).cast("double").alias("alpha"), F.lit(1.0).alias("one"))
+    return _rounded(pairs.local_products(_nations(spark, folder), train, coefficients, ["alpha", "one"], "Gaussian", 2.0), 6, "alpha", "one")
+
+
+# conjugate gradients on lists: from t(i, y), y by number, and kk(i, r), the rows of the kernel, to the last of cg(n, x)
+_CG = """
+mm AS (SELECT list(r ORDER BY i) AS k, list(list_avg(r) ORDER BY i) AS m FROM kk),
+cc AS (SELECT list_transform(k, lambda r, i: list_transform(r, lambda v, j: v - m[i] - m[j] + list_avg(m))) AS k FROM mm),
+cg AS (SELECT 0 AS n, list_transform(y, lambda v: 0.0::DOUBLE) AS x, y AS r, y AS p, list_dot_product(y, y) AS size
+       FROM (SELECT list(y - (SELECT avg(y) FROM t) ORDER BY i) AS y FROM t)
+  UNION ALL
+  SELECT n + 1, x, r, list_transform(list_zip(r, p), lambda z: z[1] + list_dot_product(r, r) / size * z[2]), list_dot_product(r, r) FROM (
+    SELECT n, p, size, list_transform(list_zip(x, p), lambda z: z[1] + a * z[2]) AS x, list_transform(list_zip(r, q), lambda z: z[1] - a * z[2]) AS r FROM (
+      SELECT *, size / list_dot_product(p, q) AS a FROM (
+        SELECT cg.*, list_transform(k, lambda row, i: list_dot_product(row, p) + {lam} * p[i]) AS q FROM cg, cc WHERE n < 400 AND size > 1e-22)))),
+best AS (SELECT x AS alpha, list_sum(x) AS whole, m, list_avg(m) AS grand, list_dot_product(m, x) AS columns, (SELECT avg(y) FROM t) AS shift FROM cg, mm ORDER BY n DESC LIMIT 1)"""
+
+
+@register("local_krr", _NORMS + """,
+t AS (SELECT row_number() OVER (ORDER BY mol) AS i, mol, avg(y) AS y FROM a GROUP BY mol),
+kk AS (SELECT i, list(k ORDER BY j) AS r FROM (
+    SELECT x.i, y.i AS j, sum(exp(-pow((a.x - c.x) / 2.0, 2))) / any_value(p.s) / any_value(q.s) AS k
+    FROM a, a c, t x, t y, o p, o q WHERE a.mol = x.mol AND c.mol = y.mol AND p.m = x.mol AND q.m = y.mol GROUP BY 1, 2) GROUP BY 1),
+""" + _CG.format(lam=0.01) + """
+SELECT g.j AS mol, round(sum(g.k * alpha[t.i]) - avg(g.k) * any_value(whole) - any_value(columns) + any_value(grand * whole) + any_value(shift), 4) AS prediction
+FROM g JOIN t ON g.i = t.mol, best GROUP BY 1""")
+def _local_krr(spark, folder):
+    labels = _t(spark, folder, "part").groupBy(F.col("p_brand").alias("mol")).agg(F.avg("p_retailprice").alias("y"))
+    model = ridge.fit_molecules(_parts(spark, folder), labels, "Gaussian", 2.0, 0.01)
+    return _rounded(ridge.predict_molecules(model, _nations(spark, folder)), 4, "prediction")
+
+
+# polynomials of moments on the Spark side, the kernels themselves on the other
+@register("local_kernel_scales", """
+WITH a AS (SELECT p_brand AS mol, p_type AS z, p_size / 10 AS x FROM part),
+s AS (SELECT * FROM (VALUES ('all', 'Gaussian', 0.4), ('all', 'Gaussian', 2.0), ('all', 'Exponential', 0.3), ('all', 'Exponential', 1.5), ('elemental', 'Gaussian', 0.7), ('elemental', 'Exponential', 0.7)) v(mode, kernel, sigma)),
+k AS (SELECT mode, kernel, sigma, a.mol AS i, b.mol AS j, sum(CASE WHEN mode = 'all' OR a.z = b.z
+             THEN CASE WHEN kernel = 'Gaussian' THEN exp(-pow((a.x - b.x) / sigma, 2)) ELSE exp(-abs(a.x - b.x) / sigma) END ELSE 0 END) AS k
+      FROM s, a JOIN a b ON a.mol <= b.mol GROUP BY 1, 2, 3, 4, 5),
+d AS (SELECT mode, kernel, sigma, i AS m, sqrt(k) AS s FROM k WHERE i = j)
+SELECT k.mode, k.kernel, k.sigma::DOUBLE AS sigma, k.i, k.j, round(k / (x.s * y.s), 6) AS k
+FROM k JOIN d x ON k.i = x.m AND (k.mode, k.kernel, k.sigma) = (x.mode, x.kernel, x.sigma) JOIN d y ON k.j = y.m AND (k.mode, k.kernel, k.sigma) = (y.mode, y.kernel, y.sigma)""")
+def _scales(spark, folder):
+    out = None
+    for mode, kernel, sigmas in (("all", "Gaussian", [0.4, 2.0]), ("all", "Exponential", [0.3, 1.5]), ("elemental", "Gaussian", [0.7]), ("elemental", "Exponential", [0.7])):
+        part = pairs.local_kernels_of_scales(_parts(spark, folder), kernel, sigmas, mode).select(F.lit(mode).alias("mode"), F.lit(kernel).alias("kernel"), "sigma", "i", "j", "k")
+        out = part if out is None else out.unionByName(part)
+    return _rounded(out, 6, "k")
+
+
 _GRID = [0.1, 0.25, 0.5, 0.75, 1.0]
 
 
@@ -745,10 +812,18 @@ def _ladder(spark, folder):
     return rows.where(F.col("position") <= most), rows.where(F.col("position") > most), most
 
 
-@register("krr_predict")
+# trained on four fifths of all rows, predicting all
+@register("krr_predict", """
+WITH RECURSIVE e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label::DOUBLE AS y, row_number() OVER (ORDER BY md5(vec_id || ':0'), vec_id) AS i FROM embeddings),
+t AS (SELECT * FROM e WHERE i <= (SELECT count(*) * 4 // 5 FROM e)),
+kk AS (SELECT a.i, list(exp(-pow(list_distance(a.v, b.v) / 1.5, 2)) ORDER BY b.i) AS r FROM t a, t b GROUP BY 1),
+""" + _CG.format(lam=0.05) + """,
+g AS (SELECT e.id, list(exp(-pow(list_distance(e.v, t.v) / 1.5, 2)) ORDER BY t.i) AS k FROM e, t GROUP BY 1)
+SELECT id, round(list_dot_product(k, alpha) - list_avg(k) * whole - columns + grand * whole + shift, 5) AS prediction FROM g, best""")
 def _krr(spark, folder):
-    train, _, _ = _ladder(spark, folder)
-    return _rounded(regression.predict(train, _labelled(spark, folder), "Gaussian", 1.5, 1e-4), 6, "prediction")
+    rows = sampling.numbered(_labelled(spark, folder), "id", "0")
+    train = rows.where(F.col("position") <= rows.count() * 4 // 5).select("id", "v", "y")
+    return _rounded(ridge.predict_vectors(ridge.fit_vectors(train, "Gaussian", 1.5, 0.05), _labelled(spark, folder)), 5, "prediction")
 
 
 # two training rows, the mean vectors of even and odd labels, have a closed solution
