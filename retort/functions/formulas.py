@@ -94,15 +94,20 @@ PATH_SLOPE, PATH_OFFSET = 1.22066271, -0.72953204
 ASYMPTOTIC_SLOPE, ASYMPTOTIC_OFFSET = 0.75617982, -14.40107699
 
 
+def let(value: Column, body) -> Column:
+    """What ``body`` makes of a value that is worked out once, however often it uses the value."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def ln_factorial(n: Column) -> Column:
     """ln n!; a sum of logarithms, so that no number overflows."""
-    return F.when(n < 2, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(2).cast("long"), F.greatest(n, F.lit(2)).cast("long")), F.lit(0.0), lambda a, k: a + F.ln(k.cast("double"))))
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1)).cast("long")), F.lit(0.0), lambda a, k: a + F.ln(k.cast("double")))
 
 
 def ln_multinomial(groups: Column) -> Column:
     """ln of the number of ways to deal sum(groups) things into groups of these sizes."""
-    n = F.aggregate(groups, F.lit(0).cast("long"), lambda a, k: a + k)
-    return ln_factorial(n) - F.aggregate(groups, F.lit(0.0), lambda a, k: a + ln_factorial(k))
+    both = F.aggregate(groups, F.array(F.lit(0.0), F.lit(0.0)), lambda a, k: F.array(a[0] + k, a[1] + ln_factorial(k)))
+    return let(both, lambda b: ln_factorial(b[0]) - b[1])
 
 
 def size_of_path(length: Column) -> Column:
@@ -112,17 +117,24 @@ def size_of_path(length: Column) -> Column:
 
 def path_of_size(size: Column) -> Column:
     """The average path length of a count."""
-    return F.when(size.isNotNull(), (F.greatest(F.ln(size), F.lit(1.0)) - F.lit(PATH_OFFSET)) / F.lit(PATH_SLOPE))
+    return let(size, lambda s: F.when(s.isNotNull(), (F.greatest(F.ln(s), F.lit(1.0)) - F.lit(PATH_OFFSET)) / F.lit(PATH_SLOPE)))
 
 
 def ln_asymptotic(sequence: Column) -> Column:
     """ln of the number of labelled loopless multigraphs with these degrees, in the sparse limit (Greenhill and McKay 2013)."""
-    moment = lambda f: F.aggregate(sequence, F.lit(0.0), lambda a, p: a + f(p["deg"].cast("double")) * p["cnt"])
-    m1, m2, m3 = moment(lambda d: d), moment(lambda d: d * (d - 1)), moment(lambda d: d * (d - 1) * (d - 2))
-    half = (m1 / 2).cast("long")
-    ways = ln_factorial(m1.cast("long")) - ln_factorial(half) - half * F.ln(F.lit(2.0))
-    ways = ways - F.aggregate(sequence, F.lit(0.0), lambda a, p: a + p["cnt"] * ln_factorial(p["deg"]))
-    return ways - m2 / (2 * m1) + m2 * m2 / (4 * m1 * m1) + F.pow(m2, 4) / (4 * F.pow(m1, 5)) - m2 * m2 * m3 / (2 * F.pow(m1, 4)) + m3 * m3 / (6 * F.pow(m1, 3))
+    zeros = F.array(*(F.lit(0.0) for _ in range(4)))
+
+    def added(m, p):
+        d, n = p["deg"].cast("double"), p["cnt"]
+        return F.array(m[0] + d * n, m[1] + d * (d - 1) * n, m[2] + d * (d - 1) * (d - 2) * n, m[3] + n * ln_factorial(p["deg"]))
+
+    def counted(m):
+        m1, m2, m3 = m[0], m[1], m[2]
+        half = F.floor(m1 / 2)
+        ways = ln_factorial(m1) - ln_factorial(half) - half * F.ln(F.lit(2.0)) - m[3]
+        return ways - m2 / (2 * m1) + m2 * m2 / (4 * m1 * m1) + F.pow(m2, 4) / (4 * F.pow(m1, 5)) - m2 * m2 * m3 / (2 * F.pow(m1, 4)) + m3 * m3 / (6 * F.pow(m1, 3))
+
+    return let(F.aggregate(sequence, zeros, added), counted)
 
 
 def asymptotic_count(sequence: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retort.functions.expressions import Composition
-from retort.functions.formulas import asymptotic_count, canonical_label, feasible, label_text, path_of_size, pure_label, pure_prefactor, size_of_path, sum_formula
+from retort.functions.formulas import asymptotic_count, canonical_label, label_text, let, ln_factorial, path_of_size, pure_label, pure_prefactor, size_of_path, sum_formula
+from retort.plans.lineage import cut
 
 
 def parse_space(text: str) -> list[tuple[str, int]]:
@@ -28,32 +29,86 @@ def space_text(types: list[tuple[str, int]]) -> str:
     return " ".join(f"{label}:{','.join(v)}" for label, v in by.items())
 
 
-def partitions(total: Column, parts: int) -> Column:
-    """All ways to write a total as a sum of ``parts`` numbers of at least 0: array of arrays, in lexical order."""
-    rows = F.array(F.struct(F.array().cast("array<int>").alias("v"), total.cast("int").alias("left")))
-    for _ in range(parts - 1):
-        rows = F.flatten(F.transform(rows, lambda r: F.transform(F.sequence(F.lit(0), r["left"]), lambda k: F.struct(F.concat(r["v"], F.array(k)).alias("v"), (r["left"] - k).alias("left")))))
-    return F.transform(rows, lambda r: F.concat(r["v"], F.array(r["left"])))
+def _split_into(rows: DataFrame, left: str, parts: int, name: str, falling: bool = False) -> DataFrame:
+    """All ways to write a number as a sum of ``parts`` numbers, as columns ``name0 ...``; a row each, one part at a time.
+
+    ``falling``: only those in which no part is above the one before, each made once. No array holds the ways.
+    """
+    for k in range(parts):
+        rest = F.col(left) - sum((F.col(f"{name}{j}") for j in range(k)), F.lit(0))
+        if k == parts - 1:
+            rows = rows.withColumn(f"{name}{k}", rest.cast("int"))
+            continue
+        low = F.ceil(rest / (parts - k)) if falling else F.lit(0)
+        high = F.least(rest, F.col(f"{name}{k - 1}")) if falling and k else rest
+        rows = rows.withColumn(f"{name}{k}", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    return rows
+
+
+def valence_counts(sizes: DataFrame, valences: list[int]) -> DataFrame:
+    """Numbers of atoms of each valence, as columns ``_n0 ...`` by falling valence, that a connected molecule of ``natoms`` can have.
+
+    One valence at a time. Prefixes that no rest can complete are dropped before they are spread: atoms left add at most
+    the next valence each, and even valences change no parity.
+    """
+    rows = sizes.where("natoms > 0").withColumns({"_left": F.col("natoms").cast("int"), "_sum": F.lit(0), "_most": F.lit(0)})
+    for k, v in enumerate(valences):
+        last = k == len(valences) - 1
+        rows = rows.withColumn(f"_n{k}", F.col("_left") if last else F.explode(F.sequence(F.lit(0), F.col("_left"))))
+        some = F.col(f"_n{k}")
+        rows = rows.withColumns({"_left": F.col("_left") - some, "_sum": F.col("_sum") + some * v, "_most": F.when(F.col("_most") > 0, F.col("_most")).when(some > 0, v).otherwise(0)})
+        reach = F.col("_sum") + F.col("_left") * (0 if last else valences[k + 1])
+        rows = rows.where((reach >= 2 * (F.col("natoms") - 1)) & (reach >= 2 * F.col("_most")))
+        if all(w % 2 == 0 for w in valences[k + 1 :]):
+            rows = rows.where(F.col("_sum") % 2 == 0)
+    return rows.drop("_left", "_sum", "_most")
+
+
+def _grouped(types: list[tuple[str, int]]) -> tuple[list[int], list[list[str]]]:
+    valences = sorted({v for _, v in types}, reverse=True)
+    return valences, [elements_of_valence(types, v) for v in valences]
 
 
 def enumerate_cases(sizes: DataFrame, types: list[tuple[str, int]]) -> DataFrame:
     """Every feasible stoichiometry of each ``natoms`` of a table: its columns and ``stoichiometry``.
 
     Two stages, so that infeasible degree sequences go before they are spread over elements: numbers of atoms per
-    valence, the feasibility test, then numbers per element of a valence. No atoms give no case.
+    valence, then numbers per element of a valence. Both make rows one level at a time; sequences are dealt to all tasks
+    between them. No atoms give no case.
     """
-    valences = sorted({v for _, v in types}, reverse=True)
-    split = sizes.where("natoms > 0").withColumn("_n", F.explode(partitions(F.col("natoms"), len(valences))))
-    sequence = F.filter(F.array(*(F.struct(F.lit(v).alias("deg"), F.get("_n", k).alias("cnt")) for k, v in enumerate(valences))), lambda p: p["cnt"] > 0)
-    split = split.where(feasible(sequence))
+    valences, labels = _grouped(types)
+    rows = valence_counts(sizes, valences).repartition(sizes.sparkSession.sparkContext.defaultParallelism)
     columns = []
-    for k, v in enumerate(valences):
-        labels = [label for label, valence in types if valence == v]
-        name = f"_p{k}"
-        split = split.withColumn(name, F.explode(partitions(F.get("_n", k), len(labels))))
-        columns += [F.struct(F.lit(label).alias("label"), F.lit(v).alias("valence"), F.get(name, j).alias("count")) for j, label in enumerate(labels)]
-    stoichiometry = F.filter(F.array(*columns), lambda t: t["count"] > 0)
-    return split.select(*sizes.columns, stoichiometry.alias("stoichiometry"))
+    for k, own in enumerate(labels):
+        rows = _split_into(rows, f"_n{k}", len(own), f"_p{k}_")
+        columns += [F.struct(F.lit(label).alias("label"), F.lit(valences[k]).alias("valence"), F.col(f"_p{k}_{j}").alias("count")) for j, label in enumerate(own)]
+    return rows.select(*sizes.columns, F.filter(F.array(*columns), lambda t: t["count"] > 0).alias("stoichiometry"))
+
+
+def enumerate_sequences(sizes: DataFrame, types: list[tuple[str, int]], pure: bool = False) -> DataFrame:
+    """Every feasible degree sequence of each ``natoms`` of a table: its columns and ``sequence``, (deg, cnt) by valence and count.
+
+    Atoms of a valence may be of any of its elements, whose names don't matter: their numbers are falling, so that each
+    sequence is made once. ``pure``: all atoms of a valence are of one element.
+    """
+    valences, labels = _grouped(types)
+    rows = valence_counts(sizes, valences).repartition(sizes.sparkSession.sparkContext.defaultParallelism)
+    columns = []
+    for k, own in reversed(list(enumerate(labels))):
+        n = 1 if pure else len(own)
+        rows = _split_into(rows, f"_n{k}", n, f"_p{k}_", falling=True)
+        columns += [F.struct(F.lit(valences[k]).alias("deg"), F.col(f"_p{k}_{j}").alias("cnt")) for j in reversed(range(n))]
+    return rows.select(*sizes.columns, F.filter(F.array(*columns), lambda p: p["cnt"] > 0).alias("sequence"))
+
+
+def elements_of_valence(types: list[tuple[str, int]], valence: int) -> list[str]:
+    """Labels of the atom types of a valence, in order."""
+    return [label for label, v in types if v == valence]
+
+
+def max_valence(types: list[tuple[str, int]]) -> int:
+    """The largest valence of a space; no types are an error."""
+    return max(v for _, v in types)
 
 
 def degree_sequence(stoichiometry: Column) -> Column:
@@ -80,14 +135,10 @@ def select_cases(cases: DataFrame, predicate: str) -> DataFrame:
 
 def _whole(x: Column) -> Column:
     """A count without its fraction; doubles that are too large for one stay, as 64 bits end before they do."""
-    return F.when(x < 2.0**53, F.floor(x).cast("double")).otherwise(x)
-
-
-def _factorial(n: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(1.0), lambda a, k: a * k)
+    return let(x, lambda v: F.when(v < 2.0**53, F.floor(v).cast("double")).otherwise(v))
 
 
-def count_cases(cases: DataFrame, known: DataFrame | None = None, paths: DataFrame | None = None, least: int = 20) -> DataFrame:
+def count_cases(cases: DataFrame, known: DataFrame | None = None, paths: DataFrame | None = None, least: int = 20, strict: bool = False) -> DataFrame:
     """Adds ``n``, the number of molecules of each case, and ``source``, where it is from.
 
     In this order: the exact count of the label (``known``: label, n); the count that its average path length stands for
@@ -105,22 +156,46 @@ def count_cases(cases: DataFrame, known: DataFrame | None = None, paths: DataFra
     exact, approx = known.select("label", F.col("n").cast("double").alias("_e")), paths.select("label", F.col("length").alias("_a"))
     out = labels.join(exact, "label", "left").join(approx, "label", "left")
     out = out.join(exact.toDF("pure", "_pe"), "pure", "left").join(approx.toDF("pure", "_pa"), "pure", "left")
-    atoms = F.aggregate("s", F.lit(0), lambda a, p: a + p["cnt"])
-    terminals = F.aggregate(F.filter("s", lambda p: p["deg"] == 1), F.lit(0), lambda a, p: a + p["cnt"])
+    of_path = lambda length: _whole(size_of_path(length))
+    known_n = F.coalesce("_e", of_path(F.col("_a")))
+    out = out.select("label", "pure", "s", known_n.alias("_n"), F.col("_e").isNotNull().alias("_exact"), F.coalesce(of_path(F.col("_pa")), F.col("_pe")).alias("_base"))
+    out = cut(out)
+    told = out.where("_n IS NOT NULL").select("label", F.col("_n").alias("n"), F.when(F.col("_exact"), "exact").otherwise("path").alias("source"))
+
+    # only labels that no table has are worked out, each value once
     scaled = lambda n: _whole(size_of_path(path_of_size(n) * pure_prefactor(F.col("s"))))
-    of_pure = F.coalesce(_whole(size_of_path(F.col("_pa"))), F.col("_pe"))
-    limit = _whole(_whole(asymptotic_count(F.col("s"))) / _factorial(terminals))
-    choices = [
-        ("exact", F.col("_e")), ("path", _whole(size_of_path(F.col("_a")))), ("pure", F.when(of_pure > 0, scaled(of_pure))),
-        ("asymptotic", F.when(atoms >= least, F.when(F.col("label") == F.col("pure"), limit).otherwise(scaled(limit)))),
-    ]
-    # as columns first, so that no expression is worked out twice
-    out = out.select("label", *(value.alias(f"_{name}") for name, value in choices))
-    source = F.lit("missing")
-    for name, _ in reversed(choices):
-        source = F.when(F.col(f"_{name}").isNotNull(), name).otherwise(source)
-    out = out.select("label", F.coalesce(*(f"_{name}" for name, _ in choices)).alias("n"), source.alias("source"))
-    return keyed.drop("_s").join(out, "label")
+    sums = F.aggregate("s", F.struct(F.lit(0).alias("atoms"), F.lit(0).alias("ones")), lambda a, p: F.struct((a["atoms"] + p["cnt"]).alias("atoms"), (a["ones"] + F.when(p["deg"] == 1, p["cnt"]).otherwise(0)).alias("ones")))
+    rest = out.where("_n IS NULL")
+    of_pure = rest.where("_base > 0").select("label", scaled(F.col("_base")).alias("n"), F.lit("pure").alias("source"))
+    rest = rest.where("_base IS NULL OR _base <= 0").withColumn("_sums", sums)
+    large = rest.where(F.col("_sums.atoms") >= least)
+    limit = _whole(_whole(asymptotic_count(F.col("s"))) / F.exp(ln_factorial(F.col("_sums.ones"))))
+    limit = let(limit, lambda n: F.when(F.col("label") == F.col("pure"), n).otherwise(scaled(n)))
+    of_limit = large.select("label", limit.alias("n"), F.lit("asymptotic").alias("source"))
+    none = rest.where(F.col("_sums.atoms") < least).select("label", F.lit(None).cast("double").alias("n"), F.lit("missing").alias("source"))
+    if strict and (lost := [r["label"] for r in none.select("label").limit(10).collect()]):
+        raise KeyError(f"no count for labels such as {lost}")
+    return keyed.drop("_s").join(told.unionByName(of_pure).unionByName(of_limit).unionByName(none), "label")
+
+
+def draw_cases(counted: DataFrame, draws: int, seed: str = "0") -> DataFrame:
+    """Independent draws of stoichiometries, in two stages: ``draw``, and the ``formula, label, stoichiometry`` drawn.
+
+    counted: ``stoichiometry, label, n``. First a sum formula by the number of its molecules, then one of its
+    stoichiometries by theirs. Both stages own intervals of running sums that draws fall into, by ranges of the formula and of
+    the stoichiometry's text, so no formula is gathered in one task. The draws are hashes of their numbers, which any engine
+    with md5 makes again. Cases without molecules are never drawn; if there are no others, an error.
+    """
+    from retort.operators import sampling
+
+    rows = counted.where("n > 0").select("label", "stoichiometry", F.col("n").cast("double").alias("n"), sum_formula(F.col("stoichiometry")).alias("formula"))
+    rows = cut(rows.withColumn("text", F.to_json("stoichiometry")))
+    if rows.isEmpty():
+        raise ValueError("no molecule to draw")
+    formulas = rows.groupBy("formula").agg(F.sum("n").alias("n"))
+    first = sampling.drawn(formulas, [], "formula", "n", draws, f"{seed}:formula").select("draw", "formula")
+    second = sampling.drawn(rows.select("formula", "text", "n"), ["formula"], "text", "n", draws, f"{seed}:case", first)
+    return second.join(rows.drop("n"), ["formula", "text"]).select("draw", "formula", "label", "stoichiometry")
 
 
 def estimated_only(known: DataFrame, paths: DataFrame, most: float | None = None) -> DataFrame:

@@ -515,8 +515,40 @@ def _select_cases(spark, folder):
 
 @register("degree_sequences", _CASES + " SELECT natoms::INTEGER AS natoms, count(DISTINCT (c, o)) AS sequences FROM c GROUP BY natoms")
 def _sequences(spark, folder):
-    c = space.enumerate_cases(_sizes(spark, folder), _TYPES).select("natoms", formulas.label_text(formulas.pure_label(space.degree_sequence(F.col("stoichiometry")))).alias("s"))
-    return c.groupBy("natoms").agg(F.count_distinct("s").alias("sequences"))
+    c = space.enumerate_sequences(_sizes(spark, folder), _TYPES, pure=True)
+    return c.groupBy("natoms").agg(F.count("*").alias("sequences"))
+
+
+@register("degree_multisets", _CASES + """ SELECT natoms::INTEGER AS natoms, concat_ws('_', CASE WHEN least(h, f) > 0 THEN '1.' || least(h, f) END, CASE WHEN greatest(h, f) > 0 THEN '1.' || greatest(h, f) END,
+  CASE WHEN o > 0 THEN '2.' || o END, CASE WHEN c > 0 THEN '4.' || c END) AS label FROM c GROUP BY 1, 2""")
+def _multisets(spark, folder):
+    c = space.enumerate_sequences(_sizes(spark, folder), _TYPES)
+    return c.select("natoms", formulas.label_text(F.col("sequence")).alias("label"))
+
+
+@register("draw_cases", """
+WITH c AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A' AND l_linenumber % 2 = 1) AS p, count(*) FILTER (l_returnflag = 'A' AND l_linenumber % 2 = 0) AS q,
+  count(*) FILTER (l_returnflag = 'N') AS h, count(*) FILTER (l_returnflag = 'R') AS o FROM lineitem GROUP BY 1),
+e AS (SELECT concat_ws('', CASE WHEN h = 1 THEN 'H' WHEN h > 1 THEN 'H' || h END, CASE WHEN o = 1 THEN 'O' WHEN o > 1 THEN 'O' || o END, CASE WHEN p + q = 1 THEN 'P' WHEN p + q > 1 THEN 'P' || (p + q) END) AS formula,
+  '[' || concat_ws(',', CASE WHEN h > 0 THEN '{"label":"H","valence":1,"count":' || h || '}' END, CASE WHEN o > 0 THEN '{"label":"O","valence":2,"count":' || o || '}' END,
+  CASE WHEN p > 0 THEN '{"label":"P","valence":3,"count":' || p || '}' END, CASE WHEN q > 0 THEN '{"label":"P","valence":5,"count":' || q || '}' END) || ']' AS text, count(*) AS n FROM c GROUP BY 1, 2),
+f AS (SELECT formula, sum(n) AS n FROM e GROUP BY 1),
+g AS (SELECT formula, sum(n) OVER (ORDER BY formula) AS b, n, sum(n) OVER () AS t FROM f),
+i AS (SELECT formula, text, sum(n) OVER (PARTITION BY formula ORDER BY text) AS b, n, sum(n) OVER (PARTITION BY formula) AS t FROM e),
+u AS (SELECT d AS draw, (('0x' || substr(md5(d || ':9:formula'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u,
+  (('0x' || substr(md5(d || ':9:case'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS v FROM range(20000) r(d))
+SELECT draw, g.formula, i.text FROM u JOIN g ON u.u >= (g.b - g.n)::DOUBLE / g.t::DOUBLE AND u.u < g.b::DOUBLE / g.t::DOUBLE
+JOIN i ON i.formula = g.formula AND u.v >= (i.b - i.n)::DOUBLE / i.t::DOUBLE AND u.v < i.b::DOUBLE / i.t::DOUBLE""")
+def _draws(spark, folder):
+    line = _t(spark, folder, "lineitem")
+    n = lambda test: F.count_if(F.expr(test)).cast("int")
+    atoms = line.groupBy("l_orderkey").agg(
+        n("l_returnflag = 'N'").alias("H"), n("l_returnflag = 'R'").alias("O"), n("l_returnflag = 'A' AND l_linenumber % 2 = 1").alias("P"), n("l_returnflag = 'A' AND l_linenumber % 2 = 0").alias("Q"))
+    types = (("H", "H", 1), ("O", "O", 2), ("P", "P", 3), ("Q", "P", 5))
+    stoichiometry = F.filter(F.array(*(F.struct(F.lit(label).alias("label"), F.lit(v).alias("valence"), F.col(c).alias("count")) for c, label, v in types)), lambda t: t["count"] > 0)
+    counted = atoms.groupBy(stoichiometry.alias("stoichiometry")).agg(F.count("*").alias("n")).withColumn("label", space.label_of(F.col("stoichiometry")))
+    drawn = space.draw_cases(counted, 20_000, "9")
+    return drawn.select("draw", "formula", F.to_json("stoichiometry").alias("text"))
 
 
 _COUNTS = "WITH c AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r, count(*) AS t FROM lineitem GROUP BY 1)"
