@@ -12,12 +12,83 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retort.plans.lineage import cut
+
 
 def bond_orders(edges: DataFrame) -> DataFrame:
     """Parallel edges as bond orders: ``g, u, v, bond`` with u <= v; edges may be listed either way round."""
     return edges.select("g", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).groupBy("g", "u", "v").agg(F.count("*").alias("bond"))
 
 
+def _neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Both directions of every bond between listed nodes: ``g, node, other, bond``."""
+    bonds = bond_orders(edges).where("u <> v")
+    both = bonds.selectExpr("g", "u AS node", "v AS other", "bond").unionByName(bonds.selectExpr("g", "v AS node", "u AS other", "bond"))
+    return cut(both.join(nodes.select("g", "node"), ["g", "node"]))
+
+
+def _refined(colours: DataFrame, near: DataFrame, by: list[str]) -> DataFrame:
+    """Colours ``by, node, c`` refined until no node of any graph is told from another one anew.
+
+    A node's new colour is a hash of its own and of the multiset of its bonds' orders and neighbours' colours. Multisets
+    are sums of hashes, which tasks add up before the shuffle, so that a node of many bonds is gathered nowhere.
+    """
+    count = None
+    while True:
+        now = colours.select(*by, "c").distinct().count()
+        if now == count:
+            return colours
+        count = now
+        met = near.join(colours.select(*by, F.col("node").alias("other"), "c"), ["g", "other"])
+        around = met.groupBy(*by, "node").agg(F.sum(F.xxhash64("bond", "c").cast("decimal(38,0)")).alias("a"))
+        colours = cut(colours.join(around, [*by, "node"], "left").select(*by, "node", F.xxhash64("c", F.coalesce("a", F.lit(0).cast("decimal(38,0)"))).alias("c")))
+
+
+def graph_classes(edges: DataFrame, nodes: DataFrame, individualise: bool = True) -> DataFrame:
+    """Classes of equal graphs: ``g, class``, the smallest number of an equal graph.
+
+    edges: ``g, u, v``, parallel ones listed each; nodes: ``g, node, element``, nodes without bonds included. Graphs are equal
+    if nodes can be matched so that elements and bond orders agree. Colours start as elements and are refined by rounds of
+    joins; ``individualise`` does it once more for every node of a graph in a colour of its own, which tells apart what one
+    refinement can't, such as two joined rings of five from two fused rings of six. That takes the square of a
+    graph's nodes. Strongly regular graphs and their like may still share a class. Loops don't count.
+    """
+    near = _neighbours(edges, nodes)
+    start = cut(nodes.select("g", "node", F.xxhash64(F.coalesce("element", F.lit("?"))).alias("c")))
+    colours, by = _refined(start, near, ["g"]), ["g"]
+    if individualise:
+        starts = colours.select("g", F.col("node").alias("s"))
+        alone = colours.join(starts, "g").select("g", "s", "node", F.xxhash64("c", F.col("s") == F.col("node")).alias("c"))
+        colours, by = _refined(cut(alone), near, ["g", "s"]), ["g", "s"]
+    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
+    keys = colours.groupBy(*by).agg(total("c").alias("k"), F.count("*").alias("n"))
+    if individualise:
+        keys = keys.groupBy("g").agg(total("k").alias("k"), F.count("*").alias("n"))
+    keys = cut(keys.select("g", "k", "n"))
+    first = keys.groupBy("k", "n").agg(F.min("g").alias("class"))
+    return keys.join(first, ["k", "n"]).select("g", "class")
+
+
+def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Whether each graph is in one piece: ``g, pieces, connected``.
+
+    Every node takes the least label around it, then its label's label, until none changes; rounds grow with the logarithm
+    of the longest path. Nodes without bonds are pieces of their own.
+    """
+    near = _neighbours(edges, nodes).select("g", "node", "other")
+    labels = cut(nodes.select("g", "node", F.col("node").alias("l")).distinct())
+    while True:
+        around = near.join(labels.select("g", F.col("node").alias("other"), "l"), ["g", "other"]).groupBy("g", "node").agg(F.min("l").alias("m"))
+        least = labels.join(around, ["g", "node"], "left").select("g", "node", F.col("l").alias("was"), F.least("l", "m").alias("l"))
+        jump = least.select("g", F.col("node").alias("l"), F.col("l").alias("far"))
+        now = cut(least.join(jump, ["g", "l"]).select("g", "node", "was", F.least("l", "far").alias("l")))
+        labels = now.select("g", "node", "l")
+        if now.where("l <> was").isEmpty():
+            break
+    pieces = labels.groupBy("g", "l").agg(F.count("*").alias("n")).groupBy("g").agg(F.count("*").alias("pieces"))
+    return pieces.select("g", "pieces", (F.col("pieces") == 1).alias("connected"))
+
+
 def count_bonds(edges: DataFrame, nodes: DataFrame, one: str, two: str, order: int) -> DataFrame:
     """Per graph the number of bonds of an order between two elements: ``g, n``."""
     named = lambda c: nodes.select("g", F.col("node").alias(c), F.col("element").alias(f"e_{c}"))

@@ -194,3 +194,51 @@ def represent(atoms: DataFrame, name: str, key: str, **parameters) -> DataFrame:
     if name not in REPRESENTATIONS:
         raise ValueError(f"no representation {name!r}; there are {sorted(REPRESENTATIONS)}")
     return REPRESENTATIONS[name](atoms, key, **parameters)
+
+
+#: Molecules whose sums a task holds before it sends them on.
+HELD = 4096
+
+
+def weighted_sums(atoms: DataFrame, key: str, vector: str = "v", weight: str | None = None) -> DataFrame:
+    """Global representations from local ones: per molecule the sum of its atoms' vectors, times a weight: ``key, v``.
+
+    Tasks add up what they have of a molecule before the shuffle, so that one of very many atoms is gathered nowhere. Atoms
+    without vector or weight count for nothing; vectors of one molecule that differ in length are an error.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = atoms.select(key, F.col(vector).cast("array<double>").alias("v"), w.alias("w")).where(F.col("v").isNotNull() & F.col("w").isNotNull())
+    kind = dict(rows.dtypes)[key]
+
+    def add(batches):
+        held: dict = {}
+
+        def sent():
+            found = pa.RecordBatch.from_arrays([pa.array(list(held), batch.schema.field(0).type), pa.array(list(held.values()), pa.list_(pa.float64())), pa.array([1.0] * len(held))], names=[key, "v", "w"])
+            held.clear()
+            return found
+
+        for batch in batches:
+            for mol, v, w in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                v = np.asarray(v.values, float) * w
+                if mol in held:
+                    if len(held[mol]) != len(v):
+                        raise ValueError(f"vectors of {mol!r} differ in length")
+                    held[mol] = held[mol] + v
+                else:
+                    held[mol] = v
+                if len(held) > HELD:
+                    yield sent()
+        if held:
+            yield sent()
+
+    schema = f"`{key}` {kind}, v array<double>, w double"
+    return rows.mapInArrow(add, schema).repartition(key).mapInArrow(add, schema).select(key, "v").groupBy(key).agg(F.collect_list("v").alias("v")).select(key, _added("v").alias("v"))
+
+
+def _added(vectors: str):
+    """The sum of a few vectors of one length."""
+    return F.aggregate(F.slice(vectors, 2, F.greatest(F.size(vectors) - 1, F.lit(0))), F.get(vectors, F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))

@@ -39,6 +39,43 @@ def _weights(offsets: np.ndarray, powers: tuple[int, ...], order: int) -> np.nda
     return w / scale ** sum(powers)
 
 
+#: Points of a candidate stencil at most, the nearest ones, and those of each orthant beyond the order in the smallest.
+NEAREST, EXTRA = 256, 3
+
+
+def candidate_stencils(points: DataFrame, variables: list[str], center: dict[str, float], wanted: list[tuple[str, ...]]) -> DataFrame:
+    """The points that each term may be fitted to, by four rules, a row each: ``term, rule, offsets``, and the points' columns.
+
+    0: in every orthant of the term's own variables, the others centred, the nearest few, and the planes of the term without
+    one of its repeated variables; 1: points that differ in no more variables than the term's order, one of them its own;
+    2: in any of its own; 3: all. The center is always in. Of a rule's points the NEAREST are kept, by ranks that
+    Spark limits before its shuffle, so a term's rows are few whatever the table.
+    """
+    spark = points.sparkSession
+    powers = [([t.count(v) for v in variables], k) for k, t in enumerate(wanted)]
+    table = F.broadcast(spark.createDataFrame(powers, "_w array<int>, term int"))
+    offsets = F.array(*((F.col(v) - F.lit(float(center[v]))).cast("double") for v in variables))
+    rows = points.withColumn("offsets", offsets).crossJoin(table)
+    moved = F.zip_with("offsets", "_w", lambda x, w: F.struct((x != 0).alias("m"), (w > 0).alias("own"), x.alias("x"), w.alias("w")))
+    rows = rows.withColumn("_p", moved).withColumn("_d", F.aggregate("offsets", F.lit(0.0), lambda a, x: a + x * x))
+    at_center, order = F.col("_d") == 0, F.aggregate("_w", F.lit(0), lambda a, w: a + w)
+    others_rest = F.forall("_p", lambda p: p["own"] | ~p["m"])
+    changed, any_own = F.size(F.filter("_p", lambda p: p["m"])), F.exists("_p", lambda p: p["own"] & p["m"])
+    # a repeated variable rests, and so do all others but the term's own
+    plane = F.exists("_p", lambda p: p["own"] & (p["w"] > 1) & ~p["m"]) & others_rest & (F.size(F.filter("_p", lambda p: p["own"] & (p["w"] > 1) & ~p["m"])) > 0)
+    orthant = F.array_join(F.transform(F.filter("_p", lambda p: p["own"]), lambda p: F.when(p["x"] > 0, "+").otherwise("-")), "")
+    nearest = lambda *by: F.row_number().over(Window.partitionBy("term", *by).orderBy("_d", *variables))
+    first = rows.where(others_rest & ~at_center).withColumn("_o", orthant).withColumn("_n", nearest("_o"))
+    first = first.where(F.col("_n") <= order + EXTRA).drop("_o", "_n")
+    first = first.unionByName(rows.where(plane & ~at_center)).unionByName(rows.where(at_center)).dropDuplicates(["term", *variables])
+    rules = [first, rows.where(at_center | (any_own & (changed <= order))), rows.where(at_center | any_own), rows]
+    out = None
+    for k, rule in enumerate(rules):
+        part = rule.drop("_p", "_w").withColumn("rule", F.lit(k)).withColumn("_n", nearest()).where(F.col("_n") <= NEAREST).drop("_n", "_d")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 class Taylor:
     """An expansion of outputs around a center: ``monomials`` are (output, powers, derivative)."""
 
@@ -68,6 +105,51 @@ class Taylor:
                 out.append((o, {v: term.count(v) for v in own}, float(w @ np.array([r[o] for r in rows]))))
         return Taylor(variables, center, out)
 
+    @staticmethod
+    def search(points: DataFrame, variables: list[str], outputs: list[str], center: dict[str, float], order: int, additional: list[tuple[str, ...]] = ()) -> Taylor:
+        """Fits all terms up to an order, and ``additional`` ones, each to the best of its candidate stencils.
+
+        The moment equations of every term and candidate are solved side by side; of those that resolve the term the one
+        with the fewest points is taken, then the first rule. Errors: as of fit(), an unknown variable in a term, fewer
+        points than terms.
+        """
+        if unknown := {v for t in additional for v in t} - set(variables):
+            raise ValueError(f"no such variables: {sorted(unknown)}")
+        wanted = [*terms(variables, order), *additional]
+        at = points.where(" AND ".join(f"`{v}` = {float(center[v])!r}D" for v in variables)).limit(2).collect()
+        if len(at) != 1:
+            raise ValueError(f"{len(at)} points at the center")
+        if not points.groupBy(*variables).count().where("count > 1").isEmpty():
+            raise ValueError("points repeat")
+        if len(wanted) > (given := points.count()):
+            raise ValueError(f"{len(wanted)} terms need as many points, {given} are given")
+        powers = [tuple(t.count(v) for v in variables) for t in wanted]
+
+        def solve(rows):
+            k, rule = int(rows["term"].iloc[0]), int(rows["rule"].iloc[0])
+            offsets = np.array(rows["offsets"].tolist(), float)
+            used = np.flatnonzero((offsets != 0).any(0))
+            none = rows.iloc[:0][[]].assign(term=[], rule=[], n=[], **{f"d{j}": [] for j in range(len(outputs))})
+            if any(p and j not in used for j, p in enumerate(powers[k])):
+                return none
+            try:
+                w = _weights(offsets[:, used], tuple(powers[k][j] for j in used), sum(powers[k]))
+            except (ValueError, np.linalg.LinAlgError):
+                return none
+            n = int((np.abs(w) > 1e-12 * np.abs(w).max()).sum())
+            return rows.iloc[:1][["term", "rule"]].assign(n=n, **{f"d{j}": float(w @ rows[o].to_numpy(float)) for j, o in enumerate(outputs)})
+
+        made = ", ".join(f"d{j} double" for j in range(len(outputs)))
+        solved = candidate_stencils(points.select(*variables, *outputs), variables, center, wanted).groupBy("term", "rule").applyInPandas(solve, f"term int, rule int, n int, {made}")
+        best = {r["term"]: r["b"] for r in solved.groupBy("term").agg(F.min(F.struct("n", "rule", *(f"d{j}" for j in range(len(outputs))))).alias("b")).collect()}
+        out = [(o, {}, float(at[0][o])) for o in outputs]
+        for k, term in enumerate(wanted):
+            if k not in best:
+                raise ValueError(f"no stencil resolves {term}")
+            own = sorted(set(term), key=variables.index)
+            out += [(o, {v: term.count(v) for v in own}, best[k][f"d{j}"]) for j, o in enumerate(outputs)]
+        return Taylor(variables, center, out)
+
     def column(self, output: str) -> Column:
         """The expansion as one native expression of the variables' columns."""
         total = F.lit(0.0)

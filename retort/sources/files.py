@@ -16,39 +16,106 @@ ARCHIVE = (
 )
 
 
+def gzipped(spark: SparkSession, path: str) -> dict[str, bool]:
+    """Each file of a path, glob or folder, and whether it is gzip: by its extension, or else by its first two bytes.
+
+    Files are opened by Spark's file systems, wherever they are; no more than two bytes of each are read. Hidden files are
+    left out, as Spark's readers do.
+    """
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[str, bool] = {}
+    todo = list(system.globStatus(at) or [])
+    while todo:
+        found = todo.pop()
+        file = found.getPath()
+        if found.isDirectory():
+            todo += [x for x in system.listStatus(file) if x.getPath().getName()[0] not in "._"]
+        elif file.getName().endswith(".gz"):
+            out[file.toString()] = True
+        else:
+            stream = system.open(file)
+            out[file.toString()] = [stream.read(), stream.read()] == [0x1F, 0x8B]
+            stream.close()
+    return out
+
+
 def is_gzip(spark: SparkSession, path: str) -> bool:
-    """Whether the file starts with gzip's magic bytes; only its first bytes' column is kept."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 2).alias("h")).first()
-    return head is not None and bytes(head["h"]) == b"\x1f\x8b"
+    """Whether any file of a path is gzip."""
+    return any(gzipped(spark, path).values())
 
 
-def read_molecules(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """One JSON object per line with a mandatory ``xyz``; gzip is known by extension, or else by its magic bytes.
+def _unpacked(batches):
+    """Lines of gzip files that come whole, a few thousand at a time."""
+    import gzip
+    import io
+    from itertools import islice
 
-    Plain and .gz files are read as a stream by Spark. Compressed files without the extension are unpacked by whole
-    file, one per row.
-    """
-    if not path.endswith(".gz") and is_gzip(spark, path):
-        import gzip
+    import pyarrow as pa
 
-        def unpack(batches):
-            import pandas as pd
+    for batch in batches:
+        for content in batch.column(0):
+            with gzip.open(io.BytesIO(content.as_buffer()), "rt", encoding="utf-8") as lines:
+                while part := list(islice(lines, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array([line.rstrip("\n") for line in part if line.strip()], pa.string())], names=["value"])
 
-            for batch in batches:
-                yield pd.DataFrame({"value": [line for content in batch["content"] for line in gzip.decompress(content).decode().split("\n") if line.strip()]})
 
-        lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "value string")
+def read_molecules(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """One JSON object per line with a mandatory ``xyz``; gzip is known by extension, or else by its magic bytes, file by file.
+
+    Plain and .gz files of any size are read as streams by Spark. Compressed files without the extension, 2 GB each at
+    most, are one row each and unpacked line by line; a folder may hold all of these. No files at all are an error.
+    """
+    found = gzipped(spark, path)
+    misnamed = sorted(f for f, packed in found.items() if packed and not f.endswith(".gz"))
+    if not misnamed:
+        reader = spark.read.schema(schema) if schema else spark.read
+        out = reader.json(path)
+    else:
+        plain = sorted(set(found) - set(misnamed))
+        lines = spark.read.format("binaryFile").load(misnamed).select("content").mapInArrow(_unpacked, "value string")
+        if plain:
+            lines = lines.unionByName(spark.read.text(plain).where("trim(value) <> ''"))
         if schema is None:
             schema = lines.select(F.schema_of_variant_agg(F.parse_json("value"))).first()[0].replace("OBJECT<", "STRUCT<")
         out = lines.select(F.from_json("value", schema).alias("r")).select("r.*")
-    else:
-        reader = spark.read.schema(schema) if schema else spark.read
-        out = reader.json(path)
     if "xyz" not in out.columns:
         raise ValueError(f"{path} has no column xyz")
     return out
 
 
+def read_members(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Files in tar archives, plain or compressed, as rows: ``archive, member, content`` (text).
+
+    ``pattern`` is a shell pattern that member names must fit. An archive, 2 GB at most, is read by one task, member by
+    member; several archives by several. Folders and links in it are left out.
+    """
+    import fnmatch
+    import io
+    import tarfile
+
+    import pyarrow as pa
+
+    def members(batches):
+        for batch in batches:
+            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows, size = [], 0
+                with tarfile.open(fileobj=io.BytesIO(content.as_buffer())) as tar:
+                    for member in tar:
+                        if not member.isfile() or not fnmatch.fnmatchcase(member.name, pattern):
+                            continue
+                        rows.append((archive, member.name, tar.extractfile(member).read().decode("utf-8")))
+                        size += member.size
+                        if size > 1 << 24 or len(rows) >= 4096:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["archive", "member", "content"])
+                            rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["archive", "member", "content"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(members, "archive string, member string, content string")
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Training archives, one JSON document per file."""
     return spark.read.schema(ARCHIVE).option("multiLine", True).json(path)
