@@ -16,7 +16,7 @@ from retort.functions.expressions import Composition, select_column
 from retort.functions.kernels import KERNELS
 from retort.operators import dimension, graphs, molecules, pairs, regression, ridge, sampling, space, stats, taylor
 from retort.plans.lineage import cut, scratch
-from retort.sources import files
+from retort.sources import datasets, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -485,6 +485,28 @@ def _capped(spark, folder):
     return _rounded(stats.capped(_t(spark, folder, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice"), 4, "o_totalprice")
 
 
+@register("weighted_sums", "SELECT l_suppkey AS mol, round(sum(l_linenumber * l_quantity), 4) AS a, round(sum(l_linenumber * l_discount), 4) AS b, round(sum(l_linenumber * l_tax), 4) AS c FROM lineitem GROUP BY 1")
+def _weighted_sums(spark, folder):
+    atoms = _t(spark, folder, "lineitem").select(F.col("l_suppkey").alias("mol"), F.array("l_quantity", "l_discount", "l_tax").alias("v"), F.col("l_linenumber").alias("w"))
+    return molecules.weighted_sums(atoms, "mol", weight="w").select("mol", *(F.round(F.get("v", F.lit(k)), 4).alias(c) for k, c in enumerate("abc")))
+
+
+# orders written as files of a published data set and read by its converter; every seventh is on the list of those left out
+@register("qm9_rows", """
+WITH a AS (SELECT l_orderkey AS k, count(*) AS n, string_agg(CASE WHEN l_linenumber % 2 = 0 THEN 'C' ELSE 'H' END || ' ' || l_linenumber || ' 0 1.5e-1', chr(10) ORDER BY l_linenumber, l_quantity) AS t,
+  count(*) FILTER (l_linenumber % 2 = 0) AS c, count(*) FILTER (l_linenumber % 2 = 1) AS h FROM lineitem GROUP BY 1)
+SELECT 'gdb' || k AS id, n || chr(10) || chr(10) || t AS xyz, round(k + 10 + 0.25, 4)::DOUBLE AS totalenergy, round(k + 10.25 + h * 0.500273 + c * 37.846772, 4)::DOUBLE AS atomisation_energy, (k + 0.25)::DOUBLE AS A, 0.0325::DOUBLE AS mu
+FROM a WHERE k % 7 > 0""")
+def _qm9(spark, folder):
+    atom = F.concat_ws(" ", F.when(F.col("l_linenumber") % 2 == 0, "C").otherwise("H"), F.col("l_linenumber").cast("string"), F.lit("0"), F.lit("1.5*^-1"))
+    rows = _t(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", atom.alias("a")))).alias("r"))
+    first = F.concat_ws(" ", F.concat(F.lit("gdb"), F.col("k").cast("string")), F.col("k").cast("string"), F.concat("k", F.lit(".25")), F.lit("1"), F.lit("1"), F.lit("3.25*^-2"), *(F.lit("2"),) * 6, F.concat((F.col("k") + 10).cast("string"), F.lit(".25")), *(F.lit("4"),) * 4)
+    content = F.concat_ws("\n", F.col("n").cast("string"), first, F.transform("r", lambda x: x["a"]), F.lit("rest"))
+    excluded = rows.where("k % 7 = 0").select(F.concat(F.lit("gdb"), F.col("k").cast("string")).alias("id"))
+    out = datasets.qm9_molecules(rows.select(content.alias("content")), excluded)
+    return out.select("id", "xyz", _r("totalenergy", 4), _r("atomisation_energy", 4), "A", "mu")
+
+
 # --- chemical space -----------------------------------------------------------------------------------------------
 
 _TYPES = [("C", 4), ("H", 1), ("O", 2), ("F", 1)]
@@ -809,6 +831,40 @@ def _degrees(spark, folder):
     return graphs.degrees(_edges(spark, folder))
 
 
+def _small_graphs(spark, folder):
+    """Orders as graphs of few nodes: their edges, all nodes by element, and a node without bonds in every third."""
+    edges = _t(spark, folder, "lineitem").select(F.col("l_orderkey").alias("g"), (F.col("l_linenumber") % 4).alias("u"), ((F.col("l_quantity") % 3).cast("int") + 10).alias("v"))
+    ends = edges.select("g", F.explode(F.array("u", "v")).alias("node"))
+    alone = _t(spark, folder, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("g"), F.lit(99).alias("node"))
+    nodes = ends.unionByName(alone).distinct()
+    return cut(edges), cut(nodes.withColumn("element", F.when(F.col("node") % 2 == 0, "C").otherwise("N")))
+
+
+def _rounds(first: str, step: str, n: int) -> str:
+    """SQL that applies a step n times: tables t0 ... tn."""
+    return f"t0 AS ({first}), " + ", ".join(f"t{k + 1} AS ({step.format(t=f't{k}')})" for k in range(n))
+
+
+_SMALL = """WITH e AS (SELECT l_orderkey AS g, l_linenumber % 4 AS u, (l_quantity % 3)::INTEGER + 10 AS v FROM lineitem),
+b AS (SELECT g, u, v, count(*) AS bond FROM e GROUP BY ALL), near AS (SELECT g, u AS node, v AS other, bond FROM b UNION ALL SELECT g, v, u, bond FROM b),
+n AS (SELECT DISTINCT g, node, CASE WHEN node % 2 = 0 THEN 'C' ELSE 'N' END AS el FROM (SELECT g, node FROM near UNION ALL SELECT o_orderkey, 99 FROM orders WHERE o_orderkey % 3 = 0)),
+"""
+
+
+@register("graph_classes", _SMALL + _rounds("SELECT g, node, el AS c FROM n", """SELECT a.g, a.node, md5(any_value(a.c) || ':' || coalesce(string_agg(w.bond || '.' || o.c, ',' ORDER BY w.bond, o.c), '')) AS c
+  FROM {t} a LEFT JOIN near w USING (g, node) LEFT JOIN {t} o ON o.g = w.g AND o.node = w.other GROUP BY 1, 2""", 8) + """,
+k AS (SELECT g, string_agg(c, ',' ORDER BY c) AS k FROM t8 GROUP BY 1) SELECT g, min(g) OVER (PARTITION BY k) AS class FROM k""")
+def _graph_classes(spark, folder):
+    return graphs.graph_classes(*_small_graphs(spark, folder))
+
+
+@register("graph_pieces", _SMALL + _rounds("SELECT g, node, node AS l FROM n", """SELECT a.g, a.node, least(any_value(a.l), coalesce(min(o.l), any_value(a.l))) AS l
+  FROM {t} a LEFT JOIN near w USING (g, node) LEFT JOIN {t} o ON o.g = w.g AND o.node = w.other GROUP BY 1, 2""", 8) + """
+SELECT g, count(DISTINCT l) AS pieces, count(DISTINCT l) = 1 AS connected FROM t8 GROUP BY 1""")
+def _graph_pieces(spark, folder):
+    return graphs.connected(*_small_graphs(spark, folder))
+
+
 @register("random_graphs")
 def _random_graphs(spark, folder):
     d = _compositions(spark, folder).select(F.col("l_orderkey").alias("g"), space.degree_sequence(F.col("stoichiometry")).alias("s")).where(formulas.feasible(F.col("s")))
