@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from retort.functions import formulas
 from retort.functions.expressions import Composition, select_column
 from retort.functions.kernels import KERNELS
-from retort.operators import dimension, graphs, molecules, pairs, regression, ridge, sampling, space, stats, taylor
+from retort.operators import basis, dimension, graphs, molecules, nuclear, pairs, regression, ridge, sampling, space, stats, taylor
 from retort.plans.lineage import cut, scratch
 from retort.sources import datasets, files
 
@@ -485,6 +485,64 @@ def _capped(spark, folder):
     return _rounded(stats.capped(_t(spark, folder, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice"), 4, "o_totalprice")
 
 
+_NUCLEI = """WITH a AS (SELECT l_orderkey AS mol, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i,
+  l_linenumber::DOUBLE AS q, l_quantity / 10 AS x, l_discount AS y, l_tax AS w, l_partkey % 4 - 1.5 AS d FROM lineitem),
+n AS (SELECT mol, i, q, x, y, w + i AS z, CASE WHEN i % 2 = 1 THEN d END AS d FROM a),
+p AS (SELECT a.mol, a.i AS ai, b.i AS bi, a.q AS aq, b.q AS bq, a.d AS ad, b.d AS bd, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS r
+  FROM n a JOIN n b ON a.mol = b.mol AND a.i <> b.i),
+m AS (SELECT DISTINCT mol FROM n)
+"""
+
+
+def _nuclei(spark, folder):
+    """Lines as nuclei of their order, and changes of the charges of every other one."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = _t(spark, folder, "lineitem").withColumn("i", F.row_number().over(order))
+    atoms = rows.select(F.col("l_orderkey").alias("mol"), "i", F.col("l_linenumber").cast("double").alias("q"), (F.col("l_quantity") / 10).alias("x"), F.col("l_discount").alias("y"), (F.col("l_tax") + F.col("i")).alias("z"))
+    return atoms, rows.where("i % 2 = 1").select(F.col("l_orderkey").alias("mol"), "i", (F.col("l_partkey") % 4 - 1.5).cast("double").alias("d"))
+
+
+@register("nuclear_charges", _NUCLEI + """SELECT m.mol, round(coalesce(sum(aq * bq / r) FILTER (ai < bi), 0), 4) AS repulsion, round(coalesce(sum(aq * bd / r), 0), 4) AS first,
+  round(coalesce(2 * sum(ad * bd / r) FILTER (ai < bi), 0), 4) AS second FROM m LEFT JOIN p USING (mol) GROUP BY 1""")
+def _nuclear(spark, folder):
+    atoms, changes = _nuclei(spark, folder)
+    whole = lambda df, name: df.withColumnRenamed("value", name)
+    out = whole(nuclear.repulsion(atoms), "repulsion").join(whole(nuclear.charge_derivative(atoms, changes), "first"), "mol").join(whole(nuclear.charge_second_derivative(atoms, changes), "second"), "mol")
+    return _rounded(out, 4, "repulsion", "first", "second")
+
+
+@register("nuclear_gradient", _NUCLEI + """SELECT n.mol, n.i, """ + ", ".join(f"round(coalesce(sum(aq * bq * d{x} / pow(r, 3)), 0), 4) + 0.0 AS g{x}, round(coalesce(sum((aq * coalesce(bd, 0) + bq * coalesce(ad, 0)) * d{x} / pow(r, 3)), 0), 4) + 0.0 AS h{x}" for x in "xyz") + """
+  FROM n LEFT JOIN p ON p.mol = n.mol AND p.bi = n.i GROUP BY 1, 2""")
+def _nuclear_gradient(spark, folder):
+    atoms, changes = _nuclei(spark, folder)
+    changed = nuclear.gradient_charge_derivative(atoms, changes).toDF("mol", "i", "hx", "hy", "hz")
+    return nuclear.gradient(atoms).join(changed, ["mol", "i"]).select("mol", "i", *((F.round(c, 4) + 0.0).alias(c) for c in ("gx", "gy", "gz", "hx", "hy", "hz")))
+
+
+@register("select_shells", """
+WITH b AS (SELECT p_type AS element, p_partkey AS shell, p_size % 2 AS l, p_retailprice AS exp FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY element, l ORDER BY shell) AS r FROM b),
+k AS (SELECT *, CASE WHEN element = 'SMALL' THEN 0 ELSE l END AS o FROM r WHERE element = 'SMALL' OR r <= CASE l WHEN 0 THEN 3 ELSE 2 END)
+SELECT element, shell, l::INTEGER AS l, exp, (row_number() OVER (PARTITION BY element ORDER BY o, shell) - 1)::INTEGER AS place FROM k""")
+def _shells(spark, folder):
+    rows = _t(spark, folder, "part").select(F.col("p_type").alias("element"), F.col("p_partkey").alias("shell"), (F.col("p_size") % 2).cast("int").alias("l"), F.col("p_retailprice").alias("exp"), F.lit(1.0).alias("coef"))
+    return basis.select_shells(rows, "SSSPP", ("SMALL",)).select("element", "shell", "l", "exp", F.col("place").cast("int").alias("place"))
+
+
+@register("sampled_divergences", """
+WITH c AS (SELECT l_suppkey AS k, count(*) FILTER (l_returnflag = 'A') AS f1, count(*) FILTER (l_returnflag = 'R') AS f2 FROM lineitem GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY md5(k || ':4'), k) AS p, count(*) OVER () AS n FROM c),
+s AS (SELECT share, k, f1, f2, sum(f1) OVER w AS t1, sum(f2) OVER w AS t2 FROM r JOIN (VALUES (0.3::DOUBLE), (0.6::DOUBLE), (1.0::DOUBLE)) v(share) ON p <= round(share * n) WINDOW w AS (PARTITION BY share)),
+q AS (SELECT share, f1 / t1 + 1e-10 AS p, f2 / t2 + 1e-10 AS q FROM s),
+d AS (SELECT share, count(*) AS n, sum(p * ln(p / q)) / sum(p) - ln(sum(p) / sum(q)) AS kl, sum(q * ln(q / p)) / sum(q) - ln(sum(q) / sum(p)) AS reverse_kl FROM q GROUP BY 1),
+x AS (SELECT share, f1 AS x, 1 AS a, 0 AS b FROM s UNION ALL SELECT share, f2, 0, 1 FROM s), y AS (SELECT share, x, sum(a) AS a, sum(b) AS b FROM x GROUP BY 1, 2),
+z AS (SELECT share, abs(sum(a) OVER (PARTITION BY share ORDER BY x) - sum(b) OVER (PARTITION BY share ORDER BY x)) AS gap, sum(a) OVER (PARTITION BY share) AS n FROM y)
+SELECT share, d.n, round(max(gap / z.n), 6) AS ks, round(any_value(kl), 6) AS kl, round(any_value(reverse_kl), 6) AS reverse_kl FROM d JOIN z USING (share) GROUP BY 1, 2""")
+def _sampled(spark, folder):
+    line = _t(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.count_if(F.col("l_returnflag") == "A").alias("f1"), F.count_if(F.col("l_returnflag") == "R").alias("f2"))
+    return _rounded(stats.sampled_divergences(line, "k", [0.3, 0.6, 1.0], "4"), 6, "ks", "kl", "reverse_kl")
+
+
 @register("weighted_sums", "SELECT l_suppkey AS mol, round(sum(l_linenumber * l_quantity), 4) AS a, round(sum(l_linenumber * l_discount), 4) AS b, round(sum(l_linenumber * l_tax), 4) AS c FROM lineitem GROUP BY 1")
 def _weighted_sums(spark, folder):
     atoms = _t(spark, folder, "lineitem").select(F.col("l_suppkey").alias("mol"), F.array("l_quantity", "l_discount", "l_tax").alias("v"), F.col("l_linenumber").alias("w"))
@@ -894,9 +952,9 @@ def _labelled(spark, folder):
 
 
 def _ladder(spark, folder):
-    """Labelled rows in shuffled order; those to train on, four fifths but 2048 at most, the default end of the ladder; and the held-out ones."""
+    """Labelled rows in shuffled order: a ladder of training sizes ends at four fifths of them, or where a dense solve does; and the held-out ones."""
     rows = cut(sampling.numbered(_labelled(spark, folder), "id", "0"))
-    most = min(2048, rows.count() * 4 // 5)
+    most = min(regression.MOST, rows.count() * 4 // 5)
     return rows.where(F.col("position") <= most), rows.where(F.col("position") > most), most
 
 
