@@ -126,9 +126,21 @@ def pair_feature(atoms: DataFrame, key: str, index: str) -> DataFrame:
     return atoms.select(key).distinct().join(sums, key, "left").na.fill(0.0, ["feature"])
 
 
+#: Different elements, charges or spins that may become columns.
+STATES = 1000
+
+
+def few_states(rows: DataFrame, column: str) -> list:
+    """The different values of a column, in order; more than STATES are an error, as each becomes a column."""
+    found = [r[0] for r in rows.select(column).distinct().limit(STATES + 1).collect()]
+    if len(found) > STATES:
+        raise ValueError(f"more than {STATES} different values of {column}")
+    return sorted(found, key=lambda x: (x is not None, x))
+
+
 def one_hot(rows: DataFrame, column: str, states: list | None = None) -> DataFrame:
-    """Adds a 0/1 column for every state of a column; none is left out."""
-    found = states or [r[0] for r in rows.select(column).distinct().orderBy(column).collect()]
+    """Adds a 0/1 column for every state of a column, STATES at most; none is left out."""
+    found = states or few_states(rows, column)
     return rows.select("*", *((F.col(column) == s).cast("int").alias(f"{column}_{s}") for s in found))
 
 

@@ -99,7 +99,10 @@ def nearest_squared(rows: DataFrame) -> DataFrame:
 
 def length_scale(rows: DataFrame) -> DataFrame:
     """The square root of the median nearest squared distance: ``scale``."""
-    return nearest_squared(rows).agg(F.sqrt(F.median("d2")).alias("scale"))
+    from retort.operators.stats import percentiles
+
+    median = percentiles(nearest_squared(rows), "d2", [0.5])[0]
+    return rows.sparkSession.createDataFrame([(None if median is None else median**0.5,)], "scale double")
 
 
 #: Distinct atoms of a block of a local kernel, about.

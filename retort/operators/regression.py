@@ -54,7 +54,7 @@ def detrend_design(rows: DataFrame, key: str, blocks: list[str], atoms: DataFram
     if unknown := set(blocks) - {"atomic", "pairs", "charge", "spin"}:
         raise ValueError(f"no such block: {sorted(unknown)}")
     if "atomic" in blocks:
-        elements = [r[0] for r in atoms.select("z").distinct().orderBy("z").collect()]
+        elements = molecules.few_states(atoms, "z")
         counts = molecules.element_matrix(atoms, key, "z", elements).toDF(key, *(f"n_{e:g}" for e in elements))
         out, names = out.join(counts, key, "left").na.fill(0, counts.columns[1:]), names + counts.columns[1:]
     if "pairs" in blocks:
@@ -69,7 +69,7 @@ def detrend_design(rows: DataFrame, key: str, blocks: list[str], atoms: DataFram
 
 #: Rows of a training set at most: solving takes one task, and time with the third power of its size.
 MOST = 4096
-#: Length scales by factors of the heuristic one, and regularisers.
+# Fixed values of the published program: length scales by factors of the heuristic one, and regularisers.
 FACTORS, LAMBDAS = [2.0**e for e in range(-1, 20)], [10.0**p for p in range(-10, -1)]
 
 
@@ -100,7 +100,7 @@ def _split_errors(k: np.ndarray, y: np.ndarray, lams: list[float], splits: int,
     """
     values, vectors = np.linalg.eigh(k)
     n = int(len(y) * share)
-    if len(y) < 3 or n < 1 or values[-1] > 1e15 * abs(values[1]):
+    if len(y) < 3 or n < 1 or values[-1] / values[1] > 1e15:
         return []
     out, seen, order = [], {lam: [] for lam in lams}, np.arange(len(y))
     rng = np.random.default_rng(seed)

@@ -24,6 +24,10 @@ def training_sizes(least: int, most: int) -> list[int]:
     return sorted({least, most, *(p for p in powers if least < p < most)})
 
 
+#: Cells whose counts, two numbers each, may be broadcast.
+CELLS = 200_000
+
+
 def numbered(rows: DataFrame, key: str, seed: str, cell: int = 100_000) -> DataFrame:
     """Adds ``position``, from 1, in shuffled order: ranks within cells of the hash range, after the rows of the cells before."""
     n = rows.count()
@@ -32,7 +36,8 @@ def numbered(rows: DataFrame, key: str, seed: str, cell: int = 100_000) -> DataF
     placed = rows.withColumn("_h", shuffle_key(key, seed)).withColumn("_c", F.floor(at * cells / F.lit(1 << 32)))
     before = placed.groupBy("_c").count().select("_c", F.coalesce(F.sum("count").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     rank = F.row_number().over(Window.partitionBy("_c").orderBy("_h", key))
-    return placed.withColumn("_r", rank).join(F.broadcast(before), "_c").select(*rows.columns, (F.col("_b") + F.col("_r")).alias("position"))
+    before = F.broadcast(before) if cells <= CELLS else before
+    return placed.withColumn("_r", rank).join(before, "_c").select(*rows.columns, (F.col("_b") + F.col("_r")).alias("position"))
 
 
 def holdout_split(rows: DataFrame, key: str, maxcount: int, seed: str = "0") -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retort.plans.lineage import cut
+
 
 def merge_frequencies(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
     """Full outer join of ``(key, freq)`` tables: ``key, f1, f2``, gaps 0."""
@@ -26,8 +28,6 @@ def relative_weights(merged: DataFrame) -> DataFrame:
 
 def ranged(rows: DataFrame, key: str, buckets: int = 64) -> DataFrame:
     """The rows with ``_p``, the number of a range of the key that they belong to."""
-    from retort.plans.lineage import cut
-
     return cut(rows.repartitionByRange(buckets, key).withColumn("_p", F.spark_partition_id()))
 
 
@@ -100,6 +100,65 @@ def bootstrap(merged: DataFrame, key: str, rounds: int, seed: str = "0", eps: fl
     return both.join(F.broadcast(whole), "round").groupBy("round").agg(F.max(F.abs(F.col("c1") - F.col("c2"))).alias("ks"), F.sum(F.col("_t") * p * F.ln(p / q)).alias("kl"))
 
 
+def sampled_divergences(merged: DataFrame, key: str, shares: list[float], seed: str = "0", eps: float = 1e-10) -> DataFrame:
+    """How distances of two columns of frequencies depend on the sample: ``share, n, ks, kl, reverse_kl``, a row per share.
+
+    A share takes that part of the rows, rounded to whole ones, without replacement, in one shuffled order for all of them.
+    ``ks`` is the two-sample statistic of the frequencies as values; the others are of the sample's relative frequencies,
+    each raised by ``eps`` and then made to sum to 1.
+    """
+    from retort.operators.sampling import numbered
+
+    n = merged.count()
+    rows = cut(numbered(merged.select(key, "f1", "f2"), key, seed))
+    out = None
+    for share in shares:
+        part = rows.where(F.col("position") <= round(share * n))
+        values = part.select(F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("f1").cast("double").alias("x")), F.struct(F.lit(2).alias("side"), F.col("f2").cast("double").alias("x")))).alias("v")).select("v.side", "v.x")
+        ks = two_sample_ks(values)
+        totals = part.agg(F.sum("f1").alias("_1"), F.sum("f2").alias("_2"), F.count("*").alias("n"))
+        p, q = (F.coalesce(F.try_divide(F.col(f"f{k}"), F.col(f"_{k}")), F.lit(0.0)) + eps for k in (1, 2))
+        raised = part.join(F.broadcast(totals)).select("n", p.alias("p"), q.alias("q"))
+        sums = raised.agg(F.max("n").alias("n"), F.sum("p").alias("sp"), F.sum("q").alias("sq"), F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("pq"), F.sum(F.col("q") * F.ln(F.col("q") / F.col("p"))).alias("qp"))
+        # sum p / P ln((p / P) / (q / Q)) = (sum p ln(p / q)) / P - ln(P / Q)
+        both = sums.select(F.coalesce("n", F.lit(0)).alias("n"), (F.col("pq") / F.col("sp") - F.ln(F.col("sp") / F.col("sq"))).alias("kl"), (F.col("qp") / F.col("sq") - F.ln(F.col("sq") / F.col("sp"))).alias("reverse_kl"))
+        found = ks.crossJoin(both).select(F.lit(float(share)).alias("share"), "n", "ks", "kl", "reverse_kl")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+#: Rows of a range of values, about, of which the ones of a rank are looked up.
+RANGE = 250_000
+
+
+def percentiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact percentiles of a column, between two ranks in proportion; nulls don't count, and no values give null.
+
+    Values go to ranges by order; the driver gets the ranges' counts, and then the value at each of the few ranks, which a
+    window finds inside its range. So no task holds more of the values than a range has.
+    """
+    values = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_v"))
+    n = values.count()
+    if not n:
+        return [None] * len(shares)
+    parts = cut(values.repartitionByRange(max(1, -(-n // RANGE)), "_v").withColumn("_p", F.spark_partition_id()))
+    counts = sorted(map(tuple, parts.groupBy("_p").count().collect()))
+    asked = sorted({k for s in shares for k in (int(s * (n - 1)), min(int(s * (n - 1)) + 1, n - 1))})
+    places, before = [], 0
+    for p, count in counts:
+        places += [(p, k - before + 1, k) for k in asked if before <= k < before + count]
+        before += count
+    wanted = F.broadcast(rows.sparkSession.createDataFrame(places, "_p int, _r int, rank long"))
+    ranked = parts.join(wanted.select("_p").distinct(), "_p", "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_v")))
+    at = dict(map(tuple, ranked.join(wanted, ["_p", "_r"]).select("rank", "_v").collect()))
+    out = []
+    for s in shares:
+        k = int(s * (n - 1))
+        low, high = at[k], at[min(k + 1, n - 1)]
+        out.append(low + (high - low) * (s * (n - 1) - k))
+    return out
+
+
 def bootstrap_summary(values: DataFrame, metrics: list[str], alpha: float = 0.05) -> DataFrame:
     """Mean and percentile interval of each metric over the rounds: ``<m>_mean, <m>_low, <m>_high``."""
     out = []
@@ -117,8 +176,8 @@ def log_metrics(points: DataFrame, columns: list[str], pairs: dict[str, tuple[st
 
 def capped(points: DataFrame, column: str, share: float = 0.9) -> DataFrame:
     """The points with values above a percentile set to it."""
-    top = points.agg(F.percentile(column, F.lit(share)).alias("_top"))
-    return points.join(F.broadcast(top)).withColumn(column, F.least(column, "_top")).select(*points.columns)
+    top = percentiles(points, column, [share])[0]
+    return points if top is None else points.withColumn(column, F.least(column, F.lit(top)))
 
 
 def curve_table(points: DataFrame, n: str, metrics: list[str]) -> DataFrame:
@@ -129,7 +188,7 @@ def curve_table(points: DataFrame, n: str, metrics: list[str]) -> DataFrame:
 
 def interval(values: DataFrame, column: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """A percentile interval: ``low, high``."""
-    return values.agg(F.percentile(column, F.lit(low)).alias("low"), F.percentile(column, F.lit(high)).alias("high"))
+    return values.sparkSession.createDataFrame([tuple(percentiles(values, column, [low, high]))], "low double, high double")
 
 
 def curve_summary(points: DataFrame, by: str, metrics: list[str]) -> DataFrame:
