@@ -65,7 +65,8 @@ def impact_ordered(k: int, scale: float):
             have = np.zeros((len(query), len(c)), np.float32)
             me = c_ids[None, :] == own[at : at + TOGETHER, None]
             have[me] = -np.inf
-            rounding = size * index.norms * 1e-5 + 1e-30
+            # a sum of as many products as there are components, each rounded to 24 bits
+            rounding = size * index.norms * (2 * c.shape[1] + 8) * 2.0**-24 + 1e-30
             for group, rest in zip(index.groups, index.rest, strict=True):
                 have += query.astype(np.float32) @ group
                 last = rest is index.rest[-1]
