@@ -14,7 +14,6 @@ from __future__ import annotations
 import heapq
 import math
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -28,8 +27,6 @@ from retort.llm.common import documents
 DECAY, SPAN = 0.6, 6
 #: Fitting uses at most this many labelled documents of each class, chosen by a hash of doc_id; everything is scored.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 700, 1500
-#: Of a sampled document, fitting uses at most this many distinct words, chosen by a hash.
-SAMPLE_WORDS = 4_000
 LANDMARKS, NEGATIVES, ALPHABET, ROUNDS = 160, 5_000, 63, 4
 #: The machine's cost of a violated margin, and the weight of all toxic words against that of all clean ones.
 COST, BALANCE = 10.0, 0.2
@@ -283,8 +280,8 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits the model to a bounded sample of the labelled documents that are not held out.
 
-    A class gives at most as many documents as its sample says, of rows that share a doc_id one, and a document at most
-    SAMPLE_WORDS words, so what reaches the driver has a bound.
+    A class gives at most as many documents as its sample says, of rows that share a doc_id one, each with all its
+    different words; so the driver gets the words of a bounded number of documents.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), "doc_id")
@@ -293,12 +290,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def words(batches):
         for batch in batches:
-            bags = [sorted(heapq.nsmallest(SAMPLE_WORDS, units(t or ""), key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))) for t in batch.column(1).to_pylist()]
+            bags = [sorted(units(t or "")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(bags, pa.list_(pa.string()))], names=["toxic", "words"])
 
-    sample = texts.mapInArrow(words, "toxic int, words array<string>").collect()
+    one: dict[str, str] = {}  # documents share their equal words
+    found = texts.mapInArrow(words, "toxic int, words array<string>").toLocalIterator()
+    sample = [(r["toxic"], [one.setdefault(w, w) for w in r["words"]]) for r in found]
     totals = known.agg(F.sum((F.col("toxic") == 0).cast("long")), F.sum((F.col("toxic") == 1).cast("long"))).first()
-    return fit(sorted((r["toxic"], r["words"]) for r in sample), (totals[0] or 0, totals[1] or 0))
+    return fit(sorted(sample), (totals[0] or 0, totals[1] or 0))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
