@@ -33,7 +33,7 @@ HELD, HELD_BYTES = 1 << 20, 1 << 25
 #: A word that occurs less often is not worth a place.
 LEAST = 3
 #: Distinct words that a task counts before it sends them on.
-COUNTED = 400_000
+COUNTED = 250_000
 #: Characters that are cut into words at once, about.
 SEGMENT = 1 << 17
 #: Rows of a batch that a task takes up at once, so that what it makes of them stays small.
@@ -149,10 +149,11 @@ def _segments(text: str | None) -> list[str]:
 
 
 def _rows(batches):
-    """The batches in smaller ones."""
+    """The batches in smaller ones, copied, so that a large one is freed before the next is read."""
     for batch in batches:
         for k in range(0, len(batch), AT_ONCE):
-            yield batch.slice(k, AT_ONCE)
+            yield batch.take(pa.array(range(k, min(k + AT_ONCE, len(batch)))))
+        del batch
 
 
 def _groups(texts: list[str | None]):
