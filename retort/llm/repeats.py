@@ -57,8 +57,8 @@ def rolling(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:
         return mix((sums[width:] - sums[:-width]) * _power(pow(odd, -1, 1 << 64), n))
 
 
-def _packed(values: bytes) -> bytes:
-    return pa.compress(values, codec="zstd", asbytes=True)
+def _packed(values: bytes, level: int = 1) -> bytes:
+    return pa.Codec("zstd", compression_level=level).compress(values, asbytes=True)
 
 
 def _bits(packed: bytes, n: int) -> np.ndarray:
@@ -129,7 +129,7 @@ def chunked(docs: DataFrame) -> DataFrame:
     def chunk(number, ids, texts):
         whole = b"".join(texts)
         words = sum(len(t.split()) for t in texts)
-        values = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([_packed(whole)], pa.binary()), pa.array([words], pa.int64())]
+        values = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([_packed(whole, 9)], pa.binary()), pa.array([words], pa.int64())]
         return pa.RecordBatch.from_arrays(values, names=["chunk", "doc_ids", "sizes", "texts", "n_words"])
 
     def gather(batches):
