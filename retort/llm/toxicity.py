@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -33,6 +34,8 @@ COST, BALANCE = 10.0, 0.2
 #: Words longer than this are scored by overlapping windows.
 WINDOW = 24
 REMEMBERED = 1 << 18
+#: Words whose margins are worked out at once.
+AT_ONCE = 8192
 _STEPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _APART = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 
@@ -81,14 +84,16 @@ class Model:
     document: tuple[float, ...] = ()
 
     def margins(self, words: list[str]) -> np.ndarray:
-        """The machine's margin for each word."""
+        """The machine's margin for each word; so many words at a time that the arrays stay small."""
+        parts = [self._margins(words[at : at + AT_ONCE]) for at in range(0, len(words), AT_ONCE)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _margins(self, words: list[str]) -> np.ndarray:
         pieces, owner = [], []
         for k, word in enumerate(words):
             cut = _windows(word)
             pieces += cut
             owner += [k] * len(cut)
-        if not pieces:
-            return np.zeros(0)
         sums, sizes = _score_pieces(pieces, self.alphabet, self.weights)
         out = np.full(len(words), -np.inf)
         np.maximum.at(out, np.array(owner), sums / _norms(WINDOW + 2)[sizes] + self.bias)
@@ -209,14 +214,14 @@ def fit(sample: list[tuple[int, list[str]]], totals: tuple[int, int] | None = No
     one: dict[str, str] = {}  # equal words share one string
     bag = lambda words: {one.setdefault(c, c) for w in words for c in _windows(w) if c}
     bags = [bag(words) for toxic, words in sample if toxic]
-    clear = [bag(words) for toxic, words in sample if not toxic]
-    clean = Counter(w for bag in clear for w in bag)
+    n_clear = len(sample) - len(bags)
+    clean = Counter(w for toxic, words in sample if not toxic for w in bag(words))
     letters = Counter(c for bag in bags for w in bag for c in w) + Counter(c for w in clean for c in w)
     alphabet = {"\x01": 1, "\x02": 2} | {c: k + 3 for k, (c, _) in enumerate(letters.most_common(ALPHABET - 2)) if ord(c) < 0x10000}
     size = (ALPHABET + 1) ** 3
-    positive = sorted(_telling(bags, clean, len(clear))) if bags and clean else []
+    positive = sorted(_telling(bags, clean, n_clear)) if bags and clean else []
     if not positive:
-        return Model(alphabet, np.zeros(size, np.float32), -1.0, (0.0, 0.0, math.log((len(bags) + 0.5) / (len(clear) + 0.5))))
+        return Model(alphabet, np.zeros(size, np.float32), -1.0, (0.0, 0.0, math.log((len(bags) + 0.5) / (n_clear + 0.5))))
     rng = np.random.default_rng(seed)
     often = Counter(w for bag in bags for w in bag)
     seen = np.array([often[w] for w in positive], float)
@@ -281,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits the model to a bounded sample of the labelled documents that are not held out.
 
     A class gives at most as many documents as its sample says, of rows that share a doc_id one, each with all its
-    different words; so the driver gets the words of a bounded number of documents.
+    different words; so one task gets the words of a bounded number of documents. It fits, and the driver gets the model alone.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), "doc_id")
@@ -293,11 +298,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             bags = [sorted(units(t or "")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(bags, pa.list_(pa.string()))], names=["toxic", "words"])
 
-    one: dict[str, str] = {}  # documents share their equal words
-    found = texts.mapInArrow(words, "toxic int, words array<string>").toLocalIterator()
-    sample = [(r["toxic"], [one.setdefault(w, w) for w in r["words"]]) for r in found]
-    totals = known.agg(F.sum((F.col("toxic") == 0).cast("long")), F.sum((F.col("toxic") == 1).cast("long"))).first()
-    return fit(sorted(sample), (totals[0] or 0, totals[1] or 0))
+    clean, toxic = known.agg(F.sum((F.col("toxic") == 0).cast("long")), F.sum((F.col("toxic") == 1).cast("long"))).first()
+    totals = clean or 0, toxic or 0
+
+    def learn(batches):
+        one: dict[str, str] = {}  # documents share their equal words
+        sample = []
+        for batch in batches:
+            for kind, own in zip(batch.column(0), batch.column(1), strict=True):
+                sample.append((kind.as_py(), [one.setdefault(w, w) for w in own.as_py()]))
+        del one
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sorted(sample), totals))], pa.binary())], names=["model"])
+
+    found = texts.mapInArrow(words, "toxic int, words array<string>").repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([], totals)  # a plan without rows may have no task
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
@@ -330,9 +344,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> Da
                         missing.append(w)
                     else:
                         young[w] = m
-                for i in range(0, len(missing), 8192):
-                    part = missing[i : i + 8192]
-                    young.update(zip(part, model.margins(part).tolist(), strict=True))
+                young.update(zip(missing, model.margins(missing).tolist(), strict=True))
                 scores += [model.probability(heapq.nlargest(2, map(young.__getitem__, bag))) for bag in bags]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*own, "score"])
 
