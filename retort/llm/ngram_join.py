@@ -63,8 +63,8 @@ def _least(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Hashed counters of shingles; 4 MB, whatever the number of documents."""
+def _sketch(docs: DataFrame, width: int) -> bytes:
+    """A bit for each of the hashed counters of shingles, set if it is very common; the driver gets these 128 kB, no counters."""
 
     def count(batches):
         total = np.zeros(_SLOTS, np.int32)
@@ -79,26 +79,27 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
             for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total[at] = total.get(at, 0) + np.frombuffer(counts, np.int64 if len(counts) > 4 * _SLICE else np.int32).astype(np.int64)
         for at, counts in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["at", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([counts.tobytes()], pa.binary()), pa.array([int(counts.sum())], pa.int64())], names=["at", "counts", "total"])
 
     def _slices(total):
         for at in range(0, _SLOTS, _SLICE):
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total[at : at + _SLICE].tobytes()], pa.binary())], names=["at", "counts"])
 
+    def pick(batches):
+        for batch in batches:
+            bits = [np.packbits(np.frombuffer(c, np.int64) > least).tobytes() for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["at", "bits"])
+
     kind = "at int, counts binary"
-    parts = docs.select("text").mapInArrow(count, kind).repartition("at").mapInArrow(add, kind).collect()
-    out = np.zeros(_SLOTS, np.int64)
-    for at, counts in parts:
-        out[at : at + _SLICE] = np.frombuffer(bytes(counts), np.int64)
-    return out
+    parts = cut(docs.select("text").mapInArrow(count, kind).repartition("at").mapInArrow(add, f"{kind}, total long")).coalesce(_SLOTS // _SLICE // 4)
+    mean = (parts.agg(F.sum("total")).first()[0] or 0) / _SLOTS
+    least = mean + max(4 * LONG, 8 * mean**0.5)
+    return b"".join(bytes(r["bits"]) for r in sorted(parts.mapInArrow(pick, "at int, bits binary").collect())).ljust(_SLOTS // 8, b"\0")
 
 
 def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, hash of the text, number of shingles, 128-bit fingerprint of the set, its first shingles in the common order, and a row number."""
-    counts = _sketch(docs, width)
-    mean = float(counts.mean())
-    hot = np.packbits(counts > mean + max(4 * LONG, 8 * mean**0.5))
-    shared = docs.sparkSession.sparkContext.broadcast(hot.tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(_sketch(docs, width))
     salt = np.uint64(0xA0761D6478BD642F)
 
     def sign(batches):

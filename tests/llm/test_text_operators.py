@@ -128,6 +128,43 @@ def test_components_of_a_star(spark, monkeypatch):
     assert got == {k: 0 for k in [1000, *range(300), *range(400, 500)]} | {600: 600, 601: 600, 602: 600}
 
 
+def test_components_of_few_edges_run_few_tasks(spark):
+    """The driver keeps a record of every task: few edges make few of them, however many partitions a shuffle has."""
+    held = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    last = lambda: context._jsc.sc().dagScheduler().nextStageId()
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        first = last()
+        assert {r["component"] for r in components(edges).collect()} == {0}
+        stages = [tracker.getStageInfo(k) for k in range(first, last())]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tasks = sum(x.numCompletedTasks for x in stages if x)
+    assert tasks < 4000
+
+
+def test_common_shingles_are_known_by_bits(spark):
+    """What counting in the tasks finds common, a count of all of them finds, and the driver gets a bit for each counter."""
+    from collections import Counter
+
+    from retort.llm.common import shingle_sets
+    from retort.llm.ngram_join import _SLOTS, LONG, _sketch
+
+    texts = [f"a b c d w{k % 600}x e f g h {k}" for k in range(900)] + [None, ""]
+    counts = Counter(int(v) % _SLOTS for s in shingle_sets([(t or "").encode() for t in texts], 4) for v in s.tolist())
+    mean = sum(counts.values()) / _SLOTS
+    common = {k for k, n in counts.items() if n > mean + max(4 * LONG, 8 * mean**0.5)}
+    bits = _sketch(spark.createDataFrame([(t,) for t in texts], "text string"), 4)
+    assert len(bits) == _SLOTS // 8
+    assert {8 * k + j for k, x in enumerate(bits) if x for j in range(8) if x >> (7 - j) & 1} == common and common
+    assert not any(_sketch(spark.createDataFrame([], "text string"), 4))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(500, 560)] + [(None, 3), (7, 7)]
