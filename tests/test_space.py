@@ -83,3 +83,19 @@ def test_a_hot_stratum_goes_by_cells(spark):
     by_cell = sorted(r["id"] for r in sampling.stratified(rows, "id", "s", 200, cell=100).collect())
     assert by_cell == sorted(r["id"] for r in sampling.stratified(rows, "id", "s", 200).collect())
     assert sampling.fraction(rows, "id", 0.1).count() == 300
+
+
+def test_enumeration_of_more_than_thirteen_atoms_is_whole(spark):
+    # plain loops up to all atoms: no element has a limit of its own
+    types = space.parse_space("C:4 H:1 O:2 F:1")
+    for natoms in (14, 17):
+        sizes, ways = spark.createDataFrame([(natoms,)], "natoms int"), []
+        for c, h, o in itertools.product(range(natoms + 1), repeat=3):
+            f = natoms - c - h - o
+            total, most = 4 * c + 2 * o + h + f, 4 if c else 2 if o else 1
+            if f >= 0 and total % 2 == 0 and 2 * most <= total and total // 2 >= natoms - 1:
+                ways.append((c, h, o, f))
+        assert any(max(w) > 13 for w in ways)
+        assert space.enumerate_cases(sizes, types).count() == len(ways)
+        assert len(sequences(spark, natoms, "C:4 H:1 O:2 F:1", pure=True)) == len({(c, o) for c, _, o, _ in ways})
+        assert len(sequences(spark, natoms, "C:4 H:1 O:2 F:1")) == len({(c, o, min(h, f)) for c, h, o, f in ways})
