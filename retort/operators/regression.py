@@ -6,7 +6,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retort.functions.kernels import kernel_array
@@ -15,26 +15,54 @@ from retort.operators.pairs import distances, length_scale
 from retort.plans.lineage import cut
 
 
+def _products(features: list[str], label: Column) -> list[Column]:
+    return [F.sum(F.col(f).cast("double") * label) for f in features]
+
+
 def normal_equations(rows: DataFrame, features: list[str], label: str) -> tuple[np.ndarray, np.ndarray]:
     """A'A and A'y in one pass; k * (k + 3) / 2 sums reach the driver."""
     k = len(features)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = rows.where(F.col(label).isNotNull()).agg(*(F.sum(F.col(features[i]).cast("double") * F.col(features[j])).alias(f"a{i}_{j}") for i, j in pairs), *(F.sum(F.col(f).cast("double") * F.col(label)).alias(f"b{i}") for i, f in enumerate(features))).first()
+    sums = rows.where(F.col(label).isNotNull()).agg(*(F.sum(F.col(features[i]).cast("double") * F.col(features[j])).alias(f"a{i}_{j}") for i, j in pairs), *(c.alias(f"b{i}") for i, c in enumerate(_products(features, F.col(label))))).first()
     a = np.zeros((k, k))
     for i, j in pairs:
         a[i, j] = a[j, i] = sums[f"a{i}_{j}"] or 0.0
     return a, np.array([sums[f"b{i}"] or 0.0 for i in range(k)])
 
 
+def least_norm(a: np.ndarray):
+    """Solves A'A w = b for the w of smallest norm, as a function of b.
+
+    Columns are scaled to length 1 before their rank is judged, as one of large numbers beside a constant isn't dependent.
+    """
+    size = np.sqrt(np.diag(a))
+    size[size == 0] = 1.0
+    values, vectors = np.linalg.eigh(a / np.outer(size, size))
+    kept = values > 1e-12 * max(values[-1], 0.0) if len(values) else np.zeros(0, bool)
+    free = vectors[:, ~kept] / size[:, None]
+
+    def solve(b: np.ndarray) -> np.ndarray:
+        w = vectors[:, kept] @ ((vectors[:, kept].T @ (b / size)) / values[kept]) / size
+        return w - free @ np.linalg.lstsq(free, w, rcond=None)[0] if free.size else w
+
+    return solve
+
+
 def detrend(rows: DataFrame, features: list[str], label: str, train: str | None = None) -> DataFrame:
     """Adds ``trend`` and ``residual``: the least-squares fit of smallest norm, on the training rows.
 
-    The minimum norm matters: blocks of one-hot columns depend on each other.
+    The minimum norm matters: blocks of one-hot columns depend on each other. A second pass fits what the first one left, as
+    sums over many rows round. Rows without label or one of the features don't count.
     """
-    a, b = normal_equations(rows.where(train) if train else rows, features, label)
-    w = np.linalg.pinv(a, rcond=1e-12, hermitian=True) @ b
-    trend = sum((F.col(f).cast("double") * float(c) for f, c in zip(features, w, strict=True)), F.lit(0.0))
-    return rows.withColumn("trend", trend).withColumn("residual", F.col(label) - F.col("trend"))
+    fitted = rows.where(train) if train else rows
+    fitted = fitted.dropna(subset=[label, *features])
+    trend = lambda w: sum((F.col(f).cast("double") * float(c) for f, c in zip(features, w, strict=True)), F.lit(0.0))
+    a, b = normal_equations(fitted, features, label)
+    solve = least_norm(a)
+    w = solve(b)
+    left = fitted.agg(*_products(features, F.col(label) - trend(w))).first() if features else []
+    w = w + solve(np.array([x or 0.0 for x in left]))
+    return rows.withColumn("trend", trend(w)).withColumn("residual", F.col(label) - F.col("trend"))
 
 
 def null_model(rows: DataFrame, label: str, train: str) -> DataFrame:

@@ -314,3 +314,14 @@ def test_random_graphs_query_takes_all_steps():
 
     assert "steps" not in inspect.getsource(catalogue.QUERIES["random_graphs"])
     assert inspect.signature(graphs.random_graphs).parameters["steps"].default == 100
+
+
+def test_detrending_by_large_numbers_beside_a_constant(spark):
+    # numbers from a million on are not dependent on a constant, nor are they where a third column is
+    far = spark.createDataFrame([(1_000_000 + k, 4500.0 - 0.25 * k + (-1) ** k) for k in range(200)], "x long, y double").withColumns({"one": F.lit(1), "two": F.lit(2)})
+    k = np.arange(200.0)
+    y = 4500.0 - 0.25 * k + (-1) ** k
+    slope = ((k - k.mean()) * (y - y.mean())).sum() / ((k - k.mean()) ** 2).sum()
+    for features in (["one", "x"], ["one", "two", "x"]):
+        got = regression.detrend(far, features, "y").orderBy("x").select("residual").toPandas()["residual"].to_numpy()
+        assert np.abs(got - (y - y.mean() - slope * (k - k.mean()))).max() < 1e-7
