@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retort.functions.hashing import first_48_bits
 from retort.plans.lineage import cut
 
 
@@ -79,25 +82,83 @@ def two_sample_ks(values: DataFrame) -> DataFrame:
 POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(18)]
 
 
+#: Rounds of a bootstrap that are drawn together, and draws that a task holds at once.
+ROUNDS, DRAWS = 4096, 1 << 18
+
+
+def _drawn_ranges(batches, rounds: range, seed: str):
+    """Ranges of keys ``_p, _k, f1, f2``, in order, piece by piece: the range, both frequencies as columns, and how often each round draws each key."""
+    ends = [f"{r}:{seed}".encode() for r in rounds]
+    step = max(1, DRAWS // len(rounds))
+    for batch in batches:
+        ranges = np.asarray(batch.column(0))
+        starts = [b"" if k is None else f"{k}:".encode() for k in batch.column(1).to_pylist()]
+        one, two = (np.asarray(batch.column(c), float)[:, None] for c in (2, 3))
+        bounds = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(ranges)]
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            for at in range(low, high, step):
+                part = slice(at, min(at + step, high))
+                u = (first_48_bits(starts[part], ends) + 0.5) / float(1 << 48)
+                yield int(ranges[at]), one[part], two[part], np.searchsorted(POISSON, u, side="right").astype(float)
+
+
+def _bootstrapped(parts: DataFrame, rounds: range, seed: str, eps: float) -> DataFrame:
+    """bootstrap() of some rounds, of rows ``_p, _k, f1, f2``: each task has whole ranges of the key, in order."""
+    width = len(rounds)
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for p, one, two, times in _drawn_ranges(batches, rounds, seed):
+            sums = np.stack([(one * times).sum(0), (two * times).sum(0), times.sum(0)])
+            total[p] = total[p] + sums if p in total else sums
+        for p, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["p", "sums"])
+
+    sums = {p: np.frombuffer(bytes(x)).reshape(3, width) for p, x in parts.mapInArrow(add, "p int, sums binary").collect()}
+    whole = sum(sums.values(), np.zeros((3, width)))
+    with np.errstate(divide="ignore"):
+        scale = [np.where(x > 0, 1 / x, 0.0) for x in whole[:2]]
+    raised = lambda x: [x[k] * scale[k] + eps * x[2] for k in (0, 1)]
+    past, before = {}, np.zeros((3, width))
+    for p in sorted(sums):
+        past[p] = raised(before)
+        before = before + sums[p]
+    sent = parts.sparkSession.sparkContext.broadcast((past, scale, raised(whole)))
+
+    def scan(batches):
+        past, scale, whole = sent.value
+        so_far, most, kl = {}, np.zeros(width), np.zeros(width)
+        for p, one, two, times in _drawn_ranges(batches, rounds, seed):
+            shares = [one * scale[0] + eps, two * scale[1] + eps]
+            one, two = (x + np.cumsum(times * s, 0) for x, s in zip(so_far.get(p, past[p]), shares, strict=True))
+            so_far[p] = one[-1], two[-1]
+            most = np.maximum(most, np.abs(one - two).max(0))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                a, b = (s / w for s, w in zip(shares, whole, strict=True))
+                kl += np.where(times > 0, times * a * np.log(a / b), 0.0).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(rounds, pa.int32()), pa.array(most), pa.array(kl)], names=["round", "ks", "kl"])
+
+    drawn = np.flatnonzero(whole[2]) + rounds.start
+    found = parts.mapInArrow(scan, "round int, ks double, kl double").groupBy("round").agg(F.max("ks").alias("ks"), F.sum("kl").alias("kl"))
+    return found if len(drawn) == width else found.where(F.col("round").isin(drawn.tolist()))
+
+
 def bootstrap(merged: DataFrame, key: str, rounds: int, seed: str = "0", eps: float = 1e-10) -> DataFrame:
     """Distances of resampled distributions: ``round, ks, kl``, as distances() defines them.
 
     A round draws the rows with replacement: each one as often as a Poisson number of mean 1 says, the limit of such draws, by
     inversion of a hash of key and round, so that reruns agree; a repeated row counts with its frequencies and
-    ``eps`` as often. Running sums go by key, in ranges of it, within a round.
+    ``eps`` as often. Keys go to ranges, and a task draws all rounds of its keys, once for the ranges' sums and once more
+    for the running sums that go on from them: no draw is written or shuffled, the driver gets three numbers a range and round.
     """
-    drawn = ranged(merged, key).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("round").cast("string"), F.lit(seed))), 1, 12), 16, 10).cast("double")
-    times = F.size(F.filter(F.array(*(F.lit(c) for c in POISSON)), lambda c: c <= (hashed + 0.5) / float(1 << 48)))
-    drawn = drawn.withColumn("_t", times).where("_t > 0")
-    totals = drawn.groupBy("round").agg(F.sum(F.col("f1") * F.col("_t")).alias("_1"), F.sum(F.col("f2") * F.col("_t")).alias("_2"), F.sum("_t").alias("_n"))
-    share = lambda f, t: F.coalesce(F.try_divide(f, t), F.lit(0.0)) + eps
-    rows = drawn.join(F.broadcast(totals), "round").withColumns({"_p1": share("f1", "_1"), "_p2": share("f2", "_2")})
-    rows = rows.withColumns({"_q1": F.col("_p1") * F.col("_t"), "_q2": F.col("_p2") * F.col("_t")})
-    both = running(rows.select(key, "_p", "round", "_p1", "_p2", "_q1", "_q2", "_t", "_n"), key, {"c1": "_q1", "c2": "_q2"}, ["round"])
-    whole = both.groupBy("round").agg(F.sum("_q1").alias("_a"), F.sum("_q2").alias("_b"))
-    p, q = F.col("_p1") / F.col("_a"), F.col("_p2") / F.col("_b")
-    return both.join(F.broadcast(whole), "round").groupBy("round").agg(F.max(F.abs(F.col("c1") - F.col("c2"))).alias("ks"), F.sum(F.col("_t") * p * F.ln(p / q)).alias("kl"))
+    share = lambda f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f)
+    sorted_ranges = merged.select(F.col(key).alias("_key"), share("f1"), share("f2")).repartitionByRange(64, "_key").sortWithinPartitions("_key")
+    parts = cut(sorted_ranges.select(F.spark_partition_id().alias("_p"), F.col("_key").cast("string").alias("_k"), "f1", "f2"))
+    out = None
+    for first in range(0, rounds, ROUNDS):
+        found = _bootstrapped(parts, range(first, min(first + ROUNDS, rounds)), seed, eps)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def sampled_divergences(merged: DataFrame, key: str, shares: list[float], seed: str = "0", eps: float = 1e-10) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
 import numpy as np
 import pytest
 
+from retort.functions.hashing import first_48_bits
 from retort.operators import basis, nuclear, pairs, stats
 
 
@@ -77,3 +79,29 @@ def test_percentiles_by_ranges(spark, monkeypatch):
     assert pairs.length_scale(spark.createDataFrame([(1, [0.0])], "id long, v array<double>")).first()["scale"] is None
     low, high = stats.interval(frame, "x").first()
     assert (low, high) == pytest.approx(tuple(np.quantile(values, [0.025, 0.975])))
+
+
+def test_bootstrap_equals_plain_loops_and_makes_no_row_per_draw(spark):
+    rows = [("a", 3, 0), ("b", 1, 2), ("c" * 60, 0, 5), ("d", 2, 2), ("é", 7, 1), (None, 1, 1)]
+    merged = spark.createDataFrame(rows, "k string, f1 long, f2 long").repartition(3)
+    found = stats.bootstrap(merged, "k", 40, "s")
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    got = {r["round"]: (r["ks"], r["kl"]) for r in found.collect()}
+    rows = [rows[-1], *rows[:-1]]  # nulls first
+    for r in range(40):
+        drawn = []
+        for k, one, two in rows:
+            text = f"{r}:s" if k is None else f"{k}:{r}:s"
+            u = (int(hashlib.md5(text.encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            drawn.append((sum(c <= u for c in stats.POISSON), one, two))
+        totals = [sum(t * x[k] for t, *x in drawn) for k in (0, 1)]
+        drawn = [(t, *(x[k] / totals[k] + 1e-10 if totals[k] else 1e-10 for k in (0, 1))) for t, *x in drawn if t]
+        a, b = (sum(t * x[k] for t, *x in drawn) for k in (0, 1))
+        gaps = [abs(sum(t * (p - q) for t, p, q in drawn[: n + 1])) for n in range(len(drawn))]
+        assert got[r] == pytest.approx((max(gaps), sum(t * p / a * math.log((p / a) / (q / b)) for t, p, q in drawn)), abs=1e-9)
+
+
+def test_many_hashes_at_once_equal_the_library():
+    starts, ends = [b"", b"1:", b"22:", b"x" * 52, b"y" * 70], [b"0", b"17:0", b"z" * 9]
+    wanted = [[int(hashlib.md5(s + e).hexdigest()[:12], 16) for e in ends] for s in starts]
+    assert first_48_bits(starts, ends).tolist() == wanted
