@@ -895,7 +895,7 @@ def _small_graphs(spark, folder):
     ends = edges.select("g", F.explode(F.array("u", "v")).alias("node"))
     alone = _t(spark, folder, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("g"), F.lit(99).alias("node"))
     nodes = ends.unionByName(alone).distinct()
-    return cut(edges), cut(nodes.withColumn("element", F.when(F.col("node") % 2 == 0, "C").otherwise("N")))
+    return edges, nodes.withColumn("element", F.when(F.col("node") % 2 == 0, "C").otherwise("N"))
 
 
 def _rounds(first: str, step: str, n: int) -> str:

@@ -8,6 +8,7 @@ import random
 import pytest
 
 from retort.operators import graphs, molecules
+from retort.plans.lineage import cut
 
 
 def equal(a, b):
@@ -76,3 +77,28 @@ def test_weighted_sums(spark, monkeypatch):
         assert {r["mol"]: r["v"] for r in molecules.weighted_sums(frame, "mol", weight=weight).collect()} == wanted
     with pytest.raises(Exception, match="differ in length"):
         molecules.weighted_sums(spark.createDataFrame([("a", [1.0]), ("a", [1.0, 2.0])], "mol string, v array<double>"), "mol").collect()
+
+
+def ring(nodes, n):
+    """A ring in an order of nodes, closed every n."""
+    return {tuple(sorted((nodes[k], nodes[k + 1 if (k + 1) % n else k + 1 - n]))): 1 for k in range(len(nodes))}
+
+
+def test_small_graphs_are_written_once_and_large_ones_joined(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(graphs, "cut", lambda df: cuts.append(df) or cut(df))
+    mixed = random.Random(3).sample(range(70), 70)
+    made = {5: (["C"] * 12, ring(range(12), 12)), 6: (["C"] * 12, ring(range(12), 6)), 7: (["C"] * 12, ring(range(11, -1, -1), 12))}
+    assert {r["g"]: r["class"] for r in graphs.graph_classes(*frames(spark, made)).collect()} == {5: 5, 6: 6, 7: 5}
+    assert {r["g"]: r["pieces"] for r in graphs.connected(*frames(spark, made)).collect()} == {5: 1, 6: 2, 7: 1}
+    assert len(cuts) == 2
+    made |= {1: (["C"] * 70, ring(range(70), 70)), 2: (["C"] * 70, ring(range(70), 35)), 3: (["C"] * 70, ring(mixed, 70)), 4: (["C"] * 64, ring(range(64), 64))}
+    assert {r["g"]: r["class"] for r in graphs.graph_classes(*frames(spark, made)).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 5}
+    assert {r["g"]: r["pieces"] for r in graphs.connected(*frames(spark, made)).collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1, 6: 2, 7: 1}
+
+
+def test_parts_of_a_graph_that_come_in_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "HELD", 20)
+    edges = spark.range(30_000).selectExpr("CAST(1 AS INT) AS g", "concat('n', id % 3) AS u", "concat('n', id % 3 + IF(id % 7 = 0, 1, 7)) AS v")
+    nodes = spark.createDataFrame([(g, f"n{k}", "C") for g in (1, 2) for k in range(5)], "g int, node string, element string")
+    assert sorted(map(tuple, graphs.connected(edges, nodes).collect())) == [(1, 2, False), (2, 5, False)]
