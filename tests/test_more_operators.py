@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from retort.functions.hashing import first_48_bits
@@ -105,3 +106,35 @@ def test_many_hashes_at_once_equal_the_library():
     starts, ends = [b"", b"1:", b"22:", b"x" * 52, b"y" * 70], [b"0", b"17:0", b"z" * 9]
     wanted = [[int(hashlib.md5(s + e).hexdigest()[:12], 16) for e in ends] for s in starts]
     assert first_48_bits(starts, ends).tolist() == wanted
+
+
+def test_blocks_meet_without_a_shuffle(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(90, 3))
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    monkeypatch.setattr(pairs, "PART", 1)  # a block is a partition
+    for met in (pairs.block_pairs(frame, 8), pairs.block_rectangles(frame, frame.limit(20), 8)):
+        assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+    many = pairs.block_pairs(frame, 1)
+    assert many.rdd.getNumPartitions() < many.count() == len({(tuple(r["a_ids"]), tuple(r["b_ids"])) for r in many.collect()})
+    monkeypatch.setattr(pairs, "BLOCK", 8)
+    monkeypatch.setattr(pairs.block_pairs, "__defaults__", (8,))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    k = np.exp(-d / 2)
+    sums = {(r["id"], r["kernel"]): r["total"] for r in pairs.kernel_row_sums(frame, {"Exponential": {}, "Gaussian": {}}, 2.0).collect()}
+    assert len(sums) == 180 and [sums[i, "Exponential"] for i in range(90)] == pytest.approx(k.sum(1))
+    c = k - k.mean(0) - k.mean(1)[:, None] + k.mean()
+    centered = {r["i"]: (r["power"], r["most"]) for r in pairs.centered_sums(frame, "Exponential", 2.0).collect()}
+    assert [centered[i][0] for i in range(90)] == pytest.approx((c * c).sum(1)) and [centered[i][1] for i in range(90)] == pytest.approx(c.max(1))
+    np.fill_diagonal(d, np.inf)
+    nearest = {r["id"]: r["d2"] for r in pairs.nearest_squared(frame).collect()}
+    assert [nearest[i] for i in range(90)] == pytest.approx(d.min(1) ** 2)
+
+
+def test_results_of_few_blocks_are_held(monkeypatch):
+    monkeypatch.setattr(pairs, "LEFT", 2)
+    column = lambda values, kind: pa.array(values, kind)
+    names, vectors = pa.list_(pa.int64()), pa.list_(pa.list_(pa.float64()))
+    left = [[0, 1], [2], [3], [0, 1]]
+    batch = pa.RecordBatch.from_arrays([column(left, names), column([[[float(i)] for i in ids] for ids in left], vectors), column([[9]] * 4, names), column([[[1.0]]] * 4, vectors)], names=["a", "b", "c", "d"])
+    got = [(i.tolist(), s.tolist()) for i, s in pairs._by_left([batch, batch.slice(0, 1)], lambda i, a, j, b: a.sum(1) + b.sum(), np.add)]
+    assert got == [([0, 1], [1.0, 2.0]), ([2], [3.0]), ([3], [4.0]), ([0, 1], [2.0, 4.0])]
