@@ -119,13 +119,14 @@ def kernel_row_sums(rows: DataFrame, kernels: dict[str, dict], sigma: float) ->
 def nearest_squared(rows: DataFrame) -> DataFrame:
     """Per row the smallest squared distance to another row: ``id, d2``."""
 
+    def least(i, a, j, b):
+        d = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0.0)
+        d[i[:, None] == j[None, :]] = np.inf
+        return d.min(1, initial=np.inf)
+
     def one(batches):
-        for batch in batches:
-            for t in range(len(batch)):
-                i, a, j, b = tile(batch, t)
-                d = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0.0)
-                d[i[:, None] == j[None, :]] = np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(d.min(1))], names=["id", "d2"])
+        for i, d in _by_left(batches, least, np.minimum):
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(d)], names=["id", "d2"])
 
     return block_pairs(rows).mapInArrow(one, "id long, d2 double").groupBy("id").agg(F.min("d2").alias("d2")).where("d2 < double('inf')")
 
