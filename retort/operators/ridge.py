@@ -19,11 +19,25 @@ from retort.operators import pairs
 from retort.plans.lineage import cut
 
 #: Rows on a side of a tile and its components, at most, and kernel values that are computed together.
-SIDE, COMPONENTS, VALUES = 8192, 1 << 22, 1 << 21
+SIDE, COMPONENTS, VALUES = 8192, 1 << 22, 1 << 20
+#: Numbers that the driver holds to make the steps fewer (128 MB), and columns of the kernel that they are, at most.
+HELD, LANDMARKS = 1 << 24, 512
 #: Training rows and components that predictions may send to every task (64 MB); more meet the rows in tiles.
 SENT = 8 << 20
 
 
+def kernel_of(kernel: str, a: np.ndarray, b: np.ndarray, sigma: float, parameters: dict) -> np.ndarray:
+    """The kernel of every row of one array with every one of another."""
+    of_a, of_b = ((x * x).sum(1) / (sigma * sigma) for x in (a, b))
+    if kernel != "Gaussian" or max(of_a.max(initial=0.0), of_b.max(initial=0.0)) > 1e3:
+        return kernel_array(kernel, pairs.distances(a, b) / sigma, **parameters)
+    # no root of the square is needed, and one product gives the exponents; where they round to more than 0, they are 0
+    one, two = np.column_stack([a * (2 / (sigma * sigma)), of_a, np.ones(len(a))]), np.column_stack([b, np.full(len(b), -1.0), -of_b])
+    out = one @ two.T
+    np.minimum(out, 0.0, out=out)
+    return np.exp(out, out=out)
+
+
 def _summed(parts: DataFrame, sizes: list[int], width: int) -> np.ndarray:
     """The sums by block of rows ``blk, part`` (numbers as bytes), one block after the other."""
 
@@ -54,7 +68,7 @@ class GlobalTiles:
         side = min(most, max(256, -(-n // int((4 * spark.sparkContext.defaultParallelism) ** 0.5))))
         count = max(1, -(-n // side))
         packed = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")).groupBy("blk").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("r"))
-        packed = cut(packed.select("blk", F.col("r.id").alias("ids"), F.col("r.v").alias("vs")))
+        packed = self.packed = cut(packed.select("blk", F.col("r.id").alias("ids"), F.col("r.v").alias("vs")))
         known = {r["blk"]: r["ids"] for r in packed.select("blk", "ids").toLocalIterator()}
         self.ids = [i for k in range(count) for i in known.get(k, [])]
         self.sizes = [len(known.get(k, [])) for k in range(count)]
@@ -76,7 +90,7 @@ class GlobalTiles:
                     own, other = vectors[ends[blk] : ends[blk + 1]], vectors[ends[meet] : ends[meet + 1]]
                     mine, theirs, step = [], np.zeros_like(other), max(1, VALUES // max(1, len(b)))
                     for at in range(0, len(a), step):
-                        k = kernel_array(kernel, pairs.distances(a[at : at + step], b) / sigma, **parameters)
+                        k = kernel_of(kernel, a[at : at + step], b, sigma, parameters)
                         mine.append(k @ other)
                         theirs += k.T @ own[at : at + step]
                     yield _part(blk, np.concatenate(mine))
@@ -88,6 +102,44 @@ class GlobalTiles:
         return out
 
 
+    def columns(self, most: int) -> np.ndarray:
+        """Columns of the kernel, ``most`` numbers in all, of rows that are spread over its order, and of these the factor F of F F' near it."""
+        n = len(self.ids)
+        places = np.unique(np.linspace(0, n - 1, max(1, min(n // 2, most // max(1, n), LANDMARKS))).astype(int)) if n > 1 else np.zeros(0, int)
+        if len(places) < 2:
+            return np.zeros((n, 0))
+        ends, chosen = np.cumsum([0, *self.sizes]), {}
+        wanted = [(int(np.searchsorted(ends, k, side="right")) - 1, int(k)) for k in places]
+        spark, starts = self.rows.sparkSession, [int(e) for e in ends]
+        asked = F.broadcast(spark.createDataFrame([(blk, k - starts[blk]) for blk, k in wanted], "blk int, at int"))
+        for r in self.packed.join(asked, "blk").select("blk", "at", F.col("vs")[F.col("at")].alias("v")).collect():
+            chosen[starts[r["blk"]] + r["at"]] = r["v"]
+        points = np.array([chosen[int(k)] for k in places], float)
+        sent = spark.sparkContext.broadcast(points)
+        kernel, sigma, parameters = self.kernel, self.sigma, self.parameters
+
+        def one(batches):
+            for batch in batches:
+                for blk, a in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    a = np.asarray(a.values.flatten()).reshape(len(a.values), -1)
+                    step = max(1, VALUES // len(sent.value))
+                    for at in range(0, len(a), step):
+                        k = kernel_of(kernel, a[at : at + step], sent.value, sigma, parameters)
+                        yield pa.RecordBatch.from_arrays([pa.array([blk], pa.int32()), pa.array([at], pa.int32()), pa.array([k.tobytes()], pa.binary())], names=["blk", "at", "part"])
+
+        out = np.zeros((n, len(places)))
+        for r in self.packed.select("blk", "vs").mapInArrow(one, "blk int, at int, part binary").toLocalIterator():
+            part = np.frombuffer(bytes(r["part"])).reshape(-1, len(places))
+            out[starts[r["blk"]] + r["at"] :][: len(part)] = part
+        sent.destroy()
+        values, vectors = np.linalg.eigh(out[places])
+        kept = values > 1e-10 * values[-1]
+        turn = vectors[:, kept] / np.sqrt(values[kept])
+        for at in range(0, n, 1 << 14):
+            out[at : at + (1 << 14), : turn.shape[1]] = out[at : at + (1 << 14)] @ turn
+        return out[:, : turn.shape[1]]
+
+
 class LocalTiles:
     """The normalised local kernel of molecules as an operator on vectors; arguments as of pairs.local_kernel()."""
 
@@ -135,6 +187,22 @@ def _centred(x: np.ndarray) -> np.ndarray:
     return x - x.mean(0) if len(x) else x
 
 
+def _near_inverse(tiles, lam: float):
+    """A function near the inverse of H K H + lam, from some columns of the kernel; what it returns has mean 0, as its argument has.
+
+    With F F' near K (Nystroem), (F F' + m) ^ -1 r = (r - F (F'F + m) ^ -1 F' r) / m.
+    """
+    factor = tiles.columns(HELD) if hasattr(tiles, "columns") and lam > 0 else np.zeros((0, 0))
+    if not factor.shape[1]:
+        return lambda r: r.copy()
+    factor -= factor.mean(0)
+    inner = factor.T @ factor
+    values, vectors = np.linalg.eigh(inner)
+    least = lam + max(values[0], 0.0)
+    scale = 1 / (np.maximum(values, 0.0) + least)
+    return lambda r: _centred((r - factor @ (vectors @ (scale * (vectors.T @ (factor.T @ r))))) / least)
+
+
 @dataclass
 class Model:
     """A fitted regression: coefficients in the order of ``ids``, and what centering needs."""
@@ -159,7 +227,7 @@ def fit(tiles, labels: DataFrame, key: str, lam: float, tolerance: float = 1e-11
     """Solves (H K H + lam) alpha = y - mean(y), H subtracting means, by conjugate gradients.
 
     labels: ``key, y``, one row for each row of the tiles. A step costs one multiplication; their number depends on the
-    spectrum, not on the rows. Stops where the residual is below ``tolerance`` of the labels; not to get there in
+    spectrum, of which columns of the kernel that the driver holds take the largest part away. Stops where the residual is below ``tolerance`` of the labels; not to get there in
     ``most`` steps is an error.
     """
     known = {}
@@ -168,7 +236,9 @@ def fit(tiles, labels: DataFrame, key: str, lam: float, tolerance: float = 1e-11
     y = np.array([known[i] for i in tiles.ids], float)
     shift = float(y.mean()) if len(y) else 0.0
     left = y - shift
-    x, p, size = np.zeros(len(y)), left.copy(), float(left @ left)
+    nearer = _near_inverse(tiles, lam)
+    x, z, size = np.zeros(len(y)), nearer(left), float(left @ left)
+    p, slope = z.copy(), float(left @ z)
     goal, step, means = tolerance**2 * size, 0, np.zeros(0) if not len(y) else None
     while len(y) and (step == 0 or size > goal):
         if step == most:
@@ -181,10 +251,11 @@ def fit(tiles, labels: DataFrame, key: str, lam: float, tolerance: float = 1e-11
         step += 1
         if not size:
             break
-        a = size / float(p @ q)
+        a = slope / float(p @ q)
         x, left = x + a * p, left - a * q
-        now = float(left @ left)
-        p, size = left + now / size * p, now
+        z, size = nearer(left), float(left @ left)
+        now = float(left @ z)
+        p, slope = z + now / slope * p, now
     grand = float(means.mean()) if len(y) else 0.0
     return Model(tiles, tiles.ids, x, shift, grand, float(means @ x), step, size**0.5)
 

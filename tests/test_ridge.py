@@ -98,3 +98,35 @@ def test_moments_give_the_kernel(spark, monkeypatch, kernel, sigma, mode):
     wide = {(r["i"], r["j"]): r["k"] for r in rows if r["sigma"] == 1e4}  # rejected, so exact
     exact = {(r["i"], r["j"]): r["k"] for r in pairs.local_kernel(frame, kernel, 1e4, mode).collect()}
     assert wide == pytest.approx(exact, abs=1e-12) and len(wide) == 210
+
+
+def test_columns_of_the_kernel_make_fewer_steps(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 3))
+    y = np.sin(2 * x[:, 0]) + x[:, 1] * x[:, 2]
+    rows = spark.createDataFrame([(3 * k, v.tolist(), float(t)) for k, (v, t) in enumerate(zip(x, y, strict=True))], "id long, v array<double>, y double").cache()
+    tiles = ridge.GlobalTiles(rows.select("id", "v"), "Gaussian", 2.0)
+
+    class Plain:
+        ids, multiply = tiles.ids, staticmethod(tiles.multiply)
+
+    lam = 0.05
+    near, plain = ridge.fit(tiles, rows, "id", lam), ridge.fit(Plain, rows, "id", lam)
+    assert 3 * near.steps < plain.steps
+    order = [i // 3 for i in tiles.ids]
+    k = kernel_array("Gaussian", pairs.distances(x, x) / 2.0)
+    h = k - k.mean(1, keepdims=True) - k.mean(0, keepdims=True) + k.mean()
+    wanted = np.linalg.solve(h + lam * np.eye(400), y - y.mean())[order]
+    for model in (near, plain):
+        assert model.alpha == pytest.approx(wanted, abs=1e-8)
+    same = spark.createDataFrame([(k, [1.0, 2.0], float(k)) for k in range(9)], "id long, v array<double>, y double")  # a kernel of rank 1
+    assert ridge.fit_vectors(same, "Gaussian", 1.0, 0.1).alpha == pytest.approx((np.array([0, 1, 2, 3, 4, 5, 6, 7, 8]) - 4) / 0.1)
+
+
+def test_a_tile_of_the_gaussian_kernel():
+    rng = np.random.default_rng(13)
+    a = rng.normal(size=(20, 6))
+    b = np.concatenate([a[:5], rng.normal(size=(7, 6))])
+    for factor in (1.0, 1e-3, 1e5):  # far from 0 the root's rounding is kept
+        got, wanted = (f(factor * a, factor * b) for f in (lambda p, q: ridge.kernel_of("Gaussian", p, q, 1.5, {}), lambda p, q: kernel_array("Gaussian", pairs.distances(p, q) / 1.5)))
+        assert np.abs(got - wanted).max() < 1e-12 and got.max() <= 1.0
