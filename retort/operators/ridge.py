@@ -2,7 +2,7 @@
 
 A training set is dealt into blocks; every two of them meet in one row, a tile, once. A step multiplies the kernel with some
 vectors in the tiles, which compute their part of it anew, and adds the results up in Spark. The driver holds vectors of
-one number a row; its work and memory grow with the rows, that of the tiles with their square.
+one number a row, and some columns of the kernel that make the steps fewer, HELD numbers at most; its work and memory grow with the rows, that of the tiles with their square.
 """
 
 from __future__ import annotations
